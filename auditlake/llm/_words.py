@@ -102,7 +102,7 @@ def windows(h: np.ndarray, size: int, base: int = 0xD6E8FEB86659FD93) -> np.ndar
         part = h[low : min(len(h), low + _BLOCK + size - 1)]
         total = np.empty(len(part) + 1, np.uint64)
         total[0] = 0
-        np.cumsum((part | np.uint64(1)) * _power(base, len(part)) + (part >> np.uint64(1)) * _power(base, len(part)), out=total[1:])
+        np.cumsum(part * _power(base, len(part)), out=total[1:])
         n = len(part) - size + 1
         out[low : low + n] = (total[size:] - total[:n]) * _power(inverse, len(part))[:n]
     return mix(out)
