@@ -61,7 +61,7 @@ def _runs(sorted_keys: np.ndarray):
     return sorted_keys[low].tolist(), low.tolist(), np.r_[low[1:], len(sorted_keys)].tolist() if len(low) else []
 
 
-def _merge(key, group: pa.Table) -> pa.Table:
+def _merge(key, group):
     """Cells of one chunk that are used twice over all tasks, as a bitmap of ``CHUNK`` bits."""
     uses = np.zeros(CHUNK, np.uint8)
     for column in ("used", "again"):
