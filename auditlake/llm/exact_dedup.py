@@ -27,13 +27,13 @@ PROBES = 3
 CHUNK = 1 << 16
 MAX_RANGES = 64
 MAX_FILTER_BYTES = 64 << 20
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0x9E3779B97F4A7C15
 
 
 def _cells(h: np.ndarray, n_cells: int) -> np.ndarray:
     """``PROBES`` cells of each hash, as an array of one row a probe."""
     h = h.view(np.uint64)
-    return np.stack([mix(h + _STEP * np.uint64(i + 1)) % np.uint64(n_cells) for i in range(PROBES)]).astype(np.int64)
+    return np.stack([mix(h + np.uint64(_STEP * (i + 1) % (1 << 64))) % np.uint64(n_cells) for i in range(PROBES)]).astype(np.int64)
 
 
 def _partial(n_cells: int):

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .mixing import op10_mixing
+from .url_filter import op1_url_filter
 
 
 def queries() -> dict:
-    return {"op2_exact_dedup": op2_exact_dedup}
+    return {"op1_url_filter": op1_url_filter, "op2_exact_dedup": op2_exact_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict:
