@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from .bpe import op4_byte_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .media import op7_media_columns
 from .mixing import op10_mixing
 from .url_filter import op1_url_filter
 
 
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter, "op2_exact_dedup": op2_exact_dedup, "op10_mixing": op10_mixing}
+    return {
+        "op1_url_filter": op1_url_filter,
+        "op2_exact_dedup": op2_exact_dedup,
+        "op4_byte_bpe": op4_byte_bpe,
+        "op7_media_columns": op7_media_columns,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict:
