@@ -24,6 +24,7 @@ MOST_TIMES = 3
 #: A block has at most so many words, and the mix at least so many slots where it has as many words.
 BLOCK_WORDS, LEAST_SLOTS = 1024, 1 << 16
 MAX_SOURCES = 100_000
+CELLS = 1 << 12
 BUCKET_ROWS = 1000
 
 
@@ -73,9 +74,12 @@ def schedule(spark: SparkSession, plan: list[dict], block_words: int) -> DataFra
     if bounds:
         bounds[-1] = (bounds[-1][0], bounds[-1][1], 2.0)
     parts = spark.createDataFrame(bounds, "source_no int, low double, high double")
-    points = spark.range(slots).select(F.col("id").alias("slot"), van_der_corput(F.col("id"), bits).alias("x"))
-    # the sources' bounds: at most MAX_SOURCES rows
-    dealt = points.join(F.broadcast(parts), (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).select("slot", "source_no", F.lit(1).cast("long").alias("one"), F.floor(F.col("slot") / BUCKET_ROWS).alias("stretch"))
+    # a source's part is found through the cells that it meets, so a point is held against a few parts only
+    cell = lambda c: F.floor(F.least(c, F.lit(1.0)) * CELLS)
+    parts = parts.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    points = spark.range(slots).select(F.col("id").alias("slot"), van_der_corput(F.col("id"), bits).alias("x")).withColumn("cell", cell(F.col("x")))
+    # at most MAX_SOURCES + CELLS rows
+    dealt = points.join(F.broadcast(parts), "cell").where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).select("slot", "source_no", F.lit(1).cast("long").alias("one"), F.floor(F.col("slot") / BUCKET_ROWS).alias("stretch"))
     return running_sum(dealt, "source_no", "stretch", ["slot"], "one", "rank").select("slot", "source_no", "rank")
 
 
