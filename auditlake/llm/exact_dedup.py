@@ -61,34 +61,55 @@ def _runs(sorted_keys: np.ndarray):
     return sorted_keys[low].tolist(), low.tolist(), np.r_[low[1:], len(sorted_keys)].tolist() if len(low) else []
 
 
-def _merge(key, group):
-    """Cells of one chunk that are used twice over all tasks, as a bitmap of ``CHUNK`` bits."""
-    uses = np.zeros(CHUNK, np.uint8)
-    for column in ("used", "again"):
-        for cells in group.column(column).to_pylist():
-            at = np.frombuffer(cells, "<u2")
-            uses[at] = np.minimum(uses[at] + 1, 2)
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(uses > 1).tobytes()], pa.binary())})
+def _merge(least: int):
+    def merge(key, group):
+        """Cells of one chunk that are used ``least`` times over all tasks, as a bitmap of ``CHUNK`` bits."""
+        uses = np.zeros(CHUNK, np.uint8)
+        for column in ("used", "again"):
+            for cells in group.column(column).to_pylist():
+                at = np.frombuffer(cells, "<u2")
+                uses[at] = np.minimum(uses[at] + 1, 2)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(uses >= least).tobytes()], pa.binary())})
+
+    return merge
+
+
+class BloomFilter:
+    """Membership of 64-bit hashes; false positives only."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        cells = _cells(h, len(self.bits) * 8)
+        return np.all((self.bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1, axis=0)
+
+
+def membership_filter(values: DataFrame, rows: int, bits_per_row: int, max_bytes: int) -> BloomFilter:
+    """Filter of the first column of ``values`` (long), of at most ``max_bytes`` (64 KB at least)."""
+    n_cells = max(CHUNK * 8, min(rows * bits_per_row, max_bytes * 8))
+    n_cells = -(-n_cells // CHUNK) * CHUNK
+    return BloomFilter(_gather(values, n_cells, 1))
+
+
+def _gather(values: DataFrame, n_cells: int, least: int) -> np.ndarray:
+    """Bits of the cells used ``least`` times (1 or 2): ``n_cells`` / 8 bytes in all come to the driver."""
+    chunks = values.mapInArrow(_partial(n_cells), "chunk long, used binary, again binary").groupBy("chunk").applyInArrow(_merge(least), "chunk long, bits binary")
+    bits = np.zeros(n_cells // 8, np.uint8)
+    for r in chunks.toLocalIterator():
+        bits[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
+    return bits
 
 
 def _probe(spark: SparkSession, digests: DataFrame, rows: int, max_filter_bytes: int) -> DataFrame:
     """``digests`` (id, digest, h) with a boolean ``maybe``: false if the digest certainly occurs once."""
     n_cells = max(CHUNK, min(rows * CELLS_PER_ROW, max_filter_bytes * 8))
     n_cells = -(-n_cells // CHUNK) * CHUNK
-    twice = (
-        digests.select("h").mapInArrow(_partial(n_cells), "chunk long, used binary, again binary")
-        .groupBy("chunk").applyInArrow(_merge, "chunk long, bits binary")
-    )
-    filter_bits = np.zeros(n_cells // 8, np.uint8)
-    for r in twice.toLocalIterator():  # n_cells / 8 bytes in all, at most max_filter_bytes
-        filter_bits[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(filter_bits)
+    shared = spark.sparkContext.broadcast(BloomFilter(_gather(digests.select("h"), n_cells, 2)))
 
     def probe(batches):
-        bits = shared.value
         for batch in batches:
-            cells = _cells(batch.column(2).to_numpy(zero_copy_only=False), n_cells)
-            maybe = np.all((bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1, axis=0)
+            maybe = shared.value.holds(batch.column(2).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maybe)], ["id", "digest", "maybe"])
 
     kind = digests.schema["id"].dataType.simpleString()

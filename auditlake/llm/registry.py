@@ -7,6 +7,7 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .media import op7_media_columns
 from .mixing import op10_mixing
 from .quality import op8_quality_ftrl
+from .substring_dedup import op6_substring_dedup
 from .toxicity import op3_toxicity_gbt
 from .url_filter import op1_url_filter
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_toxicity_gbt": op3_toxicity_gbt,
         "op4_byte_bpe": op4_byte_bpe,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_media_columns": op7_media_columns,
         "op8_quality_ftrl": op8_quality_ftrl,
         "op10_mixing": op10_mixing,
