@@ -6,6 +6,7 @@ from .bpe import op4_byte_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .media import op7_media_columns
 from .mixing import op10_mixing
+from .near_dedup import op9_prob_minhash
 from .quality import op8_quality_ftrl
 from .substring_dedup import op6_substring_dedup
 from .toxicity import op3_toxicity_gbt
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op6_substring_dedup": op6_substring_dedup,
         "op7_media_columns": op7_media_columns,
         "op8_quality_ftrl": op8_quality_ftrl,
+        "op9_prob_minhash": op9_prob_minhash,
         "op10_mixing": op10_mixing,
     }
 
