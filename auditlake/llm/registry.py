@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_byte_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .line_dedup import op5_line_dedup
 from .media import op7_media_columns
 from .mixing import op10_mixing
 from .near_dedup import op9_prob_minhash
@@ -14,11 +15,15 @@ from .url_filter import op1_url_filter
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_url_filter": op1_url_filter,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_toxicity_gbt": op3_toxicity_gbt,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_line_dedup": op5_line_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_media_columns": op7_media_columns,
         "op8_quality_ftrl": op8_quality_ftrl,

@@ -244,25 +244,25 @@ def train(sample: DataFrame):
     return lexicon, model, isotonic(margins(model, x[~fit]), y[~fit])
 
 
-def score(df: DataFrame, model, id_column: str = "doc_id", text_column: str = "text", keep: tuple = ()) -> DataFrame:
-    """(id, score, *keep) for each row; null and empty texts are scored as texts without a word, repeated rows alike."""
+def score(df: DataFrame, model, id_column: str = "doc_id", text_column: str = "text", keep: tuple = (), score_column: str = "score") -> DataFrame:
+    """(id, score, *keep) for each row, the score under the name ``score_column``; null and empty texts are scored as texts without a word, repeated rows alike."""
     spark = df.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    names = [id_column, "score", *keep]
+    names = [id_column, score_column, *keep]
 
     def run(batches):
         lexicon, trees, (at_margin, rate) = shared.value
         for batch in batches:
-            parts = [margins(trees, features(data, at, lexicon)) for _, _, data, at in _steps(batch.column("_text"))]
+            parts = [margins(trees, features(data, at, lexicon)) for _, _, data, at in _steps(batch.column("__text"))]
             m = np.concatenate([np.zeros(0), *parts])
             # steps of the calibration, with a thousandth of the margin so that texts on one step keep their order
             out = 0.999 * np.interp(m, at_margin, rate) + 0.001 / (1 + np.exp(-np.clip(m, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(out), *(batch.column(c) for c in keep)], names)
 
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"`{c}` {fields.get(c, 'double') if c != 'score' else 'double'}" for c in names)
-    return df.select(id_column, *keep, text_of(text_column).alias("_text")).mapInArrow(run, schema)
+    schema = ", ".join(f"`{c}` {'double' if i == 1 else fields[c]}" for i, c in enumerate(names))
+    return df.select(id_column, *keep, text_of(text_column).alias("__text")).mapInArrow(run, schema)
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame):
