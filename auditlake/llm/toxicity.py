@@ -2,8 +2,8 @@
 
 The features are rates of a text: hits in a fixed word list and in a lexicon learned from the labels
 (words and beginnings of words), hits near the second person, capitals, punctuation and obfuscated
-words. The labelled sample is split by the hash of the id: one part gives the lexicon, one the trees, one
-the calibration, so that no part judges what it has learned from itself.
+words. The labelled sample is dealt into parts by the hash of the id: a part's features come from a lexicon
+that was learned without it, and its margins for the calibration from trees that were fitted without it.
 
 Scale: the sample is bounded (``SAMPLE`` documents by the smallest hash of their id), the driver sees
 dense features of the sample only, the lexicon has at most ``LEXICON`` entries. Scoring reads every text
@@ -23,8 +23,9 @@ from ._words import buffers, hashes, mix, spans, windows
 from .quality import _steps
 
 #: Labelled documents that are read for fitting, at most; entries of the learned lexicon, at most.
-SAMPLE, LEXICON = 16_000, 4096
-PREFIXES = (4, 5, 6)
+SAMPLE, LEXICON = 12_000, 4096
+PREFIXES = (4, 5, 6, 7, 8)
+PARTS = 3
 #: A fixed list of insults in English.
 INSULTS = (
     "idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown clowns dumb dumbass garbage "
@@ -123,15 +124,16 @@ def features(data: np.ndarray, at: np.ndarray, lexicon: tuple[np.ndarray, np.nda
 _INSULTS, _YOU = _hash_list(INSULTS), _hash_list(SECOND_PERSON)
 
 
-def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Words and beginnings that stand out in toxic texts of ``sample`` (label, text): sorted hashes, log odds.
+def learn_lexicons(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Words and beginnings that stand out in toxic texts of ``sample`` (label, part, text): sorted hashes, log odds.
 
-    Copies count once: of texts with the same smallest hash of five words one is read.
+    One lexicon without each of the ``PARTS`` parts, and one of all. Copies count once: of texts with the same
+    smallest hash of five words one is read.
     """
 
     def run(batches):
         for batch in batches:
-            labels = batch.column("label").to_pylist()
+            labels, parts_ = batch.column("label").to_pylist(), batch.column("part").to_pylist()
             for low, high, data, at in _steps(batch.column("text")):
                 _, _, bounds, word, parts, _, _ = _parse(data, at)
                 keys, own = [], []
@@ -139,19 +141,24 @@ def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     h = np.unique(np.concatenate([word[a:b], *(p[a:b] for p in parts)]))
                     own.append(h[h != 0].view(np.int64).tolist())
                     keys.append(int(windows(word[a:b], 5).view(np.int64).min()) if b - a >= 5 else int(np.bitwise_xor.reduce(word[a:b]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(labels[low:high], pa.int32()), pa.array(keys, pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["label", "copies", "words"])
-
-    docs = sample.select("label", "text").mapInArrow(run, "label int, copies long, words array<long>")
-    docs = materialize(docs.groupBy("copies").agg(F.max(F.struct("label", "words")).alias("d")).select("d.*"), "lexicon")
-    sizes = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
-    toxic, clean = sizes.toxic, sizes.n - sizes.toxic
-    least = max(3, round(0.01 * toxic))
-    counts = docs.select("label", F.explode("words").alias("w")).groupBy("w").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (clean + 1.0))
-    rows = counts.where(F.col("a") >= least).withColumn("odds", odds).where("odds >= 2.5").orderBy(F.desc("odds"), F.desc("a"), "w").limit(LEXICON).collect()
-    known = np.array([r.w for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(known)
-    return known[order], np.array([r.odds for r in rows], float)[order]
+                yield pa.RecordBatch.from_arrays([pa.array(labels[low:high], pa.int32()), pa.array(parts_[low:high], pa.int64()), pa.array(keys, pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["label", "part", "copies", "words"])
+
+    docs = sample.select("label", "part", "text").mapInArrow(run, "label int, part long, copies long, words array<long>")
+    docs = materialize(docs.groupBy("copies").agg(F.max(F.struct("label", "part", "words")).alias("d")).select("d.*"), "lexicon")
+    sizes = {r.part: (r.n - r.toxic, r.toxic) for r in docs.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).collect()}
+    words = docs.select("label", "part", F.explode("words").alias("w"))
+    of = lambda label, k: F.sum(((F.col("label") == label) & (F.col("part") != k)).cast("int")).alias(f"n{label}_{k}")
+    counts = materialize(words.groupBy("w").agg(*[of(label, k) for label in (0, 1) for k in range(PARTS + 1)]).where(f"n1_{PARTS} >= 3"), "words")
+    out = []
+    for k in range(PARTS + 1):
+        clean, toxic = (sum(v[i] for p, v in sizes.items() if p != k) for i in (0, 1))
+        a, b = F.col(f"n1_{k}"), F.col(f"n0_{k}")
+        odds = F.log((a + 0.5) / (toxic + 1.0)) - F.log((b + 0.5) / (clean + 1.0))
+        rows = counts.where(a >= max(3, round(0.01 * toxic))).select("w", a.alias("a"), odds.alias("odds")).where("odds >= 2.5").orderBy(F.desc("odds"), F.desc("a"), "w").limit(LEXICON).collect()
+        known = np.array([r.w for r in rows], np.int64).view(np.uint64)
+        order = np.argsort(known)
+        out.append((known[order], np.array([r.odds for r in rows], float)[order]))
+    return out
 
 
 def fit_trees(x: np.ndarray, y: np.ndarray):
@@ -225,23 +232,27 @@ def train(sample: DataFrame):
     """(lexicon, trees, calibration) from ``sample`` (id, label, key, text), whose size is bounded."""
     spark = sample.sparkSession
     prepare(spark)
-    sample = materialize(sample, "toxicity")
-    part = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(10))  # 4 to 4 to 2
-    lexicon = learn_lexicon(sample.where(part < 4))
-    shared = spark.sparkContext.broadcast(lexicon)
+    sample = materialize(sample.withColumn("part", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(PARTS))), "toxicity")
+    lexicons = learn_lexicons(sample)
+    shared = spark.sparkContext.broadcast(lexicons)
 
     def run(batches):
         for batch in batches:
-            parts = [features(data, at, shared.value) for _, _, data, at in _steps(batch.column("text"))]
-            x = np.concatenate(parts) if parts else np.zeros((0, len(NAMES)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), batch.column("part"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["key", "label", "part", "x"])
+            for k in range(PARTS):
+                own = batch.filter(pa.array(batch.column("part").to_numpy(zero_copy_only=False) == k))
+                parts = [features(data, at, shared.value[k]) for _, _, data, at in _steps(own.column("text"))]
+                x = np.concatenate(parts) if parts else np.zeros((0, len(NAMES)))
+                yield pa.RecordBatch.from_arrays([own.column("key"), own.column("label"), own.column("part"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["key", "label", "part", "x"])
 
-    rows = sample.where(part >= 4).select("key", "label", "text", part.alias("part")).mapInArrow(run, "key long, label int, part long, x array<double>").toPandas()
+    rows = sample.select("key", "label", "text", "part").mapInArrow(run, "key long, label int, part long, x array<double>").toPandas()
     rows = rows.sort_values("key", kind="stable")
     x = np.array(rows.x.tolist(), float).reshape(len(rows), len(NAMES))
-    y, fit = rows.label.to_numpy(float), (rows.part < 8).to_numpy()
-    model = fit_trees(x[fit], y[fit])
-    return lexicon, model, isotonic(margins(model, x[~fit]), y[~fit])
+    y, part = rows.label.to_numpy(float), rows.part.to_numpy()
+    unseen = np.zeros(len(y))
+    for k in range(PARTS):
+        own = part == k
+        unseen[own] = margins(fit_trees(x[~own], y[~own]), x[own])
+    return lexicons[PARTS], fit_trees(x, y), isotonic(unseen, y)
 
 
 def score(df: DataFrame, model, id_column: str = "doc_id", text_column: str = "text", keep: tuple = (), score_column: str = "score") -> DataFrame:
