@@ -1,0 +1,105 @@
+"""Which role a package has, and how its weights differ from the plugin's."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import constants as C
+from ..functions import dims
+
+#: (ecosystem, prefix, profile), in the order in which prefixes are asked, after exact names.
+NAME_PREFIXES = [
+    ("pypi", "mcp-server-", "mcp-server"),
+    ("npm", "@modelcontextprotocol/", "mcp-server"),
+    ("npm", "mcp-server-", "mcp-server"),
+    ("npm", "@aws-sdk/", "cloud-sdk"),
+    ("npm", "@azure/", "cloud-sdk"),
+    ("npm", "@google-cloud/", "cloud-sdk"),
+    ("npm", "@opentelemetry/", "observability"),
+    ("npm", "@sentry/", "observability"),
+    ("npm", "@nestjs/", "web-framework"),
+    ("npm", "@temporalio/", "workflow-orchestrator"),
+    ("npm", "@docusaurus/", "doc-builder"),
+    ("npm", "@langchain/", "agentic-framework"),
+]
+#: A starting allow-list of well-known public names; ``name_table`` takes a full one as a parameter.
+KNOWN_NAMES = {
+    ("pypi", "mcp-server"): "mcp fastmcp",
+    ("pypi", "cli-framework"): "click typer rich fire docopt",
+    ("pypi", "network-library"): "requests httpx urllib3 aiohttp websockets",
+    ("pypi", "web-server"): "uvicorn gunicorn hypercorn waitress",
+    ("pypi", "build-tool"): "setuptools wheel hatchling flit poetry-core",
+    ("pypi", "data-science"): "numpy pandas scipy matplotlib polars",
+    ("pypi", "ml-framework"): "torch tensorflow transformers scikit-learn keras",
+    ("pypi", "database-driver"): "psycopg2 sqlalchemy pymongo redis asyncpg",
+    ("pypi", "template-engine"): "jinja2 mako chameleon",
+    ("pypi", "test-framework"): "pytest tox nox hypothesis coverage",
+    ("pypi", "cloud-sdk"): "boto3 botocore google-cloud-storage azure-core",
+    ("pypi", "observability"): "sentry-sdk opentelemetry-sdk structlog ddtrace",
+    ("pypi", "format-codec"): "pillow lxml pyyaml openpyxl",
+    ("pypi", "scraping"): "scrapy selenium playwright beautifulsoup4",
+    ("pypi", "web-framework"): "django flask fastapi starlette tornado",
+    ("pypi", "async-runtime"): "anyio trio gevent twisted",
+    ("pypi", "task-queue"): "celery rq dramatiq huey",
+    ("pypi", "notebook-runtime"): "ipython jupyterlab notebook ipykernel",
+    ("pypi", "data-app"): "streamlit gradio dash",
+    ("pypi", "workflow-orchestrator"): "apache-airflow prefect dagster luigi",
+    ("pypi", "doc-builder"): "sphinx mkdocs pdoc",
+    ("pypi", "agentic-framework"): "langchain llama-index autogen crewai",
+    ("pypi", "gui-toolkit"): "pyqt5 pyside6 kivy wxpython",
+    ("npm", "cli-framework"): "commander yargs chalk inquirer",
+    ("npm", "network-library"): "axios got node-fetch undici",
+    ("npm", "dev-server-bundler"): "vite webpack-dev-server parcel",
+    ("npm", "build-tool"): "webpack rollup esbuild typescript",
+    ("npm", "database-driver"): "pg mongoose mysql2 ioredis",
+    ("npm", "test-framework"): "jest mocha vitest cypress",
+    ("npm", "web-framework"): "express koa fastify next",
+}
+
+
+def name_table(spark: SparkSession, extra: list[tuple[str, str, str]] = ()) -> DataFrame:
+    """(ecosystem, name, profile, priority); ``extra`` rows come first."""
+    rows = [*extra, *((e, n, p) for (e, p), names in KNOWN_NAMES.items() for n in names.split())]
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "ecosystem string, name string, profile string, priority int")
+
+
+def by_name(packages: DataFrame, names: DataFrame) -> DataFrame:
+    """``packages`` (ecosystem, name, …) with the profile of the best match: the one of least priority, or null.
+
+    Exact names are an equi-join with the (small, broadcast) allow-list; prefixes are a CASE in their order.
+    An exact name goes before a prefix, but for the tool-server prefixes, which go first.
+    """
+    exact = names.groupBy("ecosystem", "name").agg(F.min_by("profile", "priority").alias("exact"))
+    chain = lambda rows: F.coalesce(*[F.when((F.col("ecosystem") == e) & F.col("name").startswith(p), prof) for e, p, prof in rows])
+    servers = [r for r in NAME_PREFIXES if r[2] == "mcp-server"]
+    out = packages.join(F.broadcast(exact), ["ecosystem", "name"], "left")  # the allow-list: a few hundred rows
+    return out.withColumn("profile", F.coalesce(chain(servers), "exact", chain([r for r in NAME_PREFIXES if r not in servers]))).drop("exact")
+
+
+def resolve(explicit: Column, pinned: Column, by_name_: Column, registrations: Column, has_entry_point: Column) -> tuple[Column, Column]:
+    """(profile, reason), in the order: explicit, baseline's pin, name, registrations in the code, entry points, plugin."""
+    profile = F.coalesce(explicit, pinned, by_name_, F.when(registrations >= 1, "mcp-server"), F.when(has_entry_point, "cli-framework"), F.lit(C.DEFAULT_PROFILE))
+    reason = F.coalesce(
+        F.when(explicit.isNotNull(), "explicit"), F.when(pinned.isNotNull(), "baseline"), F.when(by_name_.isNotNull(), "name"),
+        F.when(registrations >= 1, F.format_string("content: %d registration(s)", registrations)), F.when(has_entry_point, "metadata: entry points"), F.lit("default"),
+    )
+    return profile, reason
+
+
+def weight_deltas(spark: SparkSession) -> DataFrame:
+    """(profile, kind, per_delta, cap_delta, delta): the cells in which a profile differs from the plugin."""
+    w = dims.weights(spark)
+    base = w.where(F.col("profile") == C.DEFAULT_PROFILE).select("kind", F.col("per_finding").alias("p0"), F.col("cap").alias("c0"))
+    out = w.join(F.broadcast(base), "kind").withColumns({"per_delta": F.col("per_finding") - F.col("p0"), "cap_delta": F.col("cap") - F.col("c0")})
+    signed = lambda c: F.concat(F.when(c > 0, "+").otherwise(""), c.cast("string"))
+    text = F.concat(F.lit("per_finding "), signed(F.col("per_delta")), F.lit(", cap "), signed(F.col("cap_delta")))
+    return out.where("per_delta != 0 OR cap_delta != 0").select("profile", "kind", "per_delta", "cap_delta", text.alias("delta"))
+
+
+def relaxed_and_stricter(spark: SparkSession) -> DataFrame:
+    """(profile, relaxed, stricter): sorted kinds that weigh less or more than in the plugin."""
+    d = weight_deltas(spark)
+    less, more = (F.col("per_delta") < 0) | (F.col("cap_delta") < 0), (F.col("per_delta") > 0) | (F.col("cap_delta") > 0)
+    kinds = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("kind"))))
+    return dims.profiles(spark).join(d, "profile", "left").groupBy("profile").agg(kinds(less).alias("relaxed"), kinds(more).alias("stricter"))
