@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import constants as C
 from ..functions import text as T
@@ -58,7 +59,7 @@ def non_code_lines(text: str | None, language: str | None) -> list[int]:
     return found
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _mask(text: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([non_code_lines(t, x) for t, x in zip(text, language)])
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import findings
+
+MODULES = [findings]
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for m in MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
