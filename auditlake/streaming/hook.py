@@ -1,0 +1,41 @@
+"""Install events as a stream: each micro-batch is judged against the journal, and its verdicts are appended.
+
+The journal is the state between batches: a table, not a state store, so that batch queries read the same rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators import verdict
+from ..sources import journal
+
+
+def judge_batch(candidates: DataFrame, rows: DataFrame) -> DataFrame:
+    """Verdicts of a batch of candidates (see :func:`verdict.verdicts`, without baseline and prior) against a journal."""
+    view = journal.index(rows)
+    based = verdict.baseline_of(candidates, view).join(journal.prior_blocked(view).select("ecosystem", "name", "prior"), ["ecosystem", "name"], "left")
+    return verdict.verdicts(based)
+
+
+def run(events: DataFrame, to_candidates: Callable[[DataFrame], DataFrame], journal_path: str, schema, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Start the stream. ``to_candidates`` makes candidates of a batch's events; replayed batches are written once, by their id."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        rows = spark.read.schema(schema).parquet(journal_path)
+        done = not rows.where(F.col("batch_id") == batch_id).isEmpty()
+        if done or batch.isEmpty():
+            return
+        judged = judge_batch(to_candidates(batch), rows).where("write_status IS NOT NULL")
+        last = rows.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first().m
+        keep = judged.select("ecosystem", "name", "version", "target_hash", "profile", F.col("write_status").alias("status"), "score", "role_typical_share")
+        out = journal.stamp(keep, last + 1, "1970-01-01 00:00:00").withColumn("batch_id", F.lit(batch_id)).withColumn("audited_at", F.lit(None).cast("string"))
+        out.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode("append").parquet(journal_path)
+
+    writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
