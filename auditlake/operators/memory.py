@@ -24,10 +24,14 @@ def find_pattern(lines: DataFrame, keys: tuple, pattern: str, kind: str, signal:
     return found.select(*keys, "line", F.lit(kind).alias("kind"), F.trim("whole").alias("detail"), F.lit(signal).alias("signal"))
 
 
+def _signal(kind: str, signal: str):
+    return lambda m: F.struct(F.lit(kind).alias("kind"), F.trim(m).alias("detail"), F.lit(signal).alias("signal"))
+
+
 def find_signals(lines: DataFrame, keys: tuple) -> DataFrame:
     """All line patterns in one pass over the lines: a bank of patterns is exploded per line, not a union of scans."""
     hit = lambda p: F.regexp_extract_all("said", F.lit(p), 0)
-    bank = [F.transform(hit(p), lambda m, k=k, s=s: F.struct(F.lit(k).alias("kind"), F.trim(m).alias("detail"), F.lit(s).alias("signal"))) for p, k, s in C.MEMORY_PATTERNS]
+    bank = [F.transform(hit(p), _signal(k, s)) for p, k, s in C.MEMORY_PATTERNS]
     found = lines.select(*keys, "line", F.explode(F.concat(*bank)).alias("m"))
     return found.select(*keys, "line", "m.kind", "m.detail", "m.signal")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import findings
+from . import findings, texts
 
-MODULES = [findings]
+MODULES = [findings, texts]
 
 
 def queries() -> dict:
