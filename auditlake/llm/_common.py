@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = r"[\x20\x09-\x0D]+"
 #: Rows in an Arrow batch: whole texts are sent to Python, so batches are kept short.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "500"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,6 +6,8 @@ blocks of about a megabyte, so that temporary memory doesn't follow the length o
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,6 +33,14 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker's memory then follows one step, not the largest ones so far."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection on 64 bits that spreads every bit."""
     x = x.astype(np.uint64, copy=True)

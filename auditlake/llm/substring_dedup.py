@@ -3,8 +3,9 @@
 Seeds: of every ``length`` consecutive words, the group of ``SEED`` words with the smallest hash is the
 anchor (winnowing), so two equal passages of that length have the same anchor at the same place.
 Anchors that occur once in the corpus rule out all windows around them. Around each other anchor the
-match is extended both ways: every window of ``length`` words that holds it is looked up by a 128-bit
-hash, and overlapping repeated windows join to maximal repeats.
+match is extended both ways: all windows of ``length`` words that hold it are looked up at once by a 128-bit
+hash, and one by one where the surroundings of its places differ. Overlapping repeated windows join to
+maximal repeats.
 
 Skew: within a few megabytes of text equal windows are resolved where they are, and one row stands for
 all of them in the shuffle, so a passage that a third of all documents share sends one row for each such
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import discard, materialize, prepare, table, text_of
-from ._words import buffers, hashes, mix, spans, windows
+from ._words import _power, buffers, hashes, mix, spans, trim, windows
 from .exact_dedup import membership_filter
 
 LENGTH, SEED = 35, 12
@@ -35,7 +36,7 @@ FILTER_BITS = 10
 MAX_FILTER_BYTES, MAX_RANGES = 128 << 20, 64
 _STEP_BYTES = 8 << 20
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-_SECOND_BASE = 0xA0761D6478BD642F
+_FIRST_BASE, _SECOND_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
 def _slide(join, x: np.ndarray, n: int) -> np.ndarray:
@@ -106,9 +107,27 @@ def _anchor_counts(length: int):
     return run
 
 
-def _candidates(length: int, shared, part: int, parts: int):
-    """Rows (a, b, n, key, low, high): windows to look up with their owner; windows known as repeated
-    without one; and places (no hash) where windows low to high of a text are repeated."""
+def _range_hashes(h: np.ndarray, low: np.ndarray, high: np.ndarray, base: int) -> np.ndarray:
+    """Hash of the words ``low`` to ``high`` (not included) of each range; it depends on their order and number."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _power(base, len(h)))])
+    return mix((total[high] - total[low]) * _power(pow(base, -1, 1 << 64), len(h) + 1)[low] + (high - low).astype(np.uint64))
+
+
+def _units(step: _Step, least: np.ndarray, at: np.ndarray, whole: bool):
+    """First and last window, and both hashes, of what is looked up: each window of ``at``, or each run of windows around one anchor."""
+    if not whole or not len(at):
+        high = at
+        low = at
+    else:
+        cut = np.r_[True, (np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]]) | (step.row[at[1:]] != step.row[at[:-1]])]
+        first = np.flatnonzero(cut)
+        low, high = at[first], at[np.r_[first[1:], len(at)] - 1]
+    return low, high, *(_range_hashes(step.h, low, high + step.length, base) for base in (_FIRST_BASE, _SECOND_BASE))
+
+
+def _candidates(length: int, shared, part: int, parts: int, whole: bool):
+    """Rows (a, b, n, key, low, high, anchor): windows (or, with ``whole``, all windows around an anchor at once) to look up with
+    their owner; ones that are known as repeated without one; and places (no hash) where windows low to high of a text are repeated."""
 
     def run(batches):
         known = shared.value
@@ -119,35 +138,31 @@ def _candidates(length: int, shared, part: int, parts: int):
                 valid &= least % np.uint64(parts) == np.uint64(part)
             at = np.flatnonzero(valid)
             at = at[known.holds(least[at])]
-            first, second = windows(step.h, length)[at] if len(at) else np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-            if len(at):
-                second = windows(step.h, length, _SECOND_BASE)[at]
-            order = np.lexsort((second, first))
-            a, b, at = first[order], second[order], at[order]
+            low, high, a, b = _units(step, least, at, whole)
+            order = np.lexsort((b, a))
+            a, b, low, high = a[order], b[order], low[order], high[order]
             new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
             group = np.cumsum(new) - 1
-            size = np.bincount(group) if len(a) else np.zeros(0, np.int64)
-            alone = size[group] == 1
+            alone = (np.bincount(group) if len(a) else np.zeros(0, np.int64))[group] == 1
             lead = new & ~alone
-            rows = [(a[alone], b[alone], 1, key[step.row[at[alone]]], step.place[at[alone]], step.place[at[alone]]), (a[lead], b[lead], 2, None, None, None)]
-            # what is repeated in this step, as runs
-            own = np.sort(at[~alone])
-            cut = np.r_[True, np.diff(own) != 1] | np.r_[True, np.diff(step.row[own]) != 0] if len(own) else np.zeros(0, bool)
-            lows = np.flatnonzero(cut)
-            highs = np.r_[lows[1:], len(own)] - 1 if len(lows) else lows
-            rows.append((None, None, 0, key[step.row[own[lows]]], step.place[own[lows]], step.place[own[highs]]))
-            if part == 0:  # a third copy in this task: all of its windows are repeated
+            own = lambda x: (key[step.row[low[x]]], step.place[low[x]], step.place[high[x]])
+            rows = [(a[alone], b[alone], 1, *own(alone), least[low[alone]]), (a[lead], b[lead], 2, None, None, None, least[low[lead]]), (None, None, 0, *own(~alone), None)]
+            if whole and part == 0:  # a third copy in this task: all of its windows are repeated
                 copies = np.flatnonzero(again)
-                rows.append((None, None, 0, key[copies], np.zeros(len(copies)), np.diff(step.bounds)[copies] - length))
-            for x, y, n, k, lo, hi in rows:
+                rows.append((None, None, 0, key[copies], np.zeros(len(copies)), np.diff(step.bounds)[copies] - length, None))
+            for x, y, n, k, lo, hi, anchor in rows:
                 count = len(x) if x is not None else len(k)
                 if count:
                     column = lambda v, t: pa.nulls(count, t) if v is None else pa.array(np.asarray(v).view(np.int64) if t == pa.int64() else np.asarray(v).astype(np.int32), t)
-                    yield pa.RecordBatch.from_arrays([column(x, pa.int64()), column(y, pa.int64()), pa.array(np.full(count, n, np.int32)), column(k, pa.int64()), column(lo, pa.int32()), column(hi, pa.int32())], ["a", "b", "n", "key", "low", "high"])
+                    yield pa.RecordBatch.from_arrays([column(x, pa.int64()), column(y, pa.int64()), pa.array(np.full(count, n, np.int32)), column(k, pa.int64()), column(lo, pa.int32()), column(hi, pa.int32()), column(anchor, pa.int64())], ["a", "b", "n", "key", "low", "high", "anchor"])
+            trim()
 
     return run
 
 
+_ROWS = "a long, b long, n int, key long, low int, high int, anchor long"
+
+
 def _cut(id_column: str, length: int, keep_text: bool):
     def run(batches):
         for batch in batches:
@@ -174,29 +189,41 @@ def _cut(id_column: str, length: int, keep_text: bool):
     return run
 
 
-def repeats(df: DataFrame, length: int = LENGTH, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """(key, places): for texts with repeats, where windows of ``length`` words start that start elsewhere, too.
-
-    ``df`` has key and text.
-    """
+def _look_up(df: DataFrame, anchors: DataFrame, length: int, whole: bool, max_filter_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of :func:`_candidates` around ``anchors``, the hashes that occur twice), both written."""
     spark = df.sparkSession
-    counts = df.mapInArrow(_anchor_counts(length), "anchor long, n int")
-    repeated = materialize(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
-    number = repeated.count()
+    number = anchors.count()
     parts = min(MAX_RANGES, max(1, -(-number * FILTER_BITS // (8 * max_filter_bytes))))
     found = None
     for part in range(parts):
-        own = repeated.where(F.pmod("anchor", F.lit(parts)) == part) if parts > 1 and parts & (parts - 1) == 0 else repeated
+        own = anchors.where(F.pmod("anchor", F.lit(parts)) == part) if parts > 1 and parts & (parts - 1) == 0 else anchors
         known = spark.sparkContext.broadcast(membership_filter(own, max(1, number // parts), FILTER_BITS, max_filter_bytes))
-        rows = df.mapInArrow(_candidates(length, known, part, parts), "a long, b long, n int, key long, low int, high int")
+        rows = df.mapInArrow(_candidates(length, known, part, parts, whole), _ROWS)
         found = rows if found is None else found.unionByName(rows)
     found = materialize(found, "windows")
-    twice = materialize(found.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b"), "repeated")
-    discard(repeated)
-    windows_ = found.where("a IS NOT NULL AND key IS NOT NULL").select("a", "b", "key", "low", "high")
-    places = windows_.hint("merge").join(twice, ["a", "b"]).select("key", "low", "high")
-    places = places.unionByName(found.where("a IS NULL").select("key", "low", "high"))
-    return places.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("places"))
+    twice = found.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b")
+    return found, materialize(twice, "repeated")
+
+
+def repeats(df: DataFrame, length: int = LENGTH, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    """(key, places): for texts with repeats, where windows of ``length`` words start that start elsewhere, too; written.
+
+    ``df`` has key and text. All windows around an anchor are looked up at once first. Only where an anchor's surroundings
+    differ between its places are windows looked up one by one.
+    """
+    counts = df.mapInArrow(_anchor_counts(length), "anchor long, n int")
+    repeated = materialize(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
+    found, twice = _look_up(df, repeated, length, True, max_filter_bytes)
+    owned = found.where("a IS NOT NULL AND key IS NOT NULL")
+    differing = materialize(owned.hint("merge").join(twice, ["a", "b"], "left_anti").select("anchor").distinct(), "differing")
+    single, again = _look_up(df, differing, length, False, max_filter_bytes)
+    place = lambda rows, known: rows.where("a IS NOT NULL AND key IS NOT NULL").select("a", "b", "key", "low", "high").hint("merge").join(known, ["a", "b"]).select("key", "low", "high")
+    places = place(found, twice).unionByName(place(single, again))
+    for rows in (found, single):
+        places = places.unionByName(rows.where("a IS NULL").select("key", "low", "high"))
+    out = materialize(places.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("places")), "places")
+    discard(repeated, differing, found, twice, single, again)
+    return out
 
 
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
@@ -211,7 +238,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str =
     prepare(spark)
     # the key stands for the row in the shuffles, also where ids repeat or are null
     docs = df.select(F.col(id_column).alias("id"), text_of(text_column).alias("text")).withColumn("key", F.xxhash64("id", "text"))
-    places = materialize(repeats(docs.select("key", "text"), length), "places")
+    places = repeats(docs.select("key", "text"), length)
     kind = docs.schema["id"].dataType.simpleString()
     joined = docs.join(places, "key", "left").select(F.col("id").alias(id_column), "text", "places")
     return joined.mapInArrow(_cut(id_column, length, keep_text), f"`{id_column}` {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
