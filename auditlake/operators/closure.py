@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 MAX_DEPTH = 5
 SAFE = ("safe", "first-encounter-accepted")
 
@@ -22,11 +24,14 @@ def closure(roots: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> D
 
     ``roots``: node. ``edges``: parent, child. Packages that were reached before are not expanded again.
     """
-    frontier = roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0))
+    frontier = cut(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
     reached = frontier
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, frontier.node == edges.parent).select("root", F.col("child").alias("node")).distinct()
-        frontier = step.join(reached, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        # each level is written, so that the plan doesn't double with the levels
+        frontier = cut(step.join(reached.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached
 

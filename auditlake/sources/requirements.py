@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as T
+from .scratch import cut
 
 
 def requirement_lines(files: DataFrame, keys: tuple = ("package_id", "rel")) -> DataFrame:
@@ -26,11 +27,13 @@ def includes(lines: DataFrame, max_depth: int = 10) -> DataFrame:
     target = F.nullif(F.regexp_extract("said", r"^(?:-r|--requirement)[\s=]+(\S+)$", 1), F.lit(""))
     marked = lines.withColumn("target", target)
     links = marked.where("target IS NOT NULL").select("package_id", F.col("rel").alias("parent"), "target").distinct()
-    frontier = lines.select("package_id", F.col("rel").alias("root"), "rel").distinct()
+    frontier = cut(lines.select("package_id", F.col("rel").alias("root"), "rel").distinct())
     reached = frontier
     for _ in range(max_depth):
         step = frontier.join(links, (frontier.package_id == links.package_id) & (frontier.rel == links.parent)).select(frontier.package_id, "root", F.col("target").alias("rel")).distinct()
-        frontier = step.join(reached, ["package_id", "root", "rel"], "left_anti")
+        frontier = cut(step.join(reached, ["package_id", "root", "rel"], "left_anti"))
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     own = marked.where("target IS NULL AND NOT startswith(said, '-')").select("package_id", "rel", "line", "said")
     return reached.join(own, ["package_id", "rel"]).select("package_id", "root", "rel", "line", "said")
