@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import findings, texts
+from . import findings, packages, texts
 
-MODULES = [findings, texts]
+MODULES = [findings, texts, packages]
 
 
 def queries() -> dict:
