@@ -18,44 +18,29 @@ KEYS = ("package_id", "rel")
 
 
 def non_code_lines(text: str | None, language: str | None) -> list[int]:
-    """1-based numbers of lines that hold no code: comments, and what stands in triple quotes or block comments."""
-    found: list[int] = []
+    """1-based numbers of lines that a comment or a triple-quoted text begins on, goes on over or ends on.
+
+    Strings aren't looked at: a mark inside one counts as a mark.
+    """
     if not text or language not in ("python", "javascript"):
-        return found
+        return []
+    found: list[int] = []
     closing = None
     for number, line in enumerate(text.splitlines(), 1):
-        said = line.strip()
-        if language == "python":
-            if closing:
-                found.append(number)
-                if closing in said:
-                    closing = None
-                continue
-            if said.startswith("#"):
-                found.append(number)
-                continue
-            opened = min((m for m in (said.find('"""'), said.find("'''")) if m >= 0), default=-1)
-            if opened >= 0:
-                mark = said[opened : opened + 3]
-                inside = said.count(mark) % 2 == 1
-                if inside or said.startswith(mark):
-                    found.append(number)
-                closing = mark if inside else None
-        else:
-            if closing:
-                found.append(number)
-                if "*/" in said:
-                    closing = None
-                continue
-            if said.startswith(("//", "*")):
+        said = line.lstrip()
+        if closing:
+            found.append(number)
+            closing = None if closing in line else closing
+        elif said.startswith("#" if language == "python" else ("//", "*")):
+            found.append(number)
+        elif language == "python":
+            mark = next((m for m in ('"""', "'''") if m in line), None)
+            if mark:
                 found.append(number)
-            elif "/*" in said:
-                if said.startswith("/*"):
-                    found.append(number)
-                if "*/" not in said[said.index("/*") + 2 :]:
-                    closing = "*/"
-                    if number not in found:
-                        found.append(number)
+                closing = mark if line.count(mark) % 2 else None
+        elif "/*" in line:
+            found.append(number)
+            closing = None if "*/" in line.split("/*", 1)[1] else "*/"
     return found
 
 
