@@ -27,7 +27,7 @@ RULES = [
 DAMPING = 0.85
 ITERATIONS = 8
 #: A host is blocked if its distrust is over its trust and over so many times an even share (1 / hosts).
-THRESHOLD = 1.0
+THRESHOLD = 0.5
 PARENT_WEIGHT = 1.0
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^\s"'<>]*)"""
 
