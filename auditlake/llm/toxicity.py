@@ -163,7 +163,7 @@ def learn_lexicons(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def fit_trees(x: np.ndarray, y: np.ndarray):
     """Boosted trees of depth ``DEPTH`` for logistic loss over binned features: (edges, start, [(feature, edge, left, right | value)])."""
-    edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
     binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], axis=1)
     p = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
     start = float(np.log(p / (1 - p)))
