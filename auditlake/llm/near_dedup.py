@@ -10,7 +10,8 @@ counts if the exact Jaccard similarity of the shingle sets is ``THRESHOLD`` or m
 Pairs of a band's bucket are never all formed at once. Copies (equal sets) are one node. Each bucket's nodes
 are first held against one node of it, its hub; linked nodes become one component. Buckets that still hold
 several components are held against further hubs, and what is left over then is compared in full across
-components, so no link is lost and a group of n near copies costs about n comparisons.
+components: by size and by a bound on how many shingles differ, and what passes both by its sets. So no link
+is lost and a group of n near copies costs about n comparisons of sets.
 
 Scale: signatures, hubs, links and components are tables; nothing but counts and a Bloom filter of
 checked size comes to the driver. Shingle sets are written for nodes that share a bucket only.
@@ -32,6 +33,9 @@ BANDS, BAND_ROWS = 20, 4
 HASHES = BANDS * BAND_ROWS
 #: Hubs a bucket and round after the first; rounds before what is left is compared in full, at most.
 HUBS, ROUNDS = 3, 8
+#: Of each node's shingles, dealt into so many cells, whether a cell has an odd number: two sets differ in at least as
+#: many shingles as cells, which rules pairs out without their sets.
+PARITY_BITS = 1024
 MAX_FILTER_BYTES = 64 << 20
 _STEP_BYTES = 8 << 20
 
@@ -115,15 +119,18 @@ def _sets(size: int, shared):
         for _, rows, row, value, _ in _steps(batches, size):
             node = _set_hash(row, value, rows)
             edge = np.searchsorted(row, np.arange(rows + 1))
-            chosen, nodes = [], []
+            chosen, nodes, parities = [], [], []
             for i in np.flatnonzero(shared.value.holds(node)).tolist():
                 if edge[i] < edge[i + 1] and (k := int(node[i])) not in seen:  # a task sends a set once
                     seen.add(k)
                     nodes.append(k)
-                    chosen.append(value[edge[i] : edge[i + 1]].view(np.int64))
+                    own = value[edge[i] : edge[i + 1]]
+                    chosen.append(own.view(np.int64))
+                    odd = np.bincount((own % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+                    parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
             offsets = np.concatenate([[0], np.cumsum([len(c) for c in chosen])]).astype(np.int32)
             sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *chosen])))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), sets], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), sets, pa.array(parities, pa.list_(pa.int64()))], ["node", "shingles", "parity"])
 
     return run
 
@@ -178,22 +185,26 @@ class _Search:
         self.labels = materialize(old.unionByName(fresh), "components")
 
     def open_members(self) -> DataFrame:
-        """(bucket, node, n, comp) of the buckets that hold more than one component."""
+        """(bucket, node, n, comp, parity) of the buckets that hold more than one component."""
         known = self.members.join(self.labels, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
         several = known.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
-        return known.hint("merge").join(materialize(several, "open"), "bucket")
+        left = materialize(known.hint("merge").join(materialize(several, "open"), "bucket"), "open-members")
+        return left.join(self.sets.select("node", "parity"), "node")
 
     def against_hubs(self, members: DataFrame, seed: int, hubs: int) -> DataFrame:
         """Pairs of each member with its bucket's hubs: those with the smallest hashes under ``seed``."""
-        order = F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "comp")
+        order = F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "comp", *(["parity"] if seed else []))
         # of each of a few sorts one hub: the smallest of its sort
         chosen = members.groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(seed + 1)), F.lit(hubs)).alias("sort")).agg(F.min(order).alias("hub"))
-        chosen = materialize(chosen.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.comp").alias("hub_comp")), "hubs")
-        return self.pairs(members.hint("merge").join(chosen, "bucket").where("comp != hub_comp").select("node", F.col("hub").alias("other"), "n", "m"))
+        chosen = materialize(chosen.select("bucket", F.col("hub.node").alias("other"), F.col("hub.n").alias("m"), F.col("hub.comp").alias("other_comp"), *([F.col("hub.parity").alias("other_parity")] if seed else [])), "hubs")
+        return self.pairs(members.hint("merge").join(chosen, "bucket").where("comp != other_comp"), bool(seed))
 
-    def pairs(self, rows: DataFrame) -> DataFrame:
-        """Distinct (a, b) of (node, other, n, m) whose sizes allow the threshold."""
+    def pairs(self, rows: DataFrame, parities: bool) -> DataFrame:
+        """Distinct (a, b) of (node, other, n, m, …) whose sizes, and parities, allow the threshold."""
         fits = F.least("n", "m") >= self.threshold * F.greatest("n", "m") - 1e-9
+        if parities:
+            apart = F.aggregate(F.zip_with("parity", "other_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+            fits = fits & (apart <= (1 - self.threshold) / (1 + self.threshold) * (F.col("n") + F.col("m")) + 1e-9)
         return rows.where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a != b").distinct()
 
     def run(self) -> DataFrame:
@@ -208,8 +219,8 @@ class _Search:
             if left.pairs <= 4 * left.rows or seed == ROUNDS:
                 break
             self.link(self.against_hubs(members, 10 * seed, HUBS))
-        other = members.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("comp").alias("other_comp"))
-        self.link(self.pairs(members.join(other, "bucket").where("node < other AND comp != other_comp").select("node", "other", "n", "m")))
+        other = members.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("comp").alias("other_comp"), F.col("parity").alias("other_parity"))
+        self.link(self.pairs(members.join(other, "bucket").where("node < other AND comp != other_comp"), True))
         return self.labels
 
 
@@ -234,8 +245,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     discard(rows, several)
     wanted = members.select("node").distinct()
     shared = spark.sparkContext.broadcast(membership_filter(wanted, max(1, wanted.count()), 10, MAX_FILTER_BYTES))
-    sets = docs.mapInArrow(_sets(shingle, shared), "node long, shingles array<long>")
-    sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = docs.mapInArrow(_sets(shingle, shared), "node long, shingles array<long>, parity array<long>")
+    sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity")), "sets")
     labels = _Search(members, sets, threshold).run()
     placed = signed.select("id", "node").hint("merge").join(labels, "node", "left").select("id", F.coalesce("comp", "node").alias("comp"))
     placed = materialize(placed, "placed")
