@@ -6,9 +6,9 @@ shared word (positional filter) rule out most of the rest, and every remaining p
 removed if an earlier line matches it.
 
 Pairs: lines with equal sets are one class, led by the earliest. For a word that many lines have, classes are
-first held against the earliest class with that word that has no match yet, a few times over; a class that has found
-an earlier match looks no further. Only the others are held against all lines with the word. So many variants of one line cost
-about one comparison each, and no match is lost.
+first held against a few early classes with that word, its hubs; a class that has found an earlier match looks no
+further. Only the others are held against all lines with the word. So many variants of one line cost a few comparisons
+each, and no match is lost.
 
 Scale: rarity is a table of ``BUCKETS`` counts over all lines (one byte each, broadcast); it decides the order only, so
 shared buckets cost time, not results. Lines, prefixes and matches are tables; texts shuffle once, to meet
@@ -31,8 +31,8 @@ from .exact_dedup import CELLS_PER_ROW, BloomFilter, _gather, membership_filter
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 22
-#: A word in more lines than this is common: its lines meet hubs first.
-COMMON, ROUNDS = 50, 3
+#: A word in more lines than this is common: its lines meet so many hubs first.
+COMMON, HUBS = 50, 4
 MAX_FILTER_BYTES = 64 << 20
 _STEP_BYTES = 8 << 20
 _SHIFT = np.uint32(10)
@@ -194,20 +194,19 @@ class _Join:
         sets = materialize(sets.groupBy("node").agg(F.min("words").alias("words")), "sets")
         both = pairs.hint("merge").join(sets.select(F.col("node").alias("later"), F.col("words").alias("x")), "later")
         both = both.hint("merge").join(sets.select(F.col("node").alias("earlier"), F.col("words").alias("y")), "earlier")
-        return materialize(both.select("later", "earlier", "x", "y").mapInArrow(_verify(self.threshold), "later long, earlier long").select(F.col("later").alias("node")).distinct(), "matched")
+        out = materialize(both.select("later", "earlier", "x", "y").mapInArrow(_verify(self.threshold), "later long, earlier long").select(F.col("later").alias("node")).distinct(), "matched")
+        discard(pairs, sets)
+        return out
 
     def run(self) -> DataFrame:
         pair = lambda rows: rows.select(F.col("x.node").alias("later"), F.col("y.node").alias("earlier"))
-        common = materialize(self.prefixes.where("common"), "common")
-        active, matched = common, None
-        for _ in range(ROUNDS):
-            place = F.struct("id", "line", "node", "n", "place")
-            hubs = materialize(active.groupBy("word").agg(F.min(place).alias("hub"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > COMMON).select("word", "hub.*"), "hubs")
-            found = self.verified(pair(active.alias("x").hint("merge").join(hubs.alias("y"), "word").where(_earlier("y", "x") & _filters(self.threshold, "x", "y"))))
-            matched = found if matched is None else materialize(matched.union(found).distinct(), "matched")
-            # a hub without a match has been held against by all: as a hub it stands aside, as a line it stays below
-            aside = hubs.select("word", "node")
-            active = materialize(common.join(matched, "node", "left_anti").join(aside, ["word", "node"], "left_anti"), "active")
+        common = self.prefixes.where("common")
+        # of each of a few sorts of a word's lines the earliest
+        sort = F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("sort")
+        hubs = common.groupBy("word", sort).agg(F.min(F.struct("id", "line", "node", "n", "place")).alias("hub"))
+        hubs = materialize(hubs.select("word", "hub.*"), "hubs")
+        matched = self.verified(pair(common.alias("x").hint("merge").join(hubs.alias("y"), "word").where(_earlier("y", "x") & _filters(self.threshold, "x", "y"))))
+        discard(hubs)
         seeking = common.join(matched, "node", "left_anti")
         some = pair(seeking.alias("x").join(common.alias("y"), "word").where(_earlier("y", "x") & _filters(self.threshold, "x", "y")))
         rare = self.prefixes.where("NOT common")
