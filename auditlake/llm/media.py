@@ -73,6 +73,12 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items, self.words, self.skip, self.caption = [], [], 0, None
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # no section that the parser knows: a comment, as browsers take it
+            return self.parse_bogus_comment(i)
+
     def _text(self):
         text = " ".join("".join(self.words).split())
         if text:

@@ -71,6 +71,13 @@ def test_sequences_keep_order_and_captions():
     assert [i["position"] for i in media.parse_html(html)] == list(range(6)) and media.parse_html(None) == [] and media.parse_html(html)[4]["digest"] == "ff"
 
 
+def test_broken_html_is_read_on():
+    r = random.Random(1)
+    for _ in range(5000):
+        media.parse_html("".join(r.choice(["<", "!", "[", "-", ">", "img", " ", "src", "=", '"', "a", "/", "&", "#", "x", "]", "?", "p"]) for _ in range(r.randrange(18))))
+    assert [i["text"] for i in media.parse_html("p<![=]srcimg>q<p>r")] == ["pq", "r"]
+
+
 def test_shares_stop_at_the_cap():
     assert mixing.water_fill([10, 10], [1, 1], 20, 3) == [10, 10]
     assert mixing.water_fill([1, 99, 0], [3, 1, 2], 100, 3) == [3.0, 97.0, 0.0]
