@@ -73,8 +73,7 @@ def base64_entropy(spark, sf):
 
 
 def content_hash_by_source(spark, sf):
-    files = D.documents_as_files(spark, sf).where("length(text) < 4000")
-    return S.content_hash(files).select("package_id", "target_hash")
+    return S.content_hash(D.documents_as_files(spark, sf)).select("package_id", "target_hash")
 
 
 _PATHS = ["src/a.py", "node_modules/x/i.js", "dist/b.js", "README", "a/.git/config", "img/logo.png", "lib/C.TSX", "build/x.json"]

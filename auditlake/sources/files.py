@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import tarfile
 import zipfile
 from pathlib import PurePosixPath
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +45,37 @@ def decode(content: Column) -> Column:
 def content_hash(files: DataFrame, keys: tuple = ("package_id",)) -> DataFrame:
     """(*keys, target_hash): sha256 over path, NUL, text, NUL of the files in the order of their paths.
 
-    A package's files come together in one task, as one hash over all of them needs; packages are independent.
+    A null path or text counts as empty. A package's files come in order through one task, as one hash over all of
+    them needs; the sort spills and the hash is fed file by file, so a package can be larger than memory. Packages
+    are independent.
     """
-    nul = F.lit("\0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rel", "text"))), lambda f: F.concat(f["rel"], nul, f["text"], nul)), "")
-    return files.groupBy(*keys).agg(F.sha2(body, 256).alias("target_hash"))
+    known = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    said = files.select(*keys, known("rel"), known("text"))
+    schema = ", ".join(f"`{k}` {said.schema[k].dataType.simpleString()}" for k in keys) + ", target_hash string"
+
+    def run(batches):
+        current = digest = None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(len(keys))]
+            paths, texts = (batch.column(len(keys) + i) for i in (0, 1))
+            for i, key in enumerate(zip(*columns)):
+                if digest is None or key != current:
+                    if digest is not None:
+                        yield _hashed(current, keys, digest, batch.schema)
+                    current, digest = key, hashlib.sha256()
+                for part in (paths[i], texts[i]):
+                    digest.update(part.as_py())
+                    digest.update(b"\0")
+        if digest is not None:
+            yield _hashed(current, keys, digest, batch.schema)
+
+    placed = said.repartition(*keys).sortWithinPartitions(*keys, "rel", "text")
+    return placed.select(*keys, F.col("rel").cast("binary"), F.col("text").cast("binary")).mapInArrow(run, schema)
+
+
+def _hashed(key: tuple, keys: tuple, digest, schema: pa.Schema) -> pa.RecordBatch:
+    values = [pa.array([v], schema.field(i).type) for i, v in enumerate(key)]
+    return pa.RecordBatch.from_arrays([*values, pa.array([digest.hexdigest()])], [*keys, "target_hash"])
 
 
 def audit_root(files: DataFrame, ecosystem: str = "ecosystem") -> DataFrame:
