@@ -1,11 +1,11 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-A document is the set of its five-word shingles, weighted 1 + ln(times). Each shingle has a Poisson
-process whose rate is its weight; a process throws its arrivals into ``HASHES`` registers, a register keeps
+A document is the set of its five-word shingles, with weights of 1 and, where shingles repeat, once more weighted
+1 + ln(times). Each shingle has a Poisson process whose rate is its weight; a process throws its arrivals into ``HASHES`` registers, a register keeps
 the shingle that arrived first, and a process ends as soon as its next arrival is later than all registers
 hold. Two signatures agree in a register with the probability Jaccard similarity of the weighted sets.
-Signatures are cut into ``BANDS``; documents that share a band are candidates, and a candidate pair
-counts if the exact Jaccard similarity of the shingle sets is ``THRESHOLD`` or more.
+Signatures are cut into ``BANDS``; documents that share a band of either signature are candidates (with weights of 1
+the similarity is the one that is verified, so repeats hide no pair), and a candidate pair counts if the exact Jaccard similarity of the shingle sets is ``THRESHOLD`` or more.
 
 Pairs of a band's bucket are never all formed at once. Copies (equal sets) are one node. Each bucket's nodes
 are first held against one node of it, its hub; linked nodes become one component. Buckets that still hold
@@ -99,15 +99,31 @@ def _set_hash(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
     return total.view(np.int64)
 
 
+def _bands(kept: np.ndarray) -> np.ndarray:
+    """``BANDS`` hashes of each signature."""
+    kept = kept.reshape(-1, BANDS, BAND_ROWS)
+    band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), kept.shape[:2]).copy()
+    for i in range(BAND_ROWS):
+        band = mix(band * np.uint64(3) + kept[:, :, i])
+    return band
+
+
 def _sign(size: int):
     def run(batches):
         for ids, rows, row, value, times in _steps(batches, size):
-            kept = signatures(row, value, 1 + np.log(times), rows).reshape(rows, BANDS, BAND_ROWS)
-            band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (rows, BANDS)).copy()
-            for i in range(BAND_ROWS):
-                band = mix(band * np.uint64(3) + kept[:, :, i])
+            band = _bands(signatures(row, value, np.ones(len(row)), rows))
+            # texts with repeats have the bands of their weighted sets, too
+            again = np.zeros(rows, bool)
+            again[row[times > 1]] = True
+            own, index = again[row], np.cumsum(again) - 1
+            weighted = _bands(signatures(index[row[own]], value[own], 1 + np.log(times[own]), int(again.sum())))
             n = np.bincount(row, minlength=rows)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(band.reshape(-1).view(np.int64)))
+            ends = np.cumsum(np.where(again, 2 * BANDS, BANDS))
+            all_ = np.empty(int(ends[-1]) if rows else 0, np.uint64)
+            at = np.r_[0, ends][:-1]
+            all_[at[:, None] + np.arange(BANDS)] = band
+            all_[at[again][:, None] + np.arange(BANDS, 2 * BANDS)] = weighted
+            bands = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(all_.view(np.int64)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(_set_hash(row, value, rows)), bands], ["id", "n", "node", "bands"])
 
     return run
@@ -237,11 +253,11 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     docs = df.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     signed = materialize(docs.mapInArrow(_sign(shingle), f"id {kind}, n long, node long, bands array<long>"), "signed")
-    # equal sets are one node; of signatures that differ by their weights one is taken
-    nodes = signed.where("n > 0").groupBy("node").agg(F.min(F.struct("n", "bands")).alias("s"))
-    rows = materialize(nodes.select("node", "s.n", F.explode("s.bands").alias("bucket")), "bands")
-    several = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket"), "buckets")
-    members = materialize(rows.hint("merge").join(several, "bucket"), "members")
+    # equal sets are one node, with the bands of all their signatures; those differ by weights only
+    nodes = signed.where("n > 0").select("node", "n", "bands").distinct()
+    rows = materialize(nodes.select("node", "n", F.explode("bands").alias("bucket")), "bands")
+    several = materialize(rows.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("bucket"), "buckets")
+    members = materialize(rows.hint("merge").join(several, "bucket").distinct(), "members")
     discard(rows, several)
     wanted = members.select("node").distinct()
     shared = spark.sparkContext.broadcast(membership_filter(wanted, max(1, wanted.count()), 10, MAX_FILTER_BYTES))

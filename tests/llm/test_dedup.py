@@ -169,3 +169,21 @@ def test_signatures_estimate_probability_jaccard():
     both = (x > 0) & (y > 0)
     exact = sum(1 / np.maximum(x / x[i], y / y[i]).sum() for i in np.flatnonzero(both))
     assert abs((s[0] == s[1]).mean() - exact) < 0.06
+
+
+def test_near_duplicates_with_repeated_blocks(spark):
+    rows = []
+    for i in range(12):
+        base = " ".join(f"w{i}x{j}" for j in range(104))
+        block = " ".join(f"b{i}x{j}" for j in range(21))
+        # all have the same set but the first, whose set is four fifths of it
+        rows += [(10 * i, base), *[(10 * i + k + 1, " ".join([base, *[block] * n])) for k, n in enumerate((1000, 20, 100))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in near_dedup.near_duplicates(df).collect()) == expected_classes(df.collect()) == Counter((i, i // 10 * 10, 4) for i, _ in rows)
+
+
+def test_bands_of_equal_sets_are_all_searched():
+    texts = ["a b c d e f", "a b c d e f a b c d e f a b c d e", "g h i j k", ""]
+    batch = near_dedup.pa.RecordBatch.from_arrays([near_dedup.pa.array([1, 2, 3, 4]), near_dedup.pa.array(texts)], ["id", "text"])
+    bands = next(near_dedup._sign(5)([batch])).column(3).to_pylist()
+    assert [len(b) for b in bands] == [20, 40, 20, 20]
