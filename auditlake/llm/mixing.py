@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot ``i`` of the mix takes the van der Corput point of ``i`` (its bits in reverse order); the point
-falls into one source's part of the cumulative weights, so every stretch of the schedule is mixed as
-the whole is. A source's words lie in the order of a hash of the document ids and are cut into blocks
-of equally many words; the ``r``-th slot of a source takes its block ``r``, and after the last block
-begins again with the first, three times at most.
+A source's words lie in the order of a hash of the document ids and are cut into equal blocks of its own
+(their numbers of words differ by one at most). Slot ``i`` of the mix takes the van der Corput point of ``i``
+(its bits in reverse order); the point falls into one source's part of all slots, so every stretch of the
+schedule is mixed as the whole is. The ``r``-th slot of a source takes its block ``r``, and after the last
+block begins again with the first, three times at most; its last slot takes only as many words of its
+block as its target still lacks, so each source has its target exactly, rounded to words.
 
 Scale: no window runs over a whole source. Positions of documents and ranks of slots are running sums
 in two levels (:func:`running_sum`): sums of hash buckets, their running sum, then sums inside one
@@ -56,38 +57,51 @@ def running_sum(df: DataFrame, group: str, bucket: str, order: list[str], value:
     return df.withColumn("_inside", inside).join(before.select(group, bucket, "_before"), [group, bucket]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
 
-def van_der_corput(i, bits: int):
-    """Of a column of integers under 2**bits: the point in [0, 1)."""
-    return F.conv(F.reverse(F.lpad(F.bin(i), bits, "0")), 2, 10).cast("double") / float(1 << bits)
+def bits_reversed(i, bits: int):
+    """Of a column of integers under 2**bits: the bits in reverse order, which is 2**bits times the van der Corput point."""
+    return F.conv(F.reverse(F.lpad(F.bin(i), bits, "0")), 2, 10).cast("long")
 
 
-def schedule(spark: SparkSession, plan: list[dict], block_words: int) -> DataFrame:
-    """One row a slot: slot, source_no, rank among the slots of its source. ``plan``: no, size, target."""
-    total = sum(p["target"] for p in plan)
-    slots = int(round(total / block_words))
-    bits = max(1, (slots - 1).bit_length()) if slots > 0 else 1
-    bounds, at = [], 0.0
+def schedule(spark: SparkSession, plan: list[dict]) -> DataFrame:
+    """One row a slot: slot, source_no, rank among the slots of its source. ``plan``: no, slots.
+
+    Slots are numbered in their order; numbers whose point lies behind the last part are left out.
+    """
+    total = sum(p["slots"] for p in plan)
+    bits = max(1, (total - 1).bit_length()) if total > 0 else 1
+    bounds, at = [], 0
     for p in plan:
-        if p["target"] > 0:
-            bounds.append((p["no"], at / total, (at + p["target"]) / total))
-            at += p["target"]
-    if bounds:
-        bounds[-1] = (bounds[-1][0], bounds[-1][1], 2.0)
-    parts = spark.createDataFrame(bounds, "source_no int, low double, high double")
+        if p["slots"] > 0:
+            bounds.append((p["no"], at, at + p["slots"]))
+            at += p["slots"]
+    parts = spark.createDataFrame(bounds, "source_no int, low long, high long")
     # a source's part is found through the cells that it meets, so a point is held against a few parts only
-    cell = lambda c: F.floor(F.least(c, F.lit(1.0)) * CELLS)
-    parts = parts.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
-    points = spark.range(slots).select(F.col("id").alias("slot"), van_der_corput(F.col("id"), bits).alias("x")).withColumn("cell", cell(F.col("x")))
+    width = -(-total // CELLS) or 1
+    parts = parts.withColumn("cell", F.explode(F.expr(f"sequence(low div {width}, (high - 1) div {width})")))
+    points = spark.range(total).select(F.col("id").alias("x"), bits_reversed(F.col("id"), bits).alias("slot"), F.expr(f"id div {width}").alias("cell"))
     # at most MAX_SOURCES + CELLS rows
     dealt = points.join(F.broadcast(parts), "cell").where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).select("slot", "source_no", F.lit(1).cast("long").alias("one"), F.floor(F.col("slot") / BUCKET_ROWS).alias("stretch"))
     return running_sum(dealt, "source_no", "stretch", ["slot"], "one", "rank").select("slot", "source_no", "rank")
 
 
+def deal(size: int, target: float, block: int) -> dict:
+    """A source's own blocks and its slots: n_blocks, slots, and the words of its last slot if that isn't a full block (else 0).
+
+    Block ``b`` begins at word ``b * size // n_blocks``; all slots together have ``target`` words, rounded.
+    """
+    n = max(1, -(-size // block))
+    words = int(target + 0.5)
+    rounds, left = divmod(words, size) if size else (0, 0)
+    full = ((left + 1) * n - 1) // size if size else 0
+    rest = left - full * size // n if size else 0
+    return {"n_blocks": n, "slots": rounds * n + full + (rest > 0), "rest": rest}
+
+
 def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple = WEIGHTS, most_times: float = MOST_TIMES, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pieces, slots) of the mix.
 
     documents: id, size, source, source_size, target, taken; one row for each row of ``df``.
-    pieces: the parts of documents in blocks (source_no, block, row, words). slots: the schedule.
+    pieces: the parts of documents in blocks (source_no, block, start, at, words). slots: the schedule.
 
     Size counts words ``[^\\x20\\x09-\\x0D]+``; a null text has none. Sources stand in the order of
     their code points, a null source last, and weigh ``weights`` in turn. A document without words takes
@@ -105,22 +119,27 @@ def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sou
     targets = water_fill([r["size"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], total, most_times)
     plan = [{"no": i, "source": r.source, "size": r["size"], "rows": r["rows"], "target": t} for i, (r, t) in enumerate(zip(rows, targets))]
     block = max(1, min(BLOCK_WORDS, total // LEAST_SLOTS))
-    dims = spark.createDataFrame([(p["no"], p["source"], p["size"], p["target"], max(1, p["rows"] // BUCKET_ROWS)) for p in plan], "source_no int, source string, source_size long, target double, n_buckets long")
+    plan = [p | deal(p["size"], p["target"], block) for p in plan]
+    dims = spark.createDataFrame([(p["no"], p["source"], p["size"], p["target"], max(1, p["rows"] // BUCKET_ROWS), p["n_blocks"], p["slots"], p["rest"]) for p in plan], "source_no int, source string, source_size long, target double, n_buckets long, n_blocks long, n_slots long, rest long")
     # one row a source, at most MAX_SOURCES
     docs = docs.join(F.broadcast(dims), docs.source.eqNullSafe(dims.source)).drop(dims.source)
     docs = docs.withColumn("bucket", F.shiftrightunsigned("key", 24) % F.col("n_buckets"))
     placed = materialize(running_sum(docs, "source_no", "bucket", ["key", "id", "size"], "size", "start"), "placed").withColumn("row", F.struct("source_no", "start", "key"))
-    slots = materialize(schedule(spark, plan, block), "slots")
-    blocks = F.ceil(F.col("source_size") / block)
+    slots = materialize(schedule(spark, plan), "slots")
+    short = (F.col("rank") == F.col("n_slots") - 1) & (F.col("rest") > 0)
     times = (
-        slots.join(F.broadcast(dims.select("source_no", "source_size")), "source_no")
-        .where(F.col("rank") < most_times * blocks)
-        .groupBy("source_no", (F.col("rank") % blocks).alias("block")).agg(F.count(F.lit(1)).alias("times"))
+        slots.join(F.broadcast(dims.select("source_no", "n_blocks", "n_slots", "rest")), "source_no")
+        .groupBy("source_no", (F.col("rank") % F.col("n_blocks")).alias("block"))
+        .agg(F.count_if(~short).alias("times"), F.max(F.when(short, F.col("rest")).otherwise(0)).alias("part"))
     )
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    pieces = placed.where("size > 0").select("source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    pieces = pieces.select("source_no", "block", "start", (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)).alias("words"))
-    taken = pieces.join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # the block of a word, and the first word of a block
+    block_of = lambda word: F.expr(f"(({word} + 1) * n_blocks - 1) div source_size")
+    begin = lambda b: F.expr(f"({b}) * source_size div n_blocks")
+    pieces = placed.where("size > 0").select("source_no", "start", "size", "source_size", "n_blocks", F.explode(F.sequence(block_of("start"), block_of("(start + size - 1)"))).alias("block"))
+    pieces = pieces.withColumn("at", F.greatest("start", begin("block")) - begin("block"))
+    pieces = pieces.select("source_no", "block", "start", "at", (F.least(F.col("start") + F.col("size"), begin("block + 1")) - begin("block") - F.col("at")).alias("words"))
+    part = F.greatest(F.lit(0), F.least(F.col("words"), F.col("part") - F.col("at")))
+    taken = pieces.join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times") + part).alias("taken"))
     # among documents with words (source_no, start) is a key
     out = placed.where("size > 0").join(taken, ["source_no", "start"], "left").unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return out.select(F.col("id").alias(id_column), "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row"), pieces, slots

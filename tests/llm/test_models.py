@@ -225,3 +225,29 @@ def test_pipeline(spark, tmp_path):
     for x in seen["mixing"]:
         sums[x.source] += len(x.text.split())
     assert sums["s2"] > sums["s1"] > sums["s0"] > 0
+
+
+def test_mix_with_sources_of_less_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_SLOTS", 1)  # blocks of 1024 words as on large tables
+    sizes = {"a": [200], "b": [700, 500], "c": [1], "d": [977] * 31, "e": [40] * 900, "f": [30, 0, 7]}
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate((s, n) for s, all_ in sizes.items() for n in all_)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))[0].collect()
+    taken, targets = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        targets[r.source] = r.target
+        assert 0 <= r.taken <= 3 * r["size"]
+    assert len(got) == len(rows) and taken == {s: int(t + 0.5) for s, t in targets.items()} and taken["a"] > 0 and taken["c"] > 0
+
+
+def test_deal_meets_the_target():
+    r = random.Random(2)
+    for _ in range(2000):
+        size, block = r.randrange(1, 5000), r.randrange(1, 1100)
+        target = r.random() * 3 * size
+        d = mixing.deal(size, target, block)
+        n = d["n_blocks"]
+        block_words = [(b + 1) * size // n - b * size // n for b in range(n)]
+        full = d["slots"] - (d["rest"] > 0)
+        assert max(block_words) <= block and max(block_words) - min(block_words) <= 1 and d["rest"] < block_words[full % n]
+        assert full // n * size + (full % n) * size // n + d["rest"] == int(target + 0.5)
