@@ -20,3 +20,44 @@ def test_content_hash_covers_long_and_null_texts(spark, tmp_path):
         expected[source] = hashlib.sha256("".join(f"{r}\0{t}\0" for r, t in files).encode()).hexdigest()
     got = [(r.package_id, r.target_hash) for r in registry.queries()["content_hash_by_source"](spark, sf).collect()]
     assert dict(got) == expected and len(got) == len(expected)
+
+
+def walked(children, status, root, most=5):
+    """The pre-order of a root's tree: (node, depth, cycle, truncated, names on the way below the root)."""
+    seen, out = set(), []
+
+    def visit(node, depth, way):
+        cycle = node in seen
+        seen.add(node)
+        out.append((node, depth, cycle, not cycle and depth >= most, way))
+        if not cycle and depth < most:
+            for c in children[node]:
+                visit(c, depth + 1, [*way, c])
+
+    visit(root, 0, [])
+    return out
+
+
+def test_every_package_is_a_root(spark, tmp_path):
+    ids = range(1, 61)
+    sf = saved(spark, tmp_path, supplier=([(i,) for i in ids], "s_suppkey long"))
+    every = {k: [2 * k, 2 * k + 1, *([k + 3] if k % 5 == 0 else []), *([k // 4] if k % 7 == 0 else [])] for k in ids}
+    children = {k: [c for c in v if c in ids] for k, v in every.items()}
+    status = {k: "drift" if k % 23 == 0 else "first-encounter-accepted" if k % 3 == 0 else "safe" for k in ids}
+    closure, tree, composed, accept = set(), [], {}, {}
+    for root in ids:
+        depth, front = {root: 0}, [root]
+        for d in range(1, 6):
+            front = sorted({c for n in front for c in children[n]} - set(depth))
+            depth |= dict.fromkeys(front, d)
+        closure |= {(root, n, d) for n, d in depth.items()}
+        rows = walked(children, status, root)
+        tree += [(f"p{root}", f"p{n}", d, cycle, cut) for n, d, cycle, cut, _ in rows]
+        bad = next((way for n, _, cycle, cut, way in rows if status[n] == "drift" and not cycle and not cut), None)
+        composed[f"p{root}"] = "safe" if bad is None else "".join(f"blocked-via:p{n}=" for n in bad) + "drift"
+        accept[f"p{root}"] = (any(status[n] == "drift" for n, _, cycle, _, _ in rows if not cycle), 0)
+    run = lambda name: registry.queries()[name](spark, sf)
+    assert sorted((r.root, r.node, r.depth) for r in run("dependency_closure").collect()) == sorted(closure)
+    assert [(r.root, r.node, r.depth, r.cycle, r.truncated) for r in sorted(run("closure_tree").collect(), key=lambda r: (int(r.root[1:]), r.path))] == tree
+    assert {r.root: r.composed_status for r in run("closure_status").collect()} == composed
+    assert {r.root: (r.refused, r.n_pending) for r in run("closure_accept").collect()} == accept
