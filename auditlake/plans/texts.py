@@ -64,7 +64,7 @@ def env_secret_refs(spark, sf):
 
 
 def base64_entropy(spark, sf):
-    p = D.table(spark, sf, "pages").where("page_id % 3 = 0")
+    p = D.table(spark, sf, "pages")
     hex_ = F.concat(*[F.md5(F.concat(F.col("page_id").cast("string"), F.lit(s))) for s in "abcd"])
     mixed = F.when(F.col("page_id") % 2 == 0, F.concat(hex_, F.upper(F.substring(hex_, 1, 64)), F.lit("ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ"))).otherwise(F.repeat(F.lit("ab"), 80))
     files = p.select("page_id", F.concat(F.lit("'"), mixed, F.lit("'")).alias("text"), F.lit("text").alias("language"))
@@ -162,7 +162,7 @@ def _summary_sql():
 
 
 def _memory_journal(spark, sf):
-    d = D.table(spark, sf, "documents").where("doc_id % 3 <> 0")
+    d = D.table(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("seq"), F.col("source"), F.concat(F.lit("v"), (F.col("doc_id") % 17 + 1).cast("string")).alias("version"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.when(F.col("doc_id") % 5 == 0, "revoked").otherwise("approved").alias("status"))
 
 
@@ -171,7 +171,7 @@ _MEMORY_SQL = "m AS (SELECT doc_id AS seq, source, 'v' || (doc_id % 17 + 1) AS v
 
 def memory_approval_lookup(spark, sf):
     d = D.table(spark, sf, "documents").select("source", F.coalesce("text", F.lit("")).alias("blob"))
-    return memory.check(d, _memory_journal(spark, sf)).groupBy("source", "reason_code", "approved").agg(F.count(F.lit(1)).alias("n"))
+    return memory.check(d, _memory_journal(spark, sf).where("seq % 3 <> 0")).groupBy("source", "reason_code", "approved").agg(F.count(F.lit(1)).alias("n"))
 
 
 def memory_next_version(spark, sf):
@@ -256,7 +256,7 @@ _REQS = ["flask>=2\n-r more.txt\n# note", "Requests[socks] (>=1.0) ; python_vers
 
 
 def requirement_includes(spark, sf):
-    s = D.table(spark, sf, "supplier").where("s_suppkey % 2 = 0")
+    s = D.table(spark, sf, "supplier")
     two = F.array(F.struct(F.lit("a.txt").alias("rel"), F.lit(_REQS[0]).alias("text")), F.struct(F.lit("more.txt").alias("rel"), F.lit(_REQS[1]).alias("text")))
     files = s.select(F.col("s_suppkey").alias("package_id"), F.explode(two).alias("f")).select("package_id", "f.*")
     lines = requirements.includes(requirements.requirement_lines(files)).where("root = 'a.txt'")

@@ -61,3 +61,71 @@ def test_every_package_is_a_root(spark, tmp_path):
     assert [(r.root, r.node, r.depth, r.cycle, r.truncated) for r in sorted(run("closure_tree").collect(), key=lambda r: (int(r.root[1:]), r.path))] == tree
     assert {r.root: r.composed_status for r in run("closure_status").collect()} == composed
     assert {r.root: (r.refused, r.n_pending) for r in run("closure_accept").collect()} == accept
+
+
+def test_memory_reports_read_the_whole_journal(spark, tmp_path):
+    rows = [(i, f"text {i}", f"s{i % 4}") for i in range(1, 40)] + [(66, "last", "s9"), (51, "last of s8", "s8")]
+    sf = saved(spark, tmp_path, documents=(rows, "doc_id long, text string, source string"))
+    of = lambda s: [i for i, _, x in rows if x == s]
+    sources = {s for _, _, s in rows}
+    got = {r.source: r.next_version for r in registry.queries()["memory_next_version"](spark, sf).collect()}
+    assert got == {s: f"v{max(i % 17 + 1 for i in of(s)) + 1}" for s in sources}
+    got = {r.source: (r.seq, r.version, r.sha256) for r in registry.queries()["memory_latest_approved"](spark, sf).collect()}
+    last = {s: max(i for i in of(s) if i % 5) for s in sources}
+    said = {i: t for i, t, _ in rows}
+    assert got == {s: (i, f"v{i % 17 + 1}", hashlib.sha256(said[i].encode()).hexdigest()) for s, i in last.items()}
+
+
+def test_policy_and_baselines_cover_every_event(spark, tmp_path):
+    from datetime import datetime
+
+    from auditlake.functions import constants as C
+
+    kinds = ["click", "view", "purchase", "signup"]
+    rows = [(i, datetime(2024, 1, 1), i % 7 if i < 200 else 100 + i, kinds[i % 4], float(i % 120)) for i in range(240)]
+    sf = saved(spark, tmp_path, events=(rows, "event_id long, ts timestamp, user_id long, event_type string, value double"))
+    hints = {}
+    for i, _, user, _, _ in rows:
+        kind = C.KINDS[i % 15]
+        h = hints.setdefault(f"pkg{user}", [False, False, False])
+        h[0] |= kind == "outbound_network" and i % 7 != 0
+        h[1] |= kind == "outbound_dynamic"
+        h[2] |= kind == "listening_port"
+    got = {r.package_id: (r.fully_offline_capable, r.allowlist_sufficient, r.needs_proxy_or_block) for r in registry.queries()["policy_hints"](spark, sf).collect()}
+    assert got == {p: (not (h or d or port), h and not d, d) for p, (h, d, port) in hints.items()}
+
+    eco = lambda user: "pypi" if user % 2 == 0 else "npm"
+    puts = [(i, user, i % 5, i % 977, kind) for i, _, user, kind, _ in rows if i % 50 != 7]
+    gone = {}
+    for i, _, user, _, _ in rows:
+        if i % 50 == 7:
+            gone[user, i % 5] = max(i, gone.get((user, i % 5), -1))
+    latest = {}
+    for i, user, version, digest, kind in puts:
+        if i > gone.get((user, version), -1):
+            latest[user, digest] = (i, version, kind)
+    good = [(user, version, i) for (user, _), (i, version, kind) in latest.items() if kind in ("click", "signup")]
+    expected = {}
+    for i, user, version, _, _ in puts:
+        same = [j for u, v, j in good if u == user and v == version]
+        expected[i] = (eco(user), f"lib{user}", max(same or [j for u, _, j in good if u == user], default=None))
+    got = registry.queries()["baseline_choice"](spark, sf).collect()
+    assert len(got) == len(puts) and {r.candidate: (r.ecosystem, r.name, r.baseline_seq) for r in got} == expected
+
+
+def test_entropy_and_includes_read_every_row(spark, tmp_path):
+    import math
+    from collections import Counter
+    from decimal import ROUND_HALF_UP, Decimal
+
+    sf = saved(spark, tmp_path, pages=([(i,) for i in range(20)], "page_id long"), supplier=([(i,) for i in range(1, 10)], "s_suppkey long"))
+    expected = set()
+    for i in range(0, 20, 2):  # the others have blobs of two letters, whose entropy is too low
+        h = "".join(hashlib.md5(f"{i}{c}".encode()).hexdigest() for c in "abcd")
+        blob = h + h[:64].upper() + "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ"
+        bits = round(-sum(n / len(blob) * math.log2(n / len(blob)) for n in Counter(blob).values()), 2)
+        expected.add((i, len(blob), float(Decimal(str(bits)).quantize(Decimal("0.1"), ROUND_HALF_UP))))
+    got = [(r.page_id, r.length, r.entropy) for r in registry.queries()["base64_entropy"](spark, sf).collect()]
+    assert set(got) == expected and len(got) == 10
+    got = [(r.package_id, r.name, r.specifier) for r in registry.queries()["requirement_includes"](spark, sf).collect()]
+    assert sorted(got) == sorted((i, *r) for i in range(1, 10) for r in (("flask", ">=2"), ("requests", ">=1.0")))
