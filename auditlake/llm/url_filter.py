@@ -25,7 +25,9 @@ RULES = [
     ("org", "/fr/", "allow"),
 ]
 DAMPING = 0.85
+#: Steps at least; more follow until what is left to move is under ``SMALL`` of the threshold of one host.
 ITERATIONS = 8
+SMALL = 0.01
 #: A host is blocked if its distrust is over its trust and over so many times an even share (1 / hosts).
 THRESHOLD = 0.5
 PARENT_WEIGHT = 1.0
@@ -68,8 +70,11 @@ def parent_edges(hosts: DataFrame, weight: float) -> DataFrame:
     return up.union(up.select("dst", "src")).withColumn("weight", F.lit(float(weight)))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank of both kinds: (host, trust, distrust).
+def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
+    """Personalised PageRank of both kinds: (host, trust, distrust), after ``iterations`` steps or more, when converged.
+
+    A step shrinks the change of the one before to ``damping`` of it or less, which bounds the sum of all changes
+    to come; steps end when that is at most ``SMALL * threshold / hosts``.
 
     ``seeds`` (host, trust, distrust) are the personalisation, ``edges`` (src, dst, weight). Trust moves
     from src to dst, distrust from dst to src. Each kind's seeds sum to 1; mass at hosts without a way
@@ -83,15 +88,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS,
     part = lambda good, c, all_: seeds.select("host", F.lit(good).alias("good"), (F.col(c) / F.lit(float(all_ or 1))).alias("p"))
     start = part(True, "trust", total.t).union(part(False, "distrust", total.d)).where("p > 0")
     start = materialize(start, "seeds")
-    rank, old = start.withColumnRenamed("p", "r"), None
-    for i in range(iterations):
+    hosts = graph.select("src").union(graph.select("dst")).union(start.select("host")).distinct().count()
+    small = SMALL * threshold / max(1, hosts) * (1 - damping**2) / damping**2
+    old = rank = materialize(start.withColumnRenamed("p", "r").select("host", "good", "r"), "rank")
+    step = 0
+    while True:
+        step += 1
         moved = graph.join(rank.withColumnRenamed("host", "src"), ["good", "src"]).select(F.col("dst").alias("host"), "good", (F.col("r") * F.col("part") * damping).alias("r"))
         rank = moved.unionByName(start.select("host", "good", (F.col("p") * (1 - damping)).alias("r"))).groupBy("host", "good").agg(F.sum("r").alias("r"))
-        if i % 2 or i == iterations - 1:
-            rank = materialize(rank, "rank")
-            if old is not None:
-                discard(old)
-            old = rank
+        if step % 2:
+            continue
+        rank = materialize(rank, "rank")
+        change = rank.unionByName(old.withColumn("r", -F.col("r"))).groupBy("host", "good").agg(F.sum("r").alias("d")).agg(F.sum(F.abs("d")).alias("d")).first().d or 0.0
+        discard(old)
+        old = rank
+        if step >= iterations and change <= small:
+            break
     score = lambda good: F.coalesce(F.sum(F.when(F.col("good") == good, F.col("r"))), F.lit(0.0))
     return rank.groupBy("host").agg(score(True).alias("trust"), score(False).alias("distrust"))
 
@@ -113,7 +125,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, parent_we
     if parent_weight:
         named = seeds.select("host").union(edges.select("dst")).distinct()
         edges = edges.union(parent_edges(named, parent_weight)).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    scores = materialize(propagate(edges, seeds, iterations), "scores")
+    scores = materialize(propagate(edges, seeds, iterations, threshold=threshold), "scores")
     even = threshold / max(1, scores.count())
     blocked = F.coalesce(F.col("distrust") > F.greatest(F.col("trust"), F.lit(even)), F.lit(False))
     # scores were written, so that both sides get an exchange of their own and a hot host is split

@@ -251,3 +251,24 @@ def test_deal_meets_the_target():
         full = d["slots"] - (d["rest"] > 0)
         assert max(block_words) <= block and max(block_words) - min(block_words) <= 1 and d["rest"] < block_words[full % n]
         assert full // n * size + (full % n) * size // n + d["rest"] == int(target + 0.5)
+
+
+def test_distrust_is_carried_to_the_end(spark):
+    page = lambda host, to: (f"http://{host}/", f'<a href="http://{to}/">x</a>')
+    chain = [page(f"h{i}.io", f"h{i - 1}.io") for i in range(1, 16)]
+    rows = [("http://bad.net/", ""), page("h0.io", "bad.net"), *chain, page("bad.net", "h3.io")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: r for r in url_filter.judge(df, parent_weight=0).collect()}
+    # the links backwards; h3 is linked by bad.net and by h4
+    back = {"bad.net": ["h0.io"], **{f"h{i - 1}.io": [f"h{i}.io"] for i in range(1, 16)}}
+    back["h3.io"].append("bad.net")
+    rank = {"bad.net": 1.0}
+    for _ in range(400):
+        new = defaultdict(float, {"bad.net": 1 - url_filter.DAMPING})
+        for host, r in rank.items():
+            for to in back.get(host, []):
+                new[to] += url_filter.DAMPING * r / len(back[host])
+        rank = new
+    even = url_filter.THRESHOLD / len(rank)
+    assert all(abs(got[h].host_distrust - r) <= url_filter.SMALL * even for h, r in rank.items()) and got["h15.io"].host_distrust > 0
+    assert len(rank) == 17 and all((got[h].verdict == "block") == (r > even) for h, r in rank.items() if h != "bad.net")
