@@ -54,23 +54,23 @@ def parse_requirement(text: Column) -> Column:
     return F.when((raw != "") & ~extra_only(marker), F.struct(name.alias("name"), F.nullif(rest, F.lit("")).alias("specifier")))
 
 
-def npm_name(name: Column) -> Column:
-    return F.when(name.startswith("@"), name.contains("/")).otherwise(F.rlike(name, F.lit(r"^[a-z0-9._-]+$")))
-
-
 def non_registry_specifier(specifier: Column) -> Column:
     """npm specifiers that name no version in the registry: git, http, file, an alias, or a path."""
-    return F.rlike(specifier, F.lit(r"^(git|https?:|file:|npm:|link:|workspace:)")) | specifier.contains("/")
+    said = F.lower(F.trim(specifier))
+    return F.rlike(said, F.lit(r"^(git\+|git:|https?://|file:|npm:)")) | said.contains("/")
+
+
+#: Fixed value: what a package of a registry can be called on a command line.
+REGISTRY_SPEC = r"^(?:@[A-Za-z0-9._-]+/)?[A-Za-z0-9._-]+(?:[@=]{1,2}[A-Za-z0-9._+\-]+)?$"
 
 
 def registry_spec(token: Column) -> Column:
     """Whether an install token names a package of a registry, and not a path, an archive or a file."""
-    scoped = token.startswith("@")
-    path = F.rlike(token, F.lit(r"[/\\:]")) & ~scoped
-    file = F.rlike(F.lower(token), F.lit(r"\.(whl|tar\.gz|tgz|zip|txt)$")) | token.isin(".", "..")
-    shape = F.rlike(token, F.lit(r"^@?[A-Za-z0-9][A-Za-z0-9._/\[\],-]*(?:(?:==|>=|<=|~=|!=|>|<|@)[^\s]*)?$"))
-    return ~path & ~file & shape
+    path = F.rlike(token, F.lit(r"[/\\:]")) & ~token.startswith("@")
+    file = F.rlike(token, F.lit(r"\.(txt|whl|tar\.gz|tgz)$")) | token.isin(".", "..")
+    return ~path & ~file & F.rlike(token, F.lit(REGISTRY_SPEC))
 
 
 def literal_version(version: Column) -> Column:
-    return F.rlike(version, F.lit(r"^\d+(\.\d+)*([.-]?[A-Za-z0-9]+)*$"))
+    """Whether what follows a name pins one version: no range operator in it, but for ``==`` in front."""
+    return ~F.rlike(F.regexp_replace(version, "^==", ""), F.lit(r"[=<>~^!]"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import closure, commands, verdict
-from ..sources import cache, doctor, journal
+from ..sources import cache, doctor, journal, requirements
 from . import derived as D
 
 _GOOD = "coalesce(status, 'accepted') = 'accepted'"
@@ -130,30 +130,66 @@ def requirement_parse(spark, sf):
     return s.where("r IS NOT NULL").select("s_suppkey", "r.name", "r.specifier")
 
 
-_COMMANDS = ["pip install requests && npm i left-pad", "uvx tool-x; ls | cat", "npx -y @scope/srv@1.0", "echo hi || yarn add a b@^2", "cd /x && make"]
-_PARTS = [(0, 0, "pip install requests"), (0, 1, "npm i left-pad"), (1, 0, "uvx tool-x"), (1, 1, "ls"), (1, 2, "cat"), (2, 0, "npx -y @scope/srv@1.0"), (3, 0, "echo hi"), (3, 1, "yarn add a b@^2"), (4, 0, "cd /x"), (4, 1, "make")]
-_INSTALLS = [(0, 0, "pypi", "requests", None), (0, 1, "npm", "left-pad", None), (1, 0, "pypi", "tool-x", "mcp-server"), (2, 0, "npm", "@scope/srv@1.0", "mcp-server"), (3, 1, "npm", "a,b", None)]
+_VERBS = ["pip install", "pip3 install", "uv add", "UV pip install", "uvx", "pipx run", "uv tool install", "npm i", "pnpm add", "yarn add", "npx -y", "npx", "echo", "pip download"]
+_FORMS = ["", "==1.2", ">=2", "@1.0", "@^2", "[extra]", ".whl"]
+_FLAGS = ["", "-r reqs.txt", "--upgrade", "-e ./local", "2> out.txt"]
+_TAILS = ["", " && ls -la", " ; uvx tool==1", " || yarn add @s/p@2.0 ./x"]
+#: A shell line for each part, the same in Spark and in SQL.
+_COMMAND = f"concat({D.pick('p_partkey % 14', _VERBS)}, ' pkg', CAST(p_partkey AS STRING), {D.pick('p_partkey % 7', _FORMS)}, ' ', {D.pick('p_partkey % 5', _FLAGS)}, ' lib_', CAST(p_partkey % 13 AS STRING), {D.pick('p_partkey % 4', _TAILS)})"
+_TOOL = D.pick("p_partkey % 11", ["Bash", "PowerShell", "Read", "Bash", "PowerShell", "Edit", "Bash", "Bash", "PowerShell", "Bash", "Bash"])
+_TREE = D.pick("p_partkey % 3", ["safe", "first-encounter-needs-accept", "first-encounter-accepted"])
+_COMMANDS_SQL = f"""commands AS (SELECT p_partkey, {_COMMAND} AS command FROM part),
+fragments AS (SELECT p_partkey, CAST(i - 1 AS INT) AS ordinal, f AS fragment FROM (SELECT p_partkey, unnest(a) AS f, generate_subscripts(a, 1) AS i FROM (SELECT p_partkey, regexp_split_to_array(command, '\\s*(?:&&|\\|\\||\\||;)\\s*') AS a FROM commands)))"""
+_INSTALLS_SQL = f"""{_COMMANDS_SQL},
+verbs AS (SELECT *, regexp_extract(lower(fragment), '^(uvx|pipx (?:install|run)|uv tool (?:install|run)|pip3? install|uv add|uv pip install|p?npm (?:install|i|add)|yarn add|npx -y)\\b') AS verb FROM fragments),
+tails AS (SELECT *, list_filter(string_split(substr(fragment, length(verb) + 1), ' '), lambda x: x <> '') AS a FROM verbs WHERE verb <> ''),
+each AS (SELECT * FROM (SELECT *, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM tails)),
+placed AS (SELECT *, lag(w) OVER o AS before, coalesce(bool_or(regexp_matches(w, '^[0-9]*[<>]+&?[0-9]*$')) OVER o, false) AS over FROM each WINDOW o AS (PARTITION BY p_partkey, ordinal ORDER BY i)),
+words AS (SELECT *, CASE WHEN starts_with(w, '@') THEN regexp_extract(w, '^@[^@]*') ELSE regexp_extract(w, '^[^=<>~^!@]*') END AS name FROM placed
+  WHERE NOT over AND NOT starts_with(w, '-') AND (before IS NULL OR before NOT IN ('-r', '-c', '-e', '-t', '--requirement', '--constraint', '--editable', '--target'))),
+installs AS (SELECT p_partkey, ordinal, verb, CASE WHEN regexp_matches(verb, '^(p?npm|yarn|npx)') THEN 'npm' ELSE 'pypi' END AS ecosystem, i,
+  CASE WHEN regexp_matches(replace(substr(w, length(name) + 1), '==', ''), '[=<>~^!]') THEN name ELSE w END AS spec FROM words
+  WHERE regexp_matches(name, '^(@[A-Za-z0-9._-]+/)?[A-Za-z0-9._-]+$') AND NOT regexp_matches(name, '\\.(txt|whl|tgz|tar\\.gz)$'))"""
 
 
 def _commands(spark, sf):
-    return D.table(spark, sf, "supplier").selectExpr("s_suppkey", D.pick("s_suppkey % 5", _COMMANDS) + " AS command")
+    return D.table(spark, sf, "part").selectExpr("p_partkey", f"{_COMMAND} AS command", f"{_TOOL} AS tool")
 
 
 def chained_command_split(spark, sf):
-    return _commands(spark, sf).select("s_suppkey", F.posexplode(commands.split_chain(F.col("command"))).alias("ordinal", "fragment"))
+    return _commands(spark, sf).select("p_partkey", F.posexplode(commands.split_chain(F.col("command"))).alias("ordinal", "fragment"))
 
 
 def install_verbs(spark, sf):
-    return commands.installs(_commands(spark, sf), ("s_suppkey",)).select("s_suppkey", "ordinal", "ecosystem", F.array_join("specs", ",").alias("specs"), "profile_hint")
+    return commands.installs(_commands(spark, sf), ("p_partkey",)).select("p_partkey", "ordinal", "ecosystem", F.array_join("specs", ",").alias("specs"), "profile_hint")
 
 
 def hook_decisions(spark, sf):
-    body = F.to_json(F.struct(F.when(F.col("s_suppkey") % 3 != 0, "Bash").otherwise("Read").alias("tool_name"), F.struct("command").alias("tool_input")))
-    lines = _commands(spark, sf).select("s_suppkey", F.when(F.col("s_suppkey") % 10 == 9, "not json").otherwise(body).alias("payload"))
-    asked = commands.installs(commands.payloads(lines).where("command IS NOT NULL"), ("s_suppkey",)).select("s_suppkey", F.explode("specs").alias("spec"))
-    judged = asked.withColumn("blocked", F.length("spec") > 6).withColumn("block_reason", F.lit(None).cast("string"))
-    out = lines.select("s_suppkey").join(commands.decisions(judged, ("s_suppkey",)), "s_suppkey", "left")
-    return out.select("s_suppkey", F.coalesce("exit_code", F.lit(0)).alias("exit_code"), F.coalesce("said", F.lit("")).alias("said"))
+    """Every part's shell line as a payload; trees are known for bare names of two thirds of the parts, all else fails closed."""
+    body = F.to_json(F.struct(F.col("tool").alias("tool_name"), F.struct("command").alias("tool_input")))
+    lines = _commands(spark, sf).select("p_partkey", F.when(F.col("p_partkey") % 10 == 9, "not json").otherwise(body).alias("payload"))
+    asked = commands.installs(commands.payloads(lines).where("command IS NOT NULL"), ("p_partkey",))
+    known = D.table(spark, sf, "part").selectExpr("explode(array('pypi', 'npm')) AS ecosystem", "concat('pkg', CAST(p_partkey AS STRING)) AS spec", f"{_TREE} AS composed_status")
+    judged = commands.spec_verdicts(asked, known, ("p_partkey",))
+    out = lines.select("p_partkey").join(commands.decisions(judged, ("p_partkey",)), "p_partkey", "left")
+    return out.select("p_partkey", F.coalesce("exit_code", F.lit(0)).alias("exit_code"), F.coalesce("said", F.lit("")).alias("said"))
+
+
+_FILE_COMMANDS = ["uv pip sync reqs.txt", "uv pip sync reqs.txt ../more.txt", "uv pip sync", "uv sync", "uv lock --project other", "uv pip sync ghost.txt", "uv sync --directory=none"]
+_REQUIREMENT_TEXT = "concat('Flask>=2 # web\\n\\n-r deep/base.txt\\n-e ./here\\nlib', CAST(s_suppkey AS STRING), '; python_version > 3\\n')"
+_PROJECT_TEXT = "concat('[project]\\nname = \"a\"\\ndependencies = [\"numpy>=2\", \"lib', CAST(s_suppkey AS STRING), '\"]\\n[project.optional-dependencies]\\ngpu = [\"Torch\", \"NumPy\"]\\n[dependency-groups]\\ndev = [\"pytest\", {include-group = \"x\"}]\\n')"
+
+
+def hook_file_installs(spark, sf):
+    """Commands that install what requirement files (with what they include) and projects declare, for each supplier's folder."""
+    s = D.table(spark, sf, "supplier").withColumn("home", F.concat(F.lit("/w/s"), F.col("s_suppkey").cast("string")))
+    file = lambda path, text: s.select(F.concat("home", F.lit(path)).alias("path"), F.expr(text).alias("text"))
+    files = file("/a/reqs.txt", _REQUIREMENT_TEXT).union(file("/a/deep/base.txt", "'requests==1\\n-r ../../more.txt\\n'")).union(file("/more.txt", "'FLASK\\n-r a/reqs.txt\\nattrs\\n'"))
+    files = files.union(file("/pyproject.toml", _PROJECT_TEXT)).union(file("/a/other/pyproject.toml", "CASE WHEN s_suppkey % 2 = 0 THEN '[project' ELSE '[project]\\ndependencies = [\"only\"]' END"))
+    asked = commands.installs(s.select("s_suppkey", F.concat("home", F.lit("/a")).alias("cwd"), F.expr(D.pick("s_suppkey % 7", _FILE_COMMANDS)).alias("command")), ("s_suppkey",))
+    asked = asked.join(s.select("s_suppkey", F.concat("home", F.lit("/a")).alias("cwd")), "s_suppkey")
+    out = requirements.from_files(asked, files, ("s_suppkey",))
+    return out.select("s_suppkey", "profile_reason", F.array_join("specs", ",").alias("specs"), F.col("block_reason").isNotNull().alias("blocked"))
 
 
 def dependency_closure(spark, sf):
@@ -205,7 +241,7 @@ _LATEST = "SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY seq DESC) AS r
 _BAND = "CASE WHEN score IS NULL THEN 'unscored' WHEN score >= 90 THEN 'high' WHEN score >= 50 THEN 'mid' ELSE 'low' END"
 _MEDIAN = "(SELECT score FROM (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM idx WHERE score IS NOT NULL) WHERE r = n // 2 + 1)"
 _SC = f"WITH {D.JOURNAL_SQL}, c AS (SELECT {_CANDIDATE}, coalesce(score, 0) AS s FROM journal WHERE op = 'put') "
-_CLOSURE = f"""WITH RECURSIVE e AS ({D.EDGES}), c AS (SELECT s_suppkey AS root, s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey % 10 = 1
+_CLOSURE = f"""WITH RECURSIVE e AS ({D.EDGES}), c AS (SELECT s_suppkey AS root, s_suppkey AS node, 0 AS depth FROM supplier
   UNION SELECT c.root, CAST(e.child AS BIGINT), c.depth + 1 FROM c JOIN e ON c.node = e.parent WHERE c.depth < 5) SELECT root, node, min(depth) AS depth FROM c GROUP BY ALL"""
 
 QUERIES = {
@@ -224,10 +260,10 @@ QUERIES = {
       SELECT ecosystem, name, n, string_agg(version || ' (' || status || ', share=' || CAST(round_even(role_typical_share * 100, 0) AS INT) || '%)', ', ' ORDER BY r) AS prior FROM b WHERE r <= 5 GROUP BY ALL""".replace(" , b AS", ", b AS")),
     "index_integrity": (index_integrity, _I + "SELECT ecosystem, name, target_hash, CASE WHEN seq % 13 = 0 THEN 'missing' ELSE 'orphan' END AS problem FROM idx WHERE (seq % 13 = 0) <> (seq % 11 = 0)"),
     "doctor_checks": (doctor_checks, _I + """SELECT 1 AS ordinal, 'library' AS name, 'ok' AS status, count(*) || ' entries' AS detail FROM idx
-      UNION ALL SELECT 2, 'index', 'fail', count(*) FILTER (seq % 13 = 0) || ' missing, 0 orphan' FROM idx
+      UNION ALL SELECT 2, 'index', 'fail', count(*) FILTER (seq % 13 = 0) || ' missing, 0 orphan: ' || array_to_string((list_sort(list(ecosystem || '/' || name || '/' || target_hash) FILTER (seq % 13 = 0)))[1:3], '; ') FROM idx
       UNION ALL SELECT 3, 'schema', 'warn', count(*) FILTER (seq % 4 = 0) || ' of ' || count(*) || ' stale' FROM idx WHERE seq % 13 <> 0
       UNION ALL SELECT 4, 'profiles', 'warn', string_agg(p || '=' || n, ', ' ORDER BY p) FROM (SELECT coalesce(profile, '<unset>') AS p, count(*) AS n FROM idx GROUP BY 1)"""),
-    "baseline_choice": (baseline_choice, _I + f""", s AS (SELECT seq AS candidate, ecosystem, name, version FROM journal WHERE seq % 17 = 0 AND op = 'put'), a AS (SELECT * FROM idx WHERE {_GOOD})
+    "baseline_choice": (baseline_choice, _I + f""", s AS (SELECT seq AS candidate, ecosystem, name, version FROM journal WHERE op = 'put'), a AS (SELECT * FROM idx WHERE {_GOOD})
       SELECT candidate, s.ecosystem, s.name, coalesce((SELECT max(seq) FROM a WHERE a.ecosystem = s.ecosystem AND a.name = s.name AND a.version = s.version), (SELECT max(seq) FROM a WHERE a.ecosystem = s.ecosystem AND a.name = s.name)) AS baseline_seq FROM s"""),
     "promote_actions": (promote_actions, _I + f""", s AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'pypi' ELSE 'npm' END AS ecosystem, 'lib' || s_suppkey AS name, CASE WHEN s_suppkey % 3 <> 0 THEN '1.' || (s_suppkey % 7) END AS version FROM supplier),
       l AS (SELECT ecosystem, name, version, seq, status FROM ({_LATEST.format(k='ecosystem, name, version', w='')}) WHERE r = 1)
@@ -242,10 +278,16 @@ QUERIES = {
     "spec_parse": (spec_parse, _of([(i, *r) for i, r in enumerate(_PARSED)], ["ecosystem", "name", "version"], 8)),
     "pep503_names": (pep503_names, "SELECT p_partkey, 'my-lib' || p_partkey AS name FROM part"),
     "requirement_parse": (requirement_parse, _of(_REQ_ROWS, ["name", "specifier"], 6)),
-    "chained_command_split": (chained_command_split, _of(_PARTS, ["ordinal", "fragment"], 5)),
-    "install_verbs": (install_verbs, _of(_INSTALLS, ["ordinal", "ecosystem", "specs", "profile_hint"], 5)),
-    "hook_decisions": (hook_decisions, """SELECT s_suppkey, CASE WHEN said = '' THEN 0 ELSE 2 END AS exit_code, said FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 10 = 9 THEN '' ELSE
-      CASE s_suppkey % 5 WHEN 0 THEN 'left-pad; requests' WHEN 2 THEN '@scope/srv@1.0' ELSE '' END END AS said FROM supplier)"""),
+    "chained_command_split": (chained_command_split, f"WITH {_COMMANDS_SQL} SELECT * FROM fragments"),
+    "install_verbs": (install_verbs, f"""WITH {_INSTALLS_SQL} SELECT p_partkey, ordinal, ecosystem, string_agg(spec, ',' ORDER BY i) AS specs,
+      CASE WHEN regexp_matches(verb, '^(uvx|pipx|uv tool|npx)') THEN 'mcp-server' END AS profile_hint FROM installs GROUP BY p_partkey, ordinal, ecosystem, verb"""),
+    "hook_decisions": (hook_decisions, f"""WITH {_INSTALLS_SQL}, trees AS (SELECT 'pkg' || p_partkey AS spec, {_TREE} AS status FROM part),
+      judged AS (SELECT DISTINCT p_partkey, ordinal, spec || ' (' || ecosystem || '): ' || coalesce(status, 'preflight-error') AS what FROM installs LEFT JOIN trees USING (spec) WHERE coalesce(status, 'x') NOT IN ('safe', 'first-encounter-accepted')),
+      said AS (SELECT p_partkey, string_agg(what, '; ' ORDER BY ordinal, what) AS said FROM judged JOIN (SELECT p_partkey FROM part WHERE {_TOOL} IN ('Bash', 'PowerShell') AND p_partkey % 10 <> 9) USING (p_partkey) GROUP BY p_partkey)
+      SELECT p_partkey, CASE WHEN said IS NULL THEN 0 ELSE 2 END AS exit_code, coalesce(said, '') AS said FROM part LEFT JOIN said USING (p_partkey)"""),
+    "hook_file_installs": (hook_file_installs, """SELECT s_suppkey, 'install-verb: ' || CASE s_suppkey % 7 WHEN 3 THEN 'uv sync' WHEN 4 THEN 'uv lock' WHEN 6 THEN 'uv sync' ELSE 'uv pip sync' END AS profile_reason,
+      CASE s_suppkey % 7 WHEN 0 THEN 'Flask,requests,attrs,lib' || s_suppkey WHEN 1 THEN 'Flask,requests,attrs,lib' || s_suppkey WHEN 3 THEN 'numpy,lib' || s_suppkey || ',Torch,pytest' WHEN 4 THEN CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'only' END ELSE '' END AS specs,
+      s_suppkey % 7 IN (2, 5, 6) OR (s_suppkey % 7 = 4 AND s_suppkey % 2 = 0) AS blocked FROM supplier"""),
     "dependency_closure": (dependency_closure, _CLOSURE),
     "closure_tree": (closure_tree, None),
     "closure_status": (closure_status, None),

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import tomllib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -13,30 +14,95 @@ from ..functions import text as T
 from .scratch import cut
 
 
-def requirement_lines(files: DataFrame, keys: tuple = ("package_id", "rel")) -> DataFrame:
-    """(*keys, line, said): lines of requirement files without comments and blanks."""
-    each = files.select(*keys, F.posexplode(T.lines("text")).alias("pos", "said"))
-    return each.select(*keys, (F.col("pos") + 1).alias("line"), F.trim(F.regexp_replace("said", r"(^|\s)#.*$", "")).alias("said")).where("said != ''")
+def normal_path(path: Column) -> Column:
+    """``path`` without empty and ``.`` parts, and with each ``..`` taken back."""
+    parts = F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda p: ~p.isin("", "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, p: F.when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.array_append(out, p)))
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
 
 
-def includes(lines: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(package_id, root, line, said) of requirement files with what they include by ``-r``, each file once for a root.
+def under(base: Column, path: Column) -> Column:
+    """``path`` as seen from the folder ``base``; absolute paths stay."""
+    return normal_path(F.when(path.startswith("/") | base.isNull() | (base == ""), path).otherwise(F.concat(base, F.lit("/"), path)))
 
-    A loop of joins, one for each level of inclusion; it ends when no file is new.
+
+def includes(roots: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, unreadable) of requirement files with all that they include by ``-r``, however deep, each file once for a root.
+
+    ``roots``: root (any type), path and, if their order counts, place. ``files``: path, text; a null text can't be read. lines: root, place, said, without comments,
+    blanks and options, in the order of ``place``. unreadable: root, path of files that are wanted and aren't there or can't be read.
+    A file that is reached on several ways has the place of the first. A loop of joins, one for each level of inclusion; it ends when
+    no file is new or comes earlier, so files that include each other end it, too.
     """
-    target = F.nullif(F.regexp_extract("said", r"^(?:-r|--requirement)[\s=]+(\S+)$", 1), F.lit(""))
-    marked = lines.withColumn("target", target)
-    links = marked.where("target IS NOT NULL").select("package_id", F.col("rel").alias("parent"), "target").distinct()
-    frontier = cut(lines.select("package_id", F.col("rel").alias("root"), "rel").distinct())
-    reached = frontier
-    for _ in range(max_depth):
-        step = frontier.join(links, (frontier.package_id == links.package_id) & (frontier.rel == links.parent)).select(frontier.package_id, "root", F.col("target").alias("rel")).distinct()
-        frontier = cut(step.join(reached, ["package_id", "root", "rel"], "left_anti"))
+    each = files.where("text IS NOT NULL").select("path", F.posexplode(T.lines("text")).alias("line", "said"))
+    each = each.select("path", "line", F.regexp_replace(F.regexp_replace("said", "(?s)#.*$", ""), r"(?U)^\s+|\s+$", "").alias("said")).where("said != ''")
+    target = F.nullif(F.regexp_extract("said", r"(?U)^(?:-r|--requirement)\s+(\S.*)$", 1), F.lit(""))
+    each = cut(each.withColumn("target", under(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), target)))
+    links = each.where("target IS NOT NULL").select(F.col("path").alias("parent"), "line", "target")
+    place = F.col("place") if "place" in roots.columns else F.lit("")
+    least = lambda df: df.groupBy("root", "path").agg(F.min("place").alias("place"))
+    reached = frontier = cut(least(roots.select("root", normal_path(F.col("path")).alias("path"), place.alias("place"))))
+    while True:
+        step = least(frontier.join(links, frontier.path == links.parent).select("root", F.col("target").alias("path"), F.concat("place", F.lit("/"), F.lpad(F.col("line").cast("string"), 9, "0")).alias("place")))
+        known = reached.select("root", "path", F.col("place").alias("known"))
+        frontier = cut(step.join(known, ["root", "path"], "left").where("known IS NULL OR place < known").drop("known"))
         if frontier.isEmpty():
             break
-        reached = reached.unionByName(frontier)
-    own = marked.where("target IS NULL AND NOT startswith(said, '-')").select("package_id", "rel", "line", "said")
-    return reached.join(own, ["package_id", "rel"]).select("package_id", "root", "rel", "line", "said")
+        reached = cut(least(reached.unionByName(frontier)))
+    unreadable = reached.join(files.where("text IS NOT NULL").select("path"), "path", "left_anti").select("root", "path")
+    own = each.where("target IS NULL AND NOT startswith(said, '-')")
+    lines = reached.join(own, "path").select("root", F.concat("place", F.lit("/"), F.lpad(F.col("line").cast("string"), 9, "0")).alias("place"), "said")
+    return lines, unreadable
+
+
+def _names(lines: DataFrame) -> DataFrame:
+    """(root, specs): the declared names, each once whatever its case, in the order in which they come."""
+    name = F.regexp_extract(F.regexp_extract("said", r"(?s)^([^;]*)", 1), r"(?U)^\s*([A-Za-z0-9][A-Za-z0-9._-]*)", 1)
+    each = lines.select("root", "place", name.alias("name")).where("name != ''")
+    once = each.groupBy("root", F.lower("name").alias("low")).agg(F.min(F.struct("place", "name")).alias("n"))
+    return once.groupBy("root").agg(F.transform(F.array_sort(F.collect_list("n")), lambda x: x["name"]).alias("specs"))
+
+
+def _project_entries(text: str) -> tuple[bool, list[str]]:
+    """Entries of a pyproject.toml: dependencies, then optional ones, then dependency groups; not readable if it is no TOML."""
+    try:
+        data = tomllib.loads(text)
+        project = data.get("project") or {}
+        groups = [project.get("dependencies"), *(project.get("optional-dependencies") or {}).values(), *(data.get("dependency-groups") or {}).values()]
+    except (tomllib.TOMLDecodeError, AttributeError, TypeError):
+        return False, []
+    return True, [x for g in groups if isinstance(g, list) for x in g if isinstance(x, str)]
+
+
+def from_files(asked: DataFrame, files: DataFrame, keys: tuple) -> DataFrame:
+    """``asked`` (rows of ``commands.installs`` with cwd) with specs and block_reason of what files declare.
+
+    ``files``: path, text. Requirement files are read with what they include. A project is the folder that the command names, else the
+    nearest folder above cwd (and cwd itself) that has a pyproject.toml. What can't be read blocks; what declares nothing is left out.
+    """
+    @F.pandas_udf("struct<readable:boolean,declared:array<string>>")
+    def project_entries(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_project_entries(t) for t in texts], columns=["readable", "declared"])
+
+    one = cut(asked.withColumn("root", F.struct(*keys, "ordinal")))
+    wanted = one.where("reads = 'requirements' AND size(files) > 0").select("root", F.posexplode(F.transform("files", lambda f: under(F.col("cwd"), f))).alias("n", "path"))
+    wanted = wanted.select("root", "path", F.lpad(F.col("n").cast("string"), 9, "0").alias("place"))
+    lines, unreadable = includes(wanted, files)
+    bad = unreadable.groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("path")), ", ").alias("bad"))
+    folder = under(F.col("cwd"), F.coalesce("project", F.lit(".")))
+    parts = F.split(folder, "/")
+    up = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    folders = F.when(F.col("project").isNotNull(), F.array(folder)).otherwise(up)
+    near = one.where("reads = 'project'").select("root", F.posexplode(folders).alias("steps", "folder")).withColumn("path", F.concat("folder", F.lit("/pyproject.toml")))
+    projects = files.where("text IS NOT NULL AND path LIKE '%/pyproject.toml'").select("path", project_entries("text").alias("p"))
+    found = near.join(projects, "path").groupBy("root").agg(F.min_by("p", "steps").alias("p"))
+    declared = found.select("root", F.posexplode("p.declared").alias("n", "said")).select("root", F.lpad(F.col("n").cast("string"), 9, "0").alias("place"), "said")
+    names = _names(lines.unionByName(declared))
+    out = one.join(names.withColumnRenamed("specs", "_named"), "root", "left").join(bad, "root", "left").join(found.select("root", F.col("p.readable").alias("_readable")), "root", "left")
+    reason = F.when(F.col("bad").isNotNull(), F.concat(F.lit("requirements file(s) not readable: "), "bad")).when((F.col("reads") == "project") & ~F.coalesce("_readable", F.lit(False)), F.concat(F.lit("no readable pyproject.toml found from "), F.coalesce("project", "cwd", F.lit("."))))
+    out = out.withColumn("block_reason", F.coalesce("block_reason", reason))
+    out = out.withColumn("specs", F.when(F.col("reads").isNull(), F.col("specs")).when(F.col("block_reason").isNull(), F.coalesce("_named", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+    return out.where("size(specs) > 0 OR block_reason IS NOT NULL").drop("root", "_named", "bad", "_readable")
 
 
 def parsed(lines: DataFrame, keys: tuple, order: str = "line") -> DataFrame:
@@ -50,8 +116,6 @@ def declared(files: DataFrame) -> DataFrame:
 
     In this order: pyproject.toml, METADATA or PKG-INFO, requires.txt up to its first section, package.json.
     """
-    import tomllib
-
     @F.pandas_udf("array<string>")
     def project(texts: pd.Series) -> pd.Series:
         def read(t):
@@ -73,81 +137,156 @@ def declared(files: DataFrame) -> DataFrame:
     return parsed(all_.join(first, ["package_id", "rank"]), ("package_id",), "ordinal")
 
 
-def _version_key(v: str) -> tuple | None:
-    m = re.match(r"^v?(\d+(?:\.\d+)*)(.*)$", v.strip())
+_STAGES = {"dev": -4, "a": -3, "alpha": -3, "b": -2, "beta": -2, "c": -1, "rc": -1, "pre": -1, "preview": -1}
+
+
+def pypi_key(v: str) -> tuple | None:
+    """Order of a Python version: epoch, release without trailing zeros, then dev, pre-release, final and post stages by number; None if it is none."""
+    m = re.fullmatch(r"v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[-_.]?(a|alpha|b|beta|c|rc|pre|preview)[-_.]?(\d*))?(?:[-_.]?(post|rev|r)[-_.]?(\d*)|-(\d+))?(?:[-_.]?(dev)[-_.]?(\d*))?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?", v.strip().lower())
     if not m:
         return None
-    release = tuple(int(x) for x in m[1].split("."))
+    number = lambda i: int(m[i] or 0)
+    release = tuple(int(x) for x in m[2].split("."))
     while len(release) > 1 and release[-1] == 0:
         release = release[:-1]
-    tail = m[2].lower().split("+")[0]
-    post = tail.startswith((".post", "-post", "post"))
-    return release, 2 if post else 1 if not tail else 0, tail
-
-
-def _satisfies(v: str, specifier: str, npm: bool) -> bool:
-    key = _version_key(v)
-    if key is None:
-        return False
-
-    def bump(parts, at):
-        parts = list(parts)[: at + 1] + [0] * max(0, at + 1 - len(parts))
-        parts[at] += 1
-        return ".".join(map(str, parts))
-
-    for clause in filter(None, re.split(r"[,\s]+", re.sub(r"([<>=~^!]+)\s+", r"\1", specifier))):
-        op, _, other = re.match(r"^(===|==|>=|<=|!=|~=|\^|~|>|<|=)?()(.*)$", clause).groups()
-        if op in (None, "=", "==", "!=") and (other.endswith((".*", ".x")) or other in ("*", "x", "")):
-            prefix = [int(x) for x in re.findall(r"\d+", other)]
-            inside = list(key[0] + (0,) * len(prefix))[: len(prefix)] == prefix
-            if inside == (op == "!="):
-                return False
-            continue
-        o = _version_key(other)
-        if o is None:
+    post = (number(6) if m[5] else int(m[7])) if m[5] or m[7] else -1
+    stage = (_STAGES[m[3]], number(4)) if m[3] else (_STAGES["dev"], 0) if m[8] and post < 0 else (0, 0)
+    local = tuple((1, int(x), "") if x.isdigit() else (0, 0, x) for x in re.split(r"[-_.]", m[10])) if m[10] else ()
+    return int(m[1] or 0), release, stage, post, (0, number(9)) if m[8] else (1, 0), local
+
+
+def _is_pre(key: tuple) -> bool:
+    return key[2] < (0, 0) or key[4][0] == 0
+
+
+def pypi_fits(v: str, specifier: str) -> bool:
+    """Whether a version satisfies every clause; ValueError for what is no specifier."""
+    key = pypi_key(v)
+    for clause in filter(None, (c.strip() for c in specifier.split(","))):
+        m = re.fullmatch(r"(===|==|!=|~=|<=|>=|<|>)\s*(\S+)", clause)
+        if not m:
             raise ValueError(specifier)
-        parts = [int(x) for x in re.findall(r"\d+", other.split("-")[0])]
-        if op == "^":
-            at = next((i for i, p in enumerate(parts) if p), len(parts) - 1)
-            ok = o <= key and key[0] < _version_key(bump(parts, at))[0]
-        elif op == "~":
-            ok = o <= key and key[0] < _version_key(bump(parts, min(1, len(parts) - 1)))[0]
+        op, other = m[1], m[2]
+        wild = other.endswith(".*")
+        o = pypi_key(other.removesuffix(".*"))
+        if o is None or (wild and op not in ("==", "!=")):
+            raise ValueError(specifier)
+        parts = [int(x) for x in re.match(r"v?(?:\d+!)?([\d.]*\d)", other.lower())[1].split(".")]
+        begins = lambda n: list(key[1] + (0,) * n)[:n] == parts[:n] and key[0] == o[0]
+        public = key if o[5] else (*key[:5], ())
+        if op == "===":
+            ok = v == other
+        elif wild:
+            ok = begins(len(parts)) == (op == "==")
         elif op == "~=":
-            ok = o <= key and key[0] < _version_key(bump(parts[:-1] or [0], max(0, len(parts) - 2)))[0]
+            if len(parts) < 2:
+                raise ValueError(specifier)
+            ok = public >= o and begins(len(parts) - 1)
+        elif op == ">":  # not of the same release by a post-release or a local part alone
+            ok = key > o and not (key[:3] == o[:3] and o[3] < 0 and (key[3] >= 0 or key[5]))
+        elif op == "<":  # nor a pre-release of the version itself
+            ok = key < o and not (_is_pre(key) and not _is_pre(o) and key[:2] == o[:2])
         else:
-            ok = {">=": key >= o, "<=": key <= o, ">": key > o, "<": key < o, "!=": key != o}.get(op, key == o)
+            ok = {"==": public == o, "!=": public != o, ">=": public >= o, "<=": public <= o}[op]
         if not ok:
             return False
     return True
 
 
-def best_version(versions: list[str], specifier: str | None, npm: bool = False) -> str | None:
-    """The highest version that satisfies ``specifier``: a stable one if there is any, else a pre-release.
+def npm_key(v: str) -> tuple | None:
+    """Order of a semantic version: three numbers, then pre-releases before the final one, their parts by number or text."""
+    m = re.fullmatch(r"[v=\s]*(\d+)\.(\d+)\.(\d+)(?:-?([0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*))?(?:\+[0-9A-Za-z.-]+)?", v.strip())
+    if not m:
+        return None
+    pre = tuple((0, int(x), "") if x.isdigit() else (1, 0, x) for x in m[4].split(".")) if m[4] else ()
+    return (int(m[1]), int(m[2]), int(m[3])), (0, pre) if pre else (1, ())
+
+
+def _partial(text: str) -> tuple[list[int], tuple | None]:
+    """The numbers that a partial version gives (``1.x`` gives one) and, of a full one, its key."""
+    text = text.strip().lstrip("v=")
+    key = npm_key(text)
+    if key:
+        return list(key[0]), key
+    m = re.fullmatch(r"(\d+|[xX*])?(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*]))?", text)
+    if m is None:
+        raise ValueError(text)
+    numbers = []
+    for x in m.groups():
+        if x is None or not x.isdigit():
+            break
+        numbers.append(int(x))
+    return numbers, None
+
+
+def _npm_bounds(op: str, text: str) -> tuple[tuple, tuple | None]:
+    """(low, high): keys from low on and below high satisfy the comparator."""
+    numbers, key = _partial(text)
+    start = lambda n: (tuple((list(n) + [0, 0, 0])[:3]), (0, ()))  # noqa: E731  before all pre-releases
+    next_ = lambda n: start([*n[:-1], n[-1] + 1]) if n else None
+    low = key or start(numbers)
+    nothing = (start([]), start([]))
+    if op in ("", "="):
+        return (key, (key[0], (*key[1], 0))) if key else (low, next_(numbers))
+    if op == ">=":
+        return low, None
+    if op == "<":
+        return start([]), key or (start(numbers) if numbers else start([]))
+    if op == "<=":
+        return start([]), (key[0], (*key[1], 0)) if key else next_(numbers)
+    if op == ">":
+        return ((key[0], (*key[1], 0)), None) if key else (next_(numbers), None) if numbers else nothing
+    if op == "^":
+        at = next((i for i, x in enumerate(numbers) if x), len(numbers) - 1)
+        return low, next_(numbers[: at + 1]) if numbers else None
+    return low, next_(numbers[:2]) if numbers else None  # ~
+
+
+def npm_fits(v: str, specifier: str) -> bool:
+    """Whether a version is in one of the ranges that ``||`` separates; ValueError for what is no range.
+
+    A pre-release fits only a range that names a pre-release of the same three numbers.
+    """
+    key = npm_key(v)
+    for range_ in specifier.split("||"):
+        between = re.fullmatch(r"\s*(\S+)\s+-\s+(\S+)\s*", range_)
+        tokens = [(">=", between[1]), ("<=", between[2])] if between else re.findall(r"(>=|<=|>|<|=|\^|~>?)?\s*([^\s<>=^~]+)", range_) or [("", "")]
+        bounds = [_npm_bounds(op.rstrip(">") if op.startswith("~") else op, text) for op, text in tokens]
+        inside = all(low <= key and (high is None or key < high) for low, high in bounds)
+        named = key[1][0] == 1 or any((k := _partial(text)[1]) and k[1][0] == 0 and k[0] == key[0] for _, text in tokens)
+        if inside and named:
+            return True
+    return False
+
+
+def best_version(versions: list[str], specifier: str | None, npm: bool = False, latest: str | None = None) -> str | None:
+    """The highest version that satisfies ``specifier``; of Python versions a stable one if there is any, else a pre-release.
 
-    An invalid specifier, and one of npm that names no registry version, gives the latest.
+    No specifier, an invalid one, and one of npm that names no registry version give ``latest``, or else the highest stable version.
     """
-    known = sorted((v for v in versions if _version_key(v)), key=_version_key)
-    stable = [v for v in known if _version_key(v)[1] > 0]
-    latest = (stable or known or [None])[-1]
-    if not specifier or (npm and re.match(r"^(git|https?:|file:|npm:)", specifier) or "/" in specifier):
+    of, fits = (npm_key, npm_fits) if npm else (pypi_key, pypi_fits)
+    pre = (lambda k: k[1][0] == 0) if npm else _is_pre
+    known = sorted((v for v in versions if of(v)), key=of)
+    latest = latest or ([v for v in known if not pre(of(v))] or known or [None])[-1]
+    said = (specifier or "").strip()
+    if said in ("", "*", "latest") or (npm and (re.match(r"(git\+|git:|https?://|file:|npm:)", said.lower()) or "/" in said)):
         return latest
     try:
-        alternatives = specifier.split("||") if npm else [specifier]
-        fits = [v for v in known if any(_satisfies(v, a, npm) for a in alternatives)]
-    except (ValueError, AttributeError):
+        found = [v for v in known if fits(v, said)]
+    except ValueError:
         return latest
-    return ([v for v in fits if v in stable] or fits or [None])[-1]
+    return ([v for v in found if npm or not pre(of(v))] or found or [None])[-1]
 
 
 def resolve(specs: DataFrame, registry: DataFrame) -> DataFrame:
-    """``specs`` (ecosystem, name, specifier) with the version each resolves to. ``registry``: ecosystem, name, version.
+    """``specs`` (ecosystem, name, specifier) with the version each resolves to. ``registry``: ecosystem, name, version, latest (the tag, may be null).
 
     The versions of one package come together as an array; packages are independent.
     """
 
     @F.pandas_udf("string")
-    def pick(versions: pd.Series, specifier: pd.Series, ecosystem: pd.Series) -> pd.Series:
-        return pd.Series([best_version(list(v) if v is not None else [], s, e == "npm") for v, s, e in zip(versions, specifier, ecosystem)])
+    def pick(versions: pd.Series, specifier: pd.Series, ecosystem: pd.Series, latest: pd.Series) -> pd.Series:
+        return pd.Series([best_version(list(v) if v is not None else [], s, e == "npm", t) for v, s, e, t in zip(versions, specifier, ecosystem, latest)])
 
-    known = registry.groupBy("ecosystem", "name").agg(F.collect_set("version").alias("versions"))
-    return specs.join(known, ["ecosystem", "name"], "left").withColumn("version", pick("versions", "specifier", "ecosystem")).drop("versions")
+    known = registry.groupBy("ecosystem", "name").agg(F.collect_set("version").alias("versions"), F.max("latest").alias("latest"))
+    return specs.join(known, ["ecosystem", "name"], "left").withColumn("version", pick("versions", "specifier", "ecosystem", "latest")).drop("versions", "latest")

@@ -1,3 +1,5 @@
+import json
+
 from auditlake.functions import constants as C
 from auditlake.operators import commands, javascript, mcp, memory, python_ast, scoring, sweep
 from pyspark.sql import functions as F
@@ -55,12 +57,42 @@ def test_line_mask():
     assert sweep.non_code_lines('"""a"""\nb', "python") == [1] and sweep.non_code_lines("# a", "text") == []
 
 
-def test_install_commands():
-    assert commands.classify('pip install "requests>=2" flask==2.0 ./x -r a.txt z')["specs"] == ["requests", "flask==2.0", "z"]
-    assert commands.classify("uv tool run x")["profile_hint"] == "mcp-server"
-    assert commands.classify("npm i left@^1 > out.txt")["specs"] == ["left"]
-    assert commands.classify("uv pip sync reqs.txt")["files"] == ["reqs.txt"]
-    assert commands.classify("ls -l") is None and commands.classify("echo 'open") is None
+def installed(spark, *lines):
+    rows = commands.installs(spark.createDataFrame(list(enumerate(lines)), "n int, command string"), ("n",)).collect()
+    return {(r.n, r.ordinal): r for r in rows}
+
+
+def test_install_commands(spark):
+    got = installed(
+        spark, 'pip install "requests>=2" flask==2.0 ./x -r a.txt z', "uv tool run x && npm i left@^1 @s/p@2.0.1 > out.txt", "uv pip sync reqs.txt -c other.txt more.txt", "ls -l; echo 'open", "npx cowsay; npx --yes cowsay@1.5",
+        "pip install foo[bar] a,b foo.zip b.whl ../c 'd'", "UVX tool; pipinstall x", "uv sync --project=../p", "uv pip sync", None,
+    )
+    assert got[0, 0].specs == ["requests", "flask==2.0", "z"] and got[0, 0].ecosystem == "pypi" and got[0, 0].profile_hint is None
+    assert got[1, 0].profile_hint == "mcp-server" and got[1, 0].profile_reason == "install-verb: uv tool run"
+    assert got[1, 1].specs == ["left", "@s/p@2.0.1"] and got[1, 1].ecosystem == "npm"
+    assert got[2, 0].files == ["reqs.txt", "more.txt"] and got[2, 0].reads == "requirements" and got[2, 0].block_reason is None
+    assert got[4, 1].specs == ["cowsay@1.5"] and got[5, 0].specs == ["foo.zip", "d"] and got[6, 0].specs == ["tool"]
+    assert got[7, 0].project == "../p" and got[8, 0].block_reason and set(got) == {(0, 0), (1, 0), (1, 1), (2, 0), (4, 1), (5, 0), (6, 0), (7, 0), (8, 0)}
+
+
+def test_hook_fails_closed(spark):
+    body = lambda tool, command: json.dumps({"tool_name": tool, "tool_input": {"command": command}})
+    lines = [body("PowerShell", "pip install ghost==9"), body("Bash", "uv pip sync"), body("Read", "pip install ghost"), "no json", "[1]", None, body("Bash", "pip install good"), body("Bash", "ls")]
+    df = commands.payloads(spark.createDataFrame(list(enumerate(lines)), "n int, payload string"))
+    trees = spark.createDataFrame([("pypi", "good", "safe"), ("pypi", "odd", None)], "ecosystem string, spec string, composed_status string")
+    judged = commands.spec_verdicts(commands.installs(df.where("command IS NOT NULL"), ("n",)), trees, ("n",))
+    got = {r.n: (r.exit_code, r.said) for r in commands.decisions(judged, ("n",)).collect()}
+    assert got[0] == (2, "ghost==9 (pypi): preflight-error") and got[1][0] == 2 and "without a requirements file" in got[1][1] and got[6] == (0, "") and set(got) == {0, 1, 6}
+
+
+def test_hints(spark):
+    rows = [
+        ("a", "a", "1", "low-score", "blocked-role-typical", 0.93, False, False), ("a", "b", None, "first-encounter-needs-accept", None, 0.0, False, False),
+        ("c", "c", "2", "first-encounter-needs-accept", None, 0.0, False, False), ("c", "d", "1", "drift", None, 0.0, True, False), ("e", "e", "1", "safe", None, 0.0, False, False),
+    ]
+    nodes = spark.createDataFrame([(1, *r) for r in rows], "n int, spec string, name string, version string, status string, library_status string, role_typical_share double, cycle boolean, truncated boolean")
+    got = sorted(r.hint for r in commands.hints(nodes, ("n",)).collect())
+    assert len(got) == 2 and "a==1: blocked-role-typical (role_typical_share=93%)" in got[0] and "--with-deps c" in got[1]
 
 
 def test_weights_are_the_whole_dimension():
