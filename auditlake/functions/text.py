@@ -11,6 +11,16 @@ from . import constants as C
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+def unicode(pattern: str) -> Column:
+    """``pattern`` with classes, word ends and case that know all of Unicode."""
+    return F.lit("(?U)" + pattern)
+
+
+def strip(text: Column) -> Column:
+    """Without any white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def universal_newlines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
@@ -56,7 +66,7 @@ def entropy(s: Column) -> Column:
 
 def collapse(text: Column, most: int = 200) -> Column:
     """White space runs as one space, cut at ``most`` characters with an ellipsis."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    flat = strip(F.regexp_replace(text, r"(?U)\s+", " "))
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("..."))).otherwise(flat)
 
 

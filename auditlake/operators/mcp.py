@@ -2,38 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import files as P
+from ..functions import text as T
 from . import sweep
 
 
+def _registered() -> Column:
+    """Array of what the line ``said`` registers, a request handler last."""
+    both = F.arrays_zip(F.regexp_extract_all("said", F.lit(C.MCP_JS_REGISTER), 1).alias("verb"), F.regexp_extract_all("said", F.lit(C.MCP_JS_REGISTER), 2).alias("name"))
+    row = lambda kind, detail, name, verb: F.struct(kind.alias("kind"), detail.alias("detail"), name.alias("name"), verb.alias("decorator"))
+    named = F.transform(both, lambda m: row(F.when(m["verb"] == "tool", "mcp_tool").otherwise("mcp_resource"), F.concat(m["verb"], F.lit("('"), m["name"], F.lit("')")), m["name"], m["verb"]))
+    handler = F.array(row(F.lit("mcp_tool"), F.lit("setRequestHandler"), F.lit("<handler>"), F.lit("handler")))
+    return F.when(F.rlike("said", F.lit(C.MCP_JS_HANDLER)), F.concat(named, handler)).otherwise(named)
+
+
 def js_registrations(files: DataFrame, keys: tuple = sweep.KEYS) -> DataFrame:
-    """(*keys, line, kind, name) of JavaScript files: named registrations, and one row for each line that sets a request handler."""
-    lines = sweep.code_lines(files, keys, comments=True)
-    named = sweep.matches(lines, C.MCP_JS_REGISTER, keys, 2).withColumn("verb", F.regexp_extract("whole", C.MCP_JS_REGISTER, 1))
-    named = named.select(*keys, "line", F.when(F.col("verb") == "tool", "mcp_tool").otherwise("mcp_resource").alias("kind"), F.col("part").alias("name"))
-    handlers = lines.where(F.rlike("said", F.lit(C.MCP_JS_HANDLER))).select(*keys, "line", F.lit("mcp_tool").alias("kind"), F.lit("<handler>").alias("name"))
-    return named.unionByName(handlers)
-
-
-def injections(texts: DataFrame, keys: tuple, owner: str = "owner", text: str = "text") -> DataFrame:
-    """At most two rows for each text: an override phrase, and zero-width or bidi-override characters."""
-    marks = F.array_compact(F.array(
-        F.when(F.rlike(text, F.lit(C.INJECTION)), F.lit("")),
-        F.when(F.rlike(text, F.lit(C.ZERO_WIDTH)), F.lit("zero-width")),
+    """(*keys, line, ordinal, kind, detail, name, decorator) of JavaScript files: named registrations, and one row for each line that sets a request handler."""
+    lines = sweep.code_lines(files.where("language = 'javascript'"), keys, comments=True)
+    return lines.select(*keys, "line", F.posexplode(_registered()).alias("ordinal", "r")).select(*keys, "line", "ordinal", "r.*")
+
+
+def injections(text: Column, owner: Column) -> Column:
+    """Array of at most two structs (kind, detail, owner, marker): an override phrase, and zero-width or bidi-override characters."""
+    row = lambda said, marker: F.struct(F.lit("prompt_injection_hint").alias("kind"), F.format_string(said, owner).alias("detail"), owner.alias("owner"), F.lit(marker).cast("string").alias("marker"))
+    return F.array_compact(F.array(
+        F.when(F.rlike(text, T.unicode(C.INJECTION)), row("injection-shaped text near '%s'", None)),
+        F.when(F.rlike(text, F.lit(C.ZERO_WIDTH)), row("zero-width characters in description for '%s'", "zero-width")),
     ))
-    out = texts.select(*keys, F.col(owner).alias("owner"), F.explode(marks).alias("marker"))
-    detail = F.when(F.col("marker") == "", F.format_string("injection-shaped text near '%s'", "owner")).otherwise(F.format_string("zero-width characters in description for '%s'", "owner"))
-    return out.select(*keys, F.lit("prompt_injection_hint").alias("kind"), detail.alias("detail"), "owner", F.nullif("marker", F.lit("")).alias("marker"))
 
 
-def js_injections(files: DataFrame, keys: tuple = sweep.KEYS) -> DataFrame:
-    """Injections in JavaScript texts that register something."""
-    registers = js_registrations(files, keys).select(*keys).distinct()
-    return injections(files.join(registers, list(keys), "left_semi").withColumn("owner", F.col(keys[-1])), keys)
+def js_injections(files: DataFrame, keys: tuple = sweep.KEYS, rel: str = "rel") -> DataFrame:
+    """(*keys, kind, detail, owner, marker): injections in JavaScript texts of which some line registers something."""
+    registers = F.exists(T.lines(F.col("text")), lambda x: F.rlike(x, F.lit(C.MCP_JS_REGISTER)) | F.rlike(x, F.lit(C.MCP_JS_HANDLER)))
+    own = files.where("language = 'javascript'").where(registers)
+    return own.select(*keys, F.explode(injections(F.col("text"), F.col(rel))).alias("i")).select(*keys, "i.*")
 
 
 def launch_drift(files: DataFrame, keys: tuple = sweep.KEYS, rel: str = "rel") -> DataFrame:

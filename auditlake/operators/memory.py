@@ -15,47 +15,50 @@ def severity(kind: Column) -> Column:
 
 
 def blob_lines(blobs: DataFrame, keys: tuple, text: str = "blob") -> DataFrame:
-    return blobs.select(*keys, F.posexplode(T.lines(F.col(text))).alias("pos", "said")).select(*keys, (F.col("pos") + 1).alias("line"), "said")
+    """(*keys, line, said, chars): the lines of each blob, with the length of the blob."""
+    out = blobs.select(*keys, F.length(text).alias("chars"), F.posexplode(T.lines(F.col(text))).alias("pos", "said"))
+    return out.select(*keys, (F.col("pos") + 1).alias("line"), "said", "chars")
 
 
-def find_pattern(lines: DataFrame, keys: tuple, pattern: str, kind: str, signal: str) -> DataFrame:
-    """Every match of ``pattern`` on every line; the detail is the match without white space around it."""
-    found = sweep.matches(lines, pattern, keys)
-    return found.select(*keys, "line", F.lit(kind).alias("kind"), F.trim("whole").alias("detail"), F.lit(signal).alias("signal"))
+def _signals() -> list[Column]:
+    found = lambda kind, signal: lambda m: sweep.finding(F.lit(kind), T.strip(m), signal=F.lit(signal))
+    return [F.transform(F.regexp_extract_all("said", T.unicode(p), 0), found(k, s)) for p, k, s in C.MEMORY_PATTERNS]
 
 
-def _signal(kind: str, signal: str):
-    return lambda m: F.struct(F.lit(kind).alias("kind"), F.trim(m).alias("detail"), F.lit(signal).alias("signal"))
+def _zero_width() -> Column:
+    return F.when(F.rlike("said", F.lit(C.ZERO_WIDTH)), F.array(sweep.finding(F.lit("obfuscation"), F.lit("<zero-width / bidi-override chars>"), signal=F.lit("zero-width"))))
+
+
+def _anomalies() -> Column:
+    """Lines over their cap and, on its first line, a blob over its cap; needs ``said``, ``line`` and ``chars`` of the blob."""
+    over = lambda what, n, cap, signal: sweep.finding(F.lit("obfuscation"), F.format_string(f"<{what} len=%d > cap {cap}>", n), signal=F.lit(signal))
+    blob = F.when((F.col("line") == 1) & (F.col("chars") > C.MAX_BLOB_CHARS), over("blob", F.col("chars"), C.MAX_BLOB_CHARS, "oversized-blob"))
+    line = F.when(F.length("said") > C.MAX_LINE_CHARS, over("line", F.length("said"), C.MAX_LINE_CHARS, "oversized-line"))
+    return F.array_compact(F.array(blob, line))
+
+
+def _found(lines: DataFrame, keys: tuple, arrays: list[Column]) -> DataFrame:
+    return lines.select(*keys, "line", F.explode(sweep.gathered(arrays)).alias("f")).select(*keys, "line", "f.*")
 
 
 def find_signals(lines: DataFrame, keys: tuple) -> DataFrame:
-    """All line patterns in one pass over the lines: a bank of patterns is exploded per line, not a union of scans."""
-    hit = lambda p: F.regexp_extract_all("said", F.lit(p), 0)
-    bank = [F.transform(hit(p), _signal(k, s)) for p, k, s in C.MEMORY_PATTERNS]
-    found = lines.select(*keys, "line", F.explode(F.concat(*bank)).alias("m"))
-    return found.select(*keys, "line", "m.kind", "m.detail", "m.signal")
+    """All line patterns in one pass over the lines; the detail is the match without white space around it."""
+    return _found(lines, keys, _signals()).select(*keys, "line", "kind", "detail", "signal")
 
 
 def find_zero_width(lines: DataFrame, keys: tuple) -> DataFrame:
-    return lines.where(F.rlike("said", F.lit(C.ZERO_WIDTH))).select(*keys, "line", F.lit("obfuscation").alias("kind"), F.lit("<zero-width / bidi-override chars>").alias("detail"), F.lit("zero-width").alias("signal"))
+    return _found(lines, keys, [_zero_width()]).select(*keys, "line", "kind", "detail", "signal")
 
 
 def find_anomalies(blobs: DataFrame, keys: tuple, text: str = "blob") -> DataFrame:
-    """Blobs and lines over their caps."""
-    row = lambda df, line, what, n, cap, signal: df.select(*keys, line.alias("line"), F.lit("obfuscation").alias("kind"), F.format_string(f"<{what} len=%d > cap {cap}>", n).alias("detail"), F.lit(signal).alias("signal"))
-    long_blobs = row(blobs.where(F.length(text) > C.MAX_BLOB_CHARS), F.lit(1), "blob", F.length(text), C.MAX_BLOB_CHARS, "oversized-blob")
-    long_lines = row(blob_lines(blobs, keys, text).where(F.length("said") > C.MAX_LINE_CHARS), F.col("line"), "line", F.length("said"), C.MAX_LINE_CHARS, "oversized-line")
-    return long_blobs.unionByName(long_lines)
+    """Blobs and lines over their caps; a blob under the cap of a line can have neither."""
+    long = blobs.where(F.length(text) > C.MAX_LINE_CHARS)
+    return _found(blob_lines(long, keys, text), keys, [_anomalies()]).select(*keys, "line", "kind", "detail", "signal")
 
 
 def scan(blobs: DataFrame, keys: tuple = ("source",), text: str = "blob") -> DataFrame:
-    """All findings of each blob, those of the text sweep included."""
-    files = blobs.select(*keys, F.lit("text").alias("language"), F.col(text).alias("text"))
-    lines = blob_lines(blobs, keys, text)
-    out = sweep.sweep(files, keys)
-    for more in (find_signals(lines, keys), find_zero_width(lines, keys), find_anomalies(blobs, keys, text)):
-        out = out.unionByName(more, allowMissingColumns=True)
-    return out
+    """All findings of each blob, those of the text sweep included: each line is exploded once, with all its findings in one array."""
+    return _found(blob_lines(blobs, keys, text), keys, [*(a for a, _ in sweep.bank()), *_signals(), _zero_width(), _anomalies()])
 
 
 def summarize(findings: DataFrame, blobs: DataFrame, keys: tuple = ("source",)) -> DataFrame:

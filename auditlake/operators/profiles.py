@@ -77,12 +77,16 @@ def by_name(packages: DataFrame, names: DataFrame) -> DataFrame:
     return out.withColumn("profile", F.coalesce(chain(servers), "exact", chain([r for r in NAME_PREFIXES if r not in servers]))).drop("exact")
 
 
-def resolve(explicit: Column, pinned: Column, by_name_: Column, registrations: Column, has_entry_point: Column) -> tuple[Column, Column]:
-    """(profile, reason), in the order: explicit, baseline's pin, name, registrations in the code, entry points, plugin."""
-    profile = F.coalesce(explicit, pinned, by_name_, F.when(registrations >= 1, "mcp-server"), F.when(has_entry_point, "cli-framework"), F.lit(C.DEFAULT_PROFILE))
+def resolve(explicit: Column, pinned: Column, by_name_: Column, registrations: Column, entry_points: Column) -> tuple[Column, Column]:
+    """(profile, reason), in the order: explicit, baseline's pin, name, registrations in the code, entry points, plugin.
+
+    ``registrations`` and ``entry_points`` are counts (null is none).
+    """
+    tools, points = F.coalesce(registrations, F.lit(0)), F.coalesce(entry_points, F.lit(0))
+    profile = F.coalesce(explicit, pinned, by_name_, F.when(tools >= 1, "mcp-server"), F.when(points >= 1, "cli-framework"), F.lit(C.DEFAULT_PROFILE))
     reason = F.coalesce(
-        F.when(explicit.isNotNull(), "explicit"), F.when(pinned.isNotNull(), "baseline"), F.when(by_name_.isNotNull(), "name"),
-        F.when(registrations >= 1, F.format_string("content: %d registration(s)", registrations)), F.when(has_entry_point, "metadata: entry points"), F.lit("default"),
+        F.when(explicit.isNotNull(), "explicit"), F.when(pinned.isNotNull(), F.concat(F.lit("library-baseline: pinned profile "), pinned)), F.when(by_name_.isNotNull(), "name-allowlist"),
+        F.when(tools >= 1, F.format_string("content: %d registration(s)", tools)), F.when(points >= 1, F.format_string("metadata: %d entry point(s)", points)), F.lit("default"),
     )
     return profile, reason
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -13,12 +12,13 @@ from ..functions import dims, files
 def dedupe_hosts(findings: DataFrame) -> DataFrame:
     """Of hardcoded_host findings the first of each host of a package, in the order of (file, line, seq); others pass.
 
-    Needs package_id, seq, kind, file, line and host; a missing host is the host "". Runs before contexts are looked at.
+    Needs package_id, seq, kind, file, line and host; a missing host is the host "". Runs before contexts are looked at. Only hosts
+    shuffle, as partial minima.
     """
-    hosts = findings.where("kind = 'hardcoded_host'")
-    first = W.partitionBy("package_id", F.coalesce("host", F.lit(""))).orderBy("file", "line", "seq")
-    kept = hosts.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return findings.where("kind != 'hardcoded_host'").unionByName(kept)
+    rest = [c for c in findings.columns if c != "package_id"]
+    hosts = findings.where("kind = 'hardcoded_host'").groupBy("package_id", F.coalesce("host", F.lit("")).alias("_host"))
+    first = hosts.agg(F.min_by(F.struct(*rest), F.struct("file", "line", "seq")).alias("f")).select("package_id", "f.*")
+    return findings.where("kind != 'hardcoded_host'").unionByName(first)
 
 
 def runtime_findings(findings: DataFrame) -> DataFrame:
@@ -52,13 +52,13 @@ def deductions(findings: DataFrame) -> DataFrame:
     )
 
 
-def score(findings: DataFrame) -> DataFrame:
+def score(findings: DataFrame, packages: DataFrame | None = None) -> DataFrame:
     """One row a package: final_score, deducted, role_typical_deducted, role_typical_share (unrounded; 0.0 without deductions), critical.
 
-    A package all of whose findings weigh nothing has 100.
+    A package all of whose findings weigh nothing has 100. ``packages`` (package_id, profile) also names those without findings, which have 100.
     """
     known = F.when(F.col("profile").isin(C.PROFILES), F.col("profile")).otherwise(C.DEFAULT_PROFILE)
-    packages = findings.select("package_id", known.alias("profile")).distinct()
+    packages = (findings if packages is None else packages).select("package_id", known.alias("profile")).distinct()
     sums = deductions(findings).groupBy("package_id", "profile").agg(
         F.sum("deducted").alias("deducted"),
         F.coalesce(F.sum(F.when(F.col("role_typical"), F.col("deducted"))), F.lit(0)).alias("role_typical_deducted"),
@@ -69,9 +69,12 @@ def score(findings: DataFrame) -> DataFrame:
     return out.select("package_id", "profile", F.greatest(F.lit(0), 100 - F.col("deducted")).cast("int").alias("final_score"), "deducted", "role_typical_deducted", share.alias("role_typical_share"), "critical")
 
 
-def round_share(share: Column) -> Column:
-    """To three places as Python rounds: for the one row a package of a report."""
-    return F.udf(lambda x: None if x is None else round(x, 3), "double")(share)
+def rounded_share(typical: Column, deducted: Column) -> Column:
+    """typical / deducted to three places in whole numbers, a tie to the even digit; 0.0 without deductions."""
+    low = F.floor(typical * 1000 / F.greatest(deducted, F.lit(1)))
+    over = 2 * (typical * 1000 - low * deducted)
+    up = (over > deducted) | ((over == deducted) & (low % 2 == 1))
+    return F.when(deducted > 0, (low + F.when(up, 1).otherwise(0)) / 1000.0).otherwise(0.0)
 
 
 def blocked_status(critical: Column, share: Column) -> Column:

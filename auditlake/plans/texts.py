@@ -17,16 +17,16 @@ _ROUTABLE = "NOT (regexp_matches(ip, '^(127\\.|0\\.|10\\.|169\\.254\\.|192\\.168
 _DOC_LINES = D.lines_sql("documents", "text", "doc_id")
 
 
-def _doc_lines(spark, sf):
-    return sweep.code_lines(D.documents_as_files(spark, sf), ("doc_id",), comments=True)
+def _doc_lines(spark, sf, hint=None):
+    return sweep.code_lines(D.documents_as_files(spark, sf), ("doc_id",), comments=True, hint=hint)
 
 
 def ipv4_sweep(spark, sf):
-    return sweep.find_ipv4(_doc_lines(spark, sf), ("doc_id",)).select("doc_id", "line", "host")
+    return sweep.find_ipv4(_doc_lines(spark, sf, sweep.IPV4_HINT), ("doc_id",)).select("doc_id", "line", "host")
 
 
 def ipv4_nonroutable(spark, sf):
-    found = sweep.matches(_doc_lines(spark, sf), C.IPV4, ("doc_id",), 1)
+    found = sweep.matches(_doc_lines(spark, sf, sweep.IPV4_HINT), C.IPV4, ("doc_id",), 1)
     return found.groupBy(T.non_routable(F.col("part")).alias("non_routable")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -166,7 +166,7 @@ def _memory_journal(spark, sf):
     return d.select(F.col("doc_id").alias("seq"), F.col("source"), F.concat(F.lit("v"), (F.col("doc_id") % 17 + 1).cast("string")).alias("version"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.when(F.col("doc_id") % 5 == 0, "revoked").otherwise("approved").alias("status"))
 
 
-_MEMORY_SQL = "m AS (SELECT doc_id AS seq, source, 'v' || (doc_id % 17 + 1) AS version, sha256(coalesce(text, '')) AS sha256, CASE WHEN doc_id % 5 = 0 THEN 'revoked' ELSE 'approved' END AS status FROM documents WHERE doc_id % 3 <> 0)"
+_MEMORY_SQL = "m AS (SELECT doc_id AS seq, source, 'v' || (doc_id % 17 + 1) AS version, sha256(coalesce(text, '')) AS sha256, CASE WHEN doc_id % 5 = 0 THEN 'revoked' ELSE 'approved' END AS status FROM documents)"
 
 
 def memory_approval_lookup(spark, sf):
@@ -206,7 +206,7 @@ _JS = ["server.tool('read_file', x)", "app.resource(\"notes/a\", y); server.prom
 def js_mcp_registrations(spark, sf):
     js = F.expr(D.pick("s_suppkey % 4", [x.replace("'", '"') for x in _JS]))
     s = D.table(spark, sf, "supplier").select("s_suppkey", F.lit("javascript").alias("language"), F.concat(F.lit("\n"), js).alias("text"))
-    return mcp.js_registrations(s, ("s_suppkey",))
+    return mcp.js_registrations(s, ("s_suppkey",)).select("s_suppkey", "line", "kind", "name")
 
 
 _JS_ROWS = [(0, "mcp_tool", "read_file"), (1, "mcp_resource", "notes/a"), (1, "mcp_resource", "p"), (2, "mcp_tool", "<handler>")]
@@ -256,11 +256,14 @@ _REQS = ["flask>=2\n-r more.txt\n# note", "Requests[socks] (>=1.0) ; python_vers
 
 
 def requirement_includes(spark, sf):
+    """The first specifier of each name that a supplier's requirement file declares, with what it includes."""
     s = D.table(spark, sf, "supplier")
-    two = F.array(F.struct(F.lit("a.txt").alias("rel"), F.lit(_REQS[0]).alias("text")), F.struct(F.lit("more.txt").alias("rel"), F.lit(_REQS[1]).alias("text")))
-    files = s.select(F.col("s_suppkey").alias("package_id"), F.explode(two).alias("f")).select("package_id", "f.*")
-    lines = requirements.includes(requirements.requirement_lines(files)).where("root = 'a.txt'")
-    return requirements.parsed(lines.withColumn("place", F.concat("rel", F.lit(":"), F.col("line").cast("string"))), ("package_id",), "place").select("package_id", "name", "specifier")
+    folder = F.concat(F.lit("/p"), F.col("s_suppkey").cast("string"))
+    two = F.array(F.struct(F.lit("/a.txt").alias("rel"), F.lit(_REQS[0]).alias("text")), F.struct(F.lit("/more.txt").alias("rel"), F.lit(_REQS[1]).alias("text")))
+    files = s.select(folder.alias("folder"), F.explode(two).alias("f")).select(F.concat("folder", "f.rel").alias("path"), "f.text")
+    roots = s.select(F.col("s_suppkey").alias("root"), F.concat(folder, F.lit("/a.txt")).alias("path"))
+    lines, _ = requirements.includes(roots, files)
+    return requirements.parsed(lines, ("root",), "place").select(F.col("root").alias("package_id"), "name", "specifier")
 
 
 def _of(rows, columns, modulus):
@@ -276,10 +279,10 @@ QUERIES = {
     "url_sweep_pages": (url_sweep_pages, "WITH u AS (SELECT page_id, regexp_extract(url, '\\bhttps?://([A-Za-z0-9.\\-_]+)(?::\\d+)?(/[^\\s\"''`<>]*)?') AS detail, lower(regexp_extract(url, '\\bhttps?://([A-Za-z0-9.\\-_]+)', 1)) AS host FROM pages) SELECT page_id, 1 AS line, 'hardcoded_host' AS kind, detail, host FROM u WHERE host <> '' AND host NOT IN ('example.com', 'example.org', 'example.net', 'example.edu')"),
     "url_telemetry_classify": (url_telemetry_classify, f"WITH {_URLS_SQL} SELECT page_id, host, CASE WHEN host IN ('sentry.io', 'api.segment.io') THEN 'telemetry_endpoint' ELSE 'hardcoded_host' END AS kind, 'https://' || host || ':8443/p/' || page_id AS detail FROM u WHERE host NOT IN ('localhost', 'example.com', 'a.test')"),
     "env_secret_refs": (env_secret_refs, f"SELECT page_id, {D.pick('page_id % 6', ['API_KEY', 'DB_PASSWORD', None, None, None, 'AWS_SECRET'])} AS env_name FROM pages WHERE page_id % 6 IN (0, 1, 5)"),
-    "base64_entropy": (base64_entropy, """WITH p AS (SELECT page_id, md5(page_id || 'a') || md5(page_id || 'b') || md5(page_id || 'c') || md5(page_id || 'd') AS h FROM pages WHERE page_id % 3 = 0 AND page_id % 2 = 0),
+    "base64_entropy": (base64_entropy, """WITH p AS (SELECT page_id, md5(page_id || 'a') || md5(page_id || 'b') || md5(page_id || 'c') || md5(page_id || 'd') AS h FROM pages WHERE page_id % 2 = 0),
       b AS (SELECT page_id, h || upper(substr(h, 1, 64)) || 'ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ' AS s FROM p), c AS (SELECT page_id, length(s) AS n, unnest(string_split(s, '')) AS ch FROM b),
       k AS (SELECT page_id, n, ch, count(*) AS c FROM c WHERE ch <> '' GROUP BY ALL) SELECT page_id, CAST(n AS INT) AS length, round(round(-sum(c / n * log2(c / n)), 2), 1) AS entropy FROM k GROUP BY page_id, n"""),
-    "content_hash_by_source": (content_hash_by_source, "SELECT source AS package_id, sha256(string_agg('doc' || doc_id || '.txt' || chr(0) || text || chr(0), '' ORDER BY 'doc' || doc_id || '.txt', text)) AS target_hash FROM documents WHERE length(text) < 4000 GROUP BY source"),
+    "content_hash_by_source": (content_hash_by_source, "SELECT source AS package_id, sha256(string_agg('doc' || doc_id || '.txt' || chr(0) || coalesce(text, '') || chr(0), '' ORDER BY 'doc' || doc_id || '.txt', text)) AS target_hash FROM documents GROUP BY source"),
     "skip_dir_prune": (skip_dir_prune, f"SELECT s_suppkey, rel FROM (SELECT s_suppkey, {D.pick('s_suppkey % 8', _PATHS)} AS rel FROM supplier) WHERE s_suppkey % 8 IN (0, 3, 5, 6)"),
     "skip_dir_prune_package": (skip_dir_prune_package, f"SELECT s_suppkey, rel FROM (SELECT s_suppkey, {D.pick('s_suppkey % 8', _PATHS)} AS rel FROM supplier) WHERE s_suppkey % 8 NOT IN (1, 4)"),
     "language_classify": (language_classify, f"SELECT {D.pick('s_suppkey % 8', ['python', 'javascript', 'javascript', 'text', 'binary', 'binary', 'javascript', 'text'])} AS language, count(*) AS n FROM supplier GROUP BY 1"),
@@ -292,7 +295,7 @@ QUERIES = {
     "memory_anomalies": (memory_anomalies, f"""WITH {_DOC_LINES} SELECT doc_id, 1 AS line, '<blob len=' || length(text) || ' > cap 8000>' AS detail, 'oversized-blob' AS signal FROM documents WHERE length(text) > 8000
       UNION ALL SELECT doc_id, line, '<line len=' || length(said) || ' > cap 600>', 'oversized-line' FROM lines WHERE length(said) > 600"""),
     "memory_summary_level": (memory_summary_level, _summary_sql()),
-    "memory_approval_lookup": (memory_approval_lookup, f"""WITH {_MEMORY_SQL}, l AS (SELECT source, sha256, arg_max(status, seq) AS status FROM m GROUP BY ALL)
+    "memory_approval_lookup": (memory_approval_lookup, f"""WITH {_MEMORY_SQL}, l AS (SELECT source, sha256, arg_max(status, seq) AS status FROM m WHERE seq % 3 <> 0 GROUP BY ALL)
       SELECT d.source, CASE WHEN status IS NULL THEN 'unknown_content' WHEN status = 'approved' THEN 'approved' ELSE 'baseline_not_approved' END AS reason_code, coalesce(status = 'approved', false) AS approved, count(*) AS n
       FROM documents d LEFT JOIN l ON l.source = d.source AND l.sha256 = sha256(coalesce(d.text, '')) GROUP BY ALL"""),
     "memory_next_version": (memory_next_version, f"WITH {_MEMORY_SQL} SELECT source, 'v' || (max(CAST(substr(version, 2) AS INT)) + 1) AS next_version FROM m GROUP BY source"),
@@ -302,5 +305,5 @@ QUERIES = {
     "python_detectors": (python_detectors, _of(_PY_ROWS, ["seq", "kind", "line", "fqn", "host", "shape"], 6)),
     "js_detectors": (js_detectors, _of(_JS_FOUND, ["seq", "kind", "line", "fqn", "host"], 4)),
     "line_mask": (line_mask, _of([(0, 3, "b.io"), (1, 4, "d.io")], ["line", "host"], 2)),
-    "requirement_includes": (requirement_includes, "SELECT s_suppkey AS package_id, name, specifier FROM supplier CROSS JOIN (VALUES ('flask', '>=2'), ('requests', '>=1.0')) AS t(name, specifier) WHERE s_suppkey % 2 = 0"),
+    "requirement_includes": (requirement_includes, "SELECT s_suppkey AS package_id, name, specifier FROM supplier CROSS JOIN (VALUES ('flask', '>=2'), ('requests', '>=1.0')) AS t(name, specifier)"),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import tarfile
+import tomllib
 import zipfile
 from pathlib import PurePosixPath
 
@@ -116,24 +117,31 @@ def unpack(archives: DataFrame) -> DataFrame:
     return archives.select("package_id", "path", "content").mapInPandas(run, "package_id string, rel string, content binary")
 
 
+def _project(text: str) -> tuple[str | None, str | None, int]:
+    """Name, version and number of console entry points of a pyproject.toml; nothing of what is no TOML."""
+    try:
+        project = tomllib.loads(text).get("project") or {}
+        console = (project.get("entry-points") or {}).get("console_scripts") or {}
+        return project.get("name"), project.get("version"), len(project.get("scripts") or {}) + len(console)
+    except (tomllib.TOMLDecodeError, AttributeError, TypeError):
+        return None, None, 0
+
+
 def metadata(files: DataFrame) -> DataFrame:
-    """(package_id, ecosystem, name, version, has_entry_point): pyproject.toml goes before package.json, else unknown."""
-    import tomllib
+    """(package_id, ecosystem, name, version, entry_points): pyproject.toml goes before package.json, else unknown.
 
-    @F.pandas_udf("struct<name:string,version:string,scripts:boolean>")
+    A manifest that can't be read still says which ecosystem it is; the name is then the package's own.
+    """
+
+    @F.pandas_udf("struct<name:string,version:string,entry_points:int>")
     def toml(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            try:
-                project = tomllib.loads(t).get("project") or {}
-                rows.append((project.get("name"), project.get("version"), bool(project.get("scripts"))))
-            except (tomllib.TOMLDecodeError, AttributeError, TypeError):
-                rows.append((None, None, False))
-        return pd.DataFrame(rows, columns=["name", "version", "scripts"])
-
-    py = files.where("rel = 'pyproject.toml'").select("package_id", toml("text").alias("m")).select("package_id", F.lit(1).alias("rank"), F.lit("pypi").alias("ecosystem"), "m.*")
+        return pd.DataFrame([_project(t) for t in texts], columns=["name", "version", "entry_points"])
+
+    own = files.where("rel IN ('pyproject.toml', 'package.json')")
+    py = own.where("rel = 'pyproject.toml'").select("package_id", toml(F.coalesce("text", F.lit(""))).alias("m")).select("package_id", F.lit(1).alias("rank"), F.lit("pypi").alias("ecosystem"), "m.*")
     j = F.from_json("text", "struct<name:string,version:string,bin:string>")
-    js = files.where("rel = 'package.json'").select("package_id", j.alias("m")).select("package_id", F.lit(2).alias("rank"), F.lit("npm").alias("ecosystem"), "m.name", "m.version", F.col("m.bin").isNotNull().alias("scripts"))
-    found = py.unionByName(js).where("name IS NOT NULL").groupBy("package_id").agg(F.min(F.struct("rank", "ecosystem", "name", "version", "scripts")).alias("m"))
+    bins = F.when(F.col("m.bin").startswith("{"), F.size(F.map_keys(F.from_json("m.bin", "map<string,string>")))).when(F.coalesce("m.bin", F.lit("")) != "", 1).otherwise(0)
+    js = own.where("rel = 'package.json'").select("package_id", j.alias("m")).select("package_id", F.lit(2).alias("rank"), F.lit("npm").alias("ecosystem"), "m.name", "m.version", F.coalesce(bins, F.lit(0)).alias("entry_points"))
+    found = py.unionByName(js).groupBy("package_id").agg(F.min(F.struct("rank", "ecosystem", "name", "version", "entry_points")).alias("m"))
     out = files.select("package_id").distinct().join(found, "package_id", "left")
-    return out.select("package_id", F.coalesce("m.ecosystem", F.lit("unknown")).alias("ecosystem"), F.coalesce("m.name", "package_id").alias("name"), "m.version", F.coalesce("m.scripts", F.lit(False)).alias("has_entry_point"))
+    return out.select("package_id", F.coalesce("m.ecosystem", F.lit("unknown")).alias("ecosystem"), F.coalesce(F.nullif("m.name", F.lit("")), "package_id").alias("name"), "m.version", F.coalesce("m.entry_points", F.lit(0)).alias("entry_points"))

@@ -30,7 +30,7 @@ def test_unpack_and_metadata(spark):
     found = files.audit_root(files.classify(raw).withColumn("ecosystem", F.lit("pypi")))
     assert [r.rel for r in found.collect()] == ["pyproject.toml"]
     meta = files.metadata(found).first()
-    assert (meta.name, meta.version, meta.has_entry_point) == ("pkg", "1", True)
+    assert (meta.name, meta.version, meta.entry_points > 0) == ("pkg", "1", True)
     assert [(r.name, r.specifier) for r in requirements.declared(found).collect()] == [("x", ">=1")]
 
 
