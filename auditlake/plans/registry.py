@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import findings, packages, texts
+from . import findings, library, packages, texts
 
-MODULES = [findings, texts, packages]
+MODULES = [findings, texts, packages, library]
 
 
 def queries() -> dict:
