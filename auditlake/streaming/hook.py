@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import text as T
 from ..operators import verdict
 from ..sources import journal
 
@@ -31,10 +32,14 @@ def run(events: DataFrame, to_candidates: Callable[[DataFrame], DataFrame], jour
         done = not rows.where(F.col("batch_id") == batch_id).isEmpty()
         if done or batch.isEmpty():
             return
-        judged = judge_batch(to_candidates(batch), rows).where("write_status IS NOT NULL")
+        candidates = to_candidates(batch)
+        # only what the journal holds of the batch's packages is indexed
+        own = rows.join(candidates.select(*journal.PACKAGE).distinct(), journal.PACKAGE, "left_semi")
+        judged = judge_batch(candidates, own).where("write_status IS NOT NULL")
         last = rows.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first().m
         keep = judged.select("ecosystem", "name", "version", "target_hash", "profile", F.col("write_status").alias("status"), "score", "role_typical_share")
-        out = journal.stamp(keep, last + 1, "1970-01-01 00:00:00").withColumn("batch_id", F.lit(batch_id)).withColumn("audited_at", F.lit(None).cast("string"))
+        now = spark.range(1).select(T.iso_seconds(F.current_timestamp()).alias("now")).first().now
+        out = journal.stamp(keep, last + 1, now).withColumn("batch_id", F.lit(batch_id)).withColumn("audited_at", F.lit(now))
         out.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode("append").parquet(journal_path)
 
     writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
