@@ -9,13 +9,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = r"[\x20\x09-\x0D]+"
-#: Rows in an Arrow batch: whole texts are sent to Python, so batches are kept short.
-BATCH_ROWS = "500"
+#: An Arrow batch ends at so many rows or bytes: whole texts are sent to Python, so batches of these are kept short.
+BATCH_ROWS, BATCH_BYTES = "5000", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Short Arrow batches, so that a worker's memory doesn't grow with the texts' length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where it is unset (tests on one machine)."""
+    """``spark.checkpoint.dir``, or a temporary folder where it is unset and all tasks run in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="auditlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -60,6 +63,12 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def row_key(id_column: str, text_column: str) -> tuple[Column, Column]:
+    """128 bits by which a row is known in shuffles, of its id and text: rows that repeat both have the same key."""
+    known = [F.col(id_column).isNull(), F.col(id_column), F.col(text_column).isNull(), F.col(text_column)]
+    return F.xxhash64(*known), F.xxhash64(F.lit("second"), *known)
+
+
 def held_fold(id_column: str, folds: int):
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % folds

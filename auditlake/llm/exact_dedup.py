@@ -14,6 +14,8 @@ shuffle and the result stays exact).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,14 +64,15 @@ def _runs(sorted_keys: np.ndarray):
 
 
 def _merge(least: int):
-    def merge(key, group):
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cells of one chunk that are used ``least`` times over all tasks, as a bitmap of ``CHUNK`` bits."""
         uses = np.zeros(CHUNK, np.uint8)
-        for column in ("used", "again"):
-            for cells in group.column(column).to_pylist():
-                at = np.frombuffer(cells, "<u2")
-                uses[at] = np.minimum(uses[at] + 1, 2)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(uses >= least).tobytes()], pa.binary())})
+        for batch in batches:
+            for column in ("used", "again"):
+                for cells in batch.column(column):
+                    at = np.frombuffer(cells.as_buffer(), "<u2")
+                    uses[at] = np.minimum(uses[at] + 1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(uses >= least).tobytes()], pa.binary())], ["chunk", "bits"])
 
     return merge
 
@@ -89,10 +92,10 @@ def membership_filter(values: DataFrame, rows: int, bits_per_row: int, max_bytes
     """Filter of the first column of ``values`` (long), of at most ``max_bytes`` (64 KB at least)."""
     n_cells = max(CHUNK * 8, min(rows * bits_per_row, max_bytes * 8))
     n_cells = -(-n_cells // CHUNK) * CHUNK
-    return BloomFilter(_gather(values, n_cells, 1))
+    return BloomFilter(gather(values, n_cells, 1))
 
 
-def _gather(values: DataFrame, n_cells: int, least: int) -> np.ndarray:
+def gather(values: DataFrame, n_cells: int, least: int) -> np.ndarray:
     """Bits of the cells used ``least`` times (1 or 2): ``n_cells`` / 8 bytes in all come to the driver."""
     chunks = values.mapInArrow(_partial(n_cells), "chunk long, used binary, again binary").groupBy("chunk").applyInArrow(_merge(least), "chunk long, bits binary")
     bits = np.zeros(n_cells // 8, np.uint8)
@@ -105,7 +108,7 @@ def _probe(spark: SparkSession, digests: DataFrame, rows: int, max_filter_bytes:
     """``digests`` (id, digest, h) with a boolean ``maybe``: false if the digest certainly occurs once."""
     n_cells = max(CHUNK, min(rows * CELLS_PER_ROW, max_filter_bytes * 8))
     n_cells = -(-n_cells // CHUNK) * CHUNK
-    shared = spark.sparkContext.broadcast(BloomFilter(_gather(digests.select("h"), n_cells, 2)))
+    shared = spark.sparkContext.broadcast(BloomFilter(gather(digests.select("h"), n_cells, 2)))
 
     def probe(batches):
         for batch in batches:

@@ -1,41 +1,52 @@
-"""Line deduplication by an exact set-similarity join.
-
-A line is the set of its words. Words are ordered by rarity, so that two sets with Jaccard ``THRESHOLD`` or more
-must share one of the rarest few words of each (prefix filter); sizes (length filter) and the places of the
-shared word (positional filter) rule out most of the rest, and every remaining pair is verified. A line is
-removed if an earlier line matches it.
-
-Pairs: lines with equal sets are one class, led by the earliest. For a word that many lines have, classes are
-first held against a few early classes with that word, its hubs; a class that has found an earlier match looks no
-further. Only the others are held against all lines with the word. So many variants of one line cost a few comparisons
+r"""Line deduplication by an exact set-similarity join.
+
+A line is the set of its words, held as 64-bit hashes. Words are ordered by rarity, so that two sets with Jaccard
+``THRESHOLD`` or more must share one of the rarest few words of each (prefix filter); sizes (length filter), the
+places of the shared word (positional filter) and the bits in which two 128-bit parities of the sets differ, which
+bound the number of words that differ, rule out nearly all others, and every remaining pair is verified on the sets.
+A line is removed if an earlier line matches it.
+
+Equal sets (equal in size and 128 bits of hash) are one class, led by the earliest line; the other lines go without a join.
+A word that very many lines have stands in the index only together with each later word of a prefix that is longer by one:
+sets of two words or more that match share two words of such prefixes, too. For any word or pair with many lines
+classes are first held against a few early classes with it, its hubs; a class that has found an earlier match looks
+no further, and only the others are held against all. So many variants of one line cost a few comparisons
 each, and no match is lost.
 
 Scale: rarity is a table of ``BUCKETS`` counts over all lines (one byte each, broadcast); it decides the order only, so
-shared buckets cost time, not results. Lines, prefixes and matches are tables; texts shuffle once, to meet
-the numbers of their removed lines. Words are held as 32-bit hashes: two words of the same pair of lines meet
-with a chance under one in a million.
+shared buckets cost time, not results. Which words have many lines is counted in the index itself. Its rows are narrow, and rare
+words, which are most of them, shuffle once.
+Sets are read again only for the classes of pairs that passed all filters. Texts that lose a line shuffle once, to meet the
+numbers of these lines; nearly all others pass straight through.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, prepare, table, text_of
+from ._common import discard, materialize, prepare, row_key, table, text_of
 from ._words import buffers, hashes, mix, spans
-from .exact_dedup import CELLS_PER_ROW, BloomFilter, _gather, membership_filter
+from .exact_dedup import CELLS_PER_ROW, BloomFilter, gather, membership_filter
 
 THRESHOLD = 0.8
-BUCKETS = 1 << 22
-#: A word in more lines than this is common: its lines meet so many hubs first.
-COMMON, HUBS = 50, 4
+BUCKETS = 1 << 24
+#: A word with more than HUB_LINES lines in the index: they meet so many hubs first. A word in more than PAIR_LINES lines, and in so many
+#: times more than buckets have on average: it counts with a second word only.
+HUB_LINES, HUBS, PAIR_LINES, PAIR_TIMES = 400, 2, 5000, 16
+#: Sets of more words than this have all 128 bits of parity in the index, others have them folded to 64.
+FOLDED = 80
+KEY_BITS = 48
 MAX_FILTER_BYTES = 64 << 20
 _STEP_BYTES = 8 << 20
-_SHIFT = np.uint32(10)
+_SHIFT = np.uint64(40)
+_SECOND = np.uint64(0x9E3779B97F4A7C15)
+_ID = ("id", "line", "key_a", "key_b")
 
 
 def _code(n):
@@ -43,66 +54,91 @@ def _code(n):
     return np.where(n < 1, 0, np.minimum(255, 1 + np.ceil(8 * np.log2(np.maximum(n, 1))))).astype(np.uint8)
 
 
+def _sums(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
+    return (total[edge[1:]] - total[edge[:-1]]).view(np.int64)
+
+
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of runs of 64-bit ``values``."""
+    at = np.concatenate([[0], np.cumsum(8 * sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(values.tobytes())])
+
+
 def _lines(batches):
-    """(key, id, line, n, node, words): every line with words; of lines with equal sets in a few megabytes only the earliest has its words."""
+    """Every line with words: its row's key and id, number, number of words, class (node_a, node_b), whether it leads the
+    lines of that class in a few megabytes of text (lead), and its words, sorted, if it leads and has two or more."""
     for batch in batches:
-        data, at = buffers(batch.column(2))
-        keys, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        data, at = buffers(batch.column(3))
+        own = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         low = 0
         while low < len(at) - 1:
             high = max(low + 1, int(np.searchsorted(at, at[low] + _STEP_BYTES, "right")) - 1)
-            part, own = data[at[low] : at[high]], at[low : high + 1] - at[low]
-            starts, ends, bounds = spans(part, own)
+            part, edges = data[at[low] : at[high]], at[low : high + 1] - at[low]
+            starts, ends, bounds = spans(part, edges)
             row = np.repeat(np.arange(high - low), np.diff(bounds))
             breaks = np.flatnonzero(part == 10)
-            line = np.searchsorted(breaks, starts) + row  # counted over all rows of the step
-            both = np.unique(line.astype(np.uint64) << np.uint64(32) | hashes(part, starts, ends) >> np.uint64(32))
-            line, word = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            line, word = np.searchsorted(breaks, starts) + row, hashes(part, starts, ends)  # lines are counted over all rows of the step
+            order = np.lexsort((word, line))
+            line, word = line[order], word[order]
+            new = np.r_[True, (line[1:] != line[:-1]) | (word[1:] != word[:-1])] if len(line) else np.zeros(0, bool)
+            line, word = line[new], word[new]
             first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
             edge = np.r_[first, len(line)]
             n, line = np.diff(edge), line[first]
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(word.astype(np.uint64) + np.uint64(1)))])
-            node = (total[edge[1:]] - total[edge[:-1]]).view(np.int64) if len(n) else np.zeros(0, np.int64)
-            begins = np.searchsorted(breaks, own[:-1]) + np.arange(high - low)  # the first line of each row
+            node = [_sums(mix(word + np.uint64(1)), edge), _sums(mix(word ^ _SECOND), edge)] if len(n) else [np.zeros(0, np.int64)] * 2
+            begins = np.searchsorted(breaks, edges[:-1]) + np.arange(high - low)  # the first line of each row
             row = np.searchsorted(begins, line, "right") - 1
             number = line - begins[row]
-            id_, key = ids[low:high][row], keys[low:high][row]
-            order = np.lexsort((number, id_, node))
+            key_a, key_b, id_ = (c[low:high][row] for c in own)
+            by = (key_b, key_a, number, id_, n, node[1], node[0])
+            order = np.lexsort(by)
+            moves = lambda own: np.r_[True, np.any([c[order][1:] != c[order][:-1] for c in own], axis=0)] if len(n) else np.zeros(0, bool)
+            new = moves(by[4:])
             lead = np.zeros(len(n), bool)
-            if len(n):
-                lead[order[np.r_[True, node[order][1:] != node[order][:-1]]]] = True
-            kept = word[np.repeat(lead, n)]
-            offsets = np.concatenate([[0], np.cumsum(np.where(lead, 4 * n, 0))]).astype(np.int32)
-            words = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(kept.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(id_), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(node), words], ["key", "id", "line", "n", "node", "words"])
+            lead[order[new]] = True
+            # a row that repeats id and text is the same document: its line doesn't go because of itself
+            again = np.zeros(len(n), bool)
+            again[order[~new & (np.maximum.accumulate(np.where(moves(by), np.arange(len(n)), 0)) == np.maximum.accumulate(np.where(new, np.arange(len(n)), 0)))]] = True
+            sets = lead & (n > 1)
+            columns = [pa.array(key_a), pa.array(key_b), pa.array(id_), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), *map(pa.array, node), pa.array(lead)]
+            out = pa.RecordBatch.from_arrays([*columns, _binary(word[np.repeat(sets, n)], np.where(sets, n, 0))], ["key_a", "key_b", "id", "line", "n", "node_a", "node_b", "lead", "words"])
+            yield out.filter(pa.array(~again)) if again.any() else out
             low = high
 
 
+_LINES = "key_a long, key_b long, id long, line int, n int, node_a long, node_b long, lead boolean, words binary"
+
+
 def _word_counts(batches):
+    """Of the words that a task reads: for each chunk of buckets, which of them occur and in how many lines."""
     total = np.zeros(BUCKETS, np.int32)
     for batch in batches:
-        word = buffers(batch.column(0))[0].view(np.uint32) >> _SHIFT
+        word = (buffers(batch.column(0))[0].view(np.uint64) >> _SHIFT).astype(np.int64)
         at, n = np.unique(word, return_counts=True)
         total[at] += n.astype(np.int32)
-    at = np.flatnonzero(total)
-    for low in range(0, len(at), 1 << 18):
-        own = at[low : low + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own].astype(np.int64))], ["bucket", "n"])
+    for chunk in range(BUCKETS >> 16):
+        own = total[chunk << 16 : (chunk + 1) << 16]
+        if len(at := np.flatnonzero(own)):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([own[at].astype("<i4").tobytes()], pa.binary())], ["chunk", "at", "n"])
 
 
-def _codes(key, group):
-    codes = np.zeros(1 << 16, np.uint8)
-    codes[group.column("bucket").to_numpy() & 0xFFFF] = _code(group.column("n").to_numpy())
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "codes": pa.array([codes.tobytes()], pa.binary())})
+def _codes(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for at, n in zip(batch.column("at"), batch.column("n")):
+            total[np.frombuffer(at.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), "<i4")
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_code(total).tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], ["chunk", "codes", "total"])
 
 
-def rarity(lines: DataFrame) -> np.ndarray:
-    """A byte for each of ``BUCKETS`` buckets of words: how many lines have one of them."""
-    counts = lines.where("length(words) > 0").select("words").mapInArrow(_word_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    codes = np.zeros(BUCKETS, np.uint8)
-    for r in counts.groupBy(F.shiftright("bucket", 16).alias("chunk")).applyInArrow(_codes, "chunk int, codes binary").toLocalIterator():
+def rarity(lines: DataFrame) -> tuple[np.ndarray, int]:
+    """A byte for each of ``BUCKETS`` buckets of words: how many lines have one of them; and how many on average."""
+    counts = lines.where("length(words) > 0").select("words").mapInArrow(_word_counts, "chunk int, at binary, n binary")
+    codes, total = np.zeros(BUCKETS, np.uint8), 0
+    for r in counts.groupBy("chunk").applyInArrow(_codes, "chunk int, codes binary, total long").toLocalIterator():
         codes[r.chunk << 16 : (r.chunk + 1) << 16] = np.frombuffer(r.codes, np.uint8)
-    return codes
+        total += r.total
+    return codes, total // BUCKETS
 
 
 def prefix_size(n, threshold: float):
@@ -110,141 +146,179 @@ def prefix_size(n, threshold: float):
     return n - np.ceil(threshold * n - 1e-9).astype(int) + 1
 
 
-def _prefixes(shared, threshold: float, wanted: bool | None):
-    """(word, node, n, place, id, line, common) of each line's prefix; words that one line alone has are left out.
+def parity(word: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each run of words, as two integers: each tells whether an odd number of the words falls on it. Folded to the first 64 where there are few words."""
+    bit = np.uint64(1) << (word & np.uint64(63))
+    high = (word & np.uint64(64)) > 0
+    out = [np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), edge[:-1]) if len(edge) > 1 else np.zeros(0, np.uint64) for side in (~high, high)]
+    few = np.diff(edge) <= FOLDED
+    return np.where(few, out[0] ^ out[1], out[0]).view(np.int64), np.where(few, np.uint64(0), out[1]).view(np.int64)
+
 
-    ``wanted``: only nodes that the filter holds (True), or only the others (False).
+def _index(shared, threshold: float):
+    """Rows (ref, word, id, line, key_a, key_b, p, size_place, q, maybe) of the prefixes of sets.
+
+    word: hash of a word of the prefix, or of two. size_place: number of words and place of the word (of a far one 65535: the
+    positional filter then lets more pass). p, q: parity. maybe: it can have
+    over ``HUB_LINES`` lines. Words that one line alone has are left out. ``own``: only classes that the filter holds, or only the others.
     """
 
     def run(batches):
-        codes, known = shared.value
-        common = int(_code(np.array([COMMON]))[0])
+        codes, several, firsts, pair = shared.value
+        hub = int(_code(np.array([HUB_LINES]))[0])
         for batch in batches:
-            node = batch.column("node").to_numpy(zero_copy_only=False)
-            if wanted is not None:
-                batch = batch.filter(pa.array(known.holds(node) == wanted))
-                node = batch.column("node").to_numpy(zero_copy_only=False)
+            node, ref = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node_a", "ref"))
+            # should a filter err, a class has a second line here, which changes nothing but the work
+            batch = batch.filter(pa.array(~several.holds(node) | firsts.holds(ref)))
             if not batch.num_rows:
                 continue
             data, at = buffers(batch.column("words"))
-            word, n = np.frombuffer(data.tobytes(), np.uint32), np.diff(at) // 4
+            word, at = np.frombuffer(data.tobytes(), np.uint64), at // 8
+            n = np.diff(at)
             row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((word, codes[word >> _SHIFT], row))
-            word = word[order]
-            place = np.arange(len(word)) - np.repeat(at[:-1] // 4, n)
-            code = codes[word >> _SHIFT]
-            kept = (place < prefix_size(n, threshold)[row]) & (code > 1)
-            row = row[kept]
-            columns = [pa.array(word[kept].view(np.int32)), pa.array(node[row]), pa.array(n[row].astype(np.int32)), pa.array(place[kept].astype(np.int32))]
-            columns += [batch.column(c).take(pa.array(row)) for c in ("id", "line")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(code[kept] > common)], ["word", "node", "n", "place", "id", "line", "common"])
+            p, q = parity(word, at)
+            code = codes[(word >> _SHIFT).astype(np.int64)]
+            # words come sorted, so ties of rarity stand in the order of their hashes
+            order = np.argsort((row << 8) | code, kind="stable")
+            word, code = word[order], code[order]
+            place = np.arange(len(word)) - at[:-1][row]
+            size = prefix_size(n, threshold)[row]
+            inside = (place < size) & (code > 1)
+            single, first = np.flatnonzero(inside & (code <= pair)), np.flatnonzero(inside & (code > pair))
+            more = (size - place)[first]  # words behind it in the prefix that is longer by one
+            lead = np.repeat(first, more)
+            second = lead + 1 + np.arange(len(lead)) - np.repeat(np.cumsum(more) - more, more)
+            value = np.concatenate([mix(word[single]), mix(mix(word[lead]) + word[second])]) >> np.uint64(64 - KEY_BITS)
+            lead = np.concatenate([single, lead])
+            order = np.argsort(lead, kind="stable")  # rows of one line together: nearly all columns then repeat
+            lead, value = lead[order], value[order]
+            row = row[lead]
+            line = [batch.column(c).take(pa.array(row)) for c in ("ref", *_ID)]
+            columns = [p[row], n[row] << 16 | np.minimum(place[lead], 0xFFFF), q[row], code[lead] > hub]
+            yield pa.RecordBatch.from_arrays([line[0], pa.array(value.view(np.int64)), *line[1:], *map(pa.array, columns)], ["ref", "word", *_ID, "p", "size_place", "q", "maybe"])
 
     return run
 
 
-_PREFIX = "word int, node long, n int, place int, id long, line int, common boolean"
+_INDEX = "ref long, word long, id long, line int, key_a long, key_b long, p long, size_place long, q long, maybe boolean"
 
 
-def _chosen(shared):
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.holds(batch.column("node").to_numpy(zero_copy_only=False))))
+def _fits(threshold: float):
+    """What rows ``x`` and ``y`` of one word must meet: sizes, places and parities allow the threshold."""
+    c = F.col
+    n, m = (F.shiftright(c(f"{t}.size_place"), 16) for t in "xy")
+    rest = F.least(n - c("x.size_place").bitwiseAND(0xFFFF), m - c("y.size_place").bitwiseAND(0xFFFF))
+    p, q = c("x.p").bitwiseXOR(c("y.p")), c("x.q").bitwiseXOR(c("y.q"))
+    apart = F.when(F.least(n, m) > FOLDED, F.bit_count(p) + F.bit_count(q)).otherwise(F.bit_count(p.bitwiseXOR(q)))
+    few = (1 - threshold) / (1 + threshold)
+    return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (rest >= threshold / (1 + threshold) * (n + m) - 1e-9) & (apart <= few * (n + m) + 1e-9)
 
-    return run
+
+def _place(t: str):
+    return F.struct(*[F.col(f"{t}.{c}") for c in _ID])
 
 
 def _verify(threshold: float):
+    """The later lines of pairs of sets (x, y) that are similar enough."""
+
     def run(batches):
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = common >= threshold * (len(x) + len(y) - common) - 1e-9
-            yield batch.select(["later", "earlier"]).filter(pa.array(good))
+            (x, at), (y, to) = (buffers(batch.column(c)) for c in ("x", "y"))
+            n, m = np.diff(at) // 8, np.diff(to) // 8
+            pair = np.r_[np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)]
+            word = np.concatenate([np.frombuffer(x.tobytes(), np.uint64), np.frombuffer(y.tobytes(), np.uint64)])
+            order = np.lexsort((word, pair))
+            pair, word = pair[order], word[order]
+            common = np.bincount(pair[1:][(word[1:] == word[:-1]) & (pair[1:] == pair[:-1])], minlength=len(n))
+            yield batch.select(["ref", "key_a", "key_b", "line"]).filter(pa.array(common >= threshold * (n + m - common) - 1e-9))
 
     return run
 
 
-def _filters(threshold: float, a: str, b: str):
-    """What two prefix rows of one word must meet: sizes, and enough words from the shared one on."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    rest = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place"))
-    return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (rest >= threshold / (1 + threshold) * (n + m) - 1e-9)
-
+def _chosen(shared, column: str):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.holds(batch.column(column).to_numpy(zero_copy_only=False))))
 
-def _earlier(a: str, b: str):
-    """Whether ``a`` stands before ``b``."""
-    x, y = ([F.col(f"{t}.{c}") for c in ("id", "line", "node")] for t in (a, b))
-    return (x[0] < y[0]) | ((x[0] == y[0]) & ((x[1] < y[1]) | ((x[1] == y[1]) & (x[2] < y[2]))))
+    return run
 
 
 class _Join:
-    """Which nodes have an earlier match."""
+    """Which leading lines (ref, key_a, key_b, line) have an earlier match. ``sets`` (ref, id, line, key_a, key_b, words) holds all that are in the index."""
+
+    def __init__(self, sets: DataFrame, threshold: float):
+        self.spark, self.threshold, self.sets = sets.sparkSession, threshold, sets
 
-    def __init__(self, lines: DataFrame, prefixes: DataFrame, threshold: float):
-        self.lines, self.prefixes, self.threshold = lines, prefixes, threshold
+    def pairs(self, x: DataFrame, y: DataFrame, first) -> DataFrame:
+        """(ref, other) of rows of one word that may match and of which ``first`` says that they are a pair."""
+        return x.alias("x").hint("merge").join(y.alias("y"), "word").where(first & _fits(self.threshold)).select(F.col("x.ref").alias("ref"), F.col("y.ref").alias("other"))
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Distinct nodes ``later`` of the pairs (later, earlier) whose sets are similar enough."""
+    def verified(self, pairs: DataFrame, done: tuple = ()) -> DataFrame:
+        """The later lines of the pairs whose sets are similar enough. The tables ``done`` are deleted once the pairs are known."""
         pairs = materialize(pairs.distinct(), "pairs")
-        nodes = pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct()
-        shared = self.lines.sparkSession.sparkContext.broadcast(membership_filter(nodes, max(1, nodes.count()), 10, MAX_FILTER_BYTES))
-        sets = self.lines.where("length(words) > 0").select("node", "words").mapInArrow(_chosen(shared), "node long, words binary")
-        sets = materialize(sets.groupBy("node").agg(F.min("words").alias("words")), "sets")
-        both = pairs.hint("merge").join(sets.select(F.col("node").alias("later"), F.col("words").alias("x")), "later")
-        both = both.hint("merge").join(sets.select(F.col("node").alias("earlier"), F.col("words").alias("y")), "earlier")
-        out = materialize(both.select("later", "earlier", "x", "y").mapInArrow(_verify(self.threshold), "later long, earlier long").select(F.col("later").alias("node")).distinct(), "matched")
+        discard(*done)
+        named = pairs.select(F.explode(F.array("ref", "other")).alias("ref"))
+        known = self.spark.sparkContext.broadcast(membership_filter(named, max(1, 2 * pairs.count()), 10, MAX_FILTER_BYTES))
+        sets = materialize(self.sets.mapInArrow(_chosen(known, "ref"), self.sets.schema), "sets")
+        one = sets.select("ref", F.struct(*_ID).alias("at"), F.col("words").alias("x"))
+        two = sets.select(F.col("ref").alias("other"), F.struct(*_ID).alias("other_at"), F.col("words").alias("y"))
+        both = pairs.hint("merge").join(one, "ref").hint("merge").join(two, "other")
+        later = F.when(F.col("at") > F.col("other_at"), F.struct("ref", "at")).otherwise(F.struct(F.col("other").alias("ref"), F.col("other_at").alias("at")))
+        both = both.where("at != other_at").select(later.alias("l"), "x", "y").select("l.ref", "l.at.key_a", "l.at.key_b", "l.at.line", "x", "y")
+        out = materialize(both.mapInArrow(_verify(self.threshold), "ref long, key_a long, key_b long, line int").distinct(), "matched")
         discard(pairs, sets)
         return out
 
-    def run(self) -> DataFrame:
-        pair = lambda rows: rows.select(F.col("x.node").alias("later"), F.col("y.node").alias("earlier"))
-        common = self.prefixes.where("common")
+    def run(self, index: DataFrame) -> DataFrame:
+        maybe = index.where("maybe")
+        heavy = materialize(maybe.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_LINES).select("word"), "heavy")
+        common = materialize(maybe.hint("merge").join(heavy, "word", "left_semi"), "common")
+        rare = index.where("NOT maybe").unionByName(maybe.join(heavy, "word", "left_anti")).select("ref", "word", "p", "size_place", "q")
         # of each of a few sorts of a word's lines the earliest
-        sort = F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("sort")
-        hubs = common.groupBy("word", sort).agg(F.min(F.struct("id", "line", "node", "n", "place")).alias("hub"))
+        sort = F.pmod(F.xxhash64("ref"), F.lit(HUBS)).alias("sort")
+        hubs = common.groupBy("word", sort).agg(F.min(F.struct(*_ID, "ref", "size_place", "p", "q")).alias("hub"))
         hubs = materialize(hubs.select("word", "hub.*"), "hubs")
-        matched = self.verified(pair(common.alias("x").hint("merge").join(hubs.alias("y"), "word").where(_earlier("y", "x") & _filters(self.threshold, "x", "y"))))
-        discard(hubs)
-        seeking = common.join(matched, "node", "left_anti")
-        some = pair(seeking.alias("x").join(common.alias("y"), "word").where(_earlier("y", "x") & _filters(self.threshold, "x", "y")))
-        rare = self.prefixes.where("NOT common")
-        rest = pair(rare.alias("x").join(rare.alias("y"), "word").where(_earlier("y", "x") & _filters(self.threshold, "x", "y")))
-        return matched.union(self.verified(some.union(rest))).distinct()
+        earlier = _place("y") < _place("x")
+        matched = self.verified(self.pairs(rare, rare, F.col("y.ref") < F.col("x.ref")).union(self.pairs(common, hubs, earlier)), done=(index, heavy, hubs))
+        seeking = materialize(common.join(matched.select("ref"), "ref", "left_anti"), "seeking")
+        out = matched.union(self.verified(self.pairs(seeking, common, earlier)))
+        discard(common, seeking)
+        return out
 
 
 def removed_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, lines): the numbers of the lines that go, for each text that loses one. ``df`` has key, id (long) and text."""
+    """(key_a, key_b, lines): the numbers of the lines that go, for each text that loses one. ``df`` has key_a, key_b, id (long) and text."""
     spark = df.sparkSession
-    lines = materialize(df.select("key", "id", "text").mapInArrow(_lines, "key long, id long, line int, n int, node long, words binary"), "lines")
-    codes = rarity(lines)
-    own = lines.where("length(words) > 0")
-    cells = max(1 << 16, min(own.count() * CELLS_PER_ROW, MAX_FILTER_BYTES * 8))
+    lines = df.select("key_a", "key_b", "id", "text").mapInArrow(_lines, _LINES)
+    # ref is written with its line, so it stays the same in all that follows
+    lines = materialize(lines.withColumn("ref", F.monotonically_increasing_id()), "lines")
+    lead = lines.where("lead")
+    # classes that come from several steps: their lines shuffle, without their words, to find the earliest
+    cells = max(1 << 16, min(lead.count() * CELLS_PER_ROW, MAX_FILTER_BYTES * 8))
     cells = -(-cells // (1 << 16)) * (1 << 16)
-    # nodes that come from several steps: only their lines shuffle, to find the earliest
-    shared = spark.sparkContext.broadcast((codes, BloomFilter(_gather(own.select("node"), cells, 2))))
-    once = own.mapInArrow(_prefixes(shared, threshold, False), _PREFIX)
-    several = own.mapInArrow(_chosen(spark.sparkContext.broadcast(shared.value[1])), lines.schema)
-    several = several.groupBy("node").agg(F.min(F.struct("id", "line", "words")).alias("s")).select("node", "s.*")
-    prefixes = materialize(once.unionByName(several.mapInArrow(_prefixes(shared, threshold, None), _PREFIX)), "prefixes")
-    matched = materialize(_Join(lines, prefixes, threshold).run(), "matched")
-    discard(prefixes)
-    # the earliest line of each set: a line before it in its own step has the words
-    leaders = materialize(own.groupBy("node").agg(F.min(F.struct("id", "line")).alias("lead")), "leaders")
-    gone = materialize(lines.select("key", "id", "line", "node").hint("merge").join(leaders, "node").where(F.struct("id", "line") != F.col("lead")).select("key", "line"), "gone")
-    led = leaders.join(matched, "node").select("lead.id", "lead.line", "node")
-    led = lines.where("length(words) > 0").select("key", "id", "line", "node").join(led, ["node", "id", "line"]).select("key", "line")
-    out = materialize(gone.union(led).groupBy("key").agg(F.collect_set("line").alias("lines")), "removed")
-    discard(lines, gone)
+    several = BloomFilter(gather(lead.select("node_a"), cells, 2))
+    narrow = lead.select("ref", *_ID, "n", "node_a", "node_b")
+    again = materialize(narrow.mapInArrow(_chosen(spark.sparkContext.broadcast(several), "node_a"), narrow.schema), "several")
+    first = materialize(again.groupBy("node_a", "node_b", "n").agg(F.min(F.struct(*_ID, "ref")).alias("first")), "first")
+    firsts = membership_filter(first.select("first.ref"), max(1, first.count()), 16, MAX_FILTER_BYTES)
+    codes, load = rarity(lines)
+    pair = int(_code(np.array([max(PAIR_LINES, PAIR_TIMES * load)]))[0])
+    shared = spark.sparkContext.broadcast((codes, several, firsts, pair))
+    sets = lead.where("length(words) > 0").select("ref", *_ID, "node_a", "words")
+    index = materialize(sets.mapInArrow(_index(shared, threshold), _INDEX), "index")
+    matched = _Join(sets.drop("node_a"), threshold).run(index)
+    later = again.hint("merge").join(first, ["node_a", "node_b", "n"]).where("ref != first.ref AND NOT (id = first.id AND line = first.line AND key_a = first.key_a AND key_b = first.key_b)")
+    gone = [g.select("key_a", "key_b", "line") for g in (lines.where("NOT lead"), later, matched)]
+    out = materialize(gone[0].union(gone[1]).union(gone[2]).groupBy("key_a", "key_b").agg(F.collect_set("line").alias("lines")), "removed")
+    discard(lines, again, first)
     return out
 
 
-def _cut(id_column: str, keep: list[str], text_column: str):
+def _cut(own: list[str]):
     def run(batches):
         for batch in batches:
             texts, total, removed, sums = [], [], [], []
-            for text, lines in zip(batch.column("__text"), batch.column("__lines")):
+            for text, lines in zip(batch.column("text"), batch.column("lines")):
                 all_lines = (text.as_py() or "").split("\n")
                 gone = set(lines.as_py() or ())
                 kept = "\n".join(x for i, x in enumerate(all_lines) if i not in gone)
@@ -252,31 +326,39 @@ def _cut(id_column: str, keep: list[str], text_column: str):
                 total.append(len(all_lines) if text.is_valid else 0)
                 removed.append(len(gone))
                 sums.append(hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest())
-            own = {text_column: pa.array(texts, pa.string()), "n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sums, pa.string())}
-            yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in keep], keep)
+            columns = dict(zip(_OWN, (pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string()))))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(columns[c] for c in own)], ["row", *own])
 
     return run
 
 
-def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    r"""One row for each row of ``df``: its ``keep`` columns, of which the text has lost its repeated lines.
+_OWN = {"text": "string", "n_lines": "long", "n_removed": "long", "kept_sha256": "string"}
+
 
-    ``keep`` may also name n_lines, n_removed and kept_sha256, and does so besides the id if it isn't given.
-    Lines end at a line feed; words are runs of ``[^\x20\x09-\x0D]``, unchanged. A line goes if the set of its words has
-    Jaccard ``threshold`` or more with that of an earlier line, whether that one stays or not: earlier in the order of
-    (id, number of the line), a null id last. Lines without words stay. Rows that repeat id and text are one
-    document here: their lines don't remove each other. A null text stays null. Ids are integers.
+def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    r"""One row for each row of ``df``: its ``keep`` columns (the id if it isn't given), then n_lines, n_removed and kept_sha256.
+
+    If ``keep`` names the text, that has lost its repeated lines. A column of ``df`` in ``keep`` stays as it is where it is
+    named like one of the last three, which is then left out. Lines end at a line feed; words are runs of
+    ``[^\x20\x09-\x0D]``, unchanged. A line goes if the set of its words has Jaccard ``threshold`` or more with that of an
+    earlier line, whether that one stays or not: earlier in the order of (id, number of the line, key of the row), a null
+    id last. Lines without words stay. Rows that repeat id and text are one document here: their lines don't remove each
+    other. A null text stays null and has no lines. Ids are integers. An empty table gives an empty result.
     """
     prepare(df.sparkSession)
-    keep = keep or [id_column, "n_lines", "n_removed", "kept_sha256"]
+    keep = keep or [id_column]
     order = F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1))
-    docs = df.withColumn("__key", F.xxhash64(id_column, text_column))
-    gone = removed_lines(docs.select(F.col("__key").alias("key"), order.alias("id"), text_of(text_column).alias("text")), threshold)
-    rest = [c for c in keep if c in df.columns and c != text_column]
-    joined = docs.join(gone.select(F.col("key").alias("__key"), F.col("lines").alias("__lines")), "__key", "left")
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields} | {"n_lines": "long", "n_removed": "long", "kept_sha256": "string"}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return joined.select(*rest, F.col(text_column).alias("__text"), "__lines").mapInArrow(_cut(id_column, keep, text_column), schema)
+    key = row_key(id_column, text_column)
+    gone = removed_lines(df.select(key[0].alias("key_a"), key[1].alias("key_b"), order.alias("id"), text_of(text_column).alias("text")), threshold)
+    carried = [c for c in keep if c != text_column]
+    # all that is only carried is one column, so that no name of a table can clash with those used here
+    row = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.struct(F.lit(0).alias("none"))
+    docs = df.select(key[0].alias("key_a"), key[1].alias("key_b"), row.alias("row"), F.col(f"`{text_column}`").alias("text"))
+    joined = docs.join(gone, ["key_a", "key_b"], "left").select("row", "text", "lines")
+    own = [c for c in _OWN if (c == "text" and text_column in keep) or (c != "text" and c not in keep)]
+    kind = joined.schema["row"].dataType.simpleString()
+    cut = joined.mapInArrow(_cut(own), "row " + kind + "".join(f", {c} {_OWN[c]}" for c in own))
+    return cut.select(*[F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in keep], *[c for c in own if c != "text"])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

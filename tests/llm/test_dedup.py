@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from auditlake.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
 from auditlake.llm._words import hashes, spans, windows
@@ -116,6 +117,61 @@ def test_lines_with_many_variants(spark):
     assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df).collect()} == {i: len(gone[i]) for i, _ in rows}
 
 
+def test_lines_of_odd_rows(spark):
+    """Null and repeated ids, clashing names, very long and repeated lines: each row comes back with its own columns."""
+    head = "a header that many share"
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [
+        (None, head + "\nown words of one", "k", 7), (None, head + "\nquite other text here", "l", 8), (5, head, "m", 9), (5, head, "m", 9), (5, "x y z\n" + head, "n", 10),
+        (6, None, "o", 11), (7, "", "p", 12), (8, long, "q", 13), (9, long + " more", "r", 14), (10, "one\none\n\n \none", "s", 15),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed string, n_lines int").withColumn("row", F.lit(1)).withColumn("words", F.lit("w")).withColumn("key_a", F.lit("k"))
+    got = line_dedup.dedup_lines(df, keep=df.columns)
+    assert got.columns == [*df.columns, "kept_sha256"] and dict(got.dtypes)["n_removed"] == "string" and dict(got.dtypes)["n_lines"] == "int"
+    texts_of = {r.n_removed: r.text for r in got.collect()}
+    assert got.count() == 10 and {r.n_removed: r.n_lines for r in got.collect()} == {r[2]: r[3] for r in rows}
+    # the earliest of the header is that of id 5 at line 0; its two equal rows are one document
+    assert texts_of["k"] == "own words of one" and texts_of["l"] == "quite other text here" and texts_of["m"] == head and texts_of["n"] == "x y z"
+    assert texts_of["o"] is None and texts_of["p"] == "" and texts_of["q"] == long and texts_of["r"] == "" and texts_of["s"] == "one\n\n "
+    alone = spark.createDataFrame([(None, head + "\na b"), (None, head + "\nc d")], "doc_id long, text string")
+    assert sorted(r.n_removed for r in line_dedup.dedup_lines(alone).collect()) == [0, 1]
+
+
+def test_lines_with_hubs_and_pairs_of_words(spark, monkeypatch):
+    """Small limits, so that words go through hubs and through pairs of words; nothing is lost."""
+    monkeypatch.setattr(line_dedup, "HUB_LINES", 3)
+    monkeypatch.setattr(line_dedup, "PAIR_LINES", 6)
+    r = random.Random(11)
+    rows = []
+    for i in range(160):
+        base = [f"b{r.randrange(6)}x{j}" for j in range(r.choice([2, 3, 4, 5, 9, 30, 120]))]
+        base[r.randrange(len(base))] = f"v{r.randrange(9)}"
+        rows.append((i, " ".join(base) + "\n" + " ".join(f"u{r.randrange(12)}" for _ in range(r.randrange(1, 8)))))
+    rows += [(1000 + i, " ".join(f"c{j}" for j in range(40) if (i + j) % 13)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = expected_lines(df.collect())
+    assert {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(df).collect()} == {i: len(gone[i]) for i, _ in rows}
+
+
+def test_parity_bounds_the_difference():
+    r = np.random.default_rng(3)
+    for n, m, shared in ((10, 9, 8), (100, 110, 95), (60, 90, 50), (300, 280, 0)):
+        pool = r.integers(1, 2**63, n + m - shared, dtype=np.uint64)
+        x, y = pool[:n], pool[n - shared :]
+        p, q = line_dedup.parity(np.concatenate([x, y]), np.array([0, n, n + m]))
+        bits = lambda v: bin(int(v) & (2**64 - 1)).count("1")
+        apart = bits(p[0] ^ p[1]) + bits(q[0] ^ q[1]) if min(n, m) > line_dedup.FOLDED else bits(p[0] ^ p[1] ^ q[0] ^ q[1])
+        assert apart <= n + m - 2 * shared
+
+
+def test_substrings_and_near_duplicates_of_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(None, text, 1), (None, text, 2), (3, text + " z", 3), (4, None, 4)], "doc_id long, text string, key_a int").withColumn("node", F.lit("x"))
+    assert sorted(((x.doc_id or 0), x.n_words, x.n_removed) for x in substring_dedup.remove_repeats(df).collect()) == [(0, 60, 60), (0, 60, 60), (3, 61, 60), (4, 0, 0)]
+    near = near_dedup.near_duplicates(df).collect()
+    assert sorted((x.doc_id or 0, x.class_id, x.class_size) for x in near) == [(0, 3, 3), (0, 3, 3), (3, 3, 3), (4, 4, 1)]
+
+
 def expected_classes(rows, t=0.8):
     def shingles(x):
         w = words(x)
