@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, prepare, table, text_of
+from ._common import discard, materialize, prepare, row_key, table, text_of
 from ._words import _power, buffers, hashes, mix, spans, trim, windows
 from .exact_dedup import membership_filter
 
 LENGTH, SEED = 35, 12
+_KEY = ("key_a", "key_b")
 FILTER_BITS = 10
 MAX_FILTER_BYTES, MAX_RANGES = 128 << 20, 64
 _STEP_BYTES = 8 << 20
@@ -80,8 +81,8 @@ def _steps(batches, length: int):
     """(keys, step, rows of third and later copies in this task) of each few megabytes."""
     seen: dict[tuple, int] = {}
     for batch in batches:
-        data, at = buffers(batch.column(1))
-        key = batch.column(0).to_numpy(zero_copy_only=False)
+        data, at = buffers(batch.column(2))
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
         low = 0
         while low < len(at) - 1:
             high = max(low + 1, int(np.searchsorted(at, at[low] + _STEP_BYTES, "right")) - 1)
@@ -92,7 +93,7 @@ def _steps(batches, length: int):
                 if whole[1] >= length:
                     seen[whole] = seen.get(whole, 0) + 1
                     again[i] = seen[whole] > 2
-            yield key[low:high], step, again
+            yield key[:, low:high], step, again
             low = high
 
 
@@ -126,7 +127,7 @@ def _units(step: _Step, least: np.ndarray, at: np.ndarray, whole: bool):
 
 
 def _candidates(length: int, shared, part: int, parts: int, whole: bool):
-    """Rows (a, b, n, key, low, high, anchor): windows (or, with ``whole``, all windows around an anchor at once) to look up with
+    """Rows (a, b, n, key_a, key_b, low, high, anchor): windows (or, with ``whole``, all windows around an anchor at once) to look up with
     their owner; ones that are known as repeated without one; and places (no hash) where windows low to high of a text are repeated."""
 
     def run(batches):
@@ -145,22 +146,22 @@ def _candidates(length: int, shared, part: int, parts: int, whole: bool):
             group = np.cumsum(new) - 1
             alone = (np.bincount(group) if len(a) else np.zeros(0, np.int64))[group] == 1
             lead = new & ~alone
-            own = lambda x: (key[step.row[low[x]]], step.place[low[x]], step.place[high[x]])
-            rows = [(a[alone], b[alone], 1, *own(alone), least[low[alone]]), (a[lead], b[lead], 2, None, None, None, least[low[lead]]), (None, None, 0, *own(~alone), None)]
+            own = lambda x: (*key[:, step.row[low[x]]], step.place[low[x]], step.place[high[x]])
+            rows = [(a[alone], b[alone], 1, *own(alone), least[low[alone]]), (a[lead], b[lead], 2, None, None, None, None, least[low[lead]]), (None, None, 0, *own(~alone), None)]
             if whole and part == 0:  # a third copy in this task: all of its windows are repeated
                 copies = np.flatnonzero(again)
-                rows.append((None, None, 0, key[copies], np.zeros(len(copies)), np.diff(step.bounds)[copies] - length, None))
-            for x, y, n, k, lo, hi, anchor in rows:
+                rows.append((None, None, 0, *key[:, copies], np.zeros(len(copies)), np.diff(step.bounds)[copies] - length, None))
+            for x, y, n, k, k2, lo, hi, anchor in rows:
                 count = len(x) if x is not None else len(k)
                 if count:
                     column = lambda v, t: pa.nulls(count, t) if v is None else pa.array(np.asarray(v).view(np.int64) if t == pa.int64() else np.asarray(v).astype(np.int32), t)
-                    yield pa.RecordBatch.from_arrays([column(x, pa.int64()), column(y, pa.int64()), pa.array(np.full(count, n, np.int32)), column(k, pa.int64()), column(lo, pa.int32()), column(hi, pa.int32()), column(anchor, pa.int64())], ["a", "b", "n", "key", "low", "high", "anchor"])
+                    yield pa.RecordBatch.from_arrays([column(x, pa.int64()), column(y, pa.int64()), pa.array(np.full(count, n, np.int32)), column(k, pa.int64()), column(k2, pa.int64()), column(lo, pa.int32()), column(hi, pa.int32()), column(anchor, pa.int64())], ["a", "b", "n", *_KEY, "low", "high", "anchor"])
             trim()
 
     return run
 
 
-_ROWS = "a long, b long, n int, key long, low int, high int, anchor long"
+_ROWS = "a long, b long, n int, key_a long, key_b long, low int, high int, anchor long"
 
 
 def _cut(id_column: str, length: int, keep_text: bool):
@@ -193,10 +194,11 @@ def _look_up(df: DataFrame, anchors: DataFrame, length: int, whole: bool, max_fi
     """(rows of :func:`_candidates` around ``anchors``, the hashes that occur twice), both written."""
     spark = df.sparkSession
     number = anchors.count()
-    parts = min(MAX_RANGES, max(1, -(-number * FILTER_BITS // (8 * max_filter_bytes))))
+    needed = max(1, -(-number * FILTER_BITS // (8 * max_filter_bytes)))
+    parts = min(MAX_RANGES, 1 << (needed - 1).bit_length())  # a power of two: anchors are dealt by their last bits
     found = None
     for part in range(parts):
-        own = anchors.where(F.pmod("anchor", F.lit(parts)) == part) if parts > 1 and parts & (parts - 1) == 0 else anchors
+        own = anchors.where(F.pmod("anchor", F.lit(parts)) == part) if parts > 1 else anchors
         known = spark.sparkContext.broadcast(membership_filter(own, max(1, number // parts), FILTER_BITS, max_filter_bytes))
         rows = df.mapInArrow(_candidates(length, known, part, parts, whole), _ROWS)
         found = rows if found is None else found.unionByName(rows)
@@ -206,22 +208,22 @@ def _look_up(df: DataFrame, anchors: DataFrame, length: int, whole: bool, max_fi
 
 
 def repeats(df: DataFrame, length: int = LENGTH, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """(key, places): for texts with repeats, where windows of ``length`` words start that start elsewhere, too; written.
+    """(key_a, key_b, places): for texts with repeats, where windows of ``length`` words start that start elsewhere, too; written.
 
-    ``df`` has key and text. All windows around an anchor are looked up at once first. Only where an anchor's surroundings
+    ``df`` has key_a, key_b and text. All windows around an anchor are looked up at once first. Only where an anchor's surroundings
     differ between its places are windows looked up one by one.
     """
     counts = df.mapInArrow(_anchor_counts(length), "anchor long, n int")
     repeated = materialize(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
     found, twice = _look_up(df, repeated, length, True, max_filter_bytes)
-    owned = found.where("a IS NOT NULL AND key IS NOT NULL")
+    owned = found.where("a IS NOT NULL AND key_a IS NOT NULL")
     differing = materialize(owned.hint("merge").join(twice, ["a", "b"], "left_anti").select("anchor").distinct(), "differing")
     single, again = _look_up(df, differing, length, False, max_filter_bytes)
-    place = lambda rows, known: rows.where("a IS NOT NULL AND key IS NOT NULL").select("a", "b", "key", "low", "high").hint("merge").join(known, ["a", "b"]).select("key", "low", "high")
+    place = lambda rows, known: rows.where("a IS NOT NULL AND key_a IS NOT NULL").select("a", "b", *_KEY, "low", "high").hint("merge").join(known, ["a", "b"]).select(*_KEY, "low", "high")
     places = place(found, twice).unionByName(place(single, again))
     for rows in (found, single):
-        places = places.unionByName(rows.where("a IS NULL").select("key", "low", "high"))
-    out = materialize(places.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("places")), "places")
+        places = places.unionByName(rows.where("a IS NULL").select(*_KEY, "low", "high"))
+    out = materialize(places.groupBy(*_KEY).agg(F.collect_list(F.struct("low", "high")).alias("places")), "places")
     discard(repeated, differing, found, twice, single, again)
     return out
 
@@ -237,10 +239,11 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str =
     spark = df.sparkSession
     prepare(spark)
     # the key stands for the row in the shuffles, also where ids repeat or are null
-    docs = df.select(F.col(id_column).alias("id"), text_of(text_column).alias("text")).withColumn("key", F.xxhash64("id", "text"))
-    places = repeats(docs.select("key", "text"), length)
+    key = row_key(id_column, text_column)
+    docs = df.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"), key[0].alias("key_a"), key[1].alias("key_b"))
+    places = repeats(docs.select(*_KEY, "text"), length)
     kind = docs.schema["id"].dataType.simpleString()
-    joined = docs.join(places, "key", "left").select(F.col("id").alias(id_column), "text", "places")
+    joined = docs.join(places, list(_KEY), "left").select(F.col("id").alias(id_column), "text", "places")
     return joined.mapInArrow(_cut(id_column, length, keep_text), f"`{id_column}` {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
 
 
