@@ -5,8 +5,8 @@ reference names its payload by digest (``media:<sha256>``), keeps its position a
 belongs to it, and is resolved by a join on the digest. Payloads are stored losslessly as greyscale PNG
 images of 64 samples a line.
 
-Scale: encoding and parsing are row by row; the digest join moves digests and what was computed of a
-payload, not the payloads, and payloads that repeat are computed once a partial group.
+Scale: encoding, reading back and parsing are row by row. Images are written once to the shared folder (payloads that repeat
+within a task once); the digest join moves digests and what was computed of an image that was read back, not the images.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ._common import materialize, prepare, table, text_of
 
 WIDTH = 64
+#: Digests that a task remembers, so that its memory is bounded; repeats beyond them are stored again.
+SEEN = 1 << 18
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 _MARK = b"\x89PNG\r\n\x1a\n"
 _SKIPPED = {"script", "style", "template", "noscript"}
@@ -143,30 +145,50 @@ def interleave(df: DataFrame, id_column: str, html_column: str = "html") -> Data
     return df.select(id_column, html_column).mapInArrow(run, f"`{id_column}` {kind}, sequence {SEQUENCE}")
 
 
-def media_of(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_media: bool = False) -> DataFrame:
-    """What each row's stored text gives once it is read back: digest, sizes, checksums, feature (and the media itself)."""
+def store(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Write each row's text as an image to the shared folder and read the table again: id, digest, n_bytes, media.
+
+    The digest also holds the length of the text, as zero bytes at its end and those of the padding look alike in a payload.
+    A payload that a task has stored before is not stored by it again: media is null there.
+    """
     prepare(df.sparkSession)
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches):
+        seen = set()
         for batch in batches:
-            rows = []
+            digests, sizes, media = [], [], []
             for text in batch.column(1):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
-                stored = encode_png(pad(raw))
-                back = decode_png(stored)
+                payload = pad(raw)
+                digests.append(f"{hashlib.sha256(payload).hexdigest()}-{len(raw)}")
+                sizes.append(len(raw))
+                new = digests[-1] not in seen
+                media.append(encode_png(payload) if new else None)
+                if new and len(seen) < SEEN:
+                    seen.add(digests[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], [id_column, "digest", "n_bytes", "media"])
+
+    return materialize(df.select(id_column, text_of(text_column).alias("text")).mapInArrow(run, f"`{id_column}` {kind}, digest string, n_bytes long, media binary"), "media")
+
+
+def read_media(stored: DataFrame) -> DataFrame:
+    """One row for each stored image (digest, media): what its samples give once they are read back."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for media in batch.column(1):
+                own = media.as_py()
+                back = decode_png(own)
                 samples = np.frombuffer(back, np.uint8)
                 feature = f"{WIDTH}x{len(back) // WIDTH};sum={int(samples.sum(dtype=np.int64))};used={int(np.count_nonzero(np.bincount(samples, minlength=256)))}"
-                digest = hashlib.sha256(back).hexdigest()
-                # zero bytes at a text's end and those of the padding look alike in the payload: the digest also holds the length
-                rows.append((f"{digest}-{len(raw)}", len(raw), len(back), digest, zlib.crc32(back[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, stored))
-            columns = list(zip(*rows)) or [()] * 9
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()))]
-            names = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays[: 9 if keep_media else 8]], [id_column, *names[: 9 if keep_media else 8]])
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(own), hashlib.sha256(own).hexdigest(), feature))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    schema = f"`{id_column}` {kind}, digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
-    return df.select(id_column, text_of(text_column).alias("text")).mapInArrow(run, schema)
+    return stored.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def resolve(sequences: DataFrame, media: DataFrame, id_column: str) -> DataFrame:
@@ -180,13 +202,15 @@ def resolve(sequences: DataFrame, media: DataFrame, id_column: str) -> DataFrame
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a payload, found again through the reference in its document's sequence.
+    """Every text as a stored payload, found again through the reference in its document's sequence.
 
     Null texts count as empty; equal texts have equal values; repeated rows resolve alike.
     """
-    stored = materialize(media_of(table(spark, sf_dir, "documents")), "media")
-    values = [c for c in stored.columns if c not in ("doc_id", "digest")]
-    media = materialize(stored.groupBy("digest").agg(*[F.first(c).alias(c) for c in values]), "payloads")
+    stored = store(table(spark, sf_dir, "documents"))
+    read = read_media(stored.where("media IS NOT NULL"))
+    values = [c for c in read.columns if c != "digest"]
+    # of each payload, however many tasks have stored it, one row
+    media = materialize(read.groupBy("digest").agg(*[F.first(c).alias(c) for c in values]), "payloads")
     html = F.concat(F.lit('<article><figure><img src="media:'), "digest", F.lit('"><figcaption>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure></article>"))
-    sequences = interleave(stored.select("doc_id", html.alias("html")), "doc_id")
-    return resolve(sequences, media, "doc_id").select("doc_id", *values, "position", "caption")
+    sequences = interleave(stored.select(F.struct("doc_id", "n_bytes").alias("known"), html.alias("html")), "known")
+    return resolve(sequences, media, "known").select("known.doc_id", "known.n_bytes", *values, "position", "caption")
