@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from auditlake.llm import bpe, media, mixing, quality, toxicity, url_filter
 
@@ -78,10 +79,39 @@ def test_broken_html_is_read_on():
     assert [i["text"] for i in media.parse_html("p<![=]srcimg>q<p>r")] == ["pq", "r"]
 
 
-def test_shares_stop_at_the_cap():
-    assert mixing.water_fill([10, 10], [1, 1], 20, 3) == [10, 10]
-    assert mixing.water_fill([1, 99, 0], [3, 1, 2], 100, 3) == [3.0, 97.0, 0.0]
-    assert mixing.water_fill([], [], 0, 3) == [] and mixing.water_fill([0, 0], [1, 2], 0, 3) == [0.0, 0.0]
+def shares(sizes, weights, total, most):
+    """By brute force: fill by weight, take out what is full, begin again with the rest."""
+    targets, free, rest = [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n], total
+    while free:
+        unit = rest / sum(weights[i] for i in free)
+        full = [i for i in free if unit * weights[i] > most * sizes[i]]
+        for i in full or free:
+            targets[i] = float(most * sizes[i]) if full else unit * weights[i]
+        rest -= sum(targets[i] for i in full)
+        free = [i for i in free if full and i not in full]
+    return targets
+
+
+def test_shares_stop_at_the_cap(spark):
+    r = random.Random(4)
+    for case in range(6):
+        sizes = [r.choice([0, 1, 3, 50, 1000, 40000]) for _ in range(r.randrange(1, 30))]
+        weights = [r.choice([1, 2, 3]) for _ in sizes]
+        df = spark.createDataFrame(list(zip(sizes, weights)), "size long, weight int")
+        level = mixing.fill_level(df, sum(sizes), 3)
+        assert [float(min(3 * n, level * w)) for n, w in zip(sizes, weights)] == pytest.approx(shares(sizes, weights, sum(sizes), 3))
+    assert mixing.fill_level(spark.createDataFrame([], "size long, weight int"), 0, 3) == 0
+
+
+def brute_taken(rows):
+    """Words that each row gives: whole rounds over its source's words in their order, then as many from the first on as are left."""
+    out, sums = {}, defaultdict(int)
+    for r in sorted(rows, key=lambda r: (r.row.source_no, r.row.start, r["size"])):
+        assert r.row.start == sums[r.source]  # rows lie one behind the other
+        sums[r.source] += r["size"]
+        rounds, left = divmod(int(r.target + 0.5), r.source_size) if r.source_size else (0, 0)
+        out[(r.doc_id, r.source, r.row.start, r["size"])] = rounds * r["size"] + max(0, min(r["size"], left - r.row.start))
+    return out
 
 
 def mix_table(spark):
@@ -90,7 +120,9 @@ def mix_table(spark):
     return spark.createDataFrame([*rows, (700, None, "a"), (5, "x y", "a")], "doc_id long, text string, source string")
 
 
-def test_mix(spark):
+@pytest.mark.parametrize("few", [100_000, 2])
+def test_mix(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
     df = mix_table(spark)
     docs, pieces, slots = mixing.mix(df)
     got = docs.collect()
@@ -103,9 +135,10 @@ def test_mix(spark):
         assert r.source_size == sum(x["size"] for x in got if x.source == r.source)
     names = sorted(sums, key=lambda s: (s is None, s or ""))
     sizes = [sums[s][0] for s in names]
-    assert [sums[s][2] for s in names] == pytest.approx(mixing.water_fill(sizes, [(1, 2, 3)[i % 3] for i in range(len(names))], sum(sizes), 3))
+    assert [sums[s][2] for s in names] == pytest.approx(shares(sizes, [(1, 2, 3)[i % 3] for i in range(len(names))], sum(sizes), 3))
     for s in names:
-        assert abs(sums[s][1] - sums[s][2]) <= max(3, 0.01 * sums[s][2])
+        assert sums[s][1] == int(sums[s][2] + 0.5)
+    assert {(r.doc_id, r.source, r.row.start, r["size"]): r.taken for r in got} == brute_taken(got)
     again = mixing.mix(df)[0].select("doc_id", "size", "taken").collect()
     assert sorted(map(tuple, again)) == sorted((r.doc_id, r["size"], r.taken) for r in got)
     ranks = defaultdict(list)
@@ -240,17 +273,20 @@ def test_mix_with_sources_of_less_than_a_block(spark, monkeypatch):
     assert len(got) == len(rows) and taken == {s: int(t + 0.5) for s, t in targets.items()} and taken["a"] > 0 and taken["c"] > 0
 
 
-def test_deal_meets_the_target():
+def test_blocks_are_equal(spark):
     r = random.Random(2)
-    for _ in range(2000):
-        size, block = r.randrange(1, 5000), r.randrange(1, 1100)
-        target = r.random() * 3 * size
-        d = mixing.deal(size, target, block)
-        n = d["n_blocks"]
-        block_words = [(b + 1) * size // n - b * size // n for b in range(n)]
-        full = d["slots"] - (d["rest"] > 0)
-        assert max(block_words) <= block and max(block_words) - min(block_words) <= 1 and d["rest"] < block_words[full % n]
-        assert full // n * size + (full % n) * size // n + d["rest"] == int(target + 0.5)
+    rows = [(n := r.randrange(1, 5000), k := r.randrange(1, min(n, 60) + 1), n // k, n % k) for _ in range(60)]
+    df = spark.createDataFrame(rows, "size long, n long, least long, more long")
+    words = df.select("size", "n", "least", "more", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("w")).withColumn("b", mixing.block_of("w"))
+    got = words.groupBy("size", "n", "b").agg(F.min("w").alias("low"), F.count("w").alias("c"), F.min(mixing.begin_of("b")).alias("begin")).collect()
+    assert all(x.low == x.begin and x["c"] in (x["size"] // x.n, x["size"] // x.n + 1) and 0 <= x.b < x.n for x in got)
+
+
+def test_mix_of_odd_rows(spark):
+    rows = [(None, "a b c", "s", 1, "x"), (None, "a b c", "s", 2, "y"), (None, None, None, 3, "z"), (1, "", "t", 4, "w"), (2, "a " * 50000, "t", 5, "v"), (2, "a " * 50000, "t", 5, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target string").withColumn("taken", F.lit("t")).withColumn("bucket", F.lit(0))
+    got = mixing.mix(df)[0].collect()
+    assert len(got) == 6 and sum(x.taken for x in got if x.source == "t") == int(next(x.target for x in got if x.source == "t") + 0.5) and all(0 <= x.taken <= 3 * x["size"] for x in got)
 
 
 def test_distrust_is_carried_to_the_end(spark):
