@@ -3,7 +3,7 @@
 A page is judged by the longest rule that fits its host and path. Pages that no rule fits are judged
 by their host: personalised PageRank carries trust from allowed seeds along the links between hosts,
 and distrust from blocked seeds against them; a host is blocked if its distrust outweighs its trust
-and an even share.
+and an even share among the hosts that are reached.
 
 Edges are the absolute and protocol-relative links of the pages' HTML, counted per pair of hosts, and
 an edge both ways between a host and the domain above it. All of it is joins and sums over hosts:
@@ -28,7 +28,7 @@ DAMPING = 0.85
 #: Steps at least; more follow until what is left to move is under ``SMALL`` of the threshold of one host.
 ITERATIONS = 8
 SMALL = 0.01
-#: A host is blocked if its distrust is over its trust and over so many times an even share (1 / hosts).
+#: A host is blocked if its distrust is over its trust and over so many times an even share (1 / hosts that are reached).
 THRESHOLD = 0.5
 PARENT_WEIGHT = 1.0
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^\s"'<>]*)"""
@@ -82,22 +82,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS,
     """
     both = edges.select("src", "dst", "weight", F.lit(True).alias("good")).union(edges.select(F.col("dst"), F.col("src"), F.col("weight"), F.lit(False)))
     both = both.groupBy("good", "src", "dst").agg(F.sum("weight").alias("weight"))
-    out = both.groupBy("good", "src").agg(F.sum("weight").alias("all"))
-    graph = materialize(both.join(out, ["good", "src"]).select("good", "src", "dst", (F.col("weight") / F.col("all")).alias("part")), "graph")
+    # both are written, so that the joins get exchanges of their own and a host with very many links is split
+    both = materialize(both, "both")
+    out = materialize(both.groupBy("good", "src").agg(F.sum("weight").alias("all")), "out")
+    graph = materialize(both.hint("merge").join(out, ["good", "src"]).select("good", "src", "dst", (F.col("weight") / F.col("all")).alias("part")), "graph")
     total = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     part = lambda good, c, all_: seeds.select("host", F.lit(good).alias("good"), (F.col(c) / F.lit(float(all_ or 1))).alias("p"))
     start = part(True, "trust", total.t).union(part(False, "distrust", total.d)).where("p > 0")
     start = materialize(start, "seeds")
     hosts = graph.select("src").union(graph.select("dst")).union(start.select("host")).distinct().count()
-    small = SMALL * threshold / max(1, hosts) * (1 - damping**2) / damping**2
+    small = SMALL * threshold / max(1, hosts) * (1 - damping) / damping
     old = rank = materialize(start.withColumnRenamed("p", "r").select("host", "good", "r"), "rank")
     step = 0
     while True:
         step += 1
-        moved = graph.join(rank.withColumnRenamed("host", "src"), ["good", "src"]).select(F.col("dst").alias("host"), "good", (F.col("r") * F.col("part") * damping).alias("r"))
+        moved = graph.hint("merge").join(rank.withColumnRenamed("host", "src"), ["good", "src"]).select(F.col("dst").alias("host"), "good", (F.col("r") * F.col("part") * damping).alias("r"))
         rank = moved.unionByName(start.select("host", "good", (F.col("p") * (1 - damping)).alias("r"))).groupBy("host", "good").agg(F.sum("r").alias("r"))
-        if step % 2:
-            continue
         rank = materialize(rank, "rank")
         change = rank.unionByName(old.withColumn("r", -F.col("r"))).groupBy("host", "good").agg(F.sum("r").alias("d")).agg(F.sum(F.abs("d")).alias("d")).first().d or 0.0
         discard(old)
