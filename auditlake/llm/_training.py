@@ -12,8 +12,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """(id, label, key, text) of at most ``most`` labelled documents outside fold ``held``.
 
     Takes the ids with the smallest hashes, so it is the same sample whatever the order of the rows. Labels
-    other than 0 and 1 and null ids are left out; of several labels of one id the smallest counts. If an
-    id has several rows, each is taken.
+    other than 0 and 1 and null ids are left out; of several labels of one id the smallest counts, and of several
+    texts of one id the least.
     """
     chosen = (
         labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("label"))
@@ -23,4 +23,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .withColumn("key", F.xxhash64("id")).orderBy("key", "id").limit(most)
     )
     texts = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
-    return texts.join(F.broadcast(chosen), "id")  # at most ``most`` rows
+    found = texts.join(F.broadcast(chosen), "id")  # at most ``most`` rows
+    return found.groupBy("id", "label", "key").agg(F.min("text").alias("text"))
