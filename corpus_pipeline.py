@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm._common import materialize, table
+from auditlake.llm._common import materialize, row_key, table
 from auditlake.llm.bpe import encode_documents
 from auditlake.llm.line_dedup import dedup_lines
 from auditlake.llm.mixing import mix
@@ -22,18 +22,23 @@ ORACLE_SQL = None
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """A key of each row's id and text, and the pair by which rows are told apart."""
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).withColumn("__row", F.struct("doc_id", F.col("__key").alias("key")))
+    """All columns of each row as ``all``, 128 bits of key of its id and text, and id and key as ``known``, by which rows are told apart."""
+    a, b = row_key("doc_id", "text")
+    row = F.struct(F.col("doc_id").alias("id"), a.alias("a"), b.alias("b"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), a.alias("a"), b.alias("b"), row.alias("known"), "text", "source")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under 0.5; the model learns from the labels of these documents."""
+    """Documents with a toxicity score under 0.5; the model learns from the labels of these documents.
+
+    Null and empty texts are scored as texts without words; rows that repeat are scored alike. Without labelled rows nothing is dropped.
+    """
     scored = score(docs, toxicity_model(spark, sf_dir, docs), keep=tuple(c for c in docs.columns if c != "doc_id"), score_column="__score")
     return scored.where("__score < 0.5").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that repeat an earlier one; every document stays, n_chars is of what is left."""
+    """Texts without the lines that repeat an earlier one; every document stays, n_chars is of what is left (null of a null text)."""
     kept = dedup_lines(docs, keep=docs.columns)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
@@ -41,24 +46,30 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies; of equal rows one."""
+    """The document with the smallest id (and key) of each class of near copies; of rows that repeat id and text one.
+
+    All texts without words are one class. A null id is smaller than any other.
+    """
     keyed = _keyed(docs)
-    classes = near_duplicates(keyed, id_column="__row")
-    stay = materialize(classes.where("__row = class_id").select(F.col("__row.key").alias("__key")).distinct(), "stay")
-    return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    classes = near_duplicates(keyed, id_column="known")
+    stay = materialize(classes.where("known = class_id").select("known.a", "known.b").distinct(), "stay")
+    return keyed.join(stay, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]).select("all.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded to whole documents: none to three times."""
+    """Each document as often as the mix takes its words, rounded to whole documents: none to three times.
+
+    Documents without words take no part in a mix of words, and go.
+    """
     keyed = _keyed(docs)
-    taken = mix(keyed, id_column="__row")[0].groupBy(F.col("__row.key").alias("__key")).agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("times"), F.count(F.lit(1)).alias("rows"))
-    times = materialize(taken.select("__key", F.floor(F.col("times") * F.col("rows") + 0.5).cast("int").alias("__times")).where("__times > 0"), "times")
-    once = keyed.join(times, "__key").dropDuplicates(["__key"])
-    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    taken = mix(keyed, id_column="known")[0].groupBy("known.a", "known.b").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("times"), F.count(F.lit(1)).alias("rows"))
+    times = materialize(taken.select("a", "b", F.floor(F.col("times") * F.col("rows") + 0.5).cast("int").alias("times")).where("times > 0"), "times")
+    once = keyed.join(times, ["a", "b"]).dropDuplicates(["a", "b"])
+    return once.select("all", F.explode(F.sequence(F.lit(1), F.col("times")))).select("all.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text and what they decode to, as digests."""
+    """Token ids of each text and what they decode to, as digests; a null text counts as empty and has no tokens."""
     return encode_documents(docs)
 
 
