@@ -58,8 +58,8 @@ def _walk(root: str, children: dict, status: dict, max_depth: int) -> Iterator[t
 def tree(roots: DataFrame, edges: DataFrame, statuses: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row a node of each root's tree, in the shape of ``TREE``.
 
-    Visits depend on the order of the walk, so each root's own closure (bounded by ``max_depth``) is walked in one
-    call; roots are independent. ``edges``: parent, ordinal, child. ``statuses``: node, status.
+    Visits depend on the order of the walk, and a visit cuts off later ones, so each root's own closure (bounded by
+    ``max_depth``) is walked in one call; roots are independent. ``edges``: parent, ordinal, child. ``statuses``: node, status.
     """
     reached = closure(roots, edges, max_depth)
     own = reached.join(edges, reached.node == edges.parent, "left").join(statuses, "node", "left").select("root", "node", "ordinal", "child", "status")
@@ -71,7 +71,8 @@ def tree(roots: DataFrame, edges: DataFrame, statuses: DataFrame, max_depth: int
         rows = list(_walk(pdf.root.iloc[0], children, status, max_depth))
         return pd.DataFrame(rows, columns=["root", "path", "node", "parent", "depth", "cycle", "truncated", "status"])
 
-    return own.groupBy("root").applyInPandas(walk, TREE)
+    # written once: what is read from a tree reads it several times
+    return cut(own.groupBy("root").applyInPandas(walk, TREE))
 
 
 def composed_status(tree_rows: DataFrame) -> DataFrame:

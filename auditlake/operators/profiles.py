@@ -8,20 +8,28 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import dims
 
-#: (ecosystem, prefix, profile), in the order in which prefixes are asked, after exact names.
+#: Fixed values: (ecosystem, prefix, profile), in the order in which prefixes are asked; those of tool servers go before exact names.
 NAME_PREFIXES = [
     ("pypi", "mcp-server-", "mcp-server"),
-    ("npm", "@modelcontextprotocol/", "mcp-server"),
+    ("npm", "@modelcontextprotocol/server-", "mcp-server"),
     ("npm", "mcp-server-", "mcp-server"),
     ("npm", "@aws-sdk/", "cloud-sdk"),
-    ("npm", "@azure/", "cloud-sdk"),
+    ("npm", "@azure/storage-", "cloud-sdk"),
+    ("npm", "@azure/identity", "cloud-sdk"),
+    ("npm", "@azure/keyvault-", "cloud-sdk"),
+    ("npm", "@azure/data-", "cloud-sdk"),
     ("npm", "@google-cloud/", "cloud-sdk"),
-    ("npm", "@opentelemetry/", "observability"),
     ("npm", "@sentry/", "observability"),
+    ("npm", "@opentelemetry/", "observability"),
+    ("npm", "@datadog/", "observability"),
+    ("npm", "@elastic/apm-", "observability"),
     ("npm", "@nestjs/", "web-framework"),
     ("npm", "@temporalio/", "workflow-orchestrator"),
     ("npm", "@docusaurus/", "doc-builder"),
+    ("npm", "@vuepress/", "doc-builder"),
     ("npm", "@langchain/", "agentic-framework"),
+    ("npm", "@llamaindex/", "agentic-framework"),
+    ("npm", "@anthropic-ai/", "agentic-framework"),
 ]
 #: A starting allow-list of well-known public names; ``name_table`` takes a full one as a parameter.
 KNOWN_NAMES = {
@@ -64,16 +72,22 @@ def name_table(spark: SparkSession, extra: list[tuple[str, str, str]] = ()) -> D
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "ecosystem string, name string, profile string, priority int")
 
 
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """A full allow-list from a CSV file without head: ecosystem, name, profile; of one name the first in the order of profiles counts."""
+    rows = spark.read.schema("ecosystem string, name string, profile string").csv(path)
+    return rows.withColumn("priority", F.array_position(F.array(*[F.lit(p) for p in C.PROFILES]), F.col("profile")).cast("int"))
+
+
 def by_name(packages: DataFrame, names: DataFrame) -> DataFrame:
     """``packages`` (ecosystem, name, …) with the profile of the best match: the one of least priority, or null.
 
-    Exact names are an equi-join with the (small, broadcast) allow-list; prefixes are a CASE in their order.
+    Exact names are an equi-join with the allow-list, of any size; prefixes are a CASE in their order.
     An exact name goes before a prefix, but for the tool-server prefixes, which go first.
     """
     exact = names.groupBy("ecosystem", "name").agg(F.min_by("profile", "priority").alias("exact"))
     chain = lambda rows: F.coalesce(*[F.when((F.col("ecosystem") == e) & F.col("name").startswith(p), prof) for e, p, prof in rows])
     servers = [r for r in NAME_PREFIXES if r[2] == "mcp-server"]
-    out = packages.join(F.broadcast(exact), ["ecosystem", "name"], "left")  # the allow-list: a few hundred rows
+    out = packages.join(exact, ["ecosystem", "name"], "left")
     return out.withColumn("profile", F.coalesce(chain(servers), "exact", chain([r for r in NAME_PREFIXES if r not in servers]))).drop("exact")
 
 

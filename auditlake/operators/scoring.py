@@ -30,23 +30,32 @@ def surface_counts(findings: DataFrame, keys: tuple = ("package_id",)) -> DataFr
     return findings.groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def deductions(findings: DataFrame) -> DataFrame:
-    """One row for each package and weighted kind: count, deducted, role_typical, encoded_count, dynamic_count.
+def _weighted(findings: DataFrame) -> DataFrame:
+    """One row for each package, profile and kind, runtime or not, with its weights (null without any) and what they deduct.
 
-    Needs package_id, profile, kind, file and shape. The counts shuffle as partial sums, the 325 weights are
-    broadcast. An unknown profile has the plugin's weights; kinds without a weight or with cap 0 are left out.
+    The counts shuffle as partial sums, the 325 weights are broadcast.
     """
     spark = findings.sparkSession
     known = F.when(F.col("profile").isin(C.PROFILES), F.col("profile")).otherwise(C.DEFAULT_PROFILE)
-    encoded = F.count_if(F.col("shape") == C.ENCODED_SHAPE)
-    counts = runtime_findings(findings).withColumn("profile", known).groupBy("package_id", "profile", "kind").agg(F.count(F.lit(1)).alias("n"), F.coalesce(encoded, F.lit(0)).alias("encoded"))
-    rows = counts.join(F.broadcast(dims.weights(spark)), ["profile", "kind"]).where("cap > 0")
+    runtime = (F.col("kind") == "unauditable_file") | (files.context(F.col("file")) == "runtime")
+    counts = findings.select("package_id", known.alias("profile"), "kind", runtime.alias("runtime"), (F.col("shape") == C.ENCODED_SHAPE).alias("hidden"))
+    counts = counts.groupBy("package_id", "profile", "kind").agg(F.count_if("runtime").alias("n"), F.count_if(F.col("runtime") & F.coalesce("hidden", F.lit(False))).alias("encoded"))
+    rows = counts.join(F.broadcast(dims.weights(spark)), ["profile", "kind"], "left")
     plain = F.least(F.col("per_finding") * F.col("n"), F.col("cap"))
     split = F.least(F.least(F.col("per_finding") * F.col("encoded"), F.col("cap")) + F.least(F.col("dyn_per") * (F.col("n") - F.col("encoded")), F.col("dyn_cap")), F.col("cap"))
+    weighs = (F.col("n") > 0) & (F.col("cap") > 0)
+    return rows.withColumn("deducted", F.when(weighs, F.when(F.col("kind") == "obfuscation", split).otherwise(plain)).cast("long"))
+
+
+def deductions(findings: DataFrame) -> DataFrame:
+    """One row for each package and weighted kind: count, deducted, role_typical, encoded_count, dynamic_count.
+
+    Needs package_id, profile, kind, file and shape. An unknown profile has the plugin's weights; kinds without a weight or with
+    cap 0 are left out, as are findings out of runtime files.
+    """
     hidden = F.col("kind") == "obfuscation"
-    return rows.select(
-        "package_id", "profile", "kind", "n", "per_finding", "cap",
-        F.when(hidden, split).otherwise(plain).cast("long").alias("deducted"), "role_typical",
+    return _weighted(findings).where("deducted IS NOT NULL").select(
+        "package_id", "profile", "kind", "n", "per_finding", "cap", "deducted", "role_typical",
         F.when(hidden, F.col("encoded")).alias("encoded_count"), F.when(hidden, F.col("n") - F.col("encoded")).alias("dynamic_count"),
         F.when(hidden, F.col("dyn_per")).alias("dynamic_per_finding"), F.when(hidden, F.col("dyn_cap")).alias("dynamic_cap"),
     )
@@ -57,16 +66,16 @@ def score(findings: DataFrame, packages: DataFrame | None = None) -> DataFrame:
 
     A package all of whose findings weigh nothing has 100. ``packages`` (package_id, profile) also names those without findings, which have 100.
     """
-    known = F.when(F.col("profile").isin(C.PROFILES), F.col("profile")).otherwise(C.DEFAULT_PROFILE)
-    packages = (findings if packages is None else packages).select("package_id", known.alias("profile")).distinct()
-    sums = deductions(findings).groupBy("package_id", "profile").agg(
-        F.sum("deducted").alias("deducted"),
+    sums = _weighted(findings).groupBy("package_id", "profile").agg(
+        F.coalesce(F.sum("deducted"), F.lit(0)).alias("deducted"),
         F.coalesce(F.sum(F.when(F.col("role_typical"), F.col("deducted"))), F.lit(0)).alias("role_typical_deducted"),
-        F.bool_or(F.col("kind").isin(C.CRITICAL_KINDS) & (F.col("deducted") > 0)).alias("critical"),
+        F.coalesce(F.bool_or(F.col("kind").isin(C.CRITICAL_KINDS) & (F.col("deducted") > 0)), F.lit(False)).alias("critical"),
     )
-    out = packages.join(sums, ["package_id", "profile"], "left").na.fill({"deducted": 0, "role_typical_deducted": 0, "critical": False})
+    if packages is not None:
+        known = F.when(F.col("profile").isin(C.PROFILES), F.col("profile")).otherwise(C.DEFAULT_PROFILE)
+        sums = packages.select("package_id", known.alias("profile")).distinct().join(sums, ["package_id", "profile"], "left").na.fill({"deducted": 0, "role_typical_deducted": 0, "critical": False})
     share = F.when(F.col("deducted") > 0, F.col("role_typical_deducted") / F.col("deducted")).otherwise(0.0)
-    return out.select("package_id", "profile", F.greatest(F.lit(0), 100 - F.col("deducted")).cast("int").alias("final_score"), "deducted", "role_typical_deducted", share.alias("role_typical_share"), "critical")
+    return sums.select("package_id", "profile", F.greatest(F.lit(0), 100 - F.col("deducted")).cast("int").alias("final_score"), "deducted", "role_typical_deducted", share.alias("role_typical_share"), "critical")
 
 
 def rounded_share(typical: Column, deducted: Column) -> Column:

@@ -86,7 +86,7 @@ def profile_weight_delta(spark, sf):
     return profiles.weight_deltas(spark)
 
 
-_NAMES = [("pypi", "requests"), ("pypi", "mcp-server-git"), ("pypi", "torch"), ("pypi", "left"), ("npm", "@sentry/node"), ("npm", "vite"), ("npm", "@modelcontextprotocol/sdk"), ("npm", "nothing")]
+_NAMES = [("pypi", "requests"), ("pypi", "mcp-server-git"), ("pypi", "torch"), ("pypi", "left"), ("npm", "@sentry/node"), ("npm", "vite"), ("npm", "@modelcontextprotocol/server-git"), ("npm", "@modelcontextprotocol/sdk")]
 
 
 def _suppliers_as_packages(spark, sf):
