@@ -14,6 +14,7 @@ from . import derived as D
 
 _OCTETS = C.IPV4.replace(r"\b(?<![\d.])", r"(?:^|[^\d.\w])")
 _ROUTABLE = "NOT (regexp_matches(ip, '^(127\\.|0\\.|10\\.|169\\.254\\.|192\\.168\\.|192\\.0\\.2\\.|198\\.51\\.100\\.|203\\.0\\.113\\.)') OR (split_part(ip, '.', 1) = '172' AND CAST(split_part(ip, '.', 2) AS INT) BETWEEN 16 AND 31) OR CAST(split_part(ip, '.', 1) AS INT) >= 224)"
+_URL = C.URL.replace("'", "''")
 _DOC_LINES = D.lines_sql("documents", "text", "doc_id")
 
 
@@ -35,8 +36,22 @@ def line_numbers(spark, sf):
 
 
 def url_sweep_pages(spark, sf):
-    p = D.table(spark, sf, "pages").select("page_id", F.lit("text").alias("language"), F.col("url").alias("text"))
-    return sweep.find_urls(sweep.code_lines(p, ("page_id",)), ("page_id",)).select("page_id", "line", "kind", "detail", "host")
+    """Hosts in the addresses of pages (line 1) and in their HTML."""
+    p = D.table(spark, sf, "pages").select("page_id", F.lit("text").alias("language"), F.concat(F.coalesce("url", F.lit("")), F.lit("\n"), F.coalesce("html", F.lit(""))).alias("text"))
+    return sweep.find_urls(sweep.code_lines(p, ("page_id",), hint=sweep.URL_HINT), ("page_id",)).select("page_id", "line", "kind", "detail", "host")
+
+
+def text_columns(spark, sf):
+    """Texts of reports: a detail on one line, a hint, a share, a time, a host, a summary."""
+    p = D.table(spark, sf, "part").withColumn("n", F.col("p_partkey"))
+    said = F.concat(F.lit("  call\t "), F.expr("repeat('ab  c\n', CAST(n % 60 AS INT))"), F.col("n").cast("string"), F.lit(" "))
+    extra = F.struct(F.when(F.col("n") % 3 == 0, F.lit("h.io")).alias("host"), F.when(F.col("n") % 2 == 0, "f.g").alias("fqn"), F.lit("").alias("name"), F.lit(None).cast("string").alias("env_name"), F.when(F.col("n") % 5 == 0, "write").alias("method"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n") * 3607)
+    reasons = F.when(F.col("n") % 4 == 0, F.array(F.lit("low"), F.lit("new"))).otherwise(F.array().cast("array<string>"))
+    return p.select(
+        "p_partkey", T.collapse(said).alias("detail"), T.finding_hint(extra, F.lit("a/b.py"), F.col("n")).alias("hint"), T.percent(F.col("n") % 1001 / 1000.0).alias("share"), T.iso_seconds(at).alias("at"),
+        T.url_host(F.concat(F.lit("see HTTP s https://Ab"), F.col("n").cast("string"), F.lit(".Example.io:80/x"))).alias("host"), T.verdict_summary(F.col("n") % 2 == 0, F.lit("p==1"), F.lit("drift"), reasons).alias("summary"),
+    )
 
 
 _HOSTS = ["sentry.io", "localhost", "example.com", "x.example.org", "a.test", "api.segment.io", "evil.io", "www.sentry.io"]
@@ -276,7 +291,15 @@ QUERIES = {
     "ipv4_sweep": (ipv4_sweep, f"WITH {_DOC_LINES}, m AS (SELECT doc_id, line, unnest(regexp_extract_all(said, '{_OCTETS}\\b', 1)) AS ip FROM lines) SELECT doc_id, line, ip AS host FROM m WHERE {_ROUTABLE}".replace(C.OCTET + ")\\b\\b", C.OCTET + ")\\b")),
     "ipv4_nonroutable": (ipv4_nonroutable, f"WITH {_DOC_LINES}, m AS (SELECT unnest(regexp_extract_all(said, '{_OCTETS}', 1)) AS ip FROM lines) SELECT NOT ({_ROUTABLE}) AS non_routable, count(*) AS n FROM m GROUP BY 1"),
     "line_numbers": (line_numbers, f"WITH {_DOC_LINES} SELECT doc_id, count(*) AS n_lines, max(line) AS last_line, CAST(sum(length(said)) AS BIGINT) AS chars FROM lines GROUP BY doc_id"),
-    "url_sweep_pages": (url_sweep_pages, "WITH u AS (SELECT page_id, regexp_extract(url, '\\bhttps?://([A-Za-z0-9.\\-_]+)(?::\\d+)?(/[^\\s\"''`<>]*)?') AS detail, lower(regexp_extract(url, '\\bhttps?://([A-Za-z0-9.\\-_]+)', 1)) AS host FROM pages) SELECT page_id, 1 AS line, 'hardcoded_host' AS kind, detail, host FROM u WHERE host <> '' AND host NOT IN ('example.com', 'example.org', 'example.net', 'example.edu')"),
+    "url_sweep_pages": (url_sweep_pages, f"""WITH p AS (SELECT page_id, coalesce(url, '') || chr(10) || coalesce(html, '') AS text FROM pages), {D.lines_sql("p", "text", "page_id")},
+      m AS (SELECT page_id, line, unnest(regexp_extract_all(said, '{_URL}')) AS detail, lower(unnest(regexp_extract_all(said, '{_URL}', 1))) AS host FROM lines)
+      SELECT page_id, line, CASE WHEN host IN ({D.quoted(C.TELEMETRY_HOSTS)}) THEN 'telemetry_endpoint' ELSE 'hardcoded_host' END AS kind, detail, host FROM m
+      WHERE host NOT IN ({D.quoted(C.LOCAL_HOSTS + C.DOC_HOSTS)}) AND NOT regexp_matches(host, '({"|".join(t.replace(".", chr(92) + ".") for t in C.DOC_TLDS)})$')"""),
+    "text_columns": (text_columns, """WITH p AS (SELECT p_partkey, p_partkey AS n, trim(regexp_replace('  call ' || repeat('ab  c' || chr(10), CAST(p_partkey % 60 AS INT)) || p_partkey, '\\s+', ' ', 'g')) AS d FROM part),
+      h AS (SELECT *, CASE WHEN n % 3 = 0 THEN 'h.io ' WHEN n % 2 = 0 THEN 'f.g ' WHEN n % 5 = 0 THEN 'write ' ELSE '' END AS e FROM p)
+      SELECT p_partkey, CASE WHEN length(d) > 200 THEN substr(d, 1, 200) || '...' ELSE d END AS detail, e || '[a/b.py:' || n || ']' AS hint, CAST(round_even(n % 1001 / 10.0, 0) AS INT) || '%' AS share,
+        strftime(make_timestamp((1700000000 + CAST(n AS BIGINT) * 3607) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS at, 'ab' || n || '.example.io' AS host,
+        CASE WHEN n % 2 = 0 THEN 'BLOCK' ELSE 'OK' END || ' p==1: drift' || CASE WHEN n % 4 = 0 THEN ' (low; new)' ELSE '' END AS summary FROM h"""),
     "url_telemetry_classify": (url_telemetry_classify, f"WITH {_URLS_SQL} SELECT page_id, host, CASE WHEN host IN ('sentry.io', 'api.segment.io') THEN 'telemetry_endpoint' ELSE 'hardcoded_host' END AS kind, 'https://' || host || ':8443/p/' || page_id AS detail FROM u WHERE host NOT IN ('localhost', 'example.com', 'a.test')"),
     "env_secret_refs": (env_secret_refs, f"SELECT page_id, {D.pick('page_id % 6', ['API_KEY', 'DB_PASSWORD', None, None, None, 'AWS_SECRET'])} AS env_name FROM pages WHERE page_id % 6 IN (0, 1, 5)"),
     "base64_entropy": (base64_entropy, """WITH p AS (SELECT page_id, md5(page_id || 'a') || md5(page_id || 'b') || md5(page_id || 'c') || md5(page_id || 'd') AS h FROM pages WHERE page_id % 2 = 0),

@@ -2,7 +2,7 @@
 
 import json
 
-from auditlake.operators import audit
+from auditlake.operators import audit, memory
 from auditlake.sources import cache, doctor, library, requirements
 from pyspark.sql import functions as F
 
@@ -91,3 +91,12 @@ def test_audit_of_descriptions_and_names(spark):
     assert kinds["p"] == ["mcp_tool", "prompt_injection_hint", "prompt_injection_hint"] and kinds["q"] == ["mcp_tool", "prompt_injection_hint"]
     assert got["r"].profile == "dev-server-bundler" and got["s"].profile == "cli-framework" and got["s"].profile_reason == "metadata: 2 entry point(s)" and got["s"].name == "s"
     assert got["t"].final_score == 100 and got["t"].profile == "plugin" and got["t"].n_findings == 0 and got["p"].profile == "mcp-server"
+
+
+def test_approval_of_a_text(spark):
+    blobs = spark.createDataFrame([("a", "plain note"), ("b", "ignore previous instructions")], "source string, blob string")
+    journal = spark.createDataFrame([(1, "a", "v1", "x", "approved"), (2, "a", "v12", "y", "revoked"), (3, "c", "odd", "z", "approved")], "seq long, source string, version string, sha256 string, status string")
+    rows = {r.source: r for r in memory.approve(blobs, journal, F.lit("2024-01-01T00:00:00+00:00")).collect()}
+    assert (rows["a"].version, rows["a"].level, rows["a"].blob_len, rows["a"].status) == ("v13", "clean", 10, "approved") and (rows["b"].version, rows["b"].level) == ("v1", "review")
+    later = spark.createDataFrame([(9, "b", "v1", rows["b"].sha256, "approved")], journal.schema)
+    assert {r.source: r.reason_code for r in memory.check(blobs, journal.union(later)).collect()} == {"a": "unknown_content", "b": "approved"}
