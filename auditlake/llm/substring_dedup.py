@@ -11,10 +11,10 @@ Skew: within a few megabytes of text equal windows are resolved where they are,
 all of them in the shuffle, so a passage that a third of all documents share sends one row for each such
 step, not one for each document; of equal texts in one task two send their windows, the others one row.
 
-Scale: anchors shuffle as partial counts (about 8 % of the words); the repeated ones become a Bloom filter
-whose size is checked; above ``MAX_FILTER_BYTES`` they are dealt into ranges with a pass over the texts each.
-A false positive costs a row, not a wrong result. No pair of documents is ever formed. Texts shuffle once, to
-meet their repeats.
+Scale: anchors shuffle as partial counts (about 8 % of the words); the repeated ones become a Bloom filter of checked size.
+Beyond ``MAX_FILTER_BYTES`` they stay a table and the rows of all anchors shuffle to meet it: texts are read as often as
+before, and meet the ranges of their single windows by their key. A false positive costs a row, not a wrong result. No pair of
+documents is ever formed. Texts shuffle once (then twice), to meet their repeats.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from .exact_dedup import membership_filter
 LENGTH, SEED = 35, 12
 _KEY = ("key_a", "key_b")
 FILTER_BITS = 10
-MAX_FILTER_BYTES, MAX_RANGES = 128 << 20, 64
+MAX_FILTER_BYTES = 128 << 20
 _STEP_BYTES = 8 << 20
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FIRST_BASE, _SECOND_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -126,19 +126,28 @@ def _units(step: _Step, least: np.ndarray, at: np.ndarray, whole: bool):
     return low, high, *(_range_hashes(step.h, low, high + step.length, base) for base in (_FIRST_BASE, _SECOND_BASE))
 
 
-def _candidates(length: int, shared, part: int, parts: int, whole: bool):
+def _flat(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (a, b, n, key_a, key_b, low, high, anchor) of groups of arrays, of which any may be None for null."""
+    out = []
+    for group in rows:
+        count = next(len(v) for v in group if v is not None and not np.isscalar(v))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        column = lambda v, t: pa.nulls(count, t) if v is None else pa.array(np.full(count, v, np.int32) if np.isscalar(v) else v.view(np.int64) if t == pa.int64() else np.asarray(v).astype(np.int32), t)
+        out.append([column(v, t) for v, t in zip(group, kinds)])
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out)], ["a", "b", "n", *_KEY, "low", "high", "anchor"])
+
+
+def _candidates(length: int, shared, whole: bool):
     """Rows (a, b, n, key_a, key_b, low, high, anchor): windows (or, with ``whole``, all windows around an anchor at once) to look up with
-    their owner; ones that are known as repeated without one; and places (no hash) where windows low to high of a text are repeated."""
+    their owner (n is 1), or with one of the owners where they are known as repeated (n is 2); and places (no hash) where windows low
+    to high of a text are repeated. ``shared``: a filter of the anchors to look at, or None for all."""
 
     def run(batches):
-        known = shared.value
         for key, step, again in _steps(batches, length):
             least, _ = step.anchors()
-            valid = step.valid & ~again[step.row[: len(step.valid)]]
-            if parts > 1:
-                valid &= least % np.uint64(parts) == np.uint64(part)
-            at = np.flatnonzero(valid)
-            at = at[known.holds(least[at])]
+            at = np.flatnonzero(step.valid & ~again[step.row[: len(step.valid)]])
+            if shared is not None:
+                at = at[shared.value.holds(least[at])]
             low, high, a, b = _units(step, least, at, whole)
             order = np.lexsort((b, a))
             a, b, low, high = a[order], b[order], low[order], high[order]
@@ -147,20 +156,37 @@ def _candidates(length: int, shared, part: int, parts: int, whole: bool):
             alone = (np.bincount(group) if len(a) else np.zeros(0, np.int64))[group] == 1
             lead = new & ~alone
             own = lambda x: (*key[:, step.row[low[x]]], step.place[low[x]], step.place[high[x]])
-            rows = [(a[alone], b[alone], 1, *own(alone), least[low[alone]]), (a[lead], b[lead], 2, None, None, None, None, least[low[lead]]), (None, None, 0, *own(~alone), None)]
-            if whole and part == 0:  # a third copy in this task: all of its windows are repeated
+            rows = [(a[alone], b[alone], 1, *own(alone), least[low[alone]]), (a[lead], b[lead], 2, *own(lead), least[low[lead]]), (None, None, 0, *own(~alone), None)]
+            if whole:  # a third copy in this task: all of its windows are repeated
                 copies = np.flatnonzero(again)
-                rows.append((None, None, 0, *key[:, copies], np.zeros(len(copies)), np.diff(step.bounds)[copies] - length, None))
-            for x, y, n, k, k2, lo, hi, anchor in rows:
-                count = len(x) if x is not None else len(k)
-                if count:
-                    column = lambda v, t: pa.nulls(count, t) if v is None else pa.array(np.asarray(v).view(np.int64) if t == pa.int64() else np.asarray(v).astype(np.int32), t)
-                    yield pa.RecordBatch.from_arrays([column(x, pa.int64()), column(y, pa.int64()), pa.array(np.full(count, n, np.int32)), column(k, pa.int64()), column(k2, pa.int64()), column(lo, pa.int32()), column(hi, pa.int32()), column(anchor, pa.int64())], ["a", "b", "n", *_KEY, "low", "high", "anchor"])
+                rows.append((None, None, 0, *key[:, copies], np.zeros(len(copies), np.int32), np.diff(step.bounds)[copies] - length, None))
+            yield _flat(rows)
             trim()
 
     return run
 
 
+def _singles(length: int):
+    """Rows as of :func:`_candidates` for each window in the ranges (low, high, n) of a text."""
+
+    def run(batches):
+        for batch in batches:
+            data, at = buffers(batch.column(2))
+            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+            ranges = batch.column(3)
+            for i in range(len(key[0])):
+                step = _Step(data[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]), length)
+                low, high, n = (ranges[i].values.field(c).to_numpy() for c in range(3))
+                count = high - low + 1
+                place = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                n = np.repeat(n, count)
+                _, _, a, b = _units(step, None, place, False)
+                owner = [np.full(len(place), k) for k in key[:, i]]
+                yield _flat([(a[x], b[x], v, *(o[x] for o in owner), place[x], place[x], None) for v, x in ((1, n == 1), (2, n == 2))])
+
+    return run
+
+
 _ROWS = "a long, b long, n int, key_a long, key_b long, low int, high int, anchor long"
 
 
@@ -190,36 +216,43 @@ def _cut(id_column: str, length: int, keep_text: bool):
     return run
 
 
-def _look_up(df: DataFrame, anchors: DataFrame, length: int, whole: bool, max_filter_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of :func:`_candidates` around ``anchors``, the hashes that occur twice), both written."""
-    spark = df.sparkSession
-    number = anchors.count()
-    needed = max(1, -(-number * FILTER_BITS // (8 * max_filter_bytes)))
-    parts = min(MAX_RANGES, 1 << (needed - 1).bit_length())  # a power of two: anchors are dealt by their last bits
-    found = None
-    for part in range(parts):
-        own = anchors.where(F.pmod("anchor", F.lit(parts)) == part) if parts > 1 else anchors
-        known = spark.sparkContext.broadcast(membership_filter(own, max(1, number // parts), FILTER_BITS, max_filter_bytes))
-        rows = df.mapInArrow(_candidates(length, known, part, parts, whole), _ROWS)
-        found = rows if found is None else found.unionByName(rows)
-    found = materialize(found, "windows")
-    twice = found.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b")
-    return found, materialize(twice, "repeated")
+def _twice(found: DataFrame) -> DataFrame:
+    """The hashes (a, b) that occur twice, written."""
+    return materialize(found.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b"), "repeated")
 
 
 def repeats(df: DataFrame, length: int = LENGTH, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """(key_a, key_b, places): for texts with repeats, where windows of ``length`` words start that start elsewhere, too; written.
 
     ``df`` has key_a, key_b and text. All windows around an anchor are looked up at once first. Only where an anchor's surroundings
-    differ between its places are windows looked up one by one.
+    differ between its places are windows looked up one by one. Anchors to look at are a filter that is broadcast, or, where that would
+    be over ``max_filter_bytes``, a table: rows of all anchors then meet it, and texts meet their own ranges of single windows.
     """
+    spark = df.sparkSession
     counts = df.mapInArrow(_anchor_counts(length), "anchor long, n int")
     repeated = materialize(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
-    found, twice = _look_up(df, repeated, length, True, max_filter_bytes)
-    owned = found.where("a IS NOT NULL AND key_a IS NOT NULL")
-    differing = materialize(owned.hint("merge").join(twice, ["a", "b"], "left_anti").select("anchor").distinct(), "differing")
-    single, again = _look_up(df, differing, length, False, max_filter_bytes)
-    place = lambda rows, known: rows.where("a IS NOT NULL AND key_a IS NOT NULL").select("a", "b", *_KEY, "low", "high").hint("merge").join(known, ["a", "b"]).select(*_KEY, "low", "high")
+
+    def filter_of(anchors: DataFrame):
+        number = anchors.count()
+        return spark.sparkContext.broadcast(membership_filter(anchors, max(1, number), FILTER_BITS, max_filter_bytes)) if number * FILTER_BITS <= 8 * max_filter_bytes else None
+
+    known = filter_of(repeated)
+    found = materialize(df.mapInArrow(_candidates(length, known, True), _ROWS), "windows")
+    if known is None:
+        every = found
+        found = materialize(every.where("anchor IS NULL").unionByName(every.where("anchor IS NOT NULL").hint("merge").join(repeated, "anchor", "left_semi").select(*every.columns)), "windows")
+        discard(every)
+    twice = _twice(found)
+    differing = materialize(found.where("n = 1").hint("merge").join(twice, ["a", "b"], "left_anti").select("anchor").distinct(), "differing")
+    known = filter_of(differing)
+    if known is not None:
+        single = df.mapInArrow(_candidates(length, known, False), _ROWS)
+    else:
+        wanted = found.where("a IS NOT NULL").hint("merge").join(differing, "anchor", "left_semi").groupBy(*_KEY).agg(F.collect_list(F.struct("low", "high", "n")).alias("ranges"))
+        single = df.join(wanted, list(_KEY)).select(*_KEY, "text", "ranges").mapInArrow(_singles(length), _ROWS)
+    single = materialize(single, "windows")
+    again = _twice(single)
+    place = lambda rows, known: rows.where("n = 1").select("a", "b", *_KEY, "low", "high").hint("merge").join(known, ["a", "b"]).select(*_KEY, "low", "high")
     places = place(found, twice).unionByName(place(single, again))
     for rows in (found, single):
         places = places.unionByName(rows.where("a IS NULL").select(*_KEY, "low", "high"))
@@ -228,7 +261,7 @@ def repeats(df: DataFrame, length: int = LENGTH, max_filter_bytes: int = MAX_FIL
     return out
 
 
-def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, keep_text: bool = False, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """One row for each row of ``df``: id, n_words, n_removed, kept_sha256 (and kept_text).
 
     Words are runs of ``[^\\x20\\x09-\\x0D]``, unchanged. Each word is removed that a window of ``length`` words
@@ -241,7 +274,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str =
     # the key stands for the row in the shuffles, also where ids repeat or are null
     key = row_key(id_column, text_column)
     docs = df.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"), key[0].alias("key_a"), key[1].alias("key_b"))
-    places = repeats(docs.select(*_KEY, "text"), length)
+    places = repeats(docs.select(*_KEY, "text"), length, max_filter_bytes)
     kind = docs.schema["id"].dataType.simpleString()
     joined = docs.join(places, list(_KEY), "left").select(F.col("id").alias(id_column), "text", "places")
     return joined.mapInArrow(_cut(id_column, length, keep_text), f"`{id_column}` {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)

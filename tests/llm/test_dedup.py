@@ -65,7 +65,8 @@ def test_exact_groups_of_nothing(spark):
     assert sorted((r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_groups(nulls).collect()) == [(0, 2, True), (0, 2, True), (7, 2, False), (7, 2, True)]
 
 
-def test_substrings(spark, docs):
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_substrings(spark, docs, most):
     rows = docs.collect()
     starts = Counter(tuple(w[i : i + 35]) for w in map(words, (r.text for r in rows)) for i in range(len(w) - 34))
     expected = Counter()
@@ -77,11 +78,35 @@ def test_substrings(spark, docs):
                 stay[i : i + 35] = [False] * 35
         kept = list(itertools.compress(w, stay))
         expected[(r.doc_id, len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())] += 1
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs, max_filter_bytes=most).collect())
     assert got == expected and any(k[2] for k in got)
     assert substring_dedup.remove_repeats(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_substrings_of_many_passages(spark, most):
+    """Passages that documents share in part, in full, shifted, within one text and in equal texts."""
+    r = random.Random(9)
+    passages = [" ".join(f"p{k}x{j}" for j in range(r.randrange(30, 160))) for k in range(8)]
+    rows = []
+    for i in range(120):
+        parts = [" ".join(f"o{i}x{r.randrange(10**6)}" for _ in range(r.randrange(1, 50)))]
+        for _ in range(r.randrange(3)):
+            w = r.choice(passages).split()
+            a = r.randrange(len(w))
+            parts += [" ".join(w[a : a + r.randrange(10, 150)]), " ".join(f"o{i}y{r.randrange(10**6)}" for _ in range(r.randrange(9)))]
+        rows.append((i, " ".join(parts)))
+    rows += [(200 + i, rows[7][1]) for i in range(6)]
+    starts = Counter(tuple(w[i : i + 35]) for w in (words(t) for _, t in rows) for i in range(len(w) - 34))
+    expected = {}
+    for i, t in rows:
+        w = words(t)
+        gone = {k + d for k in range(len(w) - 34) if starts[tuple(w[k : k + 35])] > 1 for d in range(35)}
+        expected[i] = hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.kept_sha256 for x in substring_dedup.remove_repeats(df, max_filter_bytes=most).collect()} == expected
+
+
 def expected_lines(rows, t=0.8):
     lines = sorted(((r.doc_id, i, frozenset(x.encode().split())) for r in rows for i, x in enumerate((r.text or "").split("\n"))), key=lambda x: x[:2])
     lines = [x for x in lines if x[2]]
