@@ -308,3 +308,107 @@ def test_distrust_is_carried_to_the_end(spark):
     even = url_filter.THRESHOLD / len(rank)
     assert all(abs(got[h].host_distrust - r) <= url_filter.SMALL * even for h, r in rank.items()) and got["h15.io"].host_distrust > 0
     assert len(rank) == 17 and all((got[h].verdict == "block") == (r > even) for h, r in rank.items() if h != "bad.net")
+
+
+def test_links_and_parents_by_brute_force(spark):
+    """Trust and distrust with the edges between hosts and the domains above them, over pages that repeat, clash and are very long."""
+    r = random.Random(8)
+    hosts = ["a.net", "b.x.io", "x.io", "c.x.io", "deep.er.x.io", "good.org", "fr.good.org", "m.com", "www.m.com", "lone.dev"]
+    rows = []
+    for i in range(60):
+        h = r.choice(hosts)
+        links = " ".join(f'<a HREF="{r.choice(["http:", "https:", ""])}//{r.choice(hosts)}/p{i}">' for _ in range(r.randrange(4)))
+        rows.append((i, f"http://{h}/{r.choice(['fr/', 'en/', ''])}x", links))
+    rows += [rows[0], (100, "http://lone.dev/" + "y" * 200_000, "<p>" * 50_000), (101, None, None), (102, "mailto:x", '<a href="//a.net">')]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("host", "path", "rule", "trust", "src"):
+        df = df.withColumn(c, F.lit("theirs"))
+    got = url_filter.judge(df).collect()
+    assert len(got) == len(rows)
+    host_of = lambda u: u.split("://", 1)[1].split("/")[0].split("?")[0] if u and "://" in u else ""
+    weight = defaultdict(float)
+    for _, u, html in rows:
+        for part in (html or "").split('HREF="')[1:] + (html or "").split('href="')[1:]:
+            dst = part.split('"')[0].split("//", 1)[1].split("/")[0]
+            if host_of(u) and dst != host_of(u):
+                weight[host_of(u), dst] += 1
+    named = {host_of(u) for _, u, _ in rows if host_of(u)} | {d for _, d in weight}
+    ups = set()
+    for h in named:
+        labels = h.split(".")
+        ups |= {(".".join(labels[i:]), ".".join(labels[i + 1 :])) for i in range(len(labels) - 1)}
+    for a, b in ups:
+        weight[a, b] += 1
+        weight[b, a] += 1
+    seeds = {True: defaultdict(float), False: defaultdict(float)}
+    for x in got:
+        if x.rule is not None and x.host:
+            seeds[x.rule in ("example.net/en/", "org/fr/")][x.host] += 1
+    rank = {}
+    for good, seed in seeds.items():
+        edges = weight if good else {(d, s): w for (s, d), w in weight.items()}
+        out = defaultdict(float)
+        for (s, _), w in edges.items():
+            out[s] += w
+        start = {h: n / sum(seed.values()) for h, n in seed.items()}
+        now = dict(start)
+        for _ in range(500):
+            new = defaultdict(float, {h: 0.15 * p for h, p in start.items()})
+            for (s, d), w in edges.items():
+                new[d] += 0.85 * now.get(s, 0.0) * w / out[s]
+            now = new
+        rank[good] = now
+    reached = {h for now in rank.values() for h, v in now.items() if v > 0}
+    even = url_filter.THRESHOLD / len(reached)
+    for x in got:
+        trust, distrust = rank[True].get(x.host, 0.0), rank[False].get(x.host, 0.0)
+        assert abs(x.host_trust - trust) < 0.02 * even and abs(x.host_distrust - distrust) < 0.02 * even
+        if x.rule is None and abs(distrust - max(trust, even)) > 0.02 * even:
+            assert x.verdict == ("block" if distrust > max(trust, even) else "allow")
+    assert {x.verdict for x in got if x.rule is None} == {"allow", "block"}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Clashing columns, null, empty, long and repeated texts go through every stage; so does an empty table."""
+    import corpus_pipeline as pipeline
+
+    r = random.Random(5)
+    say = lambda n: " ".join(f"w{r.randrange(500)}" for _ in range(n))
+    rows = [(i, say(30), "en", f"s{i % 2}", 0) for i in range(20)]
+    rows += [(None, say(30), None, None, None), (None, say(30), None, None, None), (30, None, "en", "s0", None), (31, "", "en", "s0", 0), (32, say(40000), "en", "s1", 0), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("all", "known", "a", "times", "n_removed", "size", "target", "taken", "row", "score", "label"):
+        docs = docs.withColumn(c, F.lit("theirs"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = none = docs
+    none = none.limit(0)
+    for name, stage in pipeline.STAGES[:-1]:
+        now = pipeline.materialize(stage(spark, now, str(tmp_path)), "odd")
+        assert now.columns == docs.columns and now.where("score != 'theirs' OR n_removed != 'theirs' OR taken != 'theirs' OR known != 'theirs'").isEmpty(), name
+        none = pipeline.materialize(stage(spark, none, str(tmp_path)), "none")
+        assert none.isEmpty() and none.columns == docs.columns
+        if name == "line dedup":
+            assert now.count() == len(rows)
+        if name == "near dedup":
+            assert now.count() == 20 + 2 + 1 + 1 and now.where("text IS NULL OR text = ''").count() == 1
+    assert pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == now.count() > 20
+    assert pipeline.STAGES[-1][1](spark, none, str(tmp_path)).isEmpty()
+
+
+def test_models_take_odd_rows(spark):
+    """Scores of clashing columns, very long, repeated and null texts; labels of ids that repeat."""
+    from auditlake.llm._training import labelled_sample
+
+    rows = [(i, f"plain text number {i} with words", "c") for i in range(40)] + [(1000, "word " * 60_000, "long"), (None, "x", "n"), (7, "other text of seven", "t"), (7, "other text of seven", "t"), (50, None, "z"), (51, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumn("label", F.lit("l")).withColumn("key", F.lit("k"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(7, 1), (None, 1)], "doc_id long, y int")
+    sample = labelled_sample(docs, labels, "y", 3, 1, 1000)
+    assert sample.count() == sample.select("id").distinct().count() and {x.id: x.text for x in sample.collect()}.get(7, "other text of seven") == "other text of seven"
+    for module, train in ((quality, quality.train), (toxicity, toxicity.train)):
+        got = module.score(docs, train(sample)).collect()
+        assert len(got) == len(rows) and all(0 <= x.score <= 1 for x in got)
+        by = defaultdict(set)
+        for x in got:
+            by[x.doc_id].add(round(x.score, 12))
+        assert len(by[7]) <= 2 and all(len(v) == 1 for k, v in by.items() if k != 7)
