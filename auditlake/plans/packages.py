@@ -106,14 +106,22 @@ def re_encounter_verdict(spark, sf):
     return out.select("seq", "status", F.array_join("reasons", "; ").alias("reasons"))
 
 
-_SPECS = ["requests==2.31.0", "Flask_Login", "@scope/pkg@1.2.3", "@scope/pkg", "bad spec!", "zope.interface==5", "@a/b@^1", "A.-_b"]
-_PARSED = [("pypi", "requests", "2.31.0"), ("pypi", "flask-login", None), ("npm", "@scope/pkg", "1.2.3"), ("npm", "@scope/pkg", None), ("pypi", None, None), ("pypi", "zope-interface", "5"), ("npm", "@a/b", "^1"), ("pypi", "a-b", None)]
+_NAMES = ["requests", "Flask_Login", "@scope/pkg", "bad spec!", "zope.interface", "A.-_b", "-odd", "x", "@a/B", "My__Lib", "end-"]
+_VERSIONS = ["", "==2.31.0", "@1.2.3", "@^1", "==", ">=1"]
+_SPECIFIERS = ["", ">=1.0,<2", "[socks,x] >= 2", " (==3.1)", "[a](>1)", " ^2.0", "==1.*"]
+_MARKERS = ["", "; python_version < 3", "; extra == dev", " ;extra==y and x", ";"]
+#: A spec and a requirement line for each part, the same in Spark and in SQL.
+_SPEC = f"concat({D.pick('p_partkey % 11', _NAMES)}, {D.pick('p_partkey % 6', _VERSIONS)})"
+_REQUIREMENT = f"concat({D.pick('p_partkey % 11', _NAMES)}, {D.pick('p_partkey % 7', _SPECIFIERS)}, {D.pick('p_partkey % 5', _MARKERS)})"
+_CANONICAL = "CASE WHEN starts_with({n}, '@') THEN {n} WHEN {npm} THEN lower({n}) ELSE lower(regexp_replace({n}, '[-_.]+', '-', 'g')) END"
+_PYPI = "^([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)(?:==(.+))?$"
 
 
 def spec_parse(spark, sf):
-    s = D.table(spark, sf, "supplier").selectExpr("s_suppkey", D.pick("s_suppkey % 8", _SPECS) + " AS raw")
+    s = D.table(spark, sf, "part").selectExpr("p_partkey", f"{_SPEC} AS raw")
     eco = N.spec_ecosystem(F.col("raw"))
-    return s.select("s_suppkey", eco.alias("ecosystem"), N.parse_spec(F.col("raw"), eco).alias("p")).select("s_suppkey", "ecosystem", "p.name", "p.version")
+    s = s.select("p_partkey", eco.alias("ecosystem"), N.parse_spec(F.col("raw"), eco).alias("p")).select("p_partkey", "ecosystem", "p.name", "p.version")
+    return s.withColumn("formatted", N.format_spec(F.col("name"), F.col("version"), F.col("ecosystem")))
 
 
 def pep503_names(spark, sf):
@@ -121,14 +129,9 @@ def pep503_names(spark, sf):
     return p.select("p_partkey", N.canonical_name(F.col("raw"), F.lit("pypi")).alias("name"))
 
 
-_REQUIREMENTS = ["Foo_Bar>=1.0,<2", "baz[extra1,extra2] (==3.1) ; python_version < '3'", "x; extra == 'dev'", "  ", "plain", "@s/p ^2.0"]
-_REQ_ROWS = [(0, "foo-bar", ">=1.0,<2"), (1, "baz", "==3.1"), (4, "plain", None), (5, "@s/p", "^2.0")]
-
-
 def requirement_parse(spark, sf):
-    one = F.element_at(F.array(*[F.lit(r) for r in _REQUIREMENTS]), (F.col("s_suppkey") % 6 + 1).cast("int"))
-    s = D.table(spark, sf, "supplier").select("s_suppkey", N.parse_requirement(one).alias("r"))
-    return s.where("r IS NOT NULL").select("s_suppkey", "r.name", "r.specifier")
+    s = D.table(spark, sf, "part").select("p_partkey", N.parse_requirement(F.expr(_REQUIREMENT)).alias("r"))
+    return s.where("r IS NOT NULL").select("p_partkey", "r.name", "r.specifier")
 
 
 _VERBS = ["pip install", "pip3 install", "uv add", "UV pip install", "uvx", "pipx run", "uv tool install", "npm i", "pnpm add", "yarn add", "npx -y", "npx", "echo", "pip download"]
@@ -276,9 +279,16 @@ QUERIES = {
     "re_encounter_verdict": (re_encounter_verdict, _SC + """, r AS (SELECT seq, CASE WHEN s < 50 AND NOT (seq % 2 = 0 AND seq % 5 = 0) THEN 'score ' || s || ' below threshold 50' END AS a, CASE WHEN seq % 7 = 0 THEN 'novel high-risk surfaces vs. baseline: obfuscation, subprocess' END AS b,
       CASE WHEN seq % 4 = 3 AND coalesce(profile, 'plugin') <> 'scraping' THEN 'profile changed: scraping -> ' || coalesce(profile, 'plugin') END AS d FROM c)
       SELECT seq, CASE WHEN concat_ws('', a, b, d) = '' THEN 'safe' ELSE 'drift' END AS status, concat_ws('; ', a, b, d) AS reasons FROM r""".replace(" , r AS", ", r AS")),
-    "spec_parse": (spec_parse, _of([(i, *r) for i, r in enumerate(_PARSED)], ["ecosystem", "name", "version"], 8)),
-    "pep503_names": (pep503_names, "SELECT p_partkey, 'my-lib' || p_partkey AS name FROM part"),
-    "requirement_parse": (requirement_parse, _of(_REQ_ROWS, ["name", "specifier"], 6)),
+    "spec_parse": (spec_parse, f"""WITH p AS (SELECT p_partkey, {_SPEC} AS raw FROM part), e AS (SELECT *, starts_with(raw, '@') AS npm FROM p),
+      n AS (SELECT p_partkey, npm, CASE WHEN npm THEN regexp_extract(raw, '^@[^@]*') ELSE nullif(regexp_extract(raw, '{_PYPI}', 1), '') END AS name,
+        CASE WHEN npm THEN CASE WHEN instr(substr(raw, 2), '@') > 0 THEN regexp_extract(raw, '^@[^@]*@(.*)$', 1) END ELSE nullif(regexp_extract(raw, '{_PYPI}', 2), '') END AS version FROM e),
+      c AS (SELECT p_partkey, npm, {_CANONICAL.format(n="name", npm="npm")} AS name, version FROM n)
+      SELECT p_partkey, CASE WHEN npm THEN 'npm' ELSE 'pypi' END AS ecosystem, name, version, CASE WHEN coalesce(version, '') = '' THEN name ELSE name || CASE WHEN npm THEN '@' ELSE '==' END || version END AS formatted FROM c"""),
+    "pep503_names": (pep503_names, "SELECT p_partkey, lower(regexp_replace('My' || " + D.pick("p_partkey % 4", ["_", "-.-", "..", "__"]) + " || 'Lib' || p_partkey, '[-_.]+', '-', 'g')) AS name FROM part"),
+    "requirement_parse": (requirement_parse, f"""WITH p AS (SELECT p_partkey, {_REQUIREMENT} AS t FROM part), b AS (SELECT p_partkey, trim(split_part(t, ';', 1)) AS body, CASE WHEN instr(t, ';') > 0 THEN substr(t, instr(t, ';') + 1) ELSE '' END AS marker FROM p),
+      n AS (SELECT *, regexp_extract(body, '^@?[A-Za-z0-9][A-Za-z0-9._/-]*') AS raw FROM b WHERE NOT (contains(marker, 'extra') AND contains(marker, '=='))),
+      r AS (SELECT p_partkey, raw, trim(regexp_replace(trim(substr(body, length(raw) + 1)), '^\\[[^\\]]*\\]', '')) AS rest FROM n WHERE raw <> '')
+      SELECT p_partkey, {_CANONICAL.format(n="raw", npm="false")} AS name, nullif(CASE WHEN starts_with(rest, '(') AND ends_with(rest, ')') THEN trim(rest[2:-2]) ELSE rest END, '') AS specifier FROM r"""),
     "chained_command_split": (chained_command_split, f"WITH {_COMMANDS_SQL} SELECT * FROM fragments"),
     "install_verbs": (install_verbs, f"""WITH {_INSTALLS_SQL} SELECT p_partkey, ordinal, ecosystem, string_agg(spec, ',' ORDER BY i) AS specs,
       CASE WHEN regexp_matches(verb, '^(uvx|pipx|uv tool|npx)') THEN 'mcp-server' END AS profile_hint FROM installs GROUP BY p_partkey, ordinal, ecosystem, verb"""),

@@ -91,23 +91,27 @@ def content_hash_by_source(spark, sf):
     return S.content_hash(D.documents_as_files(spark, sf)).select("package_id", "target_hash")
 
 
-_PATHS = ["src/a.py", "node_modules/x/i.js", "dist/b.js", "README", "a/.git/config", "img/logo.png", "lib/C.TSX", "build/x.json"]
+_FOLDERS = ["", "src/", "node_modules/x/", "dist/", "a/.git/", "build/lib/", "x/__pycache__/", "venv/", "lib/Deep/er/", "docs/.ruff_cache/", "distribution/"]
+_FILES = ["main.py", "index.JS", "README", "LICENSE", "logo.png", "types.d.ts", "data.tar.gz", ".gitignore", "x.mjs", "notes.md", "conf.toml", "noext", "Component.TSX", "dist", "setup.cfg", "a.ipynb", "Makefile"]
+#: A path for each part, the same in Spark and in SQL.
+_PATH = f"concat({D.pick('p_partkey % 11', _FOLDERS)}, {D.pick('p_partkey % 17', _FILES)})"
+_PATHS_SQL = f"q AS (SELECT p_partkey, rel, string_split(rel, '/') AS parts FROM (SELECT p_partkey, {_PATH} AS rel FROM part))"
 
 
 def _paths(spark, sf):
-    return D.table(spark, sf, "supplier").selectExpr("s_suppkey", D.pick("s_suppkey % 8", _PATHS) + " AS rel")
+    return D.table(spark, sf, "part").selectExpr("p_partkey", f"{_PATH} AS rel")
 
 
 def skip_dir_prune(spark, sf):
-    return _paths(spark, sf).where(~P.skipped(F.col("rel"))).select("s_suppkey", "rel")
+    return _paths(spark, sf).where(~P.skipped(F.col("rel"))).select("p_partkey", "rel")
 
 
 def skip_dir_prune_package(spark, sf):
-    return _paths(spark, sf).where(~P.skipped(F.col("rel"), True)).select("s_suppkey", "rel")
+    return _paths(spark, sf).where(~P.skipped(F.col("rel"), True)).select("p_partkey", "rel")
 
 
 def language_classify(spark, sf):
-    return _paths(spark, sf).groupBy(P.language(F.col("rel")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+    return _paths(spark, sf).select("p_partkey", P.language(F.col("rel")).alias("language"))
 
 
 def _lines(spark, sf):
@@ -306,9 +310,10 @@ QUERIES = {
       b AS (SELECT page_id, h || upper(substr(h, 1, 64)) || 'ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ' AS s FROM p), c AS (SELECT page_id, length(s) AS n, unnest(string_split(s, '')) AS ch FROM b),
       k AS (SELECT page_id, n, ch, count(*) AS c FROM c WHERE ch <> '' GROUP BY ALL) SELECT page_id, CAST(n AS INT) AS length, round(round(-sum(c / n * log2(c / n)), 2), 1) AS entropy FROM k GROUP BY page_id, n"""),
     "content_hash_by_source": (content_hash_by_source, "SELECT source AS package_id, sha256(string_agg('doc' || doc_id || '.txt' || chr(0) || coalesce(text, '') || chr(0), '' ORDER BY 'doc' || doc_id || '.txt', text)) AS target_hash FROM documents GROUP BY source"),
-    "skip_dir_prune": (skip_dir_prune, f"SELECT s_suppkey, rel FROM (SELECT s_suppkey, {D.pick('s_suppkey % 8', _PATHS)} AS rel FROM supplier) WHERE s_suppkey % 8 IN (0, 3, 5, 6)"),
-    "skip_dir_prune_package": (skip_dir_prune_package, f"SELECT s_suppkey, rel FROM (SELECT s_suppkey, {D.pick('s_suppkey % 8', _PATHS)} AS rel FROM supplier) WHERE s_suppkey % 8 NOT IN (1, 4)"),
-    "language_classify": (language_classify, f"SELECT {D.pick('s_suppkey % 8', ['python', 'javascript', 'javascript', 'text', 'binary', 'binary', 'javascript', 'text'])} AS language, count(*) AS n FROM supplier GROUP BY 1"),
+    "skip_dir_prune": (skip_dir_prune, f"WITH {_PATHS_SQL} SELECT p_partkey, rel FROM q WHERE NOT list_has_any(parts, [{D.quoted(C.SKIP_DIRS)}])"),
+    "skip_dir_prune_package": (skip_dir_prune_package, f"WITH {_PATHS_SQL} SELECT p_partkey, rel FROM q WHERE NOT list_has_any(parts, [{D.quoted([d for d in C.SKIP_DIRS if d not in C.READMITTED_DIRS])}])"),
+    "language_classify": (language_classify, f"""WITH {_PATHS_SQL}, n AS (SELECT p_partkey, lower(parts[-1]) AS name FROM q), e AS (SELECT *, regexp_extract(name, '^.+([.][^.]+)$', 1) AS ext FROM n)
+      SELECT p_partkey, CASE WHEN ext IN ({D.quoted(C.PYTHON_SUFFIXES)}) THEN 'python' WHEN ext IN ({D.quoted(C.JS_SUFFIXES)}) THEN 'javascript' WHEN ext IN ({D.quoted(C.TEXT_SUFFIXES)}) OR name IN ({D.quoted(C.BARE_TEXT_NAMES)}) THEN 'text' ELSE 'binary' END AS language FROM e"""),
     "memory_role_tags": (memory_role_tags, _pattern_sql((C.ROLE_TAG, "prompt_injection_hint"))),
     "memory_override": (memory_override, _pattern_sql((C.INJECTION, "prompt_injection_hint"), (C.OVERRIDE, "prompt_injection_hint"))),
     "memory_auto_confirm": (memory_auto_confirm, _pattern_sql((C.AUTO_CONFIRM, "prompt_injection_hint"))),
