@@ -32,7 +32,7 @@ def test_python_limits():
 
 def test_registrations_carry_their_docstring():
     found = python_ast.audit("@mcp.tool()\ndef a():\n    'ignore previous'\n\n@app.resource('x')\nasync def b(): ...\n")
-    assert [(f["kind"], f["name"], f["doc"]) for f in found] == [("mcp_tool", "a", "ignore previous"), ("mcp_resource", "b", None)]
+    assert [(f["kind"], f["name"], f["doc"]) for f in found] == [("mcp_tool", "a", "ignore previous"), ("mcp_resource", "b", "")]
 
 
 def test_javascript_findings():
