@@ -9,9 +9,9 @@ the similarity is the one that is verified, so repeats hide no pair), and a cand
 
 Pairs of a band's bucket are never all formed at once. Copies (equal sets) are one node. Each bucket's nodes
 are first held against one node of it, its hub; linked nodes become one component. Buckets that still hold
-several components are held against further hubs, and what is left over then is compared in full across
-components: by size and by a bound on how many shingles differ, and what passes both by its sets. So no link
-is lost and a group of n near copies costs about n comparisons of sets.
+several components are held against further hubs. What is left over then is compared across components: pair by pair
+if it has few pairs a row, else through an index of each set's rarest shingles; by size and by a bound on how many
+shingles differ, and what passes both by its sets. So no link is lost and a group of n near copies costs about n comparisons of sets.
 
 Scale: signatures, hubs, links and components are tables; nothing but counts and a Bloom filter of
 checked size comes to the driver. Shingle sets are written for nodes that share a bucket only.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import discard, materialize, prepare, table, text_of
@@ -33,6 +34,8 @@ BANDS, BAND_ROWS = 20, 4
 HASHES = BANDS * BAND_ROWS
 #: Hubs a bucket and round after the first; rounds before what is left is compared in full, at most.
 HUBS, ROUNDS = 3, 8
+#: What is left is compared pair by pair if it has so many pairs a row at most.
+FEW_PAIRS = 4
 #: Of each node's shingles, dealt into so many cells, whether a cell has an odd number: two sets differ in at least as
 #: many shingles as cells, which rules pairs out without their sets.
 PARITY_BITS = 1024
@@ -223,6 +226,23 @@ class _Search:
             fits = fits & (apart <= (1 - self.threshold) / (1 + self.threshold) * (F.col("n") + F.col("m")) + 1e-9)
         return rows.where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a != b").distinct()
 
+    def through_index(self, members: DataFrame) -> DataFrame:
+        """Pairs of nodes of different components that share one of the rarest shingles of each (prefix filter), whatever bucket they are in.
+
+        Rarity is counted over the nodes that are left. Nodes that have much in common, but not enough, mostly meet in no such shingle.
+        """
+        nodes = members.select("node", "n", "comp", "parity").distinct()
+        each = materialize(self.sets.select("node", "shingles").join(nodes.select("node", "n"), "node").select("node", "n", F.explode("shingles").alias("shingle")), "left")
+        counts = materialize(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
+        shared = each.hint("merge").join(counts, "shingle")
+        # those that a node alone has come first, and can't be shared
+        per = W.partitionBy("node")
+        placed = shared.select("node", "shingle", F.row_number().over(per.orderBy("c", "shingle")).alias("i"), (F.col("n") - F.count(F.lit(1)).over(per)).alias("alone"), "n")
+        rare = placed.where(F.col("i") + F.col("alone") <= F.col("n") - F.ceil(self.threshold * F.col("n") - 1e-9) + 1).select("node", "shingle")
+        index = materialize(rare.join(nodes, "node"), "index")
+        other = index.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("comp").alias("other_comp"), F.col("parity").alias("other_parity"))
+        return self.pairs(index.hint("merge").join(other, "shingle").where("node < other AND comp != other_comp"), True)
+
     def run(self) -> DataFrame:
         rows = self.members.withColumn("comp", F.col("node"))
         self.link(self.against_hubs(rows, 0, 1))
@@ -232,8 +252,11 @@ class _Search:
             left = sizes.agg(F.sum("all").alias("rows"), F.sum(F.col("all") * F.col("all") - F.col("same")).alias("pairs")).first()
             if not left.rows:
                 return self.labels
-            if left.pairs <= 4 * left.rows or seed == ROUNDS:
+            if left.pairs <= FEW_PAIRS * left.rows:
                 break
+            if seed == ROUNDS:
+                self.link(self.through_index(members))
+                return self.labels
             self.link(self.against_hubs(members, 10 * seed, HUBS))
         other = members.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("comp").alias("other_comp"), F.col("parity").alias("other_parity"))
         self.link(self.pairs(members.join(other, "bucket").where("node < other AND comp != other_comp"), True))

@@ -268,3 +268,25 @@ def test_bands_of_equal_sets_are_all_searched():
     batch = near_dedup.pa.RecordBatch.from_arrays([near_dedup.pa.array([1, 2, 3, 4]), near_dedup.pa.array(texts)], ["id", "text"])
     bands = next(near_dedup._sign(5)([batch])).column(3).to_pylist()
     assert [len(b) for b in bands] == [20, 40, 20, 20]
+
+
+def test_near_duplicates_on_one_template(spark, monkeypatch):
+    """Pages that have a template in common, but not 0.8 of their shingles, go through the index of rare shingles; near copies among them are found."""
+    monkeypatch.setattr(near_dedup, "FEW_PAIRS", 0)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
+    called = []
+    index = near_dedup._Search.through_index
+    monkeypatch.setattr(near_dedup._Search, "through_index", lambda self, members: called.append(1) or index(self, members))
+    r = random.Random(6)
+    template = [f"t{j}" for j in range(150)]
+    rows = []
+    for i in range(40):
+        own = [f"o{i}x{j}" for j in range(50)]
+        rows.append((i, " ".join(template + own)))
+        if i % 4 == 0:
+            for k in range(3):
+                copy = list(own)
+                copy[r.randrange(50)] = f"c{i}x{k}"
+                rows.append((100 + 10 * i + k, " ".join(template + copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((x.doc_id, x.class_id, x.class_size) for x in near_dedup.near_duplicates(df).collect()) == expected_classes(df.collect()) and called
