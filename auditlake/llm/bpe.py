@@ -218,4 +218,5 @@ def encode_documents(docs: DataFrame) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, and what they decode to, as digests. Null and empty texts have no tokens; repeated rows have equal values."""
     return encode_documents(table(spark, sf_dir, "documents"))

@@ -148,6 +148,7 @@ def exact_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document the row that stays for its text, by :func:`exact_groups`: null texts and empty ones are one group, ties go to the smallest id."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 

@@ -153,4 +153,5 @@ def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sou
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, by :func:`mix` at its defaults. A null text has size 0 and takes part in none of the words."""
     return mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")

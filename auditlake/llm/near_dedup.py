@@ -269,7 +269,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     A class is what is connected by pairs of shingle sets with Jaccard ``threshold`` or more; its id is the
     smallest id in it. Words are runs of ``[^\x20\x09-\x0D]``, unchanged; a text of one to ``shingle`` - 1 words is one
     shingle, texts without words (null counts as empty) are one class. Rows are judged by their texts alone, so
-    ids may repeat or be null; a class of null ids only has a null id. Other columns are not read.
+    ids may repeat or be null; a class of null ids only has a null id. A pair at exactly ``threshold`` is a pair. Long texts are read
+    whole, in steps of a few megabytes. An empty table gives an empty result. Other columns are not read.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -294,4 +295,5 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document, by :func:`near_duplicates` at its defaults; the one with the smallest id is kept. Texts without words are one class."""
     return near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

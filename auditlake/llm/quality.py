@@ -141,6 +141,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], id_column: str = "doc_
 
 
 def op8_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned outside of the held-out third. Null and empty texts have the score of the bias, repeated rows the same."""
     docs = table(spark, sf_dir, "documents")
     model = train(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, SAMPLE))
     scored = score(docs, model)

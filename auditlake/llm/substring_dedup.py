@@ -281,4 +281,5 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that every document has and loses to repeated windows, by :func:`remove_repeats` at its defaults. Null texts have none."""
     return remove_repeats(table(spark, sf_dir, "documents"))

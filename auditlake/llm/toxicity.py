@@ -281,6 +281,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame):
 
 
 def op3_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned outside of the held-out fifth. Null and empty texts are scored as texts without a word, repeated rows alike."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, toxicity_model(spark, sf_dir, docs))
     return scored.select("doc_id", (held_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

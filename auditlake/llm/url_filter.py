@@ -138,4 +138,5 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, parent_we
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page, by :func:`judge` with the fixed rules. Null urls have an empty host and are allowed."""
     return judge(table(spark, sf_dir, "pages"))
