@@ -42,6 +42,8 @@ HUB_LINES, HUBS, PAIR_LINES, PAIR_TIMES = 400, 2, 5000, 16
 #: Sets of more words than this have all 128 bits of parity in the index, others have them folded to 64.
 FOLDED = 80
 KEY_BITS = 48
+#: Numbers of so many sets (8 bytes each) at most are broadcast to fetch them; more become a filter.
+FEW_SETS = 250_000
 MAX_FILTER_BYTES = 64 << 20
 _STEP_BYTES = 8 << 20
 _SHIFT = np.uint64(40)
@@ -257,16 +259,21 @@ class _Join:
         """The later lines of the pairs whose sets are similar enough. The tables ``done`` are deleted once the pairs are known."""
         pairs = materialize(pairs.distinct(), "pairs")
         discard(*done)
-        named = pairs.select(F.explode(F.array("ref", "other")).alias("ref"))
-        known = self.spark.sparkContext.broadcast(membership_filter(named, max(1, 2 * pairs.count()), 10, MAX_FILTER_BYTES))
-        sets = materialize(self.sets.mapInArrow(_chosen(known, "ref"), self.sets.schema), "sets")
+        named = materialize(pairs.select(F.explode(F.array("ref", "other")).alias("ref")).distinct(), "named")
+        number = named.count()
+        if number <= FEW_SETS:
+            sets = self.sets.join(F.broadcast(named), "ref", "left_semi")
+        else:
+            known = self.spark.sparkContext.broadcast(membership_filter(named, number, 10, MAX_FILTER_BYTES))
+            sets = self.sets.mapInArrow(_chosen(known, "ref"), self.sets.schema)
+        sets = materialize(sets, "sets")
         one = sets.select("ref", F.struct(*_ID).alias("at"), F.col("words").alias("x"))
         two = sets.select(F.col("ref").alias("other"), F.struct(*_ID).alias("other_at"), F.col("words").alias("y"))
         both = pairs.hint("merge").join(one, "ref").hint("merge").join(two, "other")
         later = F.when(F.col("at") > F.col("other_at"), F.struct("ref", "at")).otherwise(F.struct(F.col("other").alias("ref"), F.col("other_at").alias("at")))
         both = both.where("at != other_at").select(later.alias("l"), "x", "y").select("l.ref", "l.at.key_a", "l.at.key_b", "l.at.line", "x", "y")
         out = materialize(both.mapInArrow(_verify(self.threshold), "ref long, key_a long, key_b long, line int").distinct(), "matched")
-        discard(pairs, sets)
+        discard(pairs, named, sets)
         return out
 
     def run(self, index: DataFrame) -> DataFrame:
@@ -362,4 +369,5 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that every document has and loses, and a digest of what it keeps, by :func:`dedup_lines` at its defaults. No column but id and text is read."""
     return dedup_lines(table(spark, sf_dir, "documents"))

@@ -162,8 +162,10 @@ def test_lines_of_odd_rows(spark):
     assert sorted(r.n_removed for r in line_dedup.dedup_lines(alone).collect()) == [0, 1]
 
 
-def test_lines_with_hubs_and_pairs_of_words(spark, monkeypatch):
-    """Small limits, so that words go through hubs and through pairs of words; nothing is lost."""
+@pytest.mark.parametrize("few", [250_000, 0])
+def test_lines_with_hubs_and_pairs_of_words(spark, monkeypatch, few):
+    """Small limits, so that words go through hubs and through pairs of words, and sets through a filter; nothing is lost."""
+    monkeypatch.setattr(line_dedup, "FEW_SETS", few)
     monkeypatch.setattr(line_dedup, "HUB_LINES", 3)
     monkeypatch.setattr(line_dedup, "PAIR_LINES", 6)
     r = random.Random(11)
