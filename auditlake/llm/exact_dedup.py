@@ -28,7 +28,7 @@ CELLS_PER_ROW = 12
 PROBES = 3
 CHUNK = 1 << 16
 MAX_RANGES = 64
-MAX_FILTER_BYTES = 64 << 20
+MAX_FILTER_BYTES, COLLECTED_BYTES = 64 << 20, 128 << 20
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -99,7 +99,8 @@ def gather(values: DataFrame, n_cells: int, least: int) -> np.ndarray:
     """Bits of the cells used ``least`` times (1 or 2): ``n_cells`` / 8 bytes in all come to the driver."""
     chunks = values.mapInArrow(_partial(n_cells), "chunk long, used binary, again binary").groupBy("chunk").applyInArrow(_merge(least), "chunk long, bits binary")
     bits = np.zeros(n_cells // 8, np.uint8)
-    for r in chunks.toLocalIterator():
+    # of a bounded size: at once, if it fits well into a result, else partition by partition
+    for r in chunks.collect() if n_cells <= COLLECTED_BYTES * 8 else chunks.toLocalIterator():
         bits[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
     return bits
 

@@ -137,7 +137,7 @@ def rarity(lines: DataFrame) -> tuple[np.ndarray, int]:
     """A byte for each of ``BUCKETS`` buckets of words: how many lines have one of them; and how many on average."""
     counts = lines.where("length(words) > 0").select("words").mapInArrow(_word_counts, "chunk int, at binary, n binary")
     codes, total = np.zeros(BUCKETS, np.uint8), 0
-    for r in counts.groupBy("chunk").applyInArrow(_codes, "chunk int, codes binary, total long").toLocalIterator():
+    for r in counts.groupBy("chunk").applyInArrow(_codes, "chunk int, codes binary, total long").collect():  # ``BUCKETS`` bytes in all
         codes[r.chunk << 16 : (r.chunk + 1) << 16] = np.frombuffer(r.codes, np.uint8)
         total += r.total
     return codes, total // BUCKETS
