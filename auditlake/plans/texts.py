@@ -301,7 +301,7 @@ QUERIES = {
       WHERE host NOT IN ({D.quoted(C.LOCAL_HOSTS + C.DOC_HOSTS)}) AND NOT regexp_matches(host, '({"|".join(t.replace(".", chr(92) + ".") for t in C.DOC_TLDS)})$')"""),
     "text_columns": (text_columns, """WITH p AS (SELECT p_partkey, p_partkey AS n, trim(regexp_replace('  call ' || repeat('ab  c' || chr(10), CAST(p_partkey % 60 AS INT)) || p_partkey, '\\s+', ' ', 'g')) AS d FROM part),
       h AS (SELECT *, CASE WHEN n % 3 = 0 THEN 'h.io ' WHEN n % 2 = 0 THEN 'f.g ' WHEN n % 5 = 0 THEN 'write ' ELSE '' END AS e FROM p)
-      SELECT p_partkey, CASE WHEN length(d) > 200 THEN substr(d, 1, 200) || '...' ELSE d END AS detail, e || '[a/b.py:' || n || ']' AS hint, CAST(round_even(n % 1001 / 10.0, 0) AS INT) || '%' AS share,
+      SELECT p_partkey, CASE WHEN length(d) > 200 THEN substr(d, 1, 200) || '...' ELSE d END AS detail, e || '[a/b.py:' || n || ']' AS hint, CAST(round_even(n % 1001 / CAST(1000 AS DOUBLE) * 100, 0) AS INT) || '%' AS share,
         strftime(make_timestamp((1700000000 + CAST(n AS BIGINT) * 3607) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS at, 'ab' || n || '.example.io' AS host,
         CASE WHEN n % 2 = 0 THEN 'BLOCK' ELSE 'OK' END || ' p==1: drift' || CASE WHEN n % 4 = 0 THEN ' (low; new)' ELSE '' END AS summary FROM h"""),
     "url_telemetry_classify": (url_telemetry_classify, f"WITH {_URLS_SQL} SELECT page_id, host, CASE WHEN host IN ('sentry.io', 'api.segment.io') THEN 'telemetry_endpoint' ELSE 'hardcoded_host' END AS kind, 'https://' || host || ':8443/p/' || page_id AS detail FROM u WHERE host NOT IN ('localhost', 'example.com', 'a.test')"),
