@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op4_byte_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .importance import OP13_SQL, op13_importance
 from .line_dedup import op5_line_dedup
 from .media import op7_media_columns
 from .mixing import op10_mixing
 from .near_dedup import op9_prob_minhash
 from .quality import op8_quality_ftrl
+from .quality_rules import OP12_SQL, op12_quality_rules
 from .substring_dedup import op6_substring_dedup
 from .toxicity import op3_toxicity_gbt
 from .url_filter import op1_url_filter
@@ -29,8 +31,10 @@ def queries() -> dict:
         "op8_quality_ftrl": op8_quality_ftrl,
         "op9_prob_minhash": op9_prob_minhash,
         "op10_mixing": op10_mixing,
+        "op12_quality_rules": op12_quality_rules,
+        "op13_importance": op13_importance,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op12_quality_rules": OP12_SQL, "op13_importance": OP13_SQL}
