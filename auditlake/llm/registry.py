@@ -9,6 +9,7 @@ from .line_dedup import op5_line_dedup
 from .media import op7_media_columns
 from .mixing import op10_mixing
 from .near_dedup import op9_prob_minhash
+from .phrases import OP11_SQL, op11_phrases
 from .quality import op8_quality_ftrl
 from .quality_rules import OP12_SQL, op12_quality_rules
 from .substring_dedup import op6_substring_dedup
@@ -31,10 +32,11 @@ def queries() -> dict:
         "op8_quality_ftrl": op8_quality_ftrl,
         "op9_prob_minhash": op9_prob_minhash,
         "op10_mixing": op10_mixing,
+        "op11_phrases": op11_phrases,
         "op12_quality_rules": op12_quality_rules,
         "op13_importance": op13_importance,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_exact_dedup": OP2_SQL, "op12_quality_rules": OP12_SQL, "op13_importance": OP13_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op11_phrases": OP11_SQL, "op12_quality_rules": OP12_SQL, "op13_importance": OP13_SQL}
