@@ -40,9 +40,11 @@ def words_of(text: Column) -> Column:
 def buckets_of(text: Column, max_n: int = MAX_N, buckets: int = BUCKETS) -> Column:
     """The bucket of every run of 1 to ``max_n`` words of a text."""
 
+    def of_length(words: Column, n: int) -> Column:
+        return F.transform(F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda _, i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
+
     def runs(words: Column) -> Column:
-        longer = [F.transform(F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda _, i, n=n: F.array_join(F.slice(words, i + 1, n), " ")) for n in range(2, max_n + 1)]
-        return F.concat(words, *longer) if longer else words
+        return F.concat(words, *[of_length(words, n) for n in range(2, max_n + 1)])
 
     features = let(words_of(text), runs) if max_n > 1 else words_of(text)
     return F.transform(features, lambda w: F.crc32(w.cast("binary")) % buckets)
