@@ -59,6 +59,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def quoted(column: str) -> Column:
+    """A column by its very name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that no name of a table clashes with an operator's own."""
+    return F.struct(*[quoted(c) for c in df.columns])
+
+
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

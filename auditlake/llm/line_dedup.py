@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import discard, materialize, prepare, row_key, table, text_of
+from ._common import discard, materialize, prepare, quoted, row_key, table, text_of
 from ._words import buffers, hashes, mix, spans
 from .exact_dedup import CELLS_PER_ROW, BloomFilter, gather, membership_filter
 
@@ -339,7 +340,7 @@ def _cut(own: list[str]):
     return run
 
 
-_OWN = {"text": "string", "n_lines": "long", "n_removed": "long", "kept_sha256": "string"}
+_OWN = {"text": T.StringType(), "n_lines": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
 
 
 def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
@@ -359,13 +360,13 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     gone = removed_lines(df.select(key[0].alias("key_a"), key[1].alias("key_b"), order.alias("id"), text_of(text_column).alias("text")), threshold)
     carried = [c for c in keep if c != text_column]
     # all that is only carried is one column, so that no name of a table can clash with those used here
-    row = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.struct(F.lit(0).alias("none"))
-    docs = df.select(key[0].alias("key_a"), key[1].alias("key_b"), row.alias("row"), F.col(f"`{text_column}`").alias("text"))
+    row = F.struct(*[quoted(c) for c in carried]) if carried else F.struct(F.lit(0).alias("none"))
+    docs = df.select(key[0].alias("key_a"), key[1].alias("key_b"), row.alias("row"), quoted(text_column).alias("text"))
     joined = docs.join(gone, ["key_a", "key_b"], "left").select("row", "text", "lines")
     own = [c for c in _OWN if (c == "text" and text_column in keep) or (c != "text" and c not in keep)]
-    kind = joined.schema["row"].dataType.simpleString()
-    cut = joined.mapInArrow(_cut(own), "row " + kind + "".join(f", {c} {_OWN[c]}" for c in own))
-    return cut.select(*[F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in keep], *[c for c in own if c != "text"])
+    kinds = T.StructType([T.StructField("row", joined.schema["row"].dataType), *[T.StructField(c, _OWN[c]) for c in own]])
+    cut = joined.mapInArrow(_cut(own), kinds)
+    return cut.select(*[F.col("text").alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in keep], *[c for c in own if c != "text"])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,6 +211,6 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = [c for c in read.columns if c != "digest"]
     # of each payload, however many tasks have stored it, one row
     media = materialize(read.groupBy("digest").agg(*[F.first(c).alias(c) for c in values]), "payloads")
-    html = F.concat(F.lit('<article><figure><img src="media:'), "digest", F.lit('"><figcaption>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure></article>"))
+    html = F.concat(F.lit('<article><figure><img src="media:'), "digest", F.lit('"><figcaption>payload '), F.substring("digest", 1, 12), F.lit("</figcaption></figure></article>"))
     sequences = interleave(stored.select(F.struct("doc_id", "n_bytes").alias("known"), html.alias("html")), "known")
     return resolve(sequences, media, "known").select("known.doc_id", "known.n_bytes", *values, "position", "caption")

@@ -7,7 +7,7 @@ hold. Two signatures agree in a register with the probability Jaccard similarity
 Signatures are cut into ``BANDS``; documents that share a band of either signature are candidates (with weights of 1
 the similarity is the one that is verified, so repeats hide no pair), and a candidate pair counts if the exact Jaccard similarity of the shingle sets is ``THRESHOLD`` or more.
 
-Pairs of a band's bucket are never all formed at once. Copies (equal sets) are one node. Each bucket's nodes
+Pairs of a band's bucket are never all formed at once. Copies (sets equal in 128 bits) are one node. Each bucket's nodes
 are first held against one node of it, its hub; linked nodes become one component. Buckets that still hold
 several components are held against further hubs. What is left over then is compared across components: pair by pair
 if it has few pairs a row, else through an index of each set's rarest shingles; by size and by a bound on how many
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import discard, materialize, prepare, table, text_of
 from ._words import buffers, hashes, mix, spans, windows
@@ -96,10 +97,23 @@ def _steps(batches, size: int):
 
 
 def _set_hash(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
-    """One hash of each text's set of shingles; 0 for none."""
-    total = np.zeros(rows, np.uint64)
-    np.add.at(total, row, mix(value + np.uint64(1)))
-    return total.view(np.int64)
+    """128 bits of each text's set of shingles, as two integers; 0 for none."""
+    total = np.zeros((rows, 2), np.uint64)
+    for i in range(2):
+        np.add.at(total[:, i], row, mix(value + np.uint64(0x9E3779B97F4A7C15 * i + 1)))
+    return total
+
+
+def _binary(node: np.ndarray) -> pa.Array:
+    """Two integers a row as 16 bytes."""
+    at = np.arange(len(node) + 1, dtype=np.int32) * 16
+    return pa.BinaryArray.from_buffers(pa.binary(), len(node), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(node).tobytes())])
+
+
+def _first_half(batches):
+    for batch in batches:
+        data = buffers(batch.column(0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)[::2])], ["h"])
 
 
 def _bands(kept: np.ndarray) -> np.ndarray:
@@ -127,7 +141,7 @@ def _sign(size: int):
             all_[at[:, None] + np.arange(BANDS)] = band
             all_[at[again][:, None] + np.arange(BANDS, 2 * BANDS)] = weighted
             bands = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(all_.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(_set_hash(row, value, rows)), bands], ["id", "n", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), _binary(_set_hash(row, value, rows)), bands], ["id", "n", "node", "bands"])
 
     return run
 
@@ -139,8 +153,8 @@ def _sets(size: int, shared):
             node = _set_hash(row, value, rows)
             edge = np.searchsorted(row, np.arange(rows + 1))
             chosen, nodes, parities = [], [], []
-            for i in np.flatnonzero(shared.value.holds(node)).tolist():
-                if edge[i] < edge[i + 1] and (k := int(node[i])) not in seen:  # a task sends a set once
+            for i in np.flatnonzero(shared.value.holds(np.ascontiguousarray(node[:, 0]).view(np.int64))).tolist():
+                if edge[i] < edge[i + 1] and (k := node[i].tobytes()) not in seen:  # a task sends a set once
                     seen.add(k)
                     nodes.append(k)
                     own = value[edge[i] : edge[i + 1]]
@@ -149,7 +163,7 @@ def _sets(size: int, shared):
                     parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
             offsets = np.concatenate([[0], np.cumsum([len(c) for c in chosen])]).astype(np.int32)
             sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *chosen])))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), sets, pa.array(parities, pa.list_(pa.int64()))], ["node", "shingles", "parity"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), sets, pa.array(parities, pa.list_(pa.int64()))], ["node", "shingles", "parity"])
 
     return run
 
@@ -275,8 +289,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     spark = df.sparkSession
     prepare(spark)
     docs = df.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
-    signed = materialize(docs.mapInArrow(_sign(shingle), f"id {kind}, n long, node long, bands array<long>"), "signed")
+    kind = docs.schema["id"].dataType
+    signed = materialize(docs.mapInArrow(_sign(shingle), T.StructType().add("id", kind).add("n", "long").add("node", "binary").add("bands", T.ArrayType(T.LongType()))), "signed")
     # equal sets are one node, with the bands of all their signatures; those differ by weights only
     nodes = signed.where("n > 0").select("node", "n", "bands").distinct()
     rows = materialize(nodes.select("node", "n", F.explode("bands").alias("bucket")), "bands")
@@ -284,8 +298,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     members = materialize(rows.hint("merge").join(several, "bucket").distinct(), "members")
     discard(rows, several)
     wanted = members.select("node").distinct()
-    shared = spark.sparkContext.broadcast(membership_filter(wanted, max(1, wanted.count()), 10, MAX_FILTER_BYTES))
-    sets = docs.mapInArrow(_sets(shingle, shared), "node long, shingles array<long>, parity array<long>")
+    shared = spark.sparkContext.broadcast(membership_filter(wanted.mapInArrow(_first_half, "h long"), max(1, wanted.count()), 10, MAX_FILTER_BYTES))
+    sets = docs.mapInArrow(_sets(shingle, shared), "node binary, shingles array<long>, parity array<long>")
     sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity")), "sets")
     labels = _Search(members, sets, threshold).run()
     placed = signed.select("id", "node").hint("merge").join(labels, "node", "left").select("id", F.coalesce("comp", "node").alias("comp"))

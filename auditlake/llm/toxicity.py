@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import held_fold, materialize, prepare, table, text_of
+from ._common import held_fold, materialize, prepare, quoted, table, text_of
 from ._training import labelled_sample
 from ._words import buffers, hashes, mix, spans, windows
 from .quality import _steps
@@ -128,7 +129,8 @@ def learn_lexicons(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     """Words and beginnings that stand out in toxic texts of ``sample`` (label, part, text): sorted hashes, log odds.
 
     One lexicon without each of the ``PARTS`` parts, and one of all. Copies count once: of texts with the same
-    smallest hash of five words one is read.
+    smallest hash of five words one is read: a toxic one if there is any, so a clean text that
+    quotes a toxic one does not take its words back.
     """
 
     def run(batches):
@@ -255,25 +257,26 @@ def train(sample: DataFrame):
     return lexicons[PARTS], fit_trees(x, y), isotonic(unseen, y)
 
 
-def score(df: DataFrame, model, id_column: str = "doc_id", text_column: str = "text", keep: tuple = (), score_column: str = "score") -> DataFrame:
-    """(id, score, *keep) for each row, the score under the name ``score_column``; null and empty texts are scored as texts without a word, repeated rows alike."""
+def score(df: DataFrame, model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, score) for each row; null and empty texts are scored as texts without a word, repeated rows alike. An id may be of any type, a struct of a whole row too.
+
+    Long texts are read whole, in steps of a few megabytes. An empty table gives an empty result. Other columns are not read.
+    """
     spark = df.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    names = [id_column, score_column, *keep]
 
     def run(batches):
         lexicon, trees, (at_margin, rate) = shared.value
         for batch in batches:
-            parts = [margins(trees, features(data, at, lexicon)) for _, _, data, at in _steps(batch.column("__text"))]
+            parts = [margins(trees, features(data, at, lexicon)) for _, _, data, at in _steps(batch.column(1))]
             m = np.concatenate([np.zeros(0), *parts])
             # steps of the calibration, with a thousandth of the margin so that texts on one step keep their order
             out = 0.999 * np.interp(m, at_margin, rate) + 0.001 / (1 + np.exp(-np.clip(m, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(out), *(batch.column(c) for c in keep)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], [id_column, "score"])
 
-    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"`{c}` {'double' if i == 1 else fields[c]}" for i, c in enumerate(names))
-    return df.select(id_column, *keep, text_of(text_column).alias("__text")).mapInArrow(run, schema)
+    rows = df.select(quoted(id_column).alias("id"), text_of(text_column).alias("text"))
+    return rows.mapInArrow(run, T.StructType([T.StructField(id_column, rows.schema["id"].dataType), T.StructField("score", T.DoubleType())]))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame):

@@ -30,6 +30,8 @@ ITERATIONS = 8
 SMALL = 0.01
 #: A host is blocked if its distrust is over its trust and over so many times an even share (1 / hosts that are reached).
 THRESHOLD = 0.5
+#: Steps between two looks at what has changed.
+STEPS_A_JOB = 5
 PARENT_WEIGHT = 1.0
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^\s"'<>]*)"""
 
@@ -92,17 +94,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS,
     start = materialize(start, "seeds")
     hosts = graph.select("src").union(graph.select("dst")).union(start.select("host")).distinct().count()
     small = SMALL * threshold / max(1, hosts) * (1 - damping) / damping
-    old = rank = materialize(start.withColumnRenamed("p", "r").select("host", "good", "r"), "rank")
-    step = 0
+
+    def step(rank: DataFrame) -> DataFrame:
+        # the key is an expression, so that the join has an exchange of its own on this side, too
+        at = rank.select("good", F.coalesce("host", F.lit("")).alias("src"), "r")
+        moved = graph.hint("merge").join(at, ["good", "src"]).select(F.col("dst").alias("host"), "good", (F.col("r") * F.col("part") * damping).alias("r"))
+        return moved.unionByName(start.select("host", "good", (F.col("p") * (1 - damping)).alias("r"))).groupBy("host", "good").agg(F.sum("r").alias("r"))
+
+    rank = materialize(start.select("host", "good", F.col("p").alias("r"), F.lit(0.0).alias("before")), "rank")
+    steps = 0
     while True:
-        step += 1
-        moved = graph.hint("merge").join(rank.withColumnRenamed("host", "src"), ["good", "src"]).select(F.col("dst").alias("host"), "good", (F.col("r") * F.col("part") * damping).alias("r"))
-        rank = moved.unionByName(start.select("host", "good", (F.col("p") * (1 - damping)).alias("r"))).groupBy("host", "good").agg(F.sum("r").alias("r"))
-        rank = materialize(rank, "rank")
-        change = rank.unionByName(old.withColumn("r", -F.col("r"))).groupBy("host", "good").agg(F.sum("r").alias("d")).agg(F.sum(F.abs("d")).alias("d")).first().d or 0.0
-        discard(old)
-        old = rank
-        if step >= iterations and change <= small:
+        # several steps are one job: the graph shuffles once for all of them
+        last = rank.select("host", "good", "r")
+        for _ in range(STEPS_A_JOB):
+            now, last = last, step(last)
+            steps += 1
+        both = last.withColumn("before", F.lit(0.0)).unionByName(now.select("host", "good", F.lit(0.0).alias("r"), F.col("r").alias("before")))
+        new = materialize(both.groupBy("host", "good").agg(F.sum("r").alias("r"), F.sum("before").alias("before")), "rank")
+        change = new.agg(F.sum(F.abs(F.col("r") - F.col("before"))).alias("d")).first().d or 0.0
+        discard(rank)
+        rank = new
+        if steps >= iterations and change <= small:
             break
     score = lambda good: F.coalesce(F.sum(F.when(F.col("good") == good, F.col("r"))), F.lit(0.0))
     return rank.groupBy("host").agg(score(True).alias("trust"), score(False).alias("distrust"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm._common import materialize, row_key, table
+from auditlake.llm._common import materialize, packed, quoted, row_key, table
 from auditlake.llm.bpe import encode_documents
 from auditlake.llm.line_dedup import dedup_lines
 from auditlake.llm.mixing import mix
@@ -25,7 +25,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """All columns of each row as ``all``, 128 bits of key of its id and text, and id and key as ``known``, by which rows are told apart."""
     a, b = row_key("doc_id", "text")
     row = F.struct(F.col("doc_id").alias("id"), a.alias("a"), b.alias("b"))
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), a.alias("a"), b.alias("b"), row.alias("known"), "text", "source")
+    return docs.select(packed(docs).alias("all"), a.alias("a"), b.alias("b"), row.alias("known"), "text", "source")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are scored as texts without words; rows that repeat are scored alike. Without labelled rows nothing is dropped.
     """
-    scored = score(docs, toxicity_model(spark, sf_dir, docs), keep=tuple(c for c in docs.columns if c != "doc_id"), score_column="__score")
-    return scored.where("__score < 0.5").select(*docs.columns)
+    rows = docs.select(packed(docs).alias("all"), "text")
+    return score(rows, toxicity_model(spark, sf_dir, docs), id_column="all").where("score < 0.5").select("all.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +42,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = dedup_lines(docs, keep=docs.columns)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return kept.select(*[quoted(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id (and key) of each class of near copies; of rows that repeat id and text one.
 
-    All texts without words are one class. A null id is smaller than any other.
+    All texts without words are one class. A null id is smaller than any other. Of no documents none are left.
     """
     keyed = _keyed(docs)
     classes = near_duplicates(keyed, id_column="known")
@@ -59,7 +59,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, rounded to whole documents: none to three times.
 
-    Documents without words take no part in a mix of words, and go.
+    Documents without words take no part in a mix of words, and go. Of no documents none are left.
     """
     keyed = _keyed(docs)
     taken = mix(keyed, id_column="known")[0].groupBy("known.a", "known.b").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("times"), F.count(F.lit(1)).alias("rows"))
@@ -69,7 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text and what they decode to, as digests; a null text counts as empty and has no tokens."""
+    """Token ids of each text and what they decode to, as digests; a null text counts as empty and has no tokens, and without documents there are no rows."""
     return encode_documents(docs)
 
 
