@@ -30,8 +30,8 @@ ITERATIONS = 8
 SMALL = 0.01
 #: A host is blocked if its distrust is over its trust and over so many times an even share (1 / hosts that are reached).
 THRESHOLD = 0.5
-#: Steps between two looks at what has changed.
-STEPS_A_JOB = 5
+#: Steps in one job, and jobs between two looks at what has changed.
+STEPS_A_JOB, JOBS_A_LOOK = 2, 2
 PARENT_WEIGHT = 1.0
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^\s"'<>]*)"""
 
@@ -101,20 +101,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS,
         moved = graph.hint("merge").join(at, ["good", "src"]).select(F.col("dst").alias("host"), "good", (F.col("r") * F.col("part") * damping).alias("r"))
         return moved.unionByName(start.select("host", "good", (F.col("p") * (1 - damping)).alias("r"))).groupBy("host", "good").agg(F.sum("r").alias("r"))
 
-    rank = materialize(start.select("host", "good", F.col("p").alias("r"), F.lit(0.0).alias("before")), "rank")
-    steps = 0
+    rank = materialize(start.select("host", "good", F.col("p").alias("r")), "rank")
+    jobs = 0
     while True:
-        # several steps are one job: the graph shuffles once for all of them
-        last = rank.select("host", "good", "r")
-        for _ in range(STEPS_A_JOB):
-            now, last = last, step(last)
-            steps += 1
-        both = last.withColumn("before", F.lit(0.0)).unionByName(now.select("host", "good", F.lit(0.0).alias("r"), F.col("r").alias("before")))
-        new = materialize(both.groupBy("host", "good").agg(F.sum("r").alias("r"), F.sum("before").alias("before")), "rank")
-        change = new.agg(F.sum(F.abs(F.col("r") - F.col("before"))).alias("d")).first().d or 0.0
+        jobs += 1
+        new = rank
+        for _ in range(STEPS_A_JOB):  # in one job the graph shuffles once
+            new = step(new)
+        new = materialize(new, "rank")
+        change = None
+        if jobs % JOBS_A_LOOK == 0:
+            # of the last steps together, which is at least that of the very last one
+            both = new.unionByName(rank.withColumn("r", -F.col("r"))).groupBy("host", "good").agg(F.sum("r").alias("d"))
+            change = both.agg(F.sum(F.abs("d")).alias("d")).first().d or 0.0
         discard(rank)
         rank = new
-        if steps >= iterations and change <= small:
+        if change is not None and jobs * STEPS_A_JOB >= iterations and change <= small * (1 - damping**STEPS_A_JOB) / (1 - damping) * damping / damping**STEPS_A_JOB:
             break
     score = lambda good: F.coalesce(F.sum(F.when(F.col("good") == good, F.col("r"))), F.lit(0.0))
     return rank.groupBy("host").agg(score(True).alias("trust"), score(False).alias("distrust"))
