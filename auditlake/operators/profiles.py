@@ -78,17 +78,37 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("priority", F.array_position(F.array(*[F.lit(p) for p in C.PROFILES]), F.col("profile")).cast("int"))
 
 
-def by_name(packages: DataFrame, names: DataFrame) -> DataFrame:
+def by_name(packages: DataFrame, names: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
     """``packages`` (ecosystem, name, …) with the profile of the best match: the one of least priority, or null.
 
-    Exact names are an equi-join with the allow-list, of any size; prefixes are a CASE in their order.
+    Exact names are an equi-join with the allow-list, of any size; so are prefixes (:func:`by_prefix`), those of :func:`prefix_table` if none are given.
     An exact name goes before a prefix, but for the tool-server prefixes, which go first.
     """
-    exact = names.groupBy("ecosystem", "name").agg(F.min_by("profile", "priority").alias("exact"))
-    chain = lambda rows: F.coalesce(*[F.when((F.col("ecosystem") == e) & F.col("name").startswith(p), prof) for e, p, prof in rows])
-    servers = [r for r in NAME_PREFIXES if r[2] == "mcp-server"]
-    out = packages.join(exact, ["ecosystem", "name"], "left")
-    return out.withColumn("profile", F.coalesce(chain(servers), "exact", chain([r for r in NAME_PREFIXES if r not in servers]))).drop("exact")
+    exact = names.groupBy("ecosystem", "name").agg(F.min_by("profile", "priority").alias("_exact"))
+    prefixes = prefixes if prefixes is not None else prefix_table(packages.sparkSession)
+    found = by_prefix(packages.select("ecosystem", "name").distinct(), prefixes)
+    out = packages.join(exact, ["ecosystem", "name"], "left").join(found, ["ecosystem", "name"], "left")
+    server = F.when(F.col("_server"), "mcp-server")
+    return out.withColumn("profile", F.coalesce(server, "_exact", "_prefixed")).drop("_exact", "_prefixed", "_server")
+
+
+def prefix_table(spark: SparkSession) -> DataFrame:
+    """(ecosystem, prefix, profile, priority) of ``NAME_PREFIXES``; a table of any size can stand in its place."""
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(NAME_PREFIXES)], "ecosystem string, prefix string, profile string, priority int")
+
+
+def by_prefix(names: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(ecosystem, name, _server, _prefixed): of the distinct ``names`` that begin with a prefix, whether it is a tool server's, and of the other prefixes the profile of least priority.
+
+    A name is cut to every length that prefixes of its ecosystem have, and these beginnings meet the prefixes by a join on equality, so
+    the work grows with the names, not with names times prefixes.
+    """
+    lengths = prefixes.groupBy("ecosystem").agg(F.collect_set(F.length("prefix")).alias("_lengths"))  # as many as a name has characters, at most
+    cuts = names.join(lengths, "ecosystem").select("ecosystem", "name", F.explode(F.filter("_lengths", lambda n: n <= F.length("name"))).alias("_n"))
+    cuts = cuts.select("ecosystem", "name", F.substr("name", F.lit(1), F.col("_n")).alias("prefix"))
+    met = cuts.hint("merge").join(prefixes, ["ecosystem", "prefix"])
+    server = F.col("profile") == "mcp-server"
+    return met.groupBy("ecosystem", "name").agg(F.bool_or(server).alias("_server"), F.min_by("profile", F.when(~server, F.col("priority"))).alias("_prefixed"))
 
 
 def resolve(explicit: Column, pinned: Column, by_name_: Column, registrations: Column, entry_points: Column) -> tuple[Column, Column]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from .scratch import numbered
 
 PACKAGE = ["ecosystem", "name"]
 
@@ -131,13 +132,10 @@ def integrity(index_rows: DataFrame, reports: DataFrame) -> DataFrame:
 
 def stamp(reports: DataFrame, first_seq: int, now: str, refresh: bool = False, schema_version: int = 1) -> DataFrame:
     """Rows to append for ``reports``: schema version, baselined_at where it is missing, refreshed_at on a refresh, seq in the order of the hashes."""
-    from pyspark.sql import Window as W
-
     if "baselined_at" not in reports.columns:
         reports = reports.withColumn("baselined_at", F.lit(None).cast("string"))
     out = reports.withColumns({"op": F.lit("put"), "schema_version": F.lit(schema_version), "baselined_at": F.coalesce("baselined_at", F.lit(now)), "refreshed_at": F.lit(now if refresh else None).cast("string")})
-    # a batch of verdicts, not the journal: numbered in one task on purpose
-    return out.withColumn("seq", F.row_number().over(W.orderBy("ecosystem", "name", "version", "target_hash")) + (first_seq - 1))
+    return numbered(out, ["ecosystem", "name", "version", "target_hash"], "seq", first_seq)
 
 
 def append(rows: DataFrame, path: str) -> None:

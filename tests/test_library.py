@@ -2,6 +2,9 @@
 
 import json
 
+from plain_versions import best_version
+
+from auditlake.functions import versions
 from auditlake.operators import audit, memory
 from auditlake.sources import cache, doctor, library, requirements
 from pyspark.sql import functions as F
@@ -55,7 +58,7 @@ def test_cache_listing(spark, tmp_path):
 
 
 def test_version_order():
-    best = requirements.best_version
+    best = best_version
     assert best(["1.0rc2", "1.0rc10"], ">=1.0rc1") == "1.0rc10" and best(["1.0", "2.0a1"], ">=1") == "1.0" and best(["2.0.0a1", "2.0.0a2"], ">=2.0.0a1") == "2.0.0a2"
     assert best(["1.4.5", "1.5.0"], "~=1.4.2") == "1.4.5" and best(["1.0", "1.1"], "==1.*,!=1.1") == "1.0" and best(["1.0", "1.0.post1"], ">1.0") is None
     assert best(["1.0"], "not-a-spec", latest="9") == "9" and best(["1.0"], None, latest="7") == "7" and best(["1.0"], ">=3") is None
@@ -67,7 +70,7 @@ def test_version_order():
 def test_resolve(spark):
     specs = spark.createDataFrame([("pypi", "a", ">=1,<2"), ("npm", "b", "^1.0.0"), ("npm", "b", "git+https://x/y"), ("pypi", "none", None)], "ecosystem string, name string, specifier string")
     registry = spark.createDataFrame([("pypi", "a", v, "2.0") for v in ("1.0", "1.5", "2.0")] + [("npm", "b", v, "2.0.0") for v in ("1.0.0", "1.9.0", "2.0.0")], "ecosystem string, name string, version string, latest string")
-    got = {(r.name, r.specifier): r.version for r in requirements.resolve(specs, registry).collect()}
+    got = {(r.name, r.specifier): r.version for r in versions.resolve(specs, registry).collect()}
     assert got == {("a", ">=1,<2"): "1.5", ("b", "^1.0.0"): "1.9.0", ("b", "git+https://x/y"): "2.0.0", ("none", None): None}
 
 
