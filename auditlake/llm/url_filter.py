@@ -75,8 +75,8 @@ def parent_edges(hosts: DataFrame, weight: float) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
     """Personalised PageRank of both kinds: (host, trust, distrust), after ``iterations`` steps or more, when converged.
 
-    A step shrinks the change of the one before to ``damping`` of it or less, which bounds the sum of all changes
-    to come; steps end when that is at most ``SMALL * threshold / hosts``.
+    A job's steps shrink the change of the job before to ``damping ** STEPS_A_JOB`` of it or less, which bounds the sum of
+    all changes to come; steps end when that is at most ``SMALL * threshold / hosts``.
 
     ``seeds`` (host, trust, distrust) are the personalisation, ``edges`` (src, dst, weight). Trust moves
     from src to dst, distrust from dst to src. Each kind's seeds sum to 1; mass at hosts without a way
@@ -93,7 +93,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS,
     start = part(True, "trust", total.t).union(part(False, "distrust", total.d)).where("p > 0")
     start = materialize(start, "seeds")
     hosts = graph.select("src").union(graph.select("dst")).union(start.select("host")).distinct().count()
-    small = SMALL * threshold / max(1, hosts) * (1 - damping) / damping
+    shrinks = damping**STEPS_A_JOB
+    small = SMALL * threshold / max(1, hosts) * (1 - shrinks) / shrinks
 
     def step(rank: DataFrame) -> DataFrame:
         # the key is an expression, so that the join has an exchange of its own on this side, too
@@ -116,7 +117,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS,
             change = both.agg(F.sum(F.abs("d")).alias("d")).first().d or 0.0
         discard(rank)
         rank = new
-        if change is not None and jobs * STEPS_A_JOB >= iterations and change <= small * (1 - damping**STEPS_A_JOB) / (1 - damping) * damping / damping**STEPS_A_JOB:
+        if change is not None and jobs * STEPS_A_JOB >= iterations and change <= small:
             break
     score = lambda good: F.coalesce(F.sum(F.when(F.col("good") == good, F.col("r"))), F.lit(0.0))
     return rank.groupBy("host").agg(score(True).alias("trust"), score(False).alias("distrust"))
