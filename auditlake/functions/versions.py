@@ -156,36 +156,35 @@ def _pypi_intervals(specifier: Column) -> Column:
 
 def _npm_comparator(token: Column) -> Column:
     """(low, high, base of the pre-release it names or null) of (op, text); null if it is invalid."""
-    op = F.when(token["op"].startswith("~"), "~").otherwise(token["op"])
-    text = F.regexp_replace(_strip(token["text"]), r"^[v=]+", "")
-    first = "".join(["01", "0"] * 3)
-
-    def of(full: Column) -> Column:
-        given = F.array(*[F.regexp_extract(text, _PARTIAL, i) for i in (1, 2, 3)])
-        known = F.size(F.filter(given, lambda x, i: F.forall(F.slice(given, 1, i + 1), lambda y: y.rlike("^[0-9]+$"))))
-        n = F.when(full.isNotNull(), full["n"]).otherwise(F.slice(given, F.lit(1), known))
-        start = lambda m: F.concat(*[_number(F.coalesce(F.get(m, F.lit(i)), F.lit("0"))) for i in range(3)], F.lit("00"))
-        upto = lambda m, k: F.slice(m, F.lit(1), k)
-        after = lambda m: F.when(F.size(m) == 0, F.lit(END)).otherwise(start(F.concat(upto(m, F.size(m) - 1), F.array(_increased(F.element_at(m, -1))))))
-        some = F.size(n) > 0
-        exact, above = full["key"], F.concat(full["key"], F.lit(AFTER))
+    start = lambda m: F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: _number(F.coalesce(F.get(m, i), F.lit("0")))), ""), F.lit("00"))
+    upto = lambda m, k: F.slice(m, F.lit(1), k)
+    # the first version behind all that begin with these numbers
+    after = lambda numbers: _let(numbers, lambda m: F.when(F.size(m) == 0, F.lit(END)).otherwise(start(F.concat(upto(m, F.size(m) - 1), F.array(_increased(F.element_at(m, -1)))))))
+    zero = F.lit("010" * 3 + "00")
+
+    def bounds(op: Column, full: Column, n: Column) -> Column:
         is_full = full.isNotNull()
-        low = F.when(is_full, exact).otherwise(start(n))
-        zero = F.lit(first + "00")
-        # up to the first number that isn't zero, or the last
-        lead = F.coalesce(F.nullif(F.array_position(F.transform(n, lambda x: x.rlike("[1-9]")), True), F.lit(0)), F.size(n).cast("long"))
-        bounds = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
-        found = (
-            F.when(op.isin("", "="), F.when(is_full, bounds(exact, above)).otherwise(bounds(low, after(n))))
-            .when(op == ">=", bounds(low, F.lit(END))).when(op == "<", bounds(zero, low))
-            .when(op == "<=", bounds(zero, F.when(is_full, above).otherwise(after(n))))
-            .when(op == ">", F.when(is_full, bounds(above, F.lit(END))).when(some, bounds(after(n), F.lit(END))).otherwise(bounds(zero, zero)))
-            .when(op == "^", bounds(low, after(upto(n, lead.cast("int"))))).otherwise(bounds(low, after(upto(n, F.least(F.size(n), F.lit(2))))))
+        low = F.when(is_full, full["key"]).otherwise(start(n))
+        above = F.concat(full["key"], F.lit(AFTER))
+        behind = F.when(is_full, above).otherwise(after(n))
+        # a caret keeps the numbers up to the first that isn't zero, or all; a tilde two
+        lead = F.coalesce(F.nullif(F.array_position(F.transform(n, lambda x: x.rlike("[1-9]")), True), F.lit(0)), F.size(n).cast("long")).cast("int")
+        kept = F.when(op == "^", lead).otherwise(F.least(F.size(n), F.lit(2)))
+        from_ = F.when(op.isin("<", "<="), zero).when(op == ">", F.when(is_full | (F.size(n) > 0), behind).otherwise(zero)).otherwise(low)
+        to = (
+            F.when(op.isin("", "=", "<="), behind).when(op == ">=", F.lit(END)).when(op == "<", low)
+            .when(op == ">", F.when(is_full | (F.size(n) > 0), F.lit(END)).otherwise(zero)).otherwise(after(upto(n, kept)))
         )
-        valid = is_full | text.rlike(_PARTIAL)
-        return F.when(valid, F.struct(found["low"].alias("low"), found["high"].alias("high"), F.when(full["pre"], full["base"]).alias("base")))
+        return F.struct(from_.alias("low"), to.alias("high"), F.when(full["pre"], full["base"]).alias("base"))
+
+    def of(text: Column) -> Column:
+        leading = F.filter(F.split(F.regexp_extract(text, r"^(\d+(?:\.\d+){0,2})", 1), r"\."), lambda x: x != "")
+        numbers = lambda full: F.when(full.isNotNull(), full["n"]).otherwise(leading)
+        op = F.when(token["op"].startswith("~"), "~").otherwise(token["op"])
+        found = lambda full: _let(op, lambda o: _let(numbers(full), lambda n: bounds(o, full, n)))
+        return _let(_npm_parts(text), lambda full: F.when(full.isNotNull() | text.rlike(_PARTIAL), found(full)))
 
-    return _let(_npm_parts(text), of)
+    return _let(F.regexp_replace(_strip(token["text"]), r"^[v=]+", ""), of)
 
 
 def _npm_range(range_: Column) -> Column:

@@ -74,7 +74,7 @@ def tree(roots: DataFrame, edges: DataFrame, statuses: DataFrame, max_depth: int
     """One row a node of each root's tree: root, path, node, parent, depth, cycle, truncated, status.
 
     The first visit of a package is expanded, later ones are marked as cycle, also where they are diamonds; first visits at
-    ``max_depth`` are truncated. ``edges``: parent, ordinal, child; an ordinal is under a million. ``statuses``: node, status, and ``leaf`` where
+    ``max_depth`` are truncated, unless they are errors: of these nothing is known that could be cut. ``edges``: parent, ordinal, child; an ordinal is under a million. ``statuses``: node, status, and ``leaf`` where
     nodes can be visited again and again as they stand for nothing that was audited.
     """
     first = cut(first_visits(roots, edges, max_depth))
@@ -84,7 +84,7 @@ def tree(roots: DataFrame, edges: DataFrame, statuses: DataFrame, max_depth: int
     rows = visits.hint("merge").join(first.select("root", "node", F.col("path").alias("_first")), ["root", "node"]).hint("merge").join(known, "node", "left")
     cycle = (F.col("path") != F.col("_first")) & ~F.coalesce("leaf", F.lit(False))
     # written once: what is read from a tree reads it several times
-    return cut(rows.select("root", "path", "node", "parent", _depth().alias("depth"), cycle.alias("cycle"), (~cycle & (_depth() >= max_depth)).alias("truncated"), F.when(~cycle, F.col("status")).alias("status")))
+    return cut(rows.select("root", "path", "node", "parent", _depth().alias("depth"), cycle.alias("cycle"), (~cycle & (_depth() >= max_depth) & ~F.coalesce(F.col("status") == "error", F.lit(False))).alias("truncated"), F.when(~cycle, F.col("status")).alias("status")))
 
 
 def composed_status(tree_rows: DataFrame) -> DataFrame:

@@ -32,10 +32,10 @@ def drift(specs: DataFrame, found: DataFrame, kept: DataFrame) -> DataFrame:
     """(package_id, kind, signature, …) of findings that the baseline hasn't.
 
     ``specs``: package_id, baseline (a struct with version and target_hash, or null), ecosystem, name. ``found``: the candidates' findings.
-    ``kept``: ecosystem, name, target_hash and the findings of accepted packages.
+    ``kept``: the findings of accepted packages, with kept_ecosystem, kept_name and kept_hash (a finding has a name of its own).
     """
-    based = specs.where("baseline IS NOT NULL").select("package_id", "ecosystem", "name", F.col("baseline.target_hash").alias("target_hash"))
-    before = kept.join(based, ["ecosystem", "name", "target_hash"]).drop("ecosystem", "name", "target_hash")
+    based = specs.where("baseline IS NOT NULL").select("package_id", F.col("ecosystem").alias("kept_ecosystem"), F.col("name").alias("kept_name"), F.col("baseline.target_hash").alias("kept_hash"))
+    before = kept.join(based, ["kept_ecosystem", "kept_name", "kept_hash"]).drop("kept_ecosystem", "kept_name", "kept_hash")
     own = found.join(based.select("package_id"), "package_id", "left_semi")
     return diff.new_surfaces(diff.signatures(with_surfaces(own)), diff.signatures(with_surfaces(before)))
 
@@ -47,7 +47,7 @@ def preflight(
     """(verdicts, findings) of every package of ``specs`` (package_id, ecosystem, name, version) that has files.
 
     ``files``: package_id, rel, language, text. ``rows``: the journal's index (:func:`auditlake.sources.journal.index`), with expected_surface_counts where
-    baselines pin their counts. ``kept``: findings of what the journal accepted, by ecosystem, name and target_hash. With ``pinned`` a package is
+    baselines pin their counts. ``kept``: findings of what the journal accepted (:func:`drift`). With ``pinned`` a package is
     audited under the profile of its baseline. verdicts has the columns of :func:`verdict.verdicts`, package_id, n_findings, files_audited and n_new.
     """
     own = files.join(specs.select("package_id"), "package_id", "left_semi")

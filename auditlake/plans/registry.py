@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import findings, library, packages, texts
+from . import findings, library, packages, texts, trees
 
-MODULES = [findings, texts, packages, library]
+MODULES = [findings, texts, packages, library, trees]
 
 
 def queries() -> dict:
