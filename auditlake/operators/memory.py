@@ -61,6 +61,12 @@ def scan(blobs: DataFrame, keys: tuple = ("source",), text: str = "blob") -> Dat
     return _found(blob_lines(blobs, keys, text), keys, [*(a for a, _ in sweep.bank()), *_signals(), _zero_width(), _anomalies()])
 
 
+#: What is said of each level.
+REVIEW = "%d adverse signal(s) (%s); approve ONLY if you wrote or expected this exact text"
+CAUTION = "%d informational finding(s) (e.g. embedded URL); verify they are legitimate references before approving"
+CLEAN = "no injection signals detected; safe to approve"
+
+
 def summarize(findings: DataFrame, blobs: DataFrame, keys: tuple = ("source",)) -> DataFrame:
     """(*keys, level, message): clean without findings, review with an adverse one, else caution."""
     adverse = severity(F.col("kind")) == "adverse"
@@ -68,9 +74,9 @@ def summarize(findings: DataFrame, blobs: DataFrame, keys: tuple = ("source",))
     out = blobs.select(*keys).distinct().join(sums, list(keys), "left").na.fill({"bad": 0, "mild": 0})
     level = F.when(F.col("bad") > 0, "review").when(F.col("mild") > 0, "caution").otherwise("clean")
     message = (
-        F.when(F.col("bad") > 0, F.format_string("%d adverse signal(s) (%s); approve ONLY if you wrote or expected this exact text", "bad", "kinds"))
-        .when(F.col("mild") > 0, F.format_string("%d informational finding(s) (e.g. embedded URL); verify they are legitimate references before approving", "mild"))
-        .otherwise("no injection signals detected; safe to approve")
+        F.when(F.col("bad") > 0, F.format_string(REVIEW, "bad", "kinds"))
+        .when(F.col("mild") > 0, F.format_string(CAUTION, "mild"))
+        .otherwise(CLEAN)
     )
     return out.select(*keys, level.alias("level"), message.alias("message"), "bad", "mild")
 

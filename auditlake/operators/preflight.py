@@ -42,7 +42,7 @@ def drift(specs: DataFrame, found: DataFrame, kept: DataFrame) -> DataFrame:
 
 def preflight(
     specs: DataFrame, files: DataFrame, rows: DataFrame, kept: DataFrame, names: DataFrame | None = None,
-    min_score: int = C.MIN_SCORE, auto_score: int = C.AUTO_ACCEPT_SCORE, accept_new: bool = False, pinned: bool = True,
+    min_score: int | None = None, auto_score: int | None = None, accept_new: bool = False, pinned: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(verdicts, findings) of every package of ``specs`` (package_id, ecosystem, name, version) that has files.
 

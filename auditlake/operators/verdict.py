@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import names
 from ..functions import text as T
+from ..sources import settings
 from .scoring import blocked_status
 
 
@@ -42,12 +43,15 @@ def reasons_of(*reasons: Column) -> Column:
     return F.array_compact(F.array(*reasons))
 
 
-def verdicts(candidates: DataFrame, min_score: int = C.MIN_SCORE, auto_score: int = C.AUTO_ACCEPT_SCORE) -> DataFrame:
-    """One verdict a candidate: status, reasons, write_status (what goes to the journal, or null).
+def verdicts(candidates: DataFrame, min_score: int | None = None, auto_score: int | None = None) -> DataFrame:
+    """One verdict a candidate: status, reasons, write_status (what goes to the journal, or null). Scores that aren't given are those of :mod:`auditlake.sources.settings`.
 
     ``candidates``: ecosystem, name, version, target_hash, profile, score, critical, role_typical_share, accept_new,
     baseline (struct with status, target_hash, profile; null for a first encounter), novel (array), prior (text or null).
     """
+    spark = candidates.sparkSession
+    min_score = settings.min_score(spark) if min_score is None else min_score
+    auto_score = settings.auto_accept_score(spark) if auto_score is None else auto_score
     score = F.coalesce("score", F.lit(0))
     low = score < min_score
     low_text = F.format_string(f"score %d below threshold {min_score}", score)

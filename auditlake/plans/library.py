@@ -109,7 +109,7 @@ QUERIES = {
       s AS (SELECT *, (SELECT min(pseq) FROM p WHERE p.project = j.seq % 9 AND (pname = j.name OR phash = j.target_hash)) AS pin FROM journal j WHERE op = 'put')
       SELECT seq AS candidate, CASE WHEN pin IS NOT NULL THEN (SELECT phash FROM p WHERE pseq = pin) ELSE {_BEST.format(c='target_hash', v='')} END AS base_hash,
         CASE WHEN pin IS NOT NULL THEN 'pin' WHEN {_BEST.format(c='seq', v='')} IS NOT NULL THEN 'library' END AS base_from FROM s"""),
-    "accept_with_pins": (accept_with_pins, f"""WITH {D.FINDINGS_SQL}, p AS (SELECT package_id, CAST(row_number() OVER (ORDER BY package_id) + 999 AS INT) AS seq FROM (SELECT DISTINCT package_id FROM findings)), c AS (SELECT package_id, kind, count(*) AS n FROM findings WHERE file = 'src/main.py' GROUP BY ALL)
+    "accept_with_pins": (accept_with_pins, f"""WITH {D.FINDINGS_SQL}, p AS (SELECT package_id, row_number() OVER (ORDER BY package_id) + 999 AS seq FROM (SELECT DISTINCT package_id FROM findings)), c AS (SELECT package_id, kind, count(*) AS n FROM findings WHERE file = 'src/main.py' GROUP BY ALL)
       SELECT package_id AS name, seq, 'accepted' AS status, '2024-01-01T00:00:00+00:00' AS baselined_at, coalesce(string_agg(kind || '=' || n, ',' ORDER BY kind), '') AS pinned FROM p LEFT JOIN c USING (package_id) GROUP BY ALL"""),
     "refresh_outcomes": (refresh_outcomes, _I + _REFRESH + " SELECT key, spec, explicit, old_score, CASE WHEN outcome = 'refreshed' THEN m + 1 END AS new_score, outcome, error, outcome = 'refreshed' AS written FROM o"),
     "refresh_totals": (refresh_totals, _I + _REFRESH + " SELECT count(*) FILTER (outcome = 'refreshed') AS refreshed, count(*) FILTER (outcome = 'error') AS errors, count(*) FILTER (outcome = 'refreshed') AS written FROM o"),

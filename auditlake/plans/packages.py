@@ -84,6 +84,14 @@ def promote_actions(spark, sf):
     return journal.promote(_index(spark, sf), specs)
 
 
+def promote_rows(spark, sf):
+    """What promoting every version that is blocked writes to the journal."""
+    rows = _index(spark, sf)
+    specs = rows.where("status LIKE 'blocked%'").select("ecosystem", "name", "version").distinct()
+    out = journal.promoted(rows, specs, 5_000_000, "2024-03-01T00:00:00+00:00")
+    return out.select("seq", "op", "ecosystem", "name", "version", "target_hash", "status", "refreshed_at")
+
+
 _CANDIDATE = """seq, ecosystem, name, version, target_hash, profile, score, role_typical_share, seq % 9 = 0 AS critical, seq % 6 = 0 AS accept_new"""
 
 
@@ -258,7 +266,7 @@ QUERIES = {
     "journal_stats": (journal_stats, _I + f"""SELECT count(*) AS total, avg(score) AS mean_score, {_MEDIAN} AS median_score, count(*) FILTER (score >= 90) AS high, count(*) FILTER (score >= 50 AND score < 90) AS mid,
       count(*) FILTER (score < 50) AS low, count(*) FILTER (score IS NULL) AS unscored, (SELECT seq FROM idx WHERE audited_at IS NOT NULL ORDER BY audited_at, seq LIMIT 1) AS oldest_seq, (SELECT seq FROM idx WHERE audited_at IS NOT NULL ORDER BY audited_at DESC, seq DESC LIMIT 1) AS newest_seq FROM idx"""),
     "journal_upper_median": (journal_upper_median, _I + f"SELECT {_MEDIAN} AS median_score"),
-    "journal_profile_means": (journal_profile_means, _I + "SELECT coalesce(profile, 'unknown') AS profile, avg(score) AS mean_score, count(*) AS n FROM idx WHERE score IS NOT NULL GROUP BY 1"),
+    "journal_profile_means": (journal_profile_means, _I + "SELECT coalesce(profile, 'unknown') AS profile, round_even(avg(score), 1) AS mean_score, count(*) AS n FROM idx WHERE score IS NOT NULL GROUP BY 1"),
     "blocked_review": (blocked_review, _I + "SELECT CASE WHEN status = 'blocked-role-typical' THEN 1 ELSE 2 END AS group_rank, coalesce(role_typical_share, 0.0) AS share, seq, name FROM idx WHERE status LIKE 'blocked%'"),
     "prior_blocked_top5": (prior_blocked_top5, _I + f""", b AS (SELECT *, row_number() OVER (PARTITION BY ecosystem, name ORDER BY role_typical_share DESC, seq) AS r, count(*) OVER (PARTITION BY ecosystem, name) AS n FROM idx WHERE NOT {_GOOD})
       SELECT ecosystem, name, n, string_agg(version || ' (' || status || ', share=' || CAST(round_even(role_typical_share * 100, 0) AS INT) || '%)', ', ' ORDER BY r) AS prior FROM b WHERE r <= 5 GROUP BY ALL""".replace(" , b AS", ", b AS")),
@@ -273,6 +281,8 @@ QUERIES = {
       l AS (SELECT ecosystem, name, version, seq, status FROM ({_LATEST.format(k='ecosystem, name, version', w='')}) WHERE r = 1)
       SELECT s.ecosystem, s.name, s.version, CASE WHEN s.version IS NULL THEN 'no-version' WHEN l.seq IS NULL THEN 'missing' WHEN coalesce(status, 'accepted') = 'accepted' THEN 'no-op' ELSE 'promote' END AS action,
         CASE WHEN s.version IS NULL THEN 2 WHEN l.seq IS NULL THEN 1 ELSE 0 END AS exit_code FROM s LEFT JOIN l USING (ecosystem, name, version)"""),
+    "promote_rows": (promote_rows, _I + f""", l AS (SELECT * FROM ({_LATEST.format(k='ecosystem, name, version', w='')}) WHERE r = 1 AND coalesce(status, 'accepted') <> 'accepted')
+      SELECT row_number() OVER (ORDER BY ecosystem, name, version, target_hash) + 4999999 AS seq, 'put' AS op, ecosystem, name, version, target_hash, 'accepted' AS status, '2024-03-01T00:00:00+00:00' AS refreshed_at FROM l"""),
     "first_encounter_verdict": (first_encounter_verdict, _SC + """SELECT seq, CASE WHEN s < 50 THEN 'low-score' WHEN accept_new OR s >= 90 THEN 'first-encounter-accepted' ELSE 'first-encounter-needs-accept' END AS status,
       CASE WHEN s < 50 THEN CASE WHEN critical OR role_typical_share < 0.8 THEN 'blocked-suspicious' ELSE 'blocked-role-typical' END WHEN accept_new OR s >= 90 THEN 'accepted' END AS write_status,
       CASE WHEN s < 50 THEN 3 ELSE 2 END AS n_reasons FROM c"""),

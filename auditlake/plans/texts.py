@@ -88,7 +88,9 @@ def base64_entropy(spark, sf):
 
 
 def content_hash_by_source(spark, sf):
-    return S.content_hash(D.documents_as_files(spark, sf)).select("package_id", "target_hash")
+    """The content hash of every source's packages; a package is fifty neighbouring documents."""
+    files = D.documents_as_files(spark, sf).withColumn("package_id", F.concat("package_id", F.lit("/"), F.expr("CAST(doc_id div 50 AS STRING)")))
+    return S.content_hash(files).select("package_id", "target_hash")
 
 
 _FOLDERS = ["", "src/", "node_modules/x/", "dist/", "a/.git/", "build/lib/", "x/__pycache__/", "venv/", "lib/Deep/er/", "docs/.ruff_cache/", "distribution/"]
@@ -309,7 +311,7 @@ QUERIES = {
     "base64_entropy": (base64_entropy, """WITH p AS (SELECT page_id, md5(page_id || 'a') || md5(page_id || 'b') || md5(page_id || 'c') || md5(page_id || 'd') AS h FROM pages WHERE page_id % 2 = 0),
       b AS (SELECT page_id, h || upper(substr(h, 1, 64)) || 'ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ' AS s FROM p), c AS (SELECT page_id, length(s) AS n, unnest(string_split(s, '')) AS ch FROM b),
       k AS (SELECT page_id, n, ch, count(*) AS c FROM c WHERE ch <> '' GROUP BY ALL) SELECT page_id, CAST(n AS INT) AS length, round(round(-sum(c / n * log2(c / n)), 2), 1) AS entropy FROM k GROUP BY page_id, n"""),
-    "content_hash_by_source": (content_hash_by_source, "SELECT source AS package_id, sha256(string_agg('doc' || doc_id || '.txt' || chr(0) || coalesce(text, '') || chr(0), '' ORDER BY 'doc' || doc_id || '.txt', text)) AS target_hash FROM documents GROUP BY source"),
+    "content_hash_by_source": (content_hash_by_source, "SELECT source || '/' || doc_id // 50 AS package_id, sha256(string_agg('doc' || doc_id || '.txt' || chr(0) || coalesce(text, '') || chr(0), '' ORDER BY 'doc' || doc_id || '.txt', text)) AS target_hash FROM documents GROUP BY source, doc_id // 50"),
     "skip_dir_prune": (skip_dir_prune, f"WITH {_PATHS_SQL} SELECT p_partkey, rel FROM q WHERE NOT list_has_any(parts, [{D.quoted(C.SKIP_DIRS)}])"),
     "skip_dir_prune_package": (skip_dir_prune_package, f"WITH {_PATHS_SQL} SELECT p_partkey, rel FROM q WHERE NOT list_has_any(parts, [{D.quoted([d for d in C.SKIP_DIRS if d not in C.READMITTED_DIRS])}])"),
     "language_classify": (language_classify, f"""WITH {_PATHS_SQL}, n AS (SELECT p_partkey, lower(parts[-1]) AS name FROM q), e AS (SELECT *, regexp_extract(name, '^.+([.][^.]+)$', 1) AS ext FROM n)

@@ -98,7 +98,8 @@ def stats(rows: DataFrame) -> DataFrame:
 
 
 def profile_means(rows: DataFrame) -> DataFrame:
-    return rows.where("score IS NOT NULL").groupBy(F.coalesce("profile", F.lit("unknown")).alias("profile")).agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("n"))
+    """(profile, mean_score, n): means to one place, a tie to the even digit."""
+    return rows.where("score IS NOT NULL").groupBy(F.coalesce("profile", F.lit("unknown")).alias("profile")).agg(F.bround(F.avg("score"), 1).alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
 
 def blocked_review(rows: DataFrame) -> DataFrame:
@@ -150,6 +151,19 @@ def promote(rows: DataFrame, specs: DataFrame) -> DataFrame:
     return out.withColumn("action", action).withColumn("exit_code", F.when(F.col("action") == "no-version", 2).when(F.col("action") == "missing", 1).otherwise(0)).drop("seq", "status")
 
 
+def promoted(rows: DataFrame, specs: DataFrame, first_seq: int, now: str, counts: DataFrame | None = None) -> DataFrame:
+    """The rows to append that make the last entries of ``specs`` (ecosystem, name, version) accepted, where :func:`promote` says so.
+
+    An entry keeps all that it has but its status, and is stamped as refreshed. With ``counts`` (ecosystem, name, version, kind, n) it pins them.
+    """
+    wanted = promote(rows, specs).where("action = 'promote'").select(*PACKAGE, "version").distinct()
+    out = latest_entry(rows, with_version=True).join(wanted, [*PACKAGE, "version"], "left_semi").withColumn("status", F.lit("accepted"))
+    if counts is not None:
+        pinned = counts.groupBy(*PACKAGE, "version").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", F.col("n").cast("int"))))).alias("expected_surface_counts"))
+        out = out.drop("expected_surface_counts").join(pinned, [*PACKAGE, "version"], "left")
+    return stamp(out.drop("seq", "op"), first_seq, now, refresh=True)
+
+
 def pins(rows: DataFrame) -> DataFrame:
     """Project pins: rows of (project, seq, name, target_hash, …); a pin replaces earlier ones with its name or its hash."""
     later = rows.select(F.col("project").alias("p"), F.col("name").alias("n"), F.col("target_hash").alias("h"), F.col("seq").alias("s"))

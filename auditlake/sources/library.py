@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import difflib
-import os
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -23,9 +22,9 @@ def index_scan(files: DataFrame, ecosystem: str | None = None) -> DataFrame:
     gives an entry its profile and status. A missing status is accepted, as in entries of a time before statuses. What is no JSON has no entries.
     """
     parts = F.split("rel", "/")
-    own = files.select(F.element_at(parts, 1).alias("ecosystem"), "rel", "text").where("ecosystem != 'memory'")
-    if ecosystem:
-        own = own.where(F.col("ecosystem") == ecosystem)
+    own = files.select(F.element_at(parts, 1).alias("ecosystem"), "rel", "text")
+    # the store of trusted texts is no ecosystem, but can be asked for like one
+    own = own.where(F.col("ecosystem") == ecosystem) if ecosystem else own.where("ecosystem != 'memory'")
     name = F.regexp_extract("rel", r"^[^/]+/(.+)/_index\.json$", 1)
     index = own.where("rel LIKE '%/_index.json'").select("ecosystem", name.alias("folder"), F.from_json("text", _ENTRIES).alias("i"))
     rows = index.select("ecosystem", "folder", F.coalesce("i.name", "folder").alias("name"), F.posexplode("i.entries").alias("ordinal", "e")).select("ecosystem", "folder", "name", "ordinal", "e.*")
@@ -155,9 +154,3 @@ def as_text(df: DataFrame, widths: dict[str, int]) -> DataFrame:
     return df.select(F.rtrim(F.concat_ws("  ", *[cell(c, n) for c, n in widths.items()])).alias("value"))
 
 
-def threshold(spark: SparkSession, name: str, default: int) -> int:
-    """A whole number of the session (``auditlake.<name>``), else of the environment (``AUDITLAKE_<NAME>``), else ``default``; so also where it is no number."""
-    for raw in (spark.conf.get(f"auditlake.{name}", None), os.environ.get("AUDITLAKE_" + name.upper())):
-        if raw is not None and raw.strip().lstrip("+-").isdigit():
-            return int(raw)
-    return default

@@ -142,3 +142,22 @@ def test_launch_configuration(spark):
     text = '{"mcpServers": {"a": {"args": ["-y", "p@latest"]}, "b": "no"}}'
     files = spark.createDataFrame([("p", "conf/.mcp.json", text), ("p", "x.json", text), ("p", "mcp.json", "{")], "package_id string, rel string, text string")
     assert sorted(r.reason for r in mcp.launch_drift(files).collect()) == ["auto-accept", "unpinned"]
+
+
+def test_javascript_objects_arguments_and_templates():
+    fqns = lambda code: [(f["kind"], f.get("fqn")) for f in javascript.audit(code)]
+    # an object that isn't one name has none
+    assert fqns("app.listen(80)") == [("listening_port", "app.listen")]
+    assert fqns("this.server.listen(80); make(a)[0].listen(80); (a || b).listen(80)") == [("listening_port", "?.listen")] * 3
+    http = "const http = require('http');\n"
+    assert fqns(http + "http.createServer(f).listen(80)") == [("listening_port", "http.createServer"), ("listening_port", "?.listen")]
+    assert javascript.audit("x; make(a)[0].listen(80)")[0]["detail"] == "make(a)[0].listen(80)"
+    assert fqns("a.b.listen.apply(s, args); make(q).listen.call(this, 80)") == [("listening_port", "a.b.listen.apply"), ("listening_port", "make(q).listen.call")]
+    # a port or an operation, no function, object or member
+    for yes in ("80", "port", "`${p}`", "process.env.PORT || 3000", "'x', done", "a + 1"):
+        assert fqns(f"s.listen({yes})") == [("listening_port", "s.listen")], yes
+    for no in ("", "{port: 80}", "() => go(80)", "opts.port", "function (e) { x + 1 }", "this", "get()", "a ? 1 : 2", "'/sock'"):
+        assert fqns(f"s.listen({no})") == [], no
+    # code inside templates is code, however deep; text in them is none
+    assert fqns("`eval(x) ${ eval(`${fetch(u)}`) } }`") == [("obfuscation", "eval"), ("outbound_dynamic", "fetch")]
+    assert fqns("fetch(`https://h/${token}`)") == [("outbound_dynamic", "fetch"), ("data_exfil_hint", None)] and fqns("`${") == fqns("`") == fqns("`${`") == []

@@ -6,7 +6,7 @@ from plain_versions import best_version
 
 from auditlake.functions import versions
 from auditlake.operators import audit, memory
-from auditlake.sources import cache, doctor, library, requirements
+from auditlake.sources import cache, doctor, library, requirements, settings
 from pyspark.sql import functions as F
 
 
@@ -31,14 +31,14 @@ def test_content_diff(spark):
 
 
 def test_threshold(spark, monkeypatch):
-    assert library.threshold(spark, "min_score", 50) == 50
+    assert settings.threshold(spark, "min_score", 50) == 50
     monkeypatch.setenv("AUDITLAKE_MIN_SCORE", "x")
-    assert library.threshold(spark, "min_score", 50) == 50
+    assert settings.threshold(spark, "min_score", 50) == 50
     monkeypatch.setenv("AUDITLAKE_MIN_SCORE", " 61 ")
-    assert library.threshold(spark, "min_score", 50) == 61
+    assert settings.threshold(spark, "min_score", 50) == 61
     spark.conf.set("auditlake.min_score", "70")
     try:
-        assert library.threshold(spark, "min_score", 50) == 70
+        assert settings.threshold(spark, "min_score", 50) == 70
     finally:
         spark.conf.unset("auditlake.min_score")
 
