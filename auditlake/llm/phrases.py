@@ -33,6 +33,8 @@ MAX_FILTER_BYTES = 64 << 20
 BITS_PER_PHRASE = 12
 #: Words of a suffix array, at most.
 SHARD_WORDS = 1 << 20
+#: The word counts of so many languages at most are broadcast.
+FEW_LANGUAGES = 20_000
 #: A language's phrases are ranked in so many parts before all together.
 PARTS = 32
 
@@ -182,7 +184,9 @@ def scored(known: DataFrame, words: DataFrame) -> DataFrame:
     cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("first"), F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ").alias("rest"))
     left = known.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
     right = known.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
-    both = cuts.hint("merge").join(left, ["lang", "first"]).hint("merge").join(right, ["lang", "rest"]).hint("merge").join(words, "lang")
+    # few languages: none of them then brings all its phrases into one task
+    near = F.broadcast(words) if words.count() <= FEW_LANGUAGES else words.hint("merge")
+    both = cuts.hint("merge").join(left, ["lang", "first"]).hint("merge").join(right, ["lang", "rest"]).join(near, "lang")
     whole = lambda c: f"CAST({c} AS DECIMAL(19, 0))"
     score = F.expr(f"(CAST(1000 AS DECIMAL(4, 0)) * {whole('a')} * CAST(n AS DECIMAL(15, 0))) div ({whole('l')} * {whole('r')})").cast("long")
     best = both.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
