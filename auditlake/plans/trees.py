@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import versions
 from ..operators import audit, closure, preflight, profiles
-from ..sources import journal, requirements
+from ..sources import journal, library, requirements
+from ..sources.scratch import folder
+from ..streaming import verdicts
 from . import derived as D
 from .findings import _WEIGHTS
 
@@ -207,7 +209,71 @@ def tree_audit(spark, sf):
     return closure.composed_status(tree).join(sizes, "root")
 
 
+def version_diffs(spark, sf):
+    """What each supplier's code has and has lost against the code before it, and how its score moved."""
+    s = D.table(spark, sf, "supplier")
+    package = f"concat('lib', {_KEY})"
+    specs = s.selectExpr(f"{package} AS package_id", "s_suppkey")
+    summary, _, _ = preflight.version_diff(_code_files(s, _BEFORE, "'1.0'", package), _code_files(s, _WHICH, "'1.1'", package), specs.select("package_id"))
+    return summary.join(specs, "package_id").select("s_suppkey", "score_delta", "n_new", "n_removed", "has_drift")
+
+
+_SCORES = f"""{_WEIGHTS}, f AS (SELECT * FROM {D.values(SURFACES, 't(code, kind, n, surface)')}),
+ d AS (SELECT code, profile, f.kind, CASE WHEN f.kind = 'obfuscation' THEN least(least(any_value(dyn_per) * sum(n), any_value(dyn_cap)), any_value(cap)) ELSE least(any_value(per_finding) * sum(n), any_value(cap)) END AS deducted
+   FROM f JOIN w ON w.kind = f.kind WHERE cap > 0 GROUP BY code, profile, f.kind),
+ s AS (SELECT code, profile, CAST(greatest(0, 100 - sum(deducted)) AS INT) AS score FROM d GROUP BY code, profile)"""
+#: A surface without a name counts by its place, which is the same only in the same code.
+_DIFF_SQL = f"""WITH {_SCORES}, p AS (SELECT s_suppkey, s_suppkey % 6 AS code, s_suppkey // 6 % 6 AS old FROM supplier),
+ g AS (SELECT code, kind, coalesce(surface, 'code ' || code || ' ' || i) AS surface FROM f, range(1, 4) r(i) WHERE i <= n),
+ c AS (SELECT s_suppkey, (SELECT count(*) FROM g a WHERE a.code = p.code AND NOT EXISTS (SELECT 1 FROM g b WHERE b.code = p.old AND b.kind = a.kind AND b.surface = a.surface)) AS n_new,
+   (SELECT count(*) FROM g a WHERE a.code = p.old AND NOT EXISTS (SELECT 1 FROM g b WHERE b.code = p.code AND b.kind = a.kind AND b.surface = a.surface)) AS n_removed,
+   coalesce((SELECT score FROM s WHERE s.code = p.code AND profile = 'plugin'), 100) - coalesce((SELECT score FROM s WHERE s.code = p.old AND profile = 'plugin'), 100) AS score_delta FROM p)
+ SELECT s_suppkey, CAST(score_delta AS INT) AS score_delta, n_new, n_removed, n_new > 0 AS has_drift FROM c"""
+
+_PROFILES = ["plugin", "web-framework", None, "ml-framework"]
+
+
+def refresh_audit(spark, sf):
+    """The journal rows of auditing every supplier's accepted package again, at the profile it was accepted with; some have no files any more."""
+    s = D.table(spark, sf, "supplier")
+    package = f"concat('lib', {_KEY})"
+    rows = s.selectExpr("s_suppkey AS seq", "'pypi' AS ecosystem", f"{package} AS name", "'1.0' AS version", "'old' AS target_hash", "CASE WHEN s_suppkey % 10 = 9 THEN 'blocked-suspicious' ELSE 'accepted' END AS status", f"{D.pick('s_suppkey % 4', _PROFILES)} AS profile", "50 AS score")
+    wanted = library.to_refresh(rows, status="accepted")
+    held = s.where("s_suppkey % 7 <> 3")
+    packages = held.selectExpr(f"{package} AS package_id", "'pypi' AS ecosystem", f"{package} AS name", "'1.0' AS version")
+    outcomes, written = library.refresh(wanted, packages, _code_files(held, _WHICH, "'1.0'", package), 1_000_000, "2024-03-01T00:00:00+00:00")
+    appended = written.select("name", "seq", F.col("profile").alias("new_profile"), (F.length("target_hash") == 64).alias("hashed"), "refreshed_at")
+    return outcomes.join(appended, "name", "left").select("name", "outcome", "old_score", "new_score", "status", "written", "seq", "new_profile", "hashed", "refreshed_at")
+
+
+_REFRESH_SQL = f"""WITH {_SCORES}, p AS (SELECT 'lib' || s_suppkey AS name, s_suppkey % 6 AS code, coalesce({D.pick('s_suppkey % 4', _PROFILES)}, 'plugin') AS profile, s_suppkey % 7 <> 3 AS held FROM supplier WHERE s_suppkey % 10 <> 9),
+ o AS (SELECT *, CASE WHEN held THEN coalesce((SELECT score FROM s WHERE s.code = p.code AND s.profile = p.profile), 100) END AS new_score FROM p),
+ n AS (SELECT name, row_number() OVER (ORDER BY name) + 999999 AS seq FROM o WHERE held)
+ SELECT name, CASE WHEN held THEN 'refreshed' ELSE 'error' END AS outcome, 50 AS old_score, CAST(new_score AS INT) AS new_score, 'accepted' AS status, held AS written, seq, CASE WHEN held THEN profile END AS new_profile,
+   CASE WHEN held THEN true END AS hashed, CASE WHEN held THEN '2024-03-01T00:00:00+00:00' END AS refreshed_at FROM o LEFT JOIN n USING (name)"""
+
+
+def as_events(table):
+    """The table ``events`` as install candidates, records of past audits and withdrawals."""
+    kinds = ["subprocess:a", "outbound_network:h", "obfuscation:x:1", "hardcoded_host:h"]
+    surfaces = ", ".join(f"CASE WHEN event_id % {m} = 0 THEN '{k}' END" for m, k in zip((3, 4, 7, 2), kinds))
+    rows = table.selectExpr(*[f"{e} AS {n}" for n, e in D.JOURNAL.items() if n not in ("op", "seq")], "event_id AS seq", "event_id % 9 = 0 AS critical", "event_id % 6 = 0 AS accept_new",
+                            "CASE WHEN event_id % 50 = 7 THEN 'forget' WHEN event_id % 4 = 1 THEN 'record' ELSE 'candidate' END AS op", f"array_compact(array({surfaces})) AS surfaces")
+    return rows.selectExpr(*[f"CAST({name} AS {kind}) AS {name}" for name, kind in (f.split() for f in verdicts.EVENT.split(", "))])
+
+
+def stream_verdicts(spark, sf):
+    """All events, judged as a stream with a state for each package; the table's files are one batch."""
+    stream = spark.readStream.schema(D.table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
+    path = folder(spark, "verdicts")
+    verdicts.run(as_events(stream), path, folder(spark, "stream")).awaitTermination()
+    return spark.read.parquet(path).select("seq", "ecosystem", "name", "version", "status", "base_seq", F.array_join("novel", ",").alias("novel"), "prior", "write_status")
+
+
 QUERIES = {
+    "version_diffs": (version_diffs, _DIFF_SQL),
+    "refresh_audit": (refresh_audit, _REFRESH_SQL),
+    "stream_verdicts": (stream_verdicts, None),
     "version_resolve": (version_resolve, _VERSION_SQL),
     "declared_requirements": (declared_requirements, _DECLARED_SQL),
     "profile_by_prefix": (profile_by_prefix, _PREFIX_SQL),

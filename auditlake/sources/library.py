@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from . import journal
+from .scratch import cut
 
 _ENTRIES = "struct<name:string,entries:array<struct<version:string,target_hash:string,audited_at:string,score:int>>>"
 _REPORT = "struct<profile:string,profile_reason:string,status:string>"
@@ -96,7 +97,7 @@ def to_refresh(rows: DataFrame, ecosystem: str | None = None, name_like: str | N
     """What a refresh audits again: (ecosystem, name, version, spec, old_score, explicit), explicit being the stored profile unless it is to be found anew."""
     chosen = journal.listed(rows, ecosystem=ecosystem, status=status, name_like=name_like)
     profile = F.lit(None).cast("string") if redetect else F.col("profile")
-    return chosen.select("ecosystem", "name", "version", "target_hash", N.format_spec(F.col("name"), F.col("version"), F.col("ecosystem")).alias("spec"), F.col("score").alias("old_score"), profile.alias("explicit"))
+    return chosen.select("ecosystem", "name", "version", "target_hash", "status", N.format_spec(F.col("name"), F.col("version"), F.col("ecosystem")).alias("spec"), F.col("score").alias("old_score"), profile.alias("explicit"))
 
 
 def refreshed(wanted: DataFrame, audited: DataFrame, dry_run: bool = False) -> DataFrame:
@@ -110,6 +111,26 @@ def refreshed(wanted: DataFrame, audited: DataFrame, dry_run: bool = False) -> D
     return out.withColumn("new_score", F.when(~failed, F.col("new_score"))).withColumn("written", ~failed & F.lit(not dry_run)).drop("_found")
 
 
+def refresh(wanted: DataFrame, packages: DataFrame, files: DataFrame, first_seq: int, now: str, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, rows) of auditing again what :func:`to_refresh` chose: each at the profile that it asks for, or at one that is found anew.
+
+    ``packages``: package_id, ecosystem, name, version of what ``files`` holds; an entry without files is an error. rows are to be appended to the
+    journal: entries keep their status, and have the new hash, score and profile.
+    """
+    from ..operators import audit
+
+    own = packages.groupBy("ecosystem", "name", "version").agg(F.min("package_id").alias("package_id"))
+    asked = wanted.groupBy("ecosystem", "name", "version").agg(F.max("explicit").alias("explicit"))
+    chosen = cut(asked.join(own, ["ecosystem", "name", "version"]))
+    given = chosen.select("package_id", "explicit", F.lit(None).cast("string").alias("pinned"))
+    reports, _ = audit.report(files.join(chosen.select("package_id"), "package_id", "left_semi"), given, names)
+    fresh = cut(chosen.drop("explicit").join(reports.drop("ecosystem", "name", "version"), "package_id"))
+    outcomes = refreshed(wanted, fresh.select("ecosystem", "name", "version", F.col("final_score").alias("new_score"), F.lit(None).cast("string").alias("error")))
+    kept = outcomes.where("written").select("ecosystem", "name", "version", "status").distinct()
+    rows = kept.join(fresh.select("ecosystem", "name", "version", "target_hash", "profile", "profile_reason", F.col("final_score").alias("score"), "role_typical_share"), ["ecosystem", "name", "version"])
+    return outcomes, journal.stamp(rows.withColumn("audited_at", F.lit(now)), first_seq, now, refresh=True)
+
+
 def refresh_totals(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count_if(F.col("outcome") == "refreshed").alias("refreshed"), F.count_if(F.col("outcome") == "error").alias("errors"), F.count_if("written").alias("written"))
 

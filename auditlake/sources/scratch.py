@@ -3,23 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in ``spark.checkpoint.dir``; where that is unset and all tasks run in this process (tests), in a temporary folder."""
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """The folder for checkpoints: ``spark.checkpoint.dir``; where that is unset and all tasks run in this process (tests), a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="auditlake-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new path below the folder for checkpoints."""
+    return f"{_shared(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str, first: int = 1) -> DataFrame:
     """``df`` with ``name``: ``first``, ``first`` + 1 … in ``order``, in as many tasks as there are partitions.
 
