@@ -5,13 +5,18 @@ Packages are suppliers, registries are parts: each has a few versions whose numb
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import versions
 from ..operators import audit, closure, preflight, profiles
+from ..sources import files as S
 from ..sources import journal, library, requirements
-from ..sources.scratch import folder
+from ..sources.scratch import cut, folder
 from ..streaming import verdicts
 from . import derived as D
 from .findings import _WEIGHTS
@@ -230,6 +235,41 @@ _DIFF_SQL = f"""WITH {_SCORES}, p AS (SELECT s_suppkey, s_suppkey % 6 AS code, s
    coalesce((SELECT score FROM s WHERE s.code = p.code AND profile = 'plugin'), 100) - coalesce((SELECT score FROM s WHERE s.code = p.old AND profile = 'plugin'), 100) AS score_delta FROM p)
  SELECT s_suppkey, CAST(score_delta AS INT) AS score_delta, n_new, n_removed, n_new > 0 AS has_drift FROM c"""
 
+def _pack(paths, texts) -> bytes:
+    """A zip archive of texts, below one folder."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for path, text in sorted(zip(paths, texts)):
+            z.writestr(f"top/{path}", text)
+        z.writestr("../outside.py", "import os\nos.system('x')\n")
+    return out.getvalue()
+
+
+def archive_audit(spark, sf):
+    """The score of each supplier's package from its archive, and which archives are broken: unpacked, rooted, audited."""
+    s = D.table(spark, sf, "supplier")
+    files = _code_files(s, _WHICH, "'1.0'", f"concat('lib', {_KEY})")
+
+    @F.pandas_udf("binary")
+    def pack(paths: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([_pack(p, t) for p, t in zip(paths, texts)], dtype=object)
+
+    own = files.groupBy("package_id").agg(F.collect_list(F.struct("rel", "text")).alias("f"))  # the two files of a package
+    archives = own.select("package_id", F.lit("pypi").alias("ecosystem"), F.concat("package_id", F.lit("-1.0.zip")).alias("path"), pack("f.rel", "f.text").alias("content"))
+    broken = F.regexp_extract("package_id", r"(\d+)", 1).cast("int") % 9 == 4
+    archives = cut(archives.withColumn("content", F.when(broken, F.expr("substring(content, 1, 40)")).otherwise(F.col("content"))))
+    found, errors = S.from_archives(archives)
+    reports, _ = audit.report(cut(found))
+    out = archives.select("package_id").join(reports.select("package_id", "name", "version", "files_audited", "final_score", "n_findings"), "package_id", "left")
+    return out.join(errors.groupBy("package_id").agg(F.max("error").alias("error")), "package_id", "left")
+
+
+_ARCHIVE_SQL = """WITH {scores}, p AS (SELECT s_suppkey, 'lib' || s_suppkey AS package_id, s_suppkey % 6 AS code, s_suppkey % 9 = 4 AS broken FROM supplier)
+ SELECT package_id, CASE WHEN NOT broken THEN package_id END AS name, CASE WHEN NOT broken THEN '1.0' END AS version, CASE WHEN NOT broken THEN 2 END::BIGINT AS files_audited,
+  CASE WHEN NOT broken THEN coalesce((SELECT score FROM s WHERE s.code = p.code AND profile = 'plugin'), 100) END::INT AS final_score,
+  CASE WHEN NOT broken THEN coalesce((SELECT sum(n) FROM f WHERE f.code = p.code), 0) END::BIGINT AS n_findings, CASE WHEN broken THEN package_id || '-1.0.zip: BadZipFile' END AS error FROM p"""
+
+
 _PROFILES = ["plugin", "web-framework", None, "ml-framework"]
 
 
@@ -272,6 +312,7 @@ def stream_verdicts(spark, sf):
 
 QUERIES = {
     "version_diffs": (version_diffs, _DIFF_SQL),
+    "archive_audit": (archive_audit, _ARCHIVE_SQL.format(scores=_SCORES)),
     "refresh_audit": (refresh_audit, _REFRESH_SQL),
     "stream_verdicts": (stream_verdicts, None),
     "version_resolve": (version_resolve, _VERSION_SQL),

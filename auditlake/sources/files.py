@@ -7,6 +7,8 @@ import io
 import tarfile
 import tomllib
 import zipfile
+import zlib
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -90,31 +92,63 @@ def audit_root(files: DataFrame, ecosystem: str = "ecosystem") -> DataFrame:
     return out.withColumn("rel", F.substring("rel", F.length("_prefix") + 1, F.length("rel"))).drop("_tops", "_prefix")
 
 
-def _members(name: str, content: bytes):
-    """(path, bytes) of an archive's files; paths that leave the archive are left out."""
+#: What a batch of unpacked files has, at most, beside its last file.
+BATCH_BYTES = 4 << 20
+
+
+def _members(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
+    """(path, bytes) of an archive's files, one after the other; paths that leave the archive are left out."""
+    inside = lambda p: not PurePosixPath(p).is_absolute() and ".." not in PurePosixPath(p).parts
     if name.endswith((".zip", ".whl")):
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            found = [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
+            yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir() and inside(i.filename))
     else:
         with tarfile.open(fileobj=io.BytesIO(content)) as t:
-            found = [(m.name, t.extractfile(m).read()) for m in t if m.isfile()]
-    return [(p, b) for p, b in found if not PurePosixPath(p).is_absolute() and ".." not in PurePosixPath(p).parts]
+            yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile() and inside(m.name))
+
+
+def _unpacked(package: str, path: str, content: bytes) -> Iterator[tuple]:
+    try:
+        for rel, own in _members(path, content):
+            yield package, rel, own, None
+    except (tarfile.TarError, zipfile.BadZipFile, zlib.error, OSError, EOFError, NotImplementedError, RuntimeError) as bad:
+        yield package, None, None, f"{path}: {type(bad).__name__}"
 
 
 def unpack(archives: DataFrame) -> DataFrame:
-    """(package_id, rel, content) of ``archives`` (package_id, path, content); one that can't be read gives nothing."""
+    """(package_id, rel, content, error) of ``archives`` (package_id, path, content).
+
+    Files leave an archive one by one, in batches of bounded size. One that can't be read to its end gives what was read before, and a row
+    without a path that says so in ``error``; error is null in all other rows.
+    """
 
     def run(batches):
+        rows, size = [], 0
         for pdf in batches:
-            rows = []
-            for package, path, content in pdf.itertuples(index=False):
-                try:
-                    rows += [(package, p, b) for p, b in _members(path, content)]
-                except (tarfile.TarError, zipfile.BadZipFile, OSError, EOFError):
-                    continue
-            yield pd.DataFrame(rows, columns=["package_id", "rel", "content"])
-
-    return archives.select("package_id", "path", "content").mapInPandas(run, "package_id string, rel string, content binary")
+            for archive in zip(pdf["package_id"], pdf["path"], pdf["content"]):
+                for row in _unpacked(*archive):
+                    rows.append(row)
+                    size += len(row[2] or b"")
+                    if size > BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=["package_id", "rel", "content", "error"])
+                        rows, size = [], 0
+        yield pd.DataFrame(rows, columns=["package_id", "rel", "content", "error"])
+
+    return archives.select("package_id", "path", "content").mapInPandas(run, "package_id string, rel string, content binary, error string")
+
+
+def archived(spark: SparkSession, root: str) -> DataFrame:
+    """(package_id, path, content) of the archives below ``root``; a package is called by its archive's path there."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ARCHIVE_GLOB).load(root)
+    return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("package_id"), "path", "content")
+
+
+def from_archives(archives: DataFrame, package_audit: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(files, errors): source files of ``archives`` (package_id, ecosystem, path, content) below their audit roots, and what could not be read."""
+    members = unpack(archives)
+    known = members.where("error IS NULL").join(archives.select("package_id", "ecosystem"), "package_id")
+    rooted = audit_root(known.select("package_id", "ecosystem", "rel", "content"))
+    return classify(rooted, package_audit), members.where("error IS NOT NULL").select("package_id", "error")
 
 
 def _project(text: str) -> tuple[str | None, str | None, int]:

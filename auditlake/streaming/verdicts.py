@@ -22,7 +22,7 @@ from ..functions import constants as C
 from ..operators import verdict
 from ..sources import settings
 
-#: Blocked encounters that a package's state keeps.
+#: Blocked encounters of each version that a package's state keeps: a version can be forgotten, and these are then still the worst of the others.
 KEPT_BLOCKED = 5
 EVENT = (
     "op string, seq long, ecosystem string, name string, version string, target_hash string, profile string, status string, score int, critical boolean, "
@@ -34,6 +34,10 @@ _FOUND = (
 )
 
 
+def _worst(blocked: list) -> tuple:
+    return -blocked[0], blocked[1]
+
+
 class History:
     """What is known of one package."""
 
@@ -49,7 +53,7 @@ class History:
         return same or max(self.good.values(), key=lambda e: e["seq"], default=None)
 
     def prior(self) -> str | None:
-        return ", ".join(f"{v or '?'} ({s}, share={round(share * 100)}%)" for share, _, v, s in self.blocked) or None
+        return ", ".join(f"{v or '?'} ({s}, share={round(share * 100)}%)" for share, _, v, s in sorted(self.blocked, key=_worst)[:KEPT_BLOCKED]) or None
 
     def record(self, seq: int, version: str | None, target_hash: str | None, profile: str | None, status: str, share: float, surfaces: list[str]) -> None:
         if status == "accepted":
@@ -57,8 +61,8 @@ class History:
             if known is None or known["seq"] < seq:
                 self.good[version or ""] = {"seq": seq, "version": version, "hash": target_hash, "profile": profile, "surfaces": sorted(surfaces)}
         else:
-            worst = sorted([*self.blocked, [share, seq, version, status]], key=lambda b: (-b[0], b[1]))
-            self.blocked = worst[:KEPT_BLOCKED]
+            own = sorted([*(b for b in self.blocked if b[2] == version), [share, seq, version, status]], key=_worst)
+            self.blocked = [b for b in self.blocked if b[2] != version] + own[:KEPT_BLOCKED]
 
     def forget(self, version: str | None) -> None:
         self.good.pop(version or "", None)

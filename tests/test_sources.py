@@ -75,18 +75,3 @@ def test_baseline_prefers_the_same_version(spark):
 def test_pins_replace_by_name_or_hash(spark):
     rows = spark.createDataFrame([("p", 1, "a", "h1"), ("p", 2, "b", "h1"), ("p", 3, "b", "h3"), ("q", 4, "a", "h1")], "project string, seq int, name string, target_hash string")
     assert sorted(r.seq for r in journal.pins(rows).collect()) == [3, 4]
-
-
-def test_stream_appends_each_batch_once(spark, tmp_path):
-    from auditlake.streaming import hook
-
-    schema = spark.createDataFrame([], "seq long, op string, ecosystem string, name string, version string, target_hash string, audited_at string, profile string, status string, score int, role_typical_share double, batch_id long").schema
-    spark.createDataFrame([(1, "put", "pypi", "a", "1", "h", "t", "plugin", "accepted", 95, 0.0, -1)], schema).write.parquet(str(tmp_path / "journal"))
-    spark.createDataFrame([("a", 10), ("b", 95), ("c", 20)], "name string, score int").write.parquet(str(tmp_path / "in"))
-    events = spark.readStream.schema("name string, score int").parquet(str(tmp_path / "in"))
-    null = F.lit(None)
-    make = lambda df: df.select(F.lit("pypi").alias("ecosystem"), "name", F.lit("2").alias("version"), F.concat(F.lit("h"), "name").alias("target_hash"), F.lit("plugin").alias("profile"), "score", F.lit(False).alias("critical"), F.lit(0.0).alias("role_typical_share"), F.lit(False).alias("accept_new"), null.cast("array<string>").alias("novel"))
-    for _ in range(2):
-        hook.run(events, make, str(tmp_path / "journal"), schema, str(tmp_path / "checkpoint")).awaitTermination()
-    got = {(r.name, r.status) for r in spark.read.parquet(str(tmp_path / "journal")).where("batch_id >= 0").collect()}
-    assert got == {("b", "accepted"), ("c", "blocked-suspicious")}
