@@ -195,3 +195,29 @@ def test_tree_audit_equals_a_plain_recursion(spark, tmp_path):
         assert composed[root] == said
         some += len(out)
     assert some > 200
+
+
+def test_verdicts_become_baselines(spark, tmp_path):
+    """Preflight, written to a journal, read again: what was accepted is safe then, and a new surface is drift."""
+    from auditlake.operators import preflight
+    from auditlake.sources import journal
+
+    specs = spark.createDataFrame([("p1", "pypi", "one", "1"), ("p2", "pypi", "two", "1")], "package_id string, ecosystem string, name string, version string")
+    files = lambda extra: spark.createDataFrame([("p1", "m.py", "python", "x = 1\n" + extra), ("p2", "m.py", "python", "import os\nos.system('a')\nos.popen('b')\nexec(c)\n" * 9)], "package_id string, rel string, language string, text string")
+    none = spark.createDataFrame([], "seq long, op string, ecosystem string, name string, version string, target_hash string, profile string, profile_reason string, score int, role_typical_share double, status string, audited_at string, schema_version int, baselined_at string, refreshed_at string")
+    kept = spark.createDataFrame([], "kept_ecosystem string, kept_name string, kept_hash string, kind string, file string, line int, detail string, seq long, host string, fqn string")
+    judged, found = preflight.preflight(specs, files(""), none, kept)
+    assert {r.name: (r.status, r.write_status) for r in judged.collect()} == {"one": ("first-encounter-accepted", "accepted"), "two": ("low-score", "blocked-suspicious")}
+    path = str(tmp_path / "journal")
+    rows = preflight.to_journal(judged, 1, "2024-01-01T00:00:00+00:00")
+    journal.append(rows.select(*[F.col(f.name).cast(f.dataType) for f in none.schema.fields]), path)
+    rows = journal.index(spark.read.schema(none.schema).parquet(path))
+    assert rows.count() == 2
+    hashes = judged.select("package_id", F.col("ecosystem").alias("kept_ecosystem"), F.col("name").alias("kept_name"), F.col("target_hash").alias("kept_hash"))
+    kept = found.join(hashes, "package_id").drop("package_id")
+    again = {r.name: r.status for r in preflight.preflight(specs, files(""), rows, kept)[0].collect()}
+    assert again == {"one": "safe", "two": "low-score"}
+    changed = {r.name: (r.status, list(r.reasons)) for r in preflight.preflight(specs, files("import subprocess\nsubprocess.run(a)\n"), rows, kept)[0].collect()}
+    assert changed["one"] == ("drift", ["novel high-risk surfaces vs. baseline: subprocess"])
+    prior = [x for x in changed["two"][1] if x.startswith("prior blocked")]
+    assert len(prior) == 1 and "1 (blocked-suspicious" in prior[0]
