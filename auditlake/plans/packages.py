@@ -73,6 +73,16 @@ def doctor_checks(spark, sf):
     return doctor.checks(rows, reports)
 
 
+def doctor_report(spark, sf):
+    """How many checks of the self-test are well, and whether all are."""
+    return doctor.report(doctor_checks(spark, sf))
+
+
+def closure_lines(spark, sf):
+    """Every tree as text, a line a node."""
+    return closure.render(_tree(spark, sf))
+
+
 def baseline_choice(spark, sf):
     specs = D.journal(spark, sf).where("op = 'put'").select("ecosystem", "name", "version", F.col("seq").alias("candidate"))
     out = verdict.baseline_of(specs, _index(spark, sf).select("ecosystem", "name", "version", "seq", "status"))
@@ -275,6 +285,8 @@ QUERIES = {
       UNION ALL SELECT 2, 'index', 'fail', count(*) FILTER (seq % 13 = 0) || ' missing, 0 orphan: ' || array_to_string((list_sort(list(ecosystem || '/' || name || '/' || target_hash) FILTER (seq % 13 = 0)))[1:3], '; ') FROM idx
       UNION ALL SELECT 3, 'schema', 'warn', count(*) FILTER (seq % 4 = 0) || ' of ' || count(*) || ' stale' FROM idx WHERE seq % 13 <> 0
       UNION ALL SELECT 4, 'profiles', 'warn', string_agg(p || '=' || n, ', ' ORDER BY p) FROM (SELECT coalesce(profile, '<unset>') AS p, count(*) AS n FROM idx GROUP BY 1)"""),
+    "doctor_report": (doctor_report, _I + """SELECT 1::BIGINT AS ok, 2::BIGINT AS warn, 1::BIGINT AS fail, false AS healthy FROM idx HAVING count(*) FILTER (seq % 13 = 0) > 0 AND count(*) FILTER (seq % 4 = 0 AND seq % 13 <> 0) > 0 AND count(*) FILTER (profile IS NULL) > 0"""),
+    "closure_lines": (closure_lines, None),
     "baseline_choice": (baseline_choice, _I + f""", s AS (SELECT seq AS candidate, ecosystem, name, version FROM journal WHERE op = 'put'), a AS (SELECT * FROM idx WHERE {_GOOD})
       SELECT candidate, s.ecosystem, s.name, coalesce((SELECT max(seq) FROM a WHERE a.ecosystem = s.ecosystem AND a.name = s.name AND a.version = s.version), (SELECT max(seq) FROM a WHERE a.ecosystem = s.ecosystem AND a.name = s.name)) AS baseline_seq FROM s"""),
     "promote_actions": (promote_actions, _I + f""", s AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'pypi' ELSE 'npm' END AS ecosystem, 'lib' || s_suppkey AS name, CASE WHEN s_suppkey % 3 <> 0 THEN '1.' || (s_suppkey % 7) END AS version FROM supplier),

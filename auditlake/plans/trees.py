@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import versions
-from ..operators import audit, closure, preflight, profiles
+from ..operators import audit, closure, preflight, profiles, python_ast
 from ..sources import files as S
 from ..sources import journal, library, requirements
 from ..sources.scratch import cut, folder
@@ -116,6 +116,37 @@ _PREFIX_SQL = f"""WITH x AS (SELECT concat(CASE WHEN p_partkey % 3 = 0 THEN '@s'
  SELECT p_partkey, min_by(profile, 1000000000 * (9 - length(prefix)) + o) AS profile FROM n LEFT JOIN (SELECT * FROM c JOIN x USING (prefix)) m USING (p_partkey) GROUP BY p_partkey"""
 
 
+# --- calls by other names, sockets and variables, each with the part's key in it ------------------------
+#: (code, kind, line, detail, fqn, host or name of a variable) with {k} for the key of a part.
+_CALLS = [
+    ("import requests as r\\nr.get(\"https://h{k}.dev/x\")", "outbound_network", 2, "r.get(''https://h{k}.dev/x'')", "requests.get", "h{k}.dev"),
+    ("from subprocess import Popen as P\\nx = 1\\nP([{k}])", "subprocess", 3, "P([{k}])", "subprocess.Popen", None),
+    ("import socket as s\\ns.socket().connect\\ns.socket.connect(({k}, 80))", "outbound_dynamic", 3, "s.socket.connect(({k}, 80))", "socket.socket.connect", None),
+    ("import socket\\nsocket.server.listen({k})", "listening_port", 2, "socket.server.listen({k})", "socket.server.listen", None),
+    ("import os\\nx = os.environ[\"TOKEN_{k}\"]", "env_secret_read", 2, "os.environ[''TOKEN_{k}'']", None, None),
+    ("from os import environ as e\\ny = e.get(\"MY_SECRET{k}\")", "env_secret_read", 2, "os.environ.get(''MY_SECRET{k}'')", None, "MY_SECRET{k}"),
+    ("import socketserver as z\\nz.TCPServer((1, {k}), H)", "listening_port", 2, "z.TCPServer((1, {k}), H)", "socketserver.TCPServer", None),
+    ("import numpy as requests\\nrequests.get(\"https://h{k}.dev\")", None, None, None, None, None),
+]
+
+
+def _keyed(texts: list[str | None], index: str, key: str = "CAST(p_partkey AS STRING)") -> str:
+    """A CASE of texts with the key in them, in Spark's SQL and in any other."""
+    one = lambda t: "NULL" if t is None else "concat('" + t.replace("{k}", f"', {key}, '") + "')"
+    return f"CASE {index} " + " ".join(f"WHEN {i} THEN {one(t)}" for i, t in enumerate(texts)) + " END"
+
+
+def python_calls(spark, sf):
+    """Findings of a source for each part: calls through other names, sockets, variables; some lines further down, as the key says."""
+    text = f"concat(repeat('\\n', CAST(p_partkey % 7 AS INT)), {_keyed([c[0] for c in _CALLS], 'p_partkey % 8')})"
+    files = D.table(spark, sf, "part").selectExpr("p_partkey", "'m.py' AS rel", "'python' AS language", f"{text} AS text")
+    return python_ast.detect(files, ("p_partkey", "rel")).select("p_partkey", "kind", "line", "detail", "fqn", F.coalesce("host", "env_name").alias("names"))
+
+
+_CALLS_SQL = f"""SELECT p_partkey, {D.pick('p_partkey % 8', [c[1] for c in _CALLS])} AS kind, CAST(p_partkey % 7 + {D.pick('p_partkey % 8', [c[2] for c in _CALLS])} AS INT) AS line,
+ {_keyed([c[3] for c in _CALLS], 'p_partkey % 8')} AS detail, {D.pick('p_partkey % 8', [c[4] for c in _CALLS])} AS fqn, {_keyed([c[5] for c in _CALLS], 'p_partkey % 8')} AS names FROM part WHERE p_partkey % 8 < 7"""
+
+
 # --- code, its baseline and its tree ----------------------------------------------------------------
 CODE = [
     'value = 1\\n',
@@ -317,6 +348,7 @@ QUERIES = {
     "stream_verdicts": (stream_verdicts, None),
     "version_resolve": (version_resolve, _VERSION_SQL),
     "declared_requirements": (declared_requirements, _DECLARED_SQL),
+    "python_calls": (python_calls, _CALLS_SQL),
     "profile_by_prefix": (profile_by_prefix, _PREFIX_SQL),
     "preflight_verdicts": (preflight_verdicts, _PREFLIGHT_SQL),
     "tree_audit": (tree_audit, None),
