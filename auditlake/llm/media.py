@@ -18,7 +18,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import materialize, prepare, table, text_of
@@ -201,16 +201,32 @@ def resolve(sequences: DataFrame, media: DataFrame, id_column: str) -> DataFrame
     return references.hint("merge").join(media, "digest", "left")
 
 
+def payload_digest(text: Column) -> Column:
+    """The digest under which :func:`store` keeps a text, as a column."""
+    size = F.octet_length(text)
+    rest = F.greatest(F.lit(WIDTH), F.ceil(size / WIDTH) * WIDTH) - size
+    return F.concat_ws("-", F.sha2(F.concat(text.cast("binary"), F.unhex(F.repeat(F.lit("00"), rest.cast("int")))), 256), size.cast("string"))
+
+
+def article(text: Column, digest: Column) -> Column:
+    """A page of a text: its lines as paragraphs, and behind the first of them a figure that refers to a payload."""
+    escaped = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    first = F.substring_index(escaped, "\n", 1)
+    rest = F.replace(F.substr(escaped, F.length(first) + 2), F.lit("\n"), F.lit("</p><p>"))
+    return F.concat(F.lit("<article><p>"), first, F.lit('</p><figure><img src="media:'), digest, F.lit('"><figcaption>payload '), F.substring(digest, 1, 12), F.lit("</figcaption></figure><p>"), rest, F.lit("</p></article>"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a stored payload, found again through the reference in its document's sequence.
+    """Every text as a stored payload, found again through the reference that stands among its paragraphs.
 
-    Null texts count as empty; equal texts have equal values; repeated rows resolve alike.
+    Each document is a page: its lines are paragraphs, with a figure behind the first; the page is parsed into a sequence, and the
+    figure's reference is resolved against the payloads. Null texts count as empty; equal texts have equal values; repeated rows resolve alike.
     """
-    stored = store(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
+    stored = store(docs)
     read = read_media(stored.where("media IS NOT NULL"))
     values = [c for c in read.columns if c != "digest"]
     # of each payload, however many tasks have stored it, one row
     media = materialize(read.groupBy("digest").agg(*[F.first(c).alias(c) for c in values]), "payloads")
-    html = F.concat(F.lit('<article><figure><img src="media:'), "digest", F.lit('"><figcaption>payload '), F.substring("digest", 1, 12), F.lit("</figcaption></figure></article>"))
-    sequences = interleave(stored.select(F.struct("doc_id", "n_bytes").alias("known"), html.alias("html")), "known")
-    return resolve(sequences, media, "known").select("known.doc_id", "known.n_bytes", *values, "position", "caption")
+    pages = docs.select(F.struct("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).alias("known"), article(F.col("text"), payload_digest(F.col("text"))).alias("html"))
+    return resolve(interleave(pages, "known"), media, "known").select("known.doc_id", "known.n_bytes", *values, "position", "caption")

@@ -53,7 +53,7 @@ def test_images_keep_their_payload():
 
 
 def test_media_query(spark, tmp_path):
-    rows = [(1, "a\0", "c"), (2, "a", "c"), (3, "a", "c"), (4, None, None), (5, "", "c"), (6, "é" * 100_000, "c")]
+    rows = [(1, "a\0\nb <i> & c\n\nd", "c"), (2, "a", "c"), (3, "a", "c"), (4, None, None), (5, "", "c"), (6, "é" * 100_000, "c")]
     spark.createDataFrame(rows, "doc_id long, text string, caption string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in media.op7_media_columns(spark, str(tmp_path)).collect()}
     for i, t, _ in rows:
@@ -62,9 +62,21 @@ def test_media_query(spark, tmp_path):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert r.media_sha256 == hashlib.sha256(media.encode_png(payload)).hexdigest() and r.caption.startswith("payload ")
+    assert {i: r.position for i, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 1}
     assert got[2].caption == got[3].caption and got[2].media_sha256 == got[3].media_sha256 and len(got) == 6
 
 
+def test_articles_interleave_text_and_media(spark):
+    texts = ["one & <b>two\nthree  four\n\nfive", "", "lone", "\nsecond", "x &amp; y\r\nz"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    html = df.select("id", media.article(F.col("text"), media.payload_digest(F.col("text"))).alias("html"))
+    for r in media.interleave(html, "id").collect():
+        lines = [" ".join(x.split()) for x in texts[r.id].split("\n")]
+        raw = texts[r.id].encode()
+        said = [("text", x) for x in lines[:1] if x] + [("media", f"media:{hashlib.sha256(media.pad(raw)).hexdigest()}-{len(raw)}")] + [("text", x) for x in lines[1:] if x]
+        assert [(i.kind, i.text) for i in r.sequence] == said and [i.position for i in r.sequence] == list(range(len(said)))
+
+
 def test_sequences_keep_order_and_captions():
     html = "<h1>T &amp; x</h1><p>one<img src='a.png' alt='alt a'>two</p><script>no()</script><figure><img src='media:ff'><figcaption>cap</figcaption></figure><p>end"
     got = [(i["kind"], i["text"], i["caption"]) for i in media.parse_html(html)]
