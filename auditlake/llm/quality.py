@@ -121,7 +121,10 @@ def train(sample: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, float], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, score) for each row; null and empty texts have the score of the bias alone, repeated rows the same score."""
+    """(id, score) for each row; null and empty texts have the score of the bias alone, repeated rows the same score.
+
+    Long texts are read whole, in steps of a few megabytes. An empty table gives an empty result. Other columns are not read.
+    """
     spark = df.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
