@@ -152,7 +152,7 @@ def egress_profile(spark, sf):
 
 
 def policy_hints(spark, sf):
-    return egress.profile(D.findings(spark, sf)).select("package_id", "fully_offline_capable", "allowlist_sufficient", "needs_proxy_or_block")
+    return egress.hints(D.findings(spark, sf))
 
 
 #: (files of a package as (path, language, text)): re-made small packages whose totals are known.
