@@ -166,6 +166,19 @@ def memory_summary_level(spark, sf):
     return memory.summarize(memory.scan(b, keys), b, keys).select("source", "turn", "level", "message")
 
 
+def memory_approvals(spark, sf):
+    """The journal rows that approve every turn's text, with the version after the last one of its source and the level of what was found in it."""
+    b = D.blobs(spark, sf).select(F.concat_ws("/", "source", F.col("turn").cast("string")).alias("source"), "turn", "blob")
+    before = b.where("turn % 2 = 0").select("source", F.concat(F.lit("v"), (F.col("turn") + 3).cast("string")).alias("version"))
+    out = memory.approve(b.drop("turn"), before, F.lit("2024-01-01T00:00:00+00:00"))
+    return out.select("source", "version", "sha256", "blob_len", "status", "approved_at", "level")
+
+
+def _approvals_sql():
+    return f"""WITH {D.BLOBS_SQL}, l AS ({_summary_sql()}) SELECT b.source || '/' || b.turn AS source, CASE WHEN b.turn % 2 = 0 THEN 'v' || (b.turn + 4) ELSE 'v1' END AS version, sha256(blob) AS sha256, CAST(length(blob) AS INT) AS blob_len,
+      'approved' AS status, '2024-01-01T00:00:00+00:00' AS approved_at, level FROM blobs b JOIN l ON l.source = b.source AND l.turn = b.turn"""
+
+
 def _summary_sql():
     bank = " UNION ALL ".join(f"SELECT source, turn, '{k}' AS kind FROM (SELECT source, turn, unnest(regexp_extract_all(said, '{p}')) FROM lines)" for p, k, _ in C.MEMORY_PATTERNS)
     return f"""WITH {D.BLOBS_SQL}, {D.lines_sql('blobs', 'blob', 'source, turn')}, f AS ({bank}
@@ -325,6 +338,7 @@ QUERIES = {
     "memory_anomalies": (memory_anomalies, f"""WITH {_DOC_LINES} SELECT doc_id, 1 AS line, '<blob len=' || length(text) || ' > cap 8000>' AS detail, 'oversized-blob' AS signal FROM documents WHERE length(text) > 8000
       UNION ALL SELECT doc_id, line, '<line len=' || length(said) || ' > cap 600>', 'oversized-line' FROM lines WHERE length(said) > 600"""),
     "memory_summary_level": (memory_summary_level, _summary_sql()),
+    "memory_approvals": (memory_approvals, _approvals_sql()),
     "memory_approval_lookup": (memory_approval_lookup, f"""WITH {_MEMORY_SQL}, l AS (SELECT source, sha256, arg_max(status, seq) AS status FROM m WHERE seq % 3 <> 0 GROUP BY ALL)
       SELECT d.source, CASE WHEN status IS NULL THEN 'unknown_content' WHEN status = 'approved' THEN 'approved' ELSE 'baseline_not_approved' END AS reason_code, coalesce(status = 'approved', false) AS approved, count(*) AS n
       FROM documents d LEFT JOIN l ON l.source = d.source AND l.sha256 = sha256(coalesce(d.text, '')) GROUP BY ALL"""),
