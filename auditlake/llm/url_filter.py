@@ -30,8 +30,10 @@ ITERATIONS = 8
 SMALL = 0.01
 #: A host is blocked if its distrust is over its trust and over so many times an even share (1 / hosts that are reached).
 THRESHOLD = 0.5
-#: Steps in one job, and jobs between two looks at what has changed.
-STEPS_A_JOB, JOBS_A_LOOK = 2, 2
+#: Steps between two looks at what has changed; steps in one job where ranks are a table of a join.
+STEPS_A_LOOK, STEPS_A_JOB = 4, 2
+#: The ranks of so many hosts at most are broadcast (about 10 MB), a step in a job, and are written in so many parts.
+FEW_HOSTS, FEW_PARTS = 100_000, 8
 PARENT_WEIGHT = 1.0
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^\s"'<>]*)"""
 
@@ -75,8 +77,8 @@ def parent_edges(hosts: DataFrame, weight: float) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
     """Personalised PageRank of both kinds: (host, trust, distrust), after ``iterations`` steps or more, when converged.
 
-    A job's steps shrink the change of the job before to ``damping ** STEPS_A_JOB`` of it or less, which bounds the sum of
-    all changes to come; steps end when that is at most ``SMALL * threshold / hosts``.
+    A job's steps shrink the change of the job before to ``damping`` to the power of their number, or less, which bounds the sum
+    of all changes to come; steps end when that is at most ``SMALL * threshold / hosts``.
 
     ``seeds`` (host, trust, distrust) are the personalisation, ``edges`` (src, dst, weight). Trust moves
     from src to dst, distrust from dst to src. Each kind's seeds sum to 1; mass at hosts without a way
@@ -87,37 +89,42 @@ def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS,
     # both are written, so that the joins get exchanges of their own and a host with very many links is split
     both = materialize(both, "both")
     out = materialize(both.groupBy("good", "src").agg(F.sum("weight").alias("all")), "out")
-    graph = materialize(both.hint("merge").join(out, ["good", "src"]).select("good", "src", "dst", (F.col("weight") / F.col("all")).alias("part")), "graph")
+    graph = both.hint("merge").join(out, ["good", "src"]).select("good", "src", "dst", (F.col("weight") / F.col("all")).alias("part"))
+    graph = materialize(graph, "graph")
     total = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     part = lambda good, c, all_: seeds.select("host", F.lit(good).alias("good"), (F.col(c) / F.lit(float(all_ or 1))).alias("p"))
     start = part(True, "trust", total.t).union(part(False, "distrust", total.d)).where("p > 0")
     start = materialize(start, "seeds")
     hosts = graph.select("src").union(graph.select("dst")).union(start.select("host")).distinct().count()
-    shrinks = damping**STEPS_A_JOB
+    few = hosts <= FEW_HOSTS
+    # a write of few rows in few parts; a table of very many rows stays in as many as there are
+    written = lambda df, tag: materialize(df.coalesce(FEW_PARTS) if few else df, tag)
+    steps_a_job = 1 if few else STEPS_A_JOB
+    shrinks = damping**steps_a_job
     small = SMALL * threshold / max(1, hosts) * (1 - shrinks) / shrinks
 
     def step(rank: DataFrame) -> DataFrame:
         # the key is an expression, so that the join has an exchange of its own on this side, too
         at = rank.select("good", F.coalesce("host", F.lit("")).alias("src"), "r")
-        moved = graph.hint("merge").join(at, ["good", "src"]).select(F.col("dst").alias("host"), "good", (F.col("r") * F.col("part") * damping).alias("r"))
+        moved = (graph.join(F.broadcast(at), ["good", "src"]) if few else graph.hint("merge").join(at, ["good", "src"])).select(F.col("dst").alias("host"), "good", (F.col("r") * F.col("part") * damping).alias("r"))
         return moved.unionByName(start.select("host", "good", (F.col("p") * (1 - damping)).alias("r"))).groupBy("host", "good").agg(F.sum("r").alias("r"))
 
     rank = materialize(start.select("host", "good", F.col("p").alias("r")), "rank")
-    jobs = 0
+    steps = 0
     while True:
-        jobs += 1
+        steps += steps_a_job
         new = rank
-        for _ in range(STEPS_A_JOB):  # in one job the graph shuffles once
+        for _ in range(steps_a_job):  # in one job the graph shuffles once
             new = step(new)
-        new = materialize(new, "rank")
+        new = written(new, "rank")
         change = None
-        if jobs % JOBS_A_LOOK == 0:
+        if steps % STEPS_A_LOOK == 0:
             # of the last steps together, which is at least that of the very last one
             both = new.unionByName(rank.withColumn("r", -F.col("r"))).groupBy("host", "good").agg(F.sum("r").alias("d"))
             change = both.agg(F.sum(F.abs("d")).alias("d")).first().d or 0.0
         discard(rank)
         rank = new
-        if change is not None and jobs * STEPS_A_JOB >= iterations and change <= small:
+        if change is not None and steps >= iterations and change <= small:
             break
     score = lambda good: F.coalesce(F.sum(F.when(F.col("good") == good, F.col("r"))), F.lit(0.0))
     return rank.groupBy("host").agg(score(True).alias("trust"), score(False).alias("distrust"))

@@ -301,7 +301,9 @@ def test_mix_of_odd_rows(spark):
     assert len(got) == 6 and sum(x.taken for x in got if x.source == "t") == int(next(x.target for x in got if x.source == "t") + 0.5) and all(0 <= x.taken <= 3 * x["size"] for x in got)
 
 
-def test_distrust_is_carried_to_the_end(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_distrust_is_carried_to_the_end(spark, monkeypatch, few):
+    monkeypatch.setattr(url_filter, "FEW_HOSTS", few)
     page = lambda host, to: (f"http://{host}/", f'<a href="http://{to}/">x</a>')
     chain = [page(f"h{i}.io", f"h{i - 1}.io") for i in range(1, 16)]
     rows = [("http://bad.net/", ""), page("h0.io", "bad.net"), *chain, page("bad.net", "h3.io")]
