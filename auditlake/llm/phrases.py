@@ -25,14 +25,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import discard, materialize, prepare, table, text_of
-from ._words import buffers, hashes, mix, spans, windows
+from ._words import buffers, hashes, mix, spans, trim, windows
 from .exact_dedup import BloomFilter, membership_filter
 
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
 MAX_FILTER_BYTES = 64 << 20
 BITS_PER_PHRASE = 12
-#: Words of a suffix array, at most.
-SHARD_WORDS = 1 << 20
+#: Words of a suffix array, at most, and bytes of texts that are cut into words at once, but for a longer text.
+SHARD_WORDS, _STEP_BYTES = 1 << 20, 3 << 19
 #: The word counts of so many languages at most are broadcast.
 FEW_LANGUAGES = 20_000
 #: A language's phrases are ranked in so many parts before all together.
@@ -93,13 +93,23 @@ def _language_hash(langs: pa.Array) -> np.ndarray:
     return hashes(data, at[:-1], at[1:])
 
 
+def _steps(batches):
+    """Rows of the batches in steps of a few megabytes: languages, bytes, offsets. Freed memory goes back to the system after each."""
+    for batch in batches:
+        data, at = buffers(batch.column(1))
+        low = 0
+        while low < len(at) - 1:
+            high = max(low + 1, int(np.searchsorted(at, at[low] + _STEP_BYTES, "right")) - 1)
+            yield batch.column(0).slice(low, high - low), data[at[low] : at[high]], at[low : high + 1] - at[low]
+            low = high
+        trim()
+
+
 def _counts(n: int, shared):
     """Of each batch: (lang, phrase, f) of its n-grams whose parts ``shared`` (a Bloom filter) may hold; for n = 1 also the number of words, as the phrase ''."""
 
     def run(batches):
-        for batch in batches:
-            langs = batch.column(0)
-            data, at = buffers(batch.column(1))
+        for langs, data, at in _steps(batches):
             low = _LOWER[data]
             starts, ends, bounds = spans(low, at, _STOP)
             if len(starts) < n:
