@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
 from . import names
 
 #: Above every key, and what is put behind a key for what comes right after it.
@@ -217,17 +218,33 @@ def inside(o: Column, version: Column, i: Column) -> Column:
     return (o["key"] >= i["low"]) & (o["key"] < i["high"]) & ~(i["no_local"] & o["local"]) & ~(i["no_pre"] & o["pre"]) & base & F.coalesce(i["exact"] == version, F.lit(True))
 
 
+def _looked_up(rows: DataFrame, text: str, name: str, of: Callable[[Column, Column], Column]) -> DataFrame:
+    """``rows`` with ``name``, what ``of`` says of ``text`` and the ecosystem; each text is read once, however many rows have it.
+
+    The texts are cut off, or filters on ``name`` would go down to the rows and compute it for each of them.
+    """
+    texts = cut(rows.select("ecosystem", text).distinct().withColumn(name, of(F.col(text), F.col("ecosystem"))))
+    return rows.join(texts, ["ecosystem", text], "left")
+
+
+def ordered(registry: DataFrame) -> DataFrame:
+    """``registry`` (ecosystem, name, version, latest) with ``o``, the :func:`order` of its versions, dealt by package."""
+    known = _looked_up(registry.select("ecosystem", "name", "version", "latest"), "version", "o", order)
+    return known.repartition("ecosystem", "name")
+
+
 def resolve(specs: DataFrame, registry: DataFrame) -> DataFrame:
     """``specs`` (ecosystem, name, specifier, …) with the version each resolves to. ``registry``: ecosystem, name, version, latest (the tag, may be null).
 
     The highest version inside; of Python versions a stable one if there is any, else a pre-release. Where no range is given the tag, or
-    else the highest stable version. Each specifier of a package is resolved once, however many ask it.
+    else the highest stable version. Each specifier of a package is resolved once, however many ask it. What asks one registry again and
+    again gives the :func:`ordered` one.
     """
     key = ["ecosystem", "name"]
-    known = registry.select(*key, "version", "latest", order(F.col("version"), F.col("ecosystem")).alias("o"))
+    known = registry if "o" in registry.columns else ordered(registry)
     best = lambda stable: F.max(F.when(F.col("o").isNotNull(), F.struct(stable.alias("stable"), F.col("o.key").alias("key"), F.col("version").alias("version"))))["version"]
     newest = known.groupBy(*key).agg(F.coalesce(F.max("latest"), best(~F.col("o.pre"))).alias("_latest"))
-    asked = specs.select(*key, "specifier").distinct().withColumn("_ranges", intervals(F.col("specifier"), F.col("ecosystem")))
+    asked = _looked_up(specs.select(*key, "specifier").distinct(), "specifier", "_ranges", intervals)
     ranged = asked.where("_ranges IS NOT NULL").select(*key, "specifier", F.explode("_ranges").alias("i"))
     hits = ranged.join(known, key).where(inside(F.col("o"), F.col("version"), F.col("i"))).groupBy(*key, "specifier").agg(best(~F.col("o.pre") | (F.col("ecosystem") == "npm")).alias("_found"))
     out = asked.join(newest, key, "left").join(hits, [*key, "specifier"], "left")

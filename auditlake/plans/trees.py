@@ -45,16 +45,21 @@ def _said(forms: list[str]) -> str:
     return f"CASE {_FORM} " + " ".join(f"WHEN {i} THEN {one(f)}" for i, f in enumerate(forms)) + " END"
 
 
+def _parts(spark, sf):
+    """The keys of parts, dealt again: the table is one file, and what is made of a row costs far more than to read it."""
+    return D.table(spark, sf, "part").select("p_partkey").repartition("p_partkey")
+
+
 def registry(spark, sf):
     """(ecosystem, name, version, latest) of every part: twelve versions, some of them release candidates, some twice."""
-    each = D.table(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i")).selectExpr("p_partkey", *[f"{e} AS {n}" for n, e in _NUMBERS.items()])
+    each = _parts(spark, sf).select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i")).selectExpr("p_partkey", *[f"{e} AS {n}" for n, e in _NUMBERS.items()])
     mark = f"CASE WHEN rc = 0 THEN '' WHEN {_ECO} = 'npm' THEN '-rc.1' ELSE 'rc1' END"
     return each.selectExpr(f"{_ECO} AS ecosystem", "concat('lib', p_partkey) AS name", f"concat(major, '.', minor, '.', patch, {mark}) AS version", "CASE WHEN p_partkey % 5 > 0 THEN '1.0.0' END AS latest")
 
 
 def version_resolve(spark, sf):
     """The version that each part's specifier resolves to in a registry of twelve versions a part."""
-    specs = D.table(spark, sf, "part").selectExpr("p_partkey", f"{_ECO} AS ecosystem", "concat('lib', p_partkey) AS name", f"CASE WHEN {_ECO} = 'npm' THEN {_said(_NPM)} ELSE {_said(_PYPI)} END AS specifier")
+    specs = _parts(spark, sf).selectExpr("p_partkey", f"{_ECO} AS ecosystem", "concat('lib', p_partkey) AS name", f"CASE WHEN {_ECO} = 'npm' THEN {_said(_NPM)} ELSE {_said(_PYPI)} END AS specifier")
     return versions.resolve(specs, registry(spark, sf)).select("p_partkey", "version")
 
 

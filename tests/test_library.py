@@ -103,3 +103,12 @@ def test_approval_of_a_text(spark):
     assert (rows["a"].version, rows["a"].level, rows["a"].blob_len, rows["a"].status) == ("v13", "clean", 10, "approved") and (rows["b"].version, rows["b"].level) == ("v1", "review")
     later = spark.createDataFrame([(9, "b", "v1", rows["b"].sha256, "approved")], journal.schema)
     assert {r.source: r.reason_code for r in memory.check(blobs, journal.union(later)).collect()} == {"a": "unknown_content", "b": "approved"}
+
+
+def test_versions_and_specifiers_are_read_once_a_text(spark):
+    registry = spark.range(60).selectExpr("'pypi' AS ecosystem", "concat('lib', id div 3) AS name", "concat('1.', id % 3) AS version", "CAST(NULL AS STRING) AS latest")
+    specs = spark.range(20).selectExpr("'pypi' AS ecosystem", "concat('lib', id) AS name", "CASE WHEN id % 2 = 0 THEN '<1.2' WHEN id % 3 = 0 THEN '' END AS specifier")
+    out = versions.resolve(specs, registry)
+    assert {(int(r.name[3:]) % 2, r.version) for r in out.collect()} == {(0, "1.1"), (1, "1.2")} and out.count() == 20
+    # nothing that reads versions is left in the plan over all rows: a filter on what was read would do it again for each of them
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
