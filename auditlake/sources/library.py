@@ -62,16 +62,17 @@ def resolved(candidates: DataFrame, pins: DataFrame, rows: DataFrame) -> DataFra
     """``candidates`` (project, name, target_hash, ecosystem, …) with base: what they are compared with, and base_from.
 
     First the project's pin, the earliest that has the candidate's hash or name; else the library's newest accepted entry of the name; else null.
+    The earliest pin of each name and of each hash is found first, so a candidate meets at most two however many pins its project has.
     """
-    own = pins.select("project", F.col("name").alias("_n"), F.col("target_hash").alias("_h"), "seq", F.struct(*pins.columns).alias("_pin"))
-    keyed = candidates.withColumn("_key", F.struct("project", "ecosystem", "name", "target_hash"))
-    by = lambda column, other: keyed.select("_key", "project", F.col(column).alias(other)).join(own, ["project", other])
-    first = by("name", "_n").select("_key", "seq", "_pin").unionByName(by("target_hash", "_h").select("_key", "seq", "_pin")).groupBy("_key").agg(F.min_by("_pin", "seq").alias("_pin"))
+    first = lambda column: pins.groupBy("project", column).agg(F.min_by(F.struct("seq", F.struct(*pins.columns).alias("pin")), "seq").alias(f"_by_{column}"))
+    found = candidates.join(first("name"), ["project", "name"], "left").join(first("target_hash"), ["project", "target_hash"], "left")
+    name, hash_ = F.col("_by_name"), F.col("_by_target_hash")
+    found = found.withColumn("_pin", F.when(hash_.isNull() | (name["seq"] <= hash_["seq"]), name["pin"]).otherwise(hash_["pin"])).drop("_by_name", "_by_target_hash")
     good = journal.latest_known_good(rows)
     good = good.select("ecosystem", "name", F.struct(*[c for c in good.columns if c not in ("ecosystem", "name")]).alias("_good"))
-    out = keyed.join(first, "_key", "left").join(good, ["ecosystem", "name"], "left")
+    out = found.join(good, ["ecosystem", "name"], "left")
     hash_ = F.coalesce("_pin.target_hash", "_good.target_hash")
-    return out.withColumns({"base_hash": hash_, "base_from": F.when(F.col("_pin").isNotNull(), "pin").when(F.col("_good").isNotNull(), "library")}).drop("_key", "_pin", "_good")
+    return out.withColumns({"base_hash": hash_, "base_from": F.when(F.col("_pin").isNotNull(), "pin").when(F.col("_good").isNotNull(), "library")}).drop("_pin", "_good")
 
 
 def accept(reports: DataFrame, counts: DataFrame | None, first_seq: int, now: str) -> DataFrame:

@@ -112,3 +112,28 @@ def test_versions_and_specifiers_are_read_once_a_text(spark):
     assert {(int(r.name[3:]) % 2, r.version) for r in out.collect()} == {(0, "1.1"), (1, "1.2")} and out.count() == 20
     # nothing that reads versions is left in the plan over all rows: a filter on what was read would do it again for each of them
     assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _most_rows(node):
+    """The most rows that any step of a plan that has run has put out."""
+    metric = node.metrics().get("numOutputRows")
+    below = [node.children().apply(i) for i in range(node.children().size())]
+    if node.nodeName() == "AdaptiveSparkPlan":  # what adaptive execution has settled on
+        below.append(node.executedPlan())
+    elif node.nodeName().endswith("QueryStage"):
+        below.append(node.plan())
+    own = metric.get().value() if metric.isDefined() else 0
+    return max([own, *map(_most_rows, below)])
+
+
+def test_a_candidate_meets_one_pin_of_its_name_and_one_of_its_hash(spark):
+    pins = spark.range(400).selectExpr("concat('p', id % 2) AS project", "id AS seq", "concat('lib', id % 4) AS name", "concat('h', id % 6) AS target_hash")
+    candidates = spark.range(400).selectExpr("concat('p', id % 3) AS project", "id AS candidate", "'pypi' AS ecosystem", "concat('lib', id % 5) AS name", "CASE WHEN id % 7 > 0 THEN concat('h', id % 8) END AS target_hash")
+    rows = spark.createDataFrame([("pypi", "lib4", 1, "accepted", "known")], "ecosystem string, name string, seq long, status string, target_hash string")
+    out = library.resolved(candidates, pins, rows)
+    kept = [(i % 2, i, i % 4, f"h{i % 6}") for i in range(400)]
+    for r in out.collect():
+        c = r.candidate
+        first = min(((s, h) for p, s, n, h in kept if p == c % 3 and (n == c % 5 or (c % 7 > 0 and h == f"h{c % 8}"))), default=None)
+        assert (r.base_hash, r.base_from) == ((first[1], "pin") if first else ("known", "library") if c % 5 == 4 else (None, None))
+    assert _most_rows(out._jdf.queryExecution().executedPlan()) <= 400
