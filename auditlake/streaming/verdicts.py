@@ -10,8 +10,10 @@ written goes to a file sink, so a batch that is replayed after a failure is writ
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,12 @@ _FOUND = (
 )
 
 
+_COLUMNS = [f.split()[0] for f in _FOUND.split(", ")]
+#: What the state needs of an event, seq first.
+_READ = ("seq", "op", "version", "target_hash", "profile", "status", "score", "critical", "role_typical_share", "accept_new", "surfaces")
+_Event = namedtuple("_Event", _READ)
+
+
 def _worst(blocked: list) -> tuple:
     return -blocked[0], blocked[1]
 
@@ -76,8 +84,9 @@ def _value(x):
 def _judge(min_score: int, auto_score: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         history, out = History(state.get[0] if state.exists else None), []
-        events = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        for e in events.itertuples(index=False):
+        # plain lists: a group has few rows, and what pandas does for each group would cost more than all of its events
+        events = [e for batch in batches for e in zip(*(batch[c].tolist() for c in _READ))]
+        for e in map(_Event._make, sorted(events, key=lambda e: e[0])):
             version, share, surfaces = _value(e.version), _value(e.role_typical_share) or 0.0, list(e.surfaces) if e.surfaces is not None else []
             if e.op == "forget":
                 history.forget(version)
@@ -97,8 +106,9 @@ def _judge(min_score: int, auto_score: int):
                 elif accept or score >= auto_score:
                     history.record(e.seq, version, e.target_hash, _value(e.profile), "accepted", share, surfaces)
         state.update((history.said(),))
-        columns = [f.split()[0] for f in _FOUND.split(", ")]
-        yield pd.DataFrame(out, columns=columns).astype({"base_seq": "Int64", "score": "int32"})
+        if out:
+            found = dict(zip(_COLUMNS, zip(*out)))
+            yield pd.DataFrame(found | {"base_seq": pd.array(found["base_seq"], "Int64"), "score": np.array(found["score"], np.int32)})
 
     return run
 

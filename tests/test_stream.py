@@ -89,3 +89,21 @@ def test_events_of_a_table(spark, tmp_path):
     expected = by_hand([tuple(x[n] for n in names) for x in trees.as_events(df).collect()])
     got = registry.queries()["stream_verdicts"](spark, str(tmp_path)).collect()
     assert sorted((x.seq, x.status, x.base_seq, x.novel.split(",") if x.novel else [], x.prior, x.write_status) for x in got) == expected and len(expected) > 200
+
+
+def test_a_group_without_candidates_makes_no_rows():
+    import pandas as pd
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.said = value[0]
+
+    names = [f.split()[0] for f in verdicts.EVENT.split(", ")]
+    record = lambda seq, status: ("record", seq, "pypi", "a", "1", f"h{seq}", None, status, 90, False, 0.5, False, ["subprocess:a"])
+    batches = [pd.DataFrame([record(2, "accepted"), record(1, "accepted")], columns=names), pd.DataFrame([record(3, "blocked-suspicious")], columns=names)]
+    state = State()
+    assert list(verdicts._judge(50, 80)(("pypi", "a"), iter(batches), state)) == []
+    history = verdicts.History(state.said)
+    assert history.baseline("1")["seq"] == 2 and history.prior() == "1 (blocked-suspicious, share=50%)"
