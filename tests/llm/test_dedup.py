@@ -292,3 +292,19 @@ def test_near_duplicates_on_one_template(spark, monkeypatch):
                 rows.append((100 + 10 * i + k, " ".join(template + copy)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter((x.doc_id, x.class_id, x.class_size) for x in near_dedup.near_duplicates(df).collect()) == expected_classes(df.collect()) and called
+
+
+def test_halved_parity_bounds_the_difference():
+    r = np.random.default_rng(1)
+    draw = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64)
+    bits = lambda x: (int(x) & (1 << 64) - 1).bit_count()
+    for _ in range(500):
+        shared = draw(r.integers(0, 40))
+        x, y = (np.unique(np.concatenate([shared, draw(r.integers(1, 50))])) for _ in "xy")
+        n = np.array([len(x), len(y)])
+        p, _ = line_dedup.parity(np.concatenate([x, y]), np.array([0, n[0], n.sum()]))
+        p = line_dedup._halved(p, n)
+        assert all(0 <= v < 1 << 32 for v in p[n <= line_dedup.HALVED])
+        one = int(p[0] ^ p[1]) & (1 << 64) - 1
+        if n.max() <= line_dedup.FOLDED:
+            assert bits((one ^ one >> 32) & 0xFFFFFFFF) <= len(set(x.tolist()) ^ set(y.tolist()))
