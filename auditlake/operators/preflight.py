@@ -96,8 +96,9 @@ def dependencies(roots: DataFrame, packages: DataFrame, declared: DataFrame, reg
     ``packages``: package_id, ecosystem, name, version. ``declared``: package_id, name, specifier, ordinal. A level resolves what the versions
     that came up in the level before declare; a version that was met before is not looked at again.
     """
+    known = cut(versions.ordered(registry))  # its versions are read once, not again in each level
     asked = roots.select("ecosystem", N.canonical_name(F.col("name"), F.col("ecosystem")).alias("name"), "specifier").distinct()
-    root_nodes = node_key(versions.resolve(asked, registry)).withColumn("root", F.lit(True))
+    root_nodes = node_key(versions.resolve(asked, known)).withColumn("root", F.lit(True))
     frontier = cut(root_nodes.select("node", *_SPEC, "root").distinct())
     nodes, edges = frontier, None
     wanted = packages.select("package_id", *_SPEC).join(declared.select("package_id", F.col("name").alias("asks"), "specifier", "ordinal"), "package_id")
@@ -105,7 +106,7 @@ def dependencies(roots: DataFrame, packages: DataFrame, declared: DataFrame, reg
     for _ in range(max_depth):
         asks = frontier.where("version IS NOT NULL").select(F.col("node").alias("parent"), *_SPEC).hint("merge").join(wanted, _SPEC)
         asks = asks.select("parent", "ordinal", "ecosystem", N.canonical_name(F.col("asks"), F.col("ecosystem")).alias("name"), "specifier")
-        level = cut(node_key(versions.resolve(asks, registry)))
+        level = cut(node_key(versions.resolve(asks, known)))
         edges = level.select("parent", "ordinal", F.col("node").alias("child")) if edges is None else edges.unionByName(level.select("parent", "ordinal", F.col("node").alias("child")))
         frontier = cut(level.select("node", *_SPEC, F.lit(False).alias("root")).distinct().join(nodes.select("node"), "node", "left_anti"))
         if frontier.isEmpty():
