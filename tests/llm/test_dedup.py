@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,3 +309,30 @@ def test_halved_parity_bounds_the_difference():
         one = int(p[0] ^ p[1]) & (1 << 64) - 1
         if n.max() <= line_dedup.FOLDED:
             assert bits((one ^ one >> 32) & 0xFFFFFFFF) <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_word_counts_in_short_steps(monkeypatch):
+    """Counts of a task's words are whole in whatever steps they go out, and no array of all buckets is made."""
+    monkeypatch.setattr(line_dedup, "_COUNTED", 50)
+    word = np.random.default_rng(2).integers(0, 1 << 47, 333, dtype=np.uint64) << np.uint64(17) >> np.uint64(3)
+    word = np.concatenate([word, word[:70]])
+    parts = [pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.array_split(part, 3)], pa.binary())], ["words"]) for part in np.array_split(word, 5)]
+    got = Counter()
+    made, zeros = [], np.zeros
+    monkeypatch.setattr(np, "zeros", lambda n, *a, **k: made.append(np.prod(n)) or zeros(n, *a, **k))
+    for batch in line_dedup._word_counts(parts):
+        for chunk, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, k in zip(np.frombuffer(at, "<u2").tolist(), np.frombuffer(n, "<i4").tolist()):
+                got[chunk << 16 | a] += k
+    assert got == Counter((word >> np.uint64(40)).tolist()) and max(made, default=0) <= 1000
+
+
+def test_lines_leave_no_shuffle_files(spark):
+    """What the join shuffled is gone once its tables are written, and the setting is as before."""
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    rows = [(i, f"a b c d e{i % 7} f g h i j\nown{i} x{i} y{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before, conf = held(), spark.conf.get(line_dedup._SHUFFLES_GO)
+    gone = line_dedup.removed_lines(df.select(F.col("doc_id").alias("key_a"), F.col("doc_id").alias("key_b"), F.col("doc_id").alias("id"), "text"))
+    assert held() <= before and spark.conf.get(line_dedup._SHUFFLES_GO) == conf
+    assert {r.key_a: list(r.lines) for r in gone.collect()} == {i: sorted(x) for i, x in expected_lines(df.collect()).items()}
