@@ -3,7 +3,7 @@
 Tier one: a minimal perfect hash over the vocabulary resolves a whole pre-token that is a token
 itself. Tier two: other pre-tokens start as linked single bytes; a heap gives the adjacent pair of
 lowest rank, leftmost first, until no pair is in the vocabulary. What either tier found is kept in a
-bounded table of the worker, as most pre-tokens come again.
+bounded table until the task ends, as most pre-tokens come again.
 
 Scale: rows are independent, nothing shuffles; the vocabulary (about 50,000 tokens, its size is that
 of the file) is broadcast. Long runs of one pre-token cost n log n.
@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import prepare, table, text_of
+from ._words import trim
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens that a worker keeps.
+#: Pre-tokens that a task keeps.
 KEPT = 300_000
 #: White space other than space and line feed.
 _RARE_SPACE = re.compile("[\t\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
@@ -158,6 +159,12 @@ class Codec:
         first, *rest = text.split(" ")
         return b"".join(map(self.pieces.__getitem__, self.split(first))) + b"".join(map(self.chunks.__getitem__, rest))
 
+    def forget(self) -> None:
+        """Drop what was kept of texts: a worker lives on, through tasks of other work, too."""
+        self.pieces.clear()
+        self.chunks.clear()
+        trim()
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
@@ -205,6 +212,7 @@ def encode_texts(df: DataFrame, vocabulary: str, pattern: str, id_column: str =
             if keep_ids:
                 columns, names = columns + [pa.array(raw, pa.binary())], names + ["ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        codec.forget()
 
     kind = df.schema[id_column].dataType.simpleString()
     schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import discard, materialize, prepare, table, text_of
-from ._words import buffers, hashes, mix, spans, windows
+from ._words import buffers, hashes, mix, spans, trim, windows
 from .exact_dedup import membership_filter
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -94,6 +94,7 @@ def _steps(batches, size: int):
             high = max(low + 1, int(np.searchsorted(at, at[low] + _STEP_BYTES, "right")) - 1)
             yield batch.column(0).slice(low, high - low), high - low, *_shingles(data[at[low] : at[high]], at[low : high + 1] - at[low], size)
             low = high
+    trim()
 
 
 def _set_hash(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:

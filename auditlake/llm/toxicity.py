@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ._common import held_fold, materialize, prepare, quoted, table, text_of
 from ._training import labelled_sample
-from ._words import buffers, hashes, mix, spans, windows
+from ._words import buffers, hashes, mix, spans, trim, windows
 from .quality import _steps
 
 #: Labelled documents that are read for fitting, at most; entries of the learned lexicon, at most.
@@ -274,6 +274,7 @@ def score(df: DataFrame, model, id_column: str = "doc_id", text_column: str = "t
             # steps of the calibration, with a thousandth of the margin so that texts on one step keep their order
             out = 0.999 * np.interp(m, at_margin, rate) + 0.001 / (1 + np.exp(-np.clip(m, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], [id_column, "score"])
+        trim()
 
     rows = df.select(quoted(id_column).alias("id"), text_of(text_column).alias("text"))
     return rows.mapInArrow(run, T.StructType([T.StructField(id_column, rows.schema["id"].dataType), T.StructField("score", T.DoubleType())]))

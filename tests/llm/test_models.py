@@ -426,3 +426,23 @@ def test_models_take_odd_rows(spark):
         for x in got:
             by[x.doc_id].add(round(x.score, 12))
         assert len(by[7]) <= 2 and all(len(v) == 1 for k, v in by.items() if k != 7)
+
+
+def test_workers_keep_no_pre_tokens_after_a_task(spark):
+    """A worker that has encoded texts keeps its codec, and nothing of the texts."""
+    df = spark.createDataFrame([(i, f"some text{i} with words{i * 7}") for i in range(200)], "doc_id long, text string").repartition(4)
+    assert bpe.encode_documents(df).count() == 200 and len(bpe.encode_documents(df).collect()) == 200
+
+    def held(batches):
+        import sys
+
+        import pyarrow as pa
+
+        own = list(sys.modules.get("_auditlake_codecs", sys).__dict__.values()) if "_auditlake_codecs" in sys.modules else []
+        own = [len(c.pieces) + len(c.chunks) for c in own if type(c).__name__ == "Codec"]
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64())], ["n"])
+
+    kept = [r.n for r in spark.range(8).repartition(8).mapInArrow(held, "n long").collect()]
+    assert kept and set(kept) == {0}
